@@ -92,7 +92,7 @@ def padded(src: str, name: str) -> str:
 PRED = (
     "pr AS (SELECT *, [CASE WHEN x = 3 THEN 7 WHEN i = 2 AND substr(md5(concat_ws('|', 'p', doc_id, pair_idx)), 1, 1) < '5' "
     "THEN 0 ELSE x END for x, i in answers] AS pred_ids FROM vp), "
-    "mt AS (SELECT *, (len(answers) = len(pred_ids) AND list_bool_and([a = q OR a = 3 for a, q in list_zip(answers, pred_ids)])) AS match FROM pr)"
+    "mt AS (SELECT *, (len(answers) = len(pred_ids) AND list_bool_and([a = pred_ids[i] OR a = 3 for a, i in answers])) AS match FROM pr)"
 )
 EVAL = f"{BATCHES}, {padded('vb', 'vp')}, {PRED}"
 
@@ -274,7 +274,7 @@ ORACLE: dict[str, str] = {
     "attn_pool": f"WITH {attention_ctes(True)} SELECT label, q_pos, pooled FROM pool",
     "attn_pool_full": f"WITH {attention_ctes(False)} SELECT label, q_pos, pooled FROM pool",
     "attn_bind": (
-        f"WITH {attention_ctes(True)} SELECT p.label, p.q_pos, [round(a * b, 6) for a, b in list_zip(p.pooled, x.v)] AS bound "
+        f"WITH {attention_ctes(True)} SELECT p.label, p.q_pos, [round(a * x.v[i], 6) for a, i in p.pooled] AS bound "
         "FROM poolraw p JOIN x ON p.label = x.label AND p.q_pos = x.pos"
     ),
     # ---- round trips through sinks
