@@ -81,6 +81,15 @@ def within_budget_condition(q_ids: str = "question_ids", a_ids: str = "answer_id
     return (F.size(q_ids) <= F.lit(QUESTION_LIMIT)) & (F.size(a_ids) <= F.lit(ANSWER_LIMIT))
 
 
+def within_budget_text(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
+    """FLT6 before encoding: ``size(ids) = length + 2`` exactly (one id per code point plus
+    <bos> and <eos>), so the budget can be applied to the text and only the rows that
+    survive are encoded."""
+    return df.filter(
+        (F.length(question) + F.lit(2) <= F.lit(QUESTION_LIMIT)) & (F.length(answer) + F.lit(2) <= F.lit(ANSWER_LIMIT))
+    )
+
+
 def within_budget(df: DataFrame, q_ids: str = "question_ids", a_ids: str = "answer_ids") -> DataFrame:
     """FLT6: keep rows whose encoded question / answer fit the position budget."""
     return df.filter(within_budget_condition(q_ids, a_ids))

@@ -75,6 +75,7 @@ def attention(
     ``log_norm`` = log of sum over visible keys of exp(score); the softmax weight of key k is
     ``exp(score_k - log_norm)``.  ``pooled`` = sum of weight * key vector.
     """
+    orig_type = df.schema[group].dataType
     base = df.select(F.col(group).cast("long").alias("grp"), F.col(pos).cast("long").alias("pos"), F.col(vec).alias("vec"))
     sizes = base.groupBy("grp").agg(F.count(F.lit(1)).alias("__n")).withColumn(
         "__nb", F.greatest(F.ceil(F.col("__n") / F.lit(block_size)), F.lit(1)).cast("long")
@@ -93,7 +94,23 @@ def attention(
         # a key block whose smallest position lies after every query of the query block adds nothing
         pairs = pairs.filter(F.col("k_min") <= F.col("q_max"))
     partial = pairs.select("grp", "q_pos", "q_vec", "k_pos", "k_vec").mapInPandas(_block_kernel(causal), PARTIAL_SCHEMA)
-    return _merge_partials(partial).withColumnRenamed("grp", group)
+    # One row is collected: the largest block count.  With one block per group every
+    # query has exactly one partial state, which is already final.
+    max_nb = sizes.agg(F.max("__nb")).first()[0] or 1
+    merged = _final_single(partial) if max_nb == 1 else _merge_partials(partial)
+    return merged.withColumn("grp", F.col("grp").cast(orig_type)).withColumnRenamed("grp", group)
+
+
+def _final_single(partial: DataFrame) -> DataFrame:
+    return partial.select(
+        "grp",
+        "q_pos",
+        "n_keys",
+        "best_key",
+        "max_score",
+        (F.col("max_score") + F.log("sum_exp")).alias("log_norm"),
+        F.transform("pooled", lambda x: x / F.col("sum_exp")).alias("pooled"),
+    )
 
 
 def _merge_partials(partial: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def char_freq(df: DataFrame, cols=("question", "answer")) -> DataFrame:
 
 
 def build_vocab(df: DataFrame, cols=("question", "answer"), specials=SPECIALS) -> DataFrame:
-    """AGG2: (token, freq, id) - specials first (freq null), then by freq desc, token asc.
+    """AGG2: (token, freq, id) - specials first (freq 0: never counted as characters), then by freq desc, token asc.
 
     The ordering window has no partition key on purpose: its input is one row per
     distinct character (bounded by the code space), never row-level data.
@@ -49,7 +49,7 @@ def build_vocab(df: DataFrame, cols=("question", "answer"), specials=SPECIALS) -
         "id", (F.row_number().over(Window.orderBy(F.desc("freq"), F.asc("token"))) + F.lit(len(specials) - 1)).cast("int")
     )
     spark = df.sparkSession
-    sp = spark.createDataFrame([(t, None, i) for i, t in enumerate(specials)], "token string, freq long, id int")
+    sp = spark.createDataFrame([(t, 0, i) for i, t in enumerate(specials)], "token string, freq long, id int")
     return sp.unionByName(ranked.select("token", "freq", "id"))
 
 

@@ -189,7 +189,7 @@ def q_ordered_batches(spark, sf):
 
 
 def _train_padded(spark, sf):
-    return batching.make_batches(flows.train_batches(spark, sf))
+    return batching.make_batches(flows.train_batches(spark, sf, flows.docs_vocab(spark, sf)))
 
 
 def q_padded(spark, sf):
@@ -265,7 +265,7 @@ def q_masked_xent(spark, sf):
 # ----------------------------------------------------------------------------- vectors
 def _attention(spark, sf, causal=True):
     emb = read_table(spark, sf, "embeddings")
-    return vectors.attention(emb, "label", "vec_id", "embedding", causal=causal).withColumn("label", F.col("label").cast("int"))
+    return vectors.attention(emb, "label", "vec_id", "embedding", causal=causal)
 
 
 def q_attn_stats(spark, sf):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textpairs.functions import arrays as A
 from textpairs.operators import batching, clean, evaluate, rank, vocab
 from textpairs.operators.pairing import text_lines
-from textpairs.session import read_table, scratch_path
+from textpairs.session import materialize, read_table, scratch_path
 from textpairs.sources import tables
 from textpairs.streaming import ingest
 
@@ -50,18 +50,24 @@ def encoded_docs(spark: SparkSession, sf: str, voc: vocab.Vocabulary | None = No
     return vocab.encode_columns(tables.qa_docs(spark, sf), voc or docs_vocab(spark, sf))
 
 
-def budget_split(spark: SparkSession, sf: str, voc=None) -> DataFrame:
-    return rank.exact_split(clean.within_budget(encoded_docs(spark, sf, voc)), KEYS, seed=SEED)
+def budget_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs within the length budget (filtered on text length, before any encoding), written
+    once to the shared checkpoint folder, then split 80/20."""
+    short = materialize(clean.within_budget_text(tables.qa_docs(spark, sf)), "budget-pairs")
+    return rank.exact_split(short, KEYS, seed=SEED)
 
 
 def train_batches(spark: SparkSession, sf: str, voc=None, epoch: int = 0) -> DataFrame:
-    s = budget_split(spark, sf, voc).filter(F.col("split") == "train")
-    return rank.batch_ids(rank.hash_rank(s, KEYS, seed=SEED, epoch=epoch), batch_size=BATCH_SIZE)
+    """Train rows with batch ids; encoded (after ranking, on the kept rows only) when ``voc`` is given."""
+    s = budget_split(spark, sf).filter(F.col("split") == "train")
+    b = rank.batch_ids(rank.hash_rank(s, KEYS, seed=SEED, epoch=epoch), batch_size=BATCH_SIZE)
+    return vocab.encode_columns(b, voc) if voc is not None else b
 
 
 def val_batches(spark: SparkSession, sf: str, voc=None) -> DataFrame:
-    s = budget_split(spark, sf, voc).filter(F.col("split") == "val")
-    return rank.batch_ids(rank.hash_rank(s, KEYS, seed=SEED), batch_size=BATCH_SIZE)
+    s = budget_split(spark, sf).filter(F.col("split") == "val")
+    b = rank.batch_ids(rank.hash_rank(s, KEYS, seed=SEED), batch_size=BATCH_SIZE)
+    return vocab.encode_columns(b, voc) if voc is not None else b
 
 
 def echo_predictions(df: DataFrame, answers: str = "answers") -> DataFrame:
@@ -76,7 +82,7 @@ def echo_predictions(df: DataFrame, answers: str = "answers") -> DataFrame:
 
 
 def val_matches(spark: SparkSession, sf: str, voc=None) -> DataFrame:
-    b = batching.make_batches(val_batches(spark, sf, voc))
+    b = batching.make_batches(val_batches(spark, sf, voc or docs_vocab(spark, sf)))
     return echo_predictions(b).withColumn("match", A.exact_match("answers", "pred_ids"))
 
 
@@ -141,21 +147,21 @@ def prepare(
     elif vocab_df is None:
         vocab_df = vocab.build_vocab(train_df)
     voc = vocab.Vocabulary.from_df(vocab_df)
-    enc = clean.within_budget(vocab.encode_columns(train_df, voc, enc_cols))
-    split = rank.exact_split(enc, keys, seed=seed)
+    # FLT6 on text lengths, then split and rank on keys; only kept rows are encoded.
+    split = rank.exact_split(clean.within_budget_text(train_df), keys, seed=seed)
     tr = rank.batch_ids(rank.hash_rank(split.filter(F.col("split") == "train"), keys, seed=seed, epoch=epoch), batch_size=batch_size)
     va = rank.batch_ids(rank.hash_rank(split.filter(F.col("split") == "val"), keys, seed=seed), batch_size=batch_size)
     out = {
         "vocab": vocab_df,
         "vocabulary": voc,
-        "train": batching.make_batches(tr),
-        "val": batching.make_batches(va),
+        "train": batching.make_batches(vocab.encode_columns(tr, voc, enc_cols)),
+        "val": batching.make_batches(vocab.encode_columns(va, voc, enc_cols)),
         "test": None,
     }
     if test_df is not None:
         tk = test_keys or keys
-        te = clean.within_budget(vocab.encode_columns(test_df, voc, enc_cols))
-        out["test"] = batching.make_batches(rank.batch_ids(rank.ordered_rank(te, tk), batch_size=batch_size))
+        te = rank.batch_ids(rank.ordered_rank(clean.within_budget_text(test_df), tk), batch_size=batch_size)
+        out["test"] = batching.make_batches(vocab.encode_columns(te, voc, enc_cols))
     return out
 
 

@@ -43,8 +43,8 @@ def vocab_ctes(src: str = "p", c: str = "c", v: str = "v", vt: str = "vt", toks:
     return (
         f"{c} AS (SELECT ch AS token, count(*) AS freq FROM (SELECT unnest({chars('question')}) AS ch FROM {src} "
         f"UNION ALL SELECT unnest({chars('answer')}) AS ch FROM {src}) GROUP BY ch), "
-        f"{v} AS (SELECT token, CAST(freq AS BIGINT) AS freq, CAST(id AS INTEGER) AS id FROM (VALUES ('<unk>', NULL, 0), "
-        f"('<eos>', NULL, 1), ('<bos>', NULL, 2), ('<pad>', NULL, 3)) s(token, freq, id) "
+        f"{v} AS (SELECT token, CAST(freq AS BIGINT) AS freq, CAST(id AS INTEGER) AS id FROM (VALUES ('<unk>', 0, 0), "
+        f"('<eos>', 0, 1), ('<bos>', 0, 2), ('<pad>', 0, 3)) s(token, freq, id) "
         f"UNION ALL SELECT token, freq, CAST(row_number() OVER (ORDER BY freq DESC, token) + 3 AS INTEGER) FROM {c}), "
         f"{vt} AS (SELECT list(token ORDER BY id) AS {toks} FROM {v})"
     )

@@ -58,6 +58,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return root.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df, *keys):
+    """Hash-spread a scan that yields fewer partitions than the session's parallelism.
+
+    Large inputs already scan as many splits as there are cores (or more) and are
+    returned untouched - no shuffle at scale; a small file with one row group would
+    otherwise run all downstream row work in one task.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage of a table that several later jobs reuse; survives executor
+    loss (unlike a local checkpoint) because the files live in the shared folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.operators.pairing import pairs_in_rows, unpaired_in_rows
-from textpairs.session import read_table
+from textpairs.session import read_table, spread
 
 DOC_KEYS = ["doc_id", "folder", "module"]
 QA_COLUMNS = ["question", "answer", "folder", "module"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select(
+    docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", F.col("lang").alias("folder"), F.col("source").alias("module"), "text"
     )
+    return spread(docs, "doc_id")
 
 
 def qa_docs(spark: SparkSession, sf_dir: str, cap: int | None = None, on_unpaired: str = "quarantine") -> DataFrame:
