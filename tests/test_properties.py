@@ -149,6 +149,8 @@ def test_attention_blocked_equals_single_block_and_numpy(spark, causal):
         m = many[key]
         assert r["n_keys"] == m["n_keys"] and r["best_key"] == m["best_key"]
         assert math.isclose(r["log_norm"], m["log_norm"], rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(r["entropy"], m["entropy"], rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(r["max_weight"], m["max_weight"], rel_tol=1e-9, abs_tol=1e-12)
         assert np.allclose(r["pooled"], m["pooled"], rtol=1e-9, atol=1e-12)
     # brute force for one group
     g0 = [(p, np.array(v, dtype=np.float32).astype(np.float64)) for g, p, v in rows if g == 0]
@@ -159,6 +161,7 @@ def test_attention_blocked_equals_single_block_and_numpy(spark, causal):
         pooled = sum(wi * kv for wi, (_, kv) in zip(w, keys))
         assert np.allclose(one[(0, qp)]["pooled"], pooled, rtol=1e-9, atol=1e-12)
         assert one[(0, qp)]["n_keys"] == len(keys)
+        assert math.isclose(one[(0, qp)]["entropy"], float(-(w * np.log(w)).sum()), rel_tol=1e-9, abs_tol=1e-12)
 
 
 def test_batch_predict_runs_caller_model(spark):

@@ -44,15 +44,15 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
-    """AGG5: adds ``share`` = count / total, computed on the already aggregated rows."""
-    vc = value_counts(df, column)
-    return vc.withColumn("share", F.col("count") / F.sum("count").over(_whole()))
-
-
-def _whole():
-    from pyspark.sql import Window
+    """AGG5: adds ``share`` = count / total.
 
-    return Window.partitionBy()
+    The total is one number (a count job); dividing by it keeps the aggregated rows
+    distributed, where a window over all of them would gather a high-cardinality
+    column into one partition.
+    """
+    total = df.filter(F.col(column).isNotNull()).count()
+    vc = value_counts(df, column)
+    return vc.withColumn("share", F.col("count") / F.lit(float(total)) if total else F.lit(None).cast("double"))
 
 
 def length_stats(df: DataFrame, cols=("question", "answer"), approx: bool = False, rounded: bool = True) -> DataFrame:

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from textpairs.functions.arrays import hadamard
 
 PARTIAL_SCHEMA = (
-    "grp long, q_pos long, n_keys long, best_key long, max_score double, sum_exp double, pooled array<double>"
+    "grp long, q_pos long, n_keys long, best_key long, max_score double, sum_exp double, sum_exp_score double, "
+    "pooled array<double>"
 )
 
 
@@ -54,10 +55,13 @@ def _block_kernel(causal: bool):
                 best = np.where(is_max, kp[None, :], np.iinfo(np.int64).max).min(axis=1)
                 wts = np.where(visible, np.exp(masked - np.where(has, mx, 0.0)[:, None]), 0.0)
                 sums = wts.sum(axis=1)
+                sum_ws = (wts * np.where(visible, scores, 0.0)).sum(axis=1)
                 pooled = wts @ k
                 for i in np.nonzero(has)[0]:
-                    out.append((row.grp, int(qp[i]), int(n_vis[i]), int(best[i]), float(mx[i]), float(sums[i]), pooled[i].tolist()))
-            yield pd.DataFrame(out, columns=["grp", "q_pos", "n_keys", "best_key", "max_score", "sum_exp", "pooled"])
+                    out.append(
+                        (row.grp, int(qp[i]), int(n_vis[i]), int(best[i]), float(mx[i]), float(sums[i]), float(sum_ws[i]), pooled[i].tolist())
+                    )
+            yield pd.DataFrame(out, columns=["grp", "q_pos", "n_keys", "best_key", "max_score", "sum_exp", "sum_exp_score", "pooled"])
 
     return run
 
@@ -70,10 +74,11 @@ def attention(
     causal: bool = True,
     block_size: int = 512,
 ) -> DataFrame:
-    """VEC1 + VEC2 + VEC3: (group, q_pos, n_keys, best_key, max_score, log_norm, pooled array<double>).
+    """VEC1 + VEC2 + VEC3: (group, q_pos, n_keys, best_key, max_score, log_norm, max_weight, entropy, pooled).
 
     ``log_norm`` = log of sum over visible keys of exp(score); the softmax weight of key k is
-    ``exp(score_k - log_norm)``.  ``pooled`` = sum of weight * key vector.
+    ``exp(score_k - log_norm)``; ``max_weight`` is the largest weight and ``entropy`` the
+    entropy of the weights; ``pooled`` = sum of weight * key vector (array<double>).
     """
     orig_type = df.schema[group].dataType
     base = df.select(F.col(group).cast("long").alias("grp"), F.col(pos).cast("long").alias("pos"), F.col(vec).alias("vec"))
@@ -101,18 +106,25 @@ def attention(
     return merged.withColumn("grp", F.col("grp").cast(orig_type)).withColumnRenamed("grp", group)
 
 
-def _final_single(partial: DataFrame) -> DataFrame:
-    return partial.select(
+def _finish(df: DataFrame, sum_exp: str, sum_exp_score: str, pooled) -> DataFrame:
+    log_norm = F.col("max_score") + F.log(sum_exp)
+    return df.select(
         "grp",
         "q_pos",
         "n_keys",
         "best_key",
         "max_score",
-        (F.col("max_score") + F.log("sum_exp")).alias("log_norm"),
-        F.transform("pooled", lambda x: x / F.col("sum_exp")).alias("pooled"),
+        log_norm.alias("log_norm"),
+        F.exp(F.col("max_score") - log_norm).alias("max_weight"),
+        (log_norm - F.col(sum_exp_score) / F.col(sum_exp)).alias("entropy"),
+        pooled.alias("pooled"),
     )
 
 
+def _final_single(partial: DataFrame) -> DataFrame:
+    return _finish(partial, "sum_exp", "sum_exp_score", F.transform("pooled", lambda x: x / F.col("sum_exp")))
+
+
 def _merge_partials(partial: DataFrame) -> DataFrame:
     """Exact online-softmax merge of per-block partial states of each query."""
     qkey = ["grp", "q_pos"]
@@ -124,7 +136,9 @@ def _merge_partials(partial: DataFrame) -> DataFrame:
     scaled = partial.join(head.select(*qkey, F.col("max_score").alias("__m")), qkey).withColumn(
         "__f", F.exp(F.col("max_score") - F.col("__m"))
     )
-    norm = scaled.groupBy(*qkey).agg(F.sum(F.col("sum_exp") * F.col("__f")).alias("__s"))
+    norm = scaled.groupBy(*qkey).agg(
+        F.sum(F.col("sum_exp") * F.col("__f")).alias("__s"), F.sum(F.col("sum_exp_score") * F.col("__f")).alias("__ss")
+    )
     dims = (
         scaled.select(*qkey, "__f", F.posexplode("pooled").alias("__d", "__x"))
         .groupBy(*qkey, "__d")
@@ -132,18 +146,7 @@ def _merge_partials(partial: DataFrame) -> DataFrame:
         .groupBy(*qkey)
         .agg(F.array_sort(F.collect_list(F.struct("__d", "__x"))).alias("__v"))
     )
-    return (
-        head.join(norm, qkey)
-        .join(dims, qkey)
-        .select(
-            *qkey,
-            "n_keys",
-            "best_key",
-            "max_score",
-            (F.col("max_score") + F.log("__s")).alias("log_norm"),
-            F.transform("__v", lambda s: s["__x"] / F.col("__s")).alias("pooled"),
-        )
-    )
+    return _finish(head.join(norm, qkey).join(dims, qkey), "__s", "__ss", F.transform("__v", lambda s: s["__x"] / F.col("__s")))
 
 
 def bind_role(pooled: DataFrame, roles: DataFrame, keys: list[str], pooled_col: str = "pooled", role_col: str = "role") -> DataFrame:

@@ -276,6 +276,23 @@ def q_attn_stats(spark, sf):
     )
 
 
+def q_dot_scores(spark, sf):
+    """VEC1 / JOI5 re-aimed: per query, the summary of its scaled dot scores over all keys of its group."""
+    a = _attention(spark, sf, causal=False)
+    return a.select(
+        "label", "q_pos", "n_keys", "best_key",
+        F.round("max_score", FLOAT_DIGITS).alias("max_score"), F.round("log_norm", FLOAT_DIGITS).alias("log_norm"),
+    )
+
+
+def q_attn_softmax(spark, sf):
+    """VEC2 re-aimed: per query, the largest softmax weight and the entropy of the weights (causal)."""
+    a = _attention(spark, sf)
+    return a.select(
+        "label", "q_pos", F.round("max_weight", FLOAT_DIGITS).alias("max_weight"), F.round("entropy", FLOAT_DIGITS).alias("entropy")
+    )
+
+
 def q_attn_pool(spark, sf):
     return _attention(spark, sf).select("label", "q_pos", _round_arr("pooled").alias("pooled"))
 

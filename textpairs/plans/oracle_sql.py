@@ -117,7 +117,7 @@ def attention_ctes(causal: bool) -> str:
         f"FROM x q JOIN x k ON q.label = k.label {cond}), "
         "mx AS (SELECT *, max(score) OVER (PARTITION BY label, q_pos) AS m FROM sc), "
         "w AS (SELECT *, exp(score - m) AS ew FROM mx), "
-        "nrm AS (SELECT label, q_pos, count(*) AS n_keys, max(m) AS max_score, sum(ew) AS se, "
+        "nrm AS (SELECT label, q_pos, count(*) AS n_keys, max(m) AS max_score, sum(ew) AS se, sum(ew * score) AS sws, "
         "min(k_pos) FILTER (WHERE score = m) AS best_key FROM w GROUP BY label, q_pos), "
         "dm AS (SELECT label, q_pos, i, sum(ew * xv) AS sx FROM (SELECT label, q_pos, ew, unnest(kv) AS xv, "
         "generate_subscripts(kv, 1) AS i FROM w) GROUP BY label, q_pos, i), "
@@ -272,6 +272,14 @@ ORACLE: dict[str, str] = {
         "round(max_score + ln(se), 6) AS log_norm FROM nrm"
     ),
     "attn_pool": f"WITH {attention_ctes(True)} SELECT label, q_pos, pooled FROM pool",
+    "dot_scores": (
+        f"WITH {attention_ctes(False)} SELECT label, q_pos, n_keys, best_key, round(max_score, 6) AS max_score, "
+        "round(max_score + ln(se), 6) AS log_norm FROM nrm"
+    ),
+    "attn_softmax": (
+        f"WITH {attention_ctes(True)} SELECT label, q_pos, round(1.0 / se, 6) AS max_weight, "
+        "round(max_score + ln(se) - sws / se, 6) AS entropy FROM nrm"
+    ),
     "attn_pool_full": f"WITH {attention_ctes(False)} SELECT label, q_pos, pooled FROM pool",
     "attn_bind": (
         f"WITH {attention_ctes(True)} SELECT p.label, p.q_pos, [round(a * x.v[i], 6) for a, i in p.pooled] AS bound "

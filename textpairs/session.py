@@ -58,17 +58,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return root.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df, *keys):
-    """Hash-spread a scan that yields fewer partitions than the session's parallelism.
+SPREAD_MAX_BYTES = 1 << 30
 
-    Large inputs already scan as many splits as there are cores (or more) and are
-    returned untouched - no shuffle at scale; a small file with one row group would
-    otherwise run all downstream row work in one task.
+
+def spread(df, *keys, max_bytes: int = SPREAD_MAX_BYTES):
+    """Hash-spread a *small* scan that yields fewer partitions than the session's parallelism.
+
+    A small file with one row group would otherwise run all downstream row work in one
+    task.  Inputs above ``max_bytes`` (optimizer size estimate) are never re-shuffled:
+    at scale the scan's own splits are the parallelism, and a full shuffle of the raw
+    table would cost more than it saves.
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > max_bytes:
+        return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
