@@ -61,10 +61,11 @@ class Vocabulary:
 
     @staticmethod
     def from_df(vocab: DataFrame, limit: int = INLINE_LIMIT) -> "Vocabulary":
-        n = vocab.count()
+        # one job: at most limit + 1 rows ever reach the driver
+        rows = vocab.select("token", "id").limit(limit + 1).collect()
+        n = len(rows)
         if n > limit:
-            raise ValueError(f"vocabulary of {n} entries exceeds the inline limit {limit}; use encode_by_join")
-        rows = vocab.select("token", "id").collect()
+            raise ValueError(f"vocabulary of more than {limit} entries exceeds the inline limit; use encode_by_join")
         ids = sorted(r["id"] for r in rows)
         if ids != list(range(n)):
             raise ValueError("vocabulary ids must be dense 0..V-1")

@@ -70,10 +70,13 @@ def spread(df, *keys, max_bytes: int = SPREAD_MAX_BYTES):
     table would cost more than it saves.
     """
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= want:
+            return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # sessions without a local JVM view (e.g. remote clients): leave the plan alone
         return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > max_bytes:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
