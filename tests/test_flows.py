@@ -60,3 +60,20 @@ def test_evaluate_greedy_with_a_caller_model(spark):
     assert half["accuracy"].first()["n"] == 32
     none = flows.evaluate_greedy(out["test"], ["k"], make_oracle_model, fraction=0.0)
     assert none["accuracy"].first()["accuracy"] is None
+
+
+def test_prepare_strict_checks(spark):
+    train, test = _frames(spark)
+    with pytest.raises(ValueError):
+        flows.prepare(train.limit(0), test, keys=["k"])
+    with_null = train.union(spark.createDataFrame([(5000, "q", None)], train.schema))
+    with pytest.raises(TypeError):
+        flows.prepare(with_null, test, keys=["k"])
+
+
+def test_collate_extra_columns(spark):
+    from textpairs.operators import batching
+
+    df = spark.createDataFrame([(0, 0, [2, 5, 1], [2, 1])], "batch_id long, k long, question_ids array<int>, answer_ids array<int>")
+    out = batching.make_batches(df, extra_cols=[F.size("question_ids").alias("q_len")]).first()
+    assert out["q_len"] == 3 and out["questions"] == [2, 5, 1]

@@ -38,6 +38,7 @@ def test_edge_files(spark, write_files):
             "fb/m1.txt": "q0\r\n a0  \nq1\na1\nodd\n",
             "fb/m2.txt": "x\ny",
             "fb/m3.txt": "q\n\n\na\n",
+            "fb/m4.txt": "x\ry\r",
             "fb/empty.txt": "",
             "fb/_hidden.txt": "q\na\n",
         }
@@ -50,6 +51,7 @@ def test_edge_files(spark, write_files):
         ("m2", 0, "x", "y"),
         ("m3", 0, "q", ""),
         ("m3", 1, "", "a"),
+        ("m4", 0, "x", "y"),
     ]
     assert _rows(unpaired, "module", "ln", "text") == [("m1", 4, "odd")]
     assert any(p.endswith("_hidden.txt") for p in listing["skipped_hidden"])

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +43,15 @@ def first_batches(df: DataFrame, fraction: float, batch_col: str = "batch_id") -
     return df.filter(F.col(batch_col) < F.lit(k)), n_batches, k
 
 
+def argmax_long(df: DataFrame, keys: list[str], id_col: str, value_col: str, out: str = "pred") -> DataFrame:
+    """SRT7 long form: per key the id of the largest value, ties to the lowest id.
+
+    ``max_by`` over ``struct(value, -id)``: the partial aggregate keeps one candidate per
+    key and task, so the shuffle carries one row per key and partition.
+    """
+    return df.groupBy(*keys).agg(F.max_by(F.col(id_col), F.struct(F.col(value_col), -F.col(id_col))).alias(out))
+
+
 def batch_examples(df: DataFrame, pos_col: str = "pos_in_batch") -> DataFrame:
     """SRT8: the first row of every batch."""
     return df.filter(F.col(pos_col) == F.lit(0))
@@ -100,11 +108,11 @@ def reverse_predictor():
 
 __all__ = [
     "accuracy",
+    "argmax_long",
     "batch_examples",
     "batch_predict",
     "first_batches",
     "masked_cross_entropy",
     "match_predictions",
     "reverse_predictor",
-    "pd",
 ]

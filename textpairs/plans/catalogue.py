@@ -115,7 +115,7 @@ def q_encode(spark, sf):
 def q_encode_oov(spark, sf):
     p = tables.qa_docs(spark, sf)
     voc = vocab.Vocabulary.from_df(vocab.build_vocab(p.filter(F.col("folder") == "en")))
-    return vocab.encode_columns(p.filter(F.col("folder") == "fr"), voc).select(*KEYS, "question_ids", "answer_ids")
+    return vocab.encode_columns(p, voc).select(*KEYS, "question_ids", "answer_ids")
 
 
 def q_decode(spark, sf):
@@ -251,6 +251,13 @@ def q_greedy_argmax(spark, sf):
     return emb.select("vec_id", "label", A.argmax("embedding").alias("pred"))
 
 
+def q_greedy_argmax_long(spark, sf):
+    """SRT7 long form: one row per (vector, position) -> max_by per vector."""
+    emb = read_table(spark, sf, "embeddings")
+    long = emb.select("vec_id", "label", F.posexplode("embedding").alias("pos", "logit"))
+    return evaluate.argmax_long(long, ["vec_id", "label"], "pos", "logit").withColumn("pred", F.col("pred").cast("int"))
+
+
 def q_token_xent(spark, sf):
     emb = read_table(spark, sf, "embeddings")
     return emb.select("vec_id", "label", F.round(A.cross_entropy_at("embedding", "label"), FLOAT_DIGITS).alias("xent"))

@@ -132,6 +132,7 @@ def prepare(
     seed: int = SEED,
     epoch: int = 0,
     fit_on: str = "train+val",
+    strict: bool = True,
 ) -> dict:
     """PIP2: ``{"vocab", "train", "val", "test"}`` DataFrames; batches padded and keyed.
 
@@ -141,6 +142,14 @@ def prepare(
     """
     clean.require_columns(train_df, ["question", "answer", *keys])
     enc_cols = ("question", "answer")
+    if strict:
+        # FLT2 / FLT5: an empty training table or a non-string text cell is an error
+        clean.require_nonempty(train_df, "training")
+        clean.require_all_strings(train_df, enc_cols)
+        if test_df is not None:
+            clean.require_columns(test_df, ["question", "answer", *(test_keys or keys)])
+            clean.require_nonempty(test_df, "test")
+            clean.require_all_strings(test_df, enc_cols)
     if vocab_df is None and fit_on == "train":
         pre = rank.exact_split(train_df, keys, seed=seed)
         vocab_df = vocab.build_vocab(pre.filter(F.col("split") == "train"))

@@ -163,7 +163,7 @@ ORACLE: dict[str, str] = {
     "encode": f"WITH {ENCODED} SELECT doc_id, pair_idx, question_ids, answer_ids FROM e",
     "encode_oov": (
         f"WITH {PAIRS}, pe AS (SELECT * FROM p WHERE folder = 'en'), {vocab_ctes('pe')} "
-        f"SELECT doc_id, pair_idx, {enc('question')} AS question_ids, {enc('answer')} AS answer_ids FROM p, vt WHERE folder = 'fr'"
+        f"SELECT doc_id, pair_idx, {enc('question')} AS question_ids, {enc('answer')} AS answer_ids FROM p, vt"
     ),
     "decode": f"WITH {PAIRS} SELECT doc_id, pair_idx, '<bos>' || question || '<eos>' AS question_text, '<bos>' || answer || '<eos>' AS answer_text FROM p",
     "over_budget": (
@@ -257,6 +257,7 @@ ORACLE: dict[str, str] = {
     ),
     "batch_predict": f"WITH {ENCODED} SELECT doc_id, pair_idx, list_reverse(question_ids) AS pred_ids FROM e",
     "greedy_argmax": "SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred FROM embeddings",
+    "greedy_argmax_long": "SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred FROM embeddings",
     "token_xent": (
         "WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS lg FROM embeddings) SELECT vec_id, label, "
         "round(list_max(lg) + ln(list_sum([exp(t - list_max(lg)) for t in lg])) - lg[label + 1], 6) AS xent FROM x"

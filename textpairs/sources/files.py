@@ -167,6 +167,8 @@ def read_csv(spark: SparkSession, path: str, columns=None, na_values=None) -> Da
     df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
     if na_values:
         df = df.select(*[F.when(F.col(c).isin(list(na_values)), F.lit(None)).otherwise(F.col(c)).alias(c) for c in columns])
+    if df.isEmpty():
+        log.warning("The loaded DataFrame is empty.")
     return df
 
 
