@@ -89,14 +89,14 @@ def q_split_module(spark, sf):
 def q_file_source(spark, sf):
     root = flows.write_doc_files(spark, sf)
     pairs, _unpaired, _listing = files.read_qa(spark, root, samples_per_module=1 << 40)
-    return flows.with_lang_source(pairs).select("lang", "source", "pair_idx", "question", "answer")
+    return flows.with_lang_source(pairs).select("lang", "source", "chunk", "pair_idx", "question", "answer")
 
 
 def q_stream_ingest(spark, sf):
     root = flows.write_doc_files(spark, sf)
     voc = flows.docs_vocab(spark, sf)
     out = flows.stream_ingest(spark, root, voc)
-    return flows.with_lang_source(out).select("lang", "source", "pair_idx", "question", "answer", "question_ids", "answer_ids")
+    return flows.with_lang_source(out).select("lang", "source", "chunk", "pair_idx", "question", "answer", "question_ids", "answer_ids")
 
 
 # ----------------------------------------------------------------------------- vocabulary / encoding

@@ -87,13 +87,30 @@ def val_matches(spark: SparkSession, sf: str, voc=None) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- derived files
+DOCS_PER_FILE = 1000
+
+
+def doc_chunk_width(docs: DataFrame) -> int:
+    """Doc-id range per file: ``DOCS_PER_FILE`` x the number of (lang, source) groups, so that
+    files average ``DOCS_PER_FILE`` documents and none holds more than the width."""
+    groups = docs.select("lang", "source").distinct().count()
+    return DOCS_PER_FILE * max(groups, 1)
+
+
 def write_doc_files(spark: SparkSession, sf: str) -> str:
-    """Writes the documents as module files: all lines of one (lang, source), in doc order, form
-    one file ``<root>/folder=<lang>__<source>/part-*.txt``.  Returns ``<root>``."""
+    """Writes the documents as module files: the lines of the documents of one (lang, source)
+    and one doc-id range, in doc order, form one file
+    ``<root>/folder=<lang>__<source>__<chunk>/part-*.txt``.  Returns ``<root>``.
+
+    Every file holds a bounded number of documents (``doc_chunk_width``), so a dominant
+    (lang, source) is written by many tasks, never by one.
+    """
     root = scratch_path(spark, "docfiles")
     docs = read_table(spark, sf, "documents")
+    width = doc_chunk_width(docs)
+    chunk = F.floor(F.col("doc_id") / F.lit(width)).cast("long").cast("string")
     lines = docs.select(
-        F.concat_ws("__", "lang", "source").alias("folder"), "doc_id", F.posexplode(text_lines("text")).alias("ln", "value")
+        F.concat_ws("__", "lang", "source", chunk).alias("folder"), "doc_id", F.posexplode(text_lines("text")).alias("ln", "value")
     )
     (
         lines.repartition("folder")
@@ -105,10 +122,15 @@ def write_doc_files(spark: SparkSession, sf: str) -> str:
     return root
 
 
+_FOLDER_RE = r"^folder=(.*)__(.*)__([0-9]+)$"
+
+
 def with_lang_source(df: DataFrame) -> DataFrame:
-    """Recover (lang, source) from the ``folder=<lang>__<source>`` directory name."""
-    return df.withColumn("lang", F.regexp_extract("folder", r"^folder=(.*)__(.*)$", 1)).withColumn(
-        "source", F.regexp_extract("folder", r"^folder=(.*)__(.*)$", 2)
+    """Recover (lang, source, chunk) from the ``folder=<lang>__<source>__<chunk>`` directory name."""
+    return (
+        df.withColumn("lang", F.regexp_extract("folder", _FOLDER_RE, 1))
+        .withColumn("source", F.regexp_extract("folder", _FOLDER_RE, 2))
+        .withColumn("chunk", F.regexp_extract("folder", _FOLDER_RE, 3).cast("long"))
     )
 
 

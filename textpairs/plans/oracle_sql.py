@@ -96,13 +96,14 @@ PRED = (
 )
 EVAL = f"{BATCHES}, {padded('vb', 'vp')}, {PRED}"
 
-# driver tables read as files: all lines of one (lang, source) in doc order form one file
+# driver tables read as files: all lines of one (lang, source, doc_id div (1000 x groups)) in doc order form one file
 FILE_LINES = (
-    "fl AS (SELECT lang, source, v, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id, ln) - 1 AS fln FROM "
-    "(SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln "
-    "FROM documents)), "
-    "fa AS (SELECT *, lead(v) OVER (PARTITION BY lang, source ORDER BY fln) AS a FROM fl), "
-    f"fp AS (SELECT lang, source, CAST(fln // 2 AS BIGINT) AS pair_idx, trim(v, {WS}) AS question, trim(a, {WS}) AS answer "
+    "fl AS (SELECT lang, source, chunk, v, row_number() OVER (PARTITION BY lang, source, chunk ORDER BY doc_id, ln) - 1 AS fln FROM "
+    "(SELECT doc_id, lang, source, CAST(doc_id // (1000 * (SELECT count(*) FROM (SELECT DISTINCT lang, source FROM documents))) AS BIGINT) AS chunk, "
+    "unnest(string_split(text, chr(10))) AS v, "
+    "generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents)), "
+    "fa AS (SELECT *, lead(v) OVER (PARTITION BY lang, source, chunk ORDER BY fln) AS a FROM fl), "
+    f"fp AS (SELECT lang, source, chunk, CAST(fln // 2 AS BIGINT) AS pair_idx, trim(v, {WS}) AS question, trim(a, {WS}) AS answer "
     "FROM fa WHERE fln % 2 = 0 AND a IS NOT NULL)"
 )
 
@@ -152,9 +153,9 @@ ORACLE: dict[str, str] = {
     ),
     "split_folder": f"WITH {PAIRS} SELECT folder AS split_key, doc_id, pair_idx, question, answer FROM p",
     "split_module": f"WITH {PAIRS} SELECT module AS split_key, doc_id, pair_idx, question, answer FROM p",
-    "file_source": f"WITH {FILE_LINES} SELECT lang, source, pair_idx, question, answer FROM fp",
+    "file_source": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp",
     "stream_ingest": (
-        f"WITH {PAIRS}, {VOCAB}, {FILE_LINES} SELECT lang, source, pair_idx, question, answer, {enc('question')} AS question_ids, "
+        f"WITH {PAIRS}, {VOCAB}, {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer, {enc('question')} AS question_ids, "
         f"{enc('answer')} AS answer_ids FROM fp, vt"
     ),
     # ---- vocabulary / encoding

@@ -60,20 +60,41 @@ def list_inputs(spark: SparkSession, root: str, folders=None, files=None) -> dic
     fs, rootp = _fs(spark, root)
     if not fs.exists(rootp):
         raise FileNotFoundError(f"input directory {root} not found")
-    subdirs = {st.getPath().getName(): st.getPath().toString() for st in fs.listStatus(rootp) if st.isDirectory()}
+    jvm = spark.sparkContext._jvm
+    base = rootp.toString().rstrip("/")
+
+    def glob(pattern):
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []
+        return [(st.getPath().toString(), st.isDirectory()) for st in found]
+
+    # one glob per level, not one listing call per folder
+    subdirs = {p.rsplit("/", 1)[-1]: p for p, is_dir in glob(base + "/*") if is_dir}
     if folders:
         chosen = [subdirs[f] for f in folders if f in subdirs]
     else:
         chosen = [subdirs[k] for k in sorted(subdirs)]
     if not chosen:
         raise ValueError("None of the specified folders were found.")
+    chosen_set = set(chosen)
+    by_folder: dict = {}
+    for p, is_dir in glob(base + "/*/*"):
+        parent = p.rsplit("/", 1)[0]
+        if not is_dir and parent in chosen_set:
+            by_folder.setdefault(parent, {})[p.rsplit("/", 1)[-1]] = p
+    # glob skips names starting with '.'; when asked for by name, look them up directly
+    if files:
+        for d in chosen:
+            for f in files:
+                if f not in by_folder.get(d, {}):
+                    cand = jvm.org.apache.hadoop.fs.Path(d + "/" + f)
+                    if fs.exists(cand) and fs.getFileStatus(cand).isFile():
+                        by_folder.setdefault(d, {})[f] = cand.toString()
     out_files, hidden = [], []
-    jvm = spark.sparkContext._jvm
     for d in chosen:
-        entries = {st.getPath().getName(): st for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(d)) if st.isFile()}
+        entries = by_folder.get(d, {})
         names = [f for f in files if f in entries] if files else sorted(entries)
         for n in names:
-            (hidden if _hidden(n) else out_files).append(entries[n].getPath().toString())
+            (hidden if _hidden(n) else out_files).append(entries[n])
     if files and hidden:
         raise ValueError(f"files whose names start with '_' or '.' are not readable by Spark: {hidden}")
     if files and not out_files:
