@@ -114,9 +114,17 @@ def length_extent(df: DataFrame, cols=("question", "answer")) -> DataFrame:
     )
 
 
-def _box_fences(df: DataFrame, column: str, by: str, approx: bool) -> DataFrame:
-    lens = df.select(by, code_length(column).alias("length"))
-    q = lens.groupBy(by).agg(_quartiles(F.col("length"), approx).alias("q"))
+def _length_hist_by(df: DataFrame, column: str, by: str) -> DataFrame:
+    """(by, length, cnt): the only pass over row data; bounded by groups x distinct lengths."""
+    return df.groupBy(by, code_length(column).alias("length")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _box_fences(hist: DataFrame, by: str, approx: bool) -> DataFrame:
+    if approx:
+        q = hist.groupBy(by).agg(F.percentile_approx(F.col("length"), QUARTILES, 10000).alias("q"))
+    else:
+        # exact quartiles from the histogram: percentile with a frequency column
+        q = hist.groupBy(by).agg(F.percentile(F.col("length"), F.array(*[F.lit(x) for x in QUARTILES]), F.col("cnt")).alias("q"))
     return q.select(
         by,
         F.col("q")[0].cast("double").alias("q1"),
@@ -130,26 +138,30 @@ def _box_fences(df: DataFrame, column: str, by: str, approx: bool) -> DataFrame:
 def box_stats(df: DataFrame, column: str = "question", by: str = "folder", approx: bool = False) -> DataFrame:
     """AGG9: per group Q1, median, Q3, whiskers (most extreme points inside 1.5 IQR), outlier count.
 
-    Two aggregates with partial phases; the fence table (one row per group) is joined
-    back with the strategy AQE picks from its real size.  No mutation of the input.
+    One aggregate over the rows builds a (group, length) histogram; quartiles, whiskers
+    and counts are then computed on the histogram alone, so the row data is read once
+    and never joined.  No mutation of the input.
     """
     require_columns(df, [column, by])
-    fences = _box_fences(df, column, by, approx)
-    lens = df.select(by, code_length(column).alias("length"))
-    j = lens.join(fences, by)
+    hist = _length_hist_by(df, column, by)
+    fences = _box_fences(hist, by, approx)
     inside = (F.col("length") >= F.col("lo_fence")) & (F.col("length") <= F.col("hi_fence"))
-    return j.groupBy(by, "q1", "median", "q3").agg(
-        F.count(F.lit(1)).alias("n"),
+    return hist.join(fences, by).groupBy(by, "q1", "median", "q3").agg(
+        F.sum("cnt").alias("n"),
         F.min(F.when(inside, F.col("length"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("length"))).alias("whisker_hi"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).cast("long").alias("n_outliers"),
     )
 
 
 def box_outliers(df: DataFrame, keys: list[str], column: str = "question", by: str = "folder", approx: bool = False) -> DataFrame:
-    """AGG9 outliers: (keys..., by, length) of the points beyond the fences."""
+    """AGG9 outliers: (keys..., by, length) of the points beyond the fences.
+
+    Fences come from the histogram (one row per group); the row pass joins them with
+    the strategy AQE picks from their real size.
+    """
     require_columns(df, [column, by, *keys])
-    fences = _box_fences(df, column, by, approx)
+    fences = _box_fences(_length_hist_by(df, column, by), by, approx)
     lens = df.select(*keys, *([by] if by not in keys else []), code_length(column).alias("length"))
     return (
         lens.join(fences, by)
