@@ -122,7 +122,7 @@ def attention_ctes(causal: bool) -> str:
         "min(k_pos) FILTER (WHERE score = m) AS best_key FROM w GROUP BY label, q_pos), "
         "dm AS (SELECT label, q_pos, i, sum(ew * xv) AS sx FROM (SELECT label, q_pos, ew, unnest(kv) AS xv, "
         "generate_subscripts(kv, 1) AS i FROM w) GROUP BY label, q_pos, i), "
-        "pool AS (SELECT d.label, d.q_pos, list(round(d.sx / n.se, 6) ORDER BY d.i) AS pooled FROM dm d "
+        "pool AS (SELECT d.label, d.q_pos, list(round(d.sx / n.se, 6) + 0.0 ORDER BY d.i) AS pooled FROM dm d "
         "JOIN nrm n ON d.label = n.label AND d.q_pos = n.q_pos GROUP BY d.label, d.q_pos), "
         "poolraw AS (SELECT d.label, d.q_pos, list(d.sx / n.se ORDER BY d.i) AS pooled FROM dm d "
         "JOIN nrm n ON d.label = n.label AND d.q_pos = n.q_pos GROUP BY d.label, d.q_pos)"
@@ -261,30 +261,30 @@ ORACLE: dict[str, str] = {
     "greedy_argmax_long": "SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS pred FROM embeddings",
     "token_xent": (
         "WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS lg FROM embeddings) SELECT vec_id, label, "
-        "round(list_max(lg) + ln(list_sum([exp(t - list_max(lg)) for t in lg])) - lg[label + 1], 6) AS xent FROM x"
+        "round(list_max(lg) + ln(list_sum([exp(t - list_max(lg)) for t in lg])) - lg[label + 1], 6) + 0.0 AS xent FROM x"
     ),
     "masked_xent": (
         "WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS lg FROM embeddings), "
         "y AS (SELECT label, list_max(lg) + ln(list_sum([exp(t - list_max(lg)) for t in lg])) - lg[label + 1] AS xe FROM x) "
-        "SELECT count(*) AS positions, round(avg(xe), 6) AS loss, round(exp(avg(xe)), 6) AS perplexity FROM y WHERE label <> 3"
+        "SELECT count(*) AS positions, round(avg(xe), 6) + 0.0 AS loss, round(exp(avg(xe)), 6) + 0.0 AS perplexity FROM y WHERE label <> 3"
     ),
     # ---- vectors
     "attn_stats": (
-        f"WITH {attention_ctes(True)} SELECT label, q_pos, n_keys, best_key, round(max_score, 6) AS max_score, "
-        "round(max_score + ln(se), 6) AS log_norm FROM nrm"
+        f"WITH {attention_ctes(True)} SELECT label, q_pos, n_keys, best_key, round(max_score, 6) + 0.0 AS max_score, "
+        "round(max_score + ln(se), 6) + 0.0 AS log_norm FROM nrm"
     ),
     "attn_pool": f"WITH {attention_ctes(True)} SELECT label, q_pos, pooled FROM pool",
     "dot_scores": (
-        f"WITH {attention_ctes(False)} SELECT label, q_pos, n_keys, best_key, round(max_score, 6) AS max_score, "
-        "round(max_score + ln(se), 6) AS log_norm FROM nrm"
+        f"WITH {attention_ctes(False)} SELECT label, q_pos, n_keys, best_key, round(max_score, 6) + 0.0 AS max_score, "
+        "round(max_score + ln(se), 6) + 0.0 AS log_norm FROM nrm"
     ),
     "attn_softmax": (
-        f"WITH {attention_ctes(True)} SELECT label, q_pos, round(1.0 / se, 6) AS max_weight, "
-        "round(max_score + ln(se) - sws / se, 6) AS entropy FROM nrm"
+        f"WITH {attention_ctes(True)} SELECT label, q_pos, round(1.0 / se, 6) + 0.0 AS max_weight, "
+        "round(max_score + ln(se) - sws / se, 6) + 0.0 AS entropy FROM nrm"
     ),
     "attn_pool_full": f"WITH {attention_ctes(False)} SELECT label, q_pos, pooled FROM pool",
     "attn_bind": (
-        f"WITH {attention_ctes(True)} SELECT p.label, p.q_pos, [round(a * x.v[i], 6) for a, i in p.pooled] AS bound "
+        f"WITH {attention_ctes(True)} SELECT p.label, p.q_pos, [round(a * x.v[i], 6) + 0.0 for a, i in p.pooled] AS bound "
         "FROM poolraw p JOIN x ON p.label = x.label AND p.q_pos = x.pos"
     ),
     # ---- round trips through sinks
