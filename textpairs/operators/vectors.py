@@ -92,9 +92,20 @@ def attention(
         F.min("pos").alias("min_pos"),
         F.max("pos").alias("max_pos"),
     )
-    qb = blocks.select("grp", F.col("blk").alias("qb"), F.col("pos_list").alias("q_pos"), F.col("vec_list").alias("q_vec"), F.col("max_pos").alias("q_max"))
+    blocks = blocks.join(sizes.select("grp", "__nb"), "grp")
+    # Each query block names every key block of its group, and the join key is
+    # (group, key block): a hot group's n_blocks^2 block pairs spread over n_blocks
+    # join keys (and tasks) instead of meeting on one group key in one task.
+    qb = blocks.select(
+        "grp",
+        F.col("blk").alias("qb"),
+        F.col("pos_list").alias("q_pos"),
+        F.col("vec_list").alias("q_vec"),
+        F.col("max_pos").alias("q_max"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nb") - 1)).alias("kb"),
+    )
     kb = blocks.select("grp", F.col("blk").alias("kb"), F.col("pos_list").alias("k_pos"), F.col("vec_list").alias("k_vec"), F.col("min_pos").alias("k_min"))
-    pairs = qb.join(kb, "grp")
+    pairs = qb.join(kb, ["grp", "kb"])
     if causal:
         # a key block whose smallest position lies after every query of the query block adds nothing
         pairs = pairs.filter(F.col("k_min") <= F.col("q_max"))

@@ -149,13 +149,15 @@ def encode_columns(df: DataFrame, vocab: Vocabulary, cols=("question", "answer")
 
 
 def encode_by_join(df: DataFrame, vocab: DataFrame, key_cols: list[str], col: str, out: str) -> DataFrame:
-    """FUN4 for vocabularies too large to inline: explode / equi-join / ordered regroup.
+    """FUN4 for vocabularies too large to inline: explode / broadcast equi-join / ordered regroup.
 
-    Costs a shuffle by the row key; the vocabulary side is joined with whatever
-    strategy the optimizer picks (broadcast only under its size threshold).
+    Costs a shuffle by the row key (the regroup); each group is one row's characters.
     """
     ex = df.select(*key_cols, F.posexplode(chars(col)).alias("pos", "token"))
-    ids = ex.join(vocab.select("token", "id"), "token", "left").select(
+    # Broadcast: a character vocabulary has at most 1,114,112 + 4 entries (the code
+    # space), a proven bound; a shuffle join on the token would send every blank of
+    # the corpus to one task.
+    ids = ex.join(F.broadcast(vocab.select("token", "id")), "token", "left").select(
         *key_cols, "pos", F.coalesce("id", F.lit(UNK)).alias("id")
     )
     regrouped = ids.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("__s"))
