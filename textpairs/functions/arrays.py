@@ -37,7 +37,10 @@ def src_mask(ids) -> Column:
 
 
 def trg_mask(ids) -> Column:
-    """FUN8: L x L mask, ``m[i][j] = ids[j] <> <pad> AND j <= i``.  O(L^2) per row."""
+    """FUN8 / WIN6: L x L mask, ``m[i][j] = ids[j] <> <pad> AND j <= i``.  O(L^2) per row.
+
+    WIN5: the lambda index of ``transform`` is the position in the sequence.
+    """
     ids = _col(ids)
     return F.transform(ids, lambda _y, i: F.transform(ids, lambda x, j: (x != F.lit(PAD)) & (j <= i)))
 

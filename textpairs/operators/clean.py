@@ -43,7 +43,7 @@ def qa_only(df: DataFrame) -> DataFrame:
 
 
 def distinct_keys(df: DataFrame, key: str) -> list:
-    """AGG3: distinct values of ``key`` in ascending order (one row per key reaches the driver)."""
+    """AGG3 / SET2: distinct values of ``key`` in ascending order (one row per key reaches the driver)."""
     require_columns(df, [key])
     return [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
 

@@ -63,6 +63,7 @@ def _exploded_lines(df: DataFrame, text_col: str, keys: list[str], cap: int | No
     return ex.filter(cond).select(*keys, F.col("ln").cast("long").alias("ln"), "__qa.q", "__qa.a")
 
 
+# WIN2: a line is paired with the next one; WIN5: ``posexplode`` gives each line its position.
 def pairs_in_rows(
     df: DataFrame,
     text_col: str,
