@@ -6,7 +6,7 @@ Two physical forms, one meaning:
   a streamed file).  Lines are split and paired *inside the row* with array functions,
   so the operator is narrow: no shuffle, no window, any number of partitions.
 * ``pairs_from_lines`` - one row per line with a global line number (the
-  large-file path, see ``sources.text_files``).  Pairs are formed by grouping on
+  large-file path, see ``sources.files``).  Pairs are formed by grouping on
   ``(file, ln div 2)``; the partial aggregate merges the two lines of a pair
   map-side whenever they sit in one split, and a huge file is spread over many
   tasks instead of one.
@@ -85,7 +85,7 @@ def pairs_in_rows(
         ex = ex.filter(F.col("a").isNotNull())
     return ex.select(
         *keys,
-        (F.col("ln") / 2).cast("long").alias("pair_idx"),
+        F.shiftright(F.col("ln"), 1).alias("pair_idx"),
         strip(F.col("q")).alias("question"),
         answer.cast("string").alias("answer"),
     )
@@ -114,7 +114,7 @@ def pairs_from_lines(
     if cap is not None:
         lines = lines.filter(F.col("ln") < F.lit(2 * cap))
     even = F.col("ln") % 2 == 0
-    grouped = lines.groupBy(*keys, (F.col("ln") / 2).cast("long").alias("pair_idx")).agg(
+    grouped = lines.groupBy(*keys, F.shiftright(F.col("ln"), 1).alias("pair_idx")).agg(
         F.max(F.when(even, F.col("value"))).alias("q"),
         F.max(F.when(~even, F.col("value"))).alias("a"),
         F.count(F.lit(1)).alias("n"),
