@@ -155,6 +155,7 @@ def prepare(
     epoch: int = 0,
     fit_on: str = "train+val",
     strict: bool = True,
+    materialize_input: bool = True,
 ) -> dict:
     """PIP2: ``{"vocab", "train", "val", "test"}`` DataFrames; batches padded and keyed.
 
@@ -178,8 +179,10 @@ def prepare(
     elif vocab_df is None:
         vocab_df = vocab.build_vocab(train_df)
     voc = vocab.Vocabulary.from_df(vocab_df)
-    # FLT6 on text lengths, then split and rank on keys; only kept rows are encoded.
-    split = rank.exact_split(clean.within_budget_text(train_df), keys, seed=seed)
+    # FLT6 on text lengths, written once (the split's count jobs and the ranks reuse it),
+    # then split and rank on keys; only kept rows are encoded.
+    kept = materialize(clean.within_budget_text(train_df), "prepare-train") if materialize_input else clean.within_budget_text(train_df)
+    split = rank.exact_split(kept, keys, seed=seed)
     tr = rank.batch_ids(rank.hash_rank(split.filter(F.col("split") == "train"), keys, seed=seed, epoch=epoch), batch_size=batch_size)
     va = rank.batch_ids(rank.hash_rank(split.filter(F.col("split") == "val"), keys, seed=seed), batch_size=batch_size)
     out = {
@@ -191,7 +194,7 @@ def prepare(
     }
     if test_df is not None:
         tk = test_keys or keys
-        te = rank.batch_ids(rank.ordered_rank(clean.within_budget_text(test_df), tk), batch_size=batch_size)
+        te = rank.batch_ids(rank.ordered_rank(clean.within_budget_text(test_df), tk), batch_size=batch_size)  # checkpointed inside
         out["test"] = batching.make_batches(vocab.encode_columns(te, voc, enc_cols))
     return out
 
