@@ -27,6 +27,19 @@ from textpairs.session import checkpoint_root
 
 DEFAULT_SEED = 42
 DEFAULT_DIGITS = 4
+# Rows per hash bucket we are happy to sort in one window partition.
+BUCKET_ROWS = 1_000_000
+
+
+def auto_digits(df: DataFrame, bytes_per_row: int = 64) -> int:
+    """4 hex digits (65,536 buckets), or 5 (1,048,576) when the optimizer's size estimate
+    suggests more than ``BUCKET_ROWS`` rows per bucket.  The offsets table (one row per
+    bucket, broadcast) stays below ~20 MB either way."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return DEFAULT_DIGITS
+    return 5 if size // bytes_per_row > BUCKET_ROWS * 16**DEFAULT_DIGITS else DEFAULT_DIGITS
 
 
 def order_hash(seed, *keys, epoch=None) -> Column:
@@ -53,13 +66,14 @@ def exact_split(
     seed: int = DEFAULT_SEED,
     num: int = 4,
     den: int = 5,
-    digits: int = DEFAULT_DIGITS,
+    digits: int | None = None,
     out: str = "split",
 ) -> DataFrame:
     """SRT3 / SET4: adds ``out`` = 'train' for the first ``n*num//den`` rows in hash order, else 'val'.
 
     Disjoint and exhaustive by construction: one column, one predicate.
     """
+    digits = digits or auto_digits(df)
     h = order_hash(seed, *keys)
     hashed = df.withColumn("__h", h).withColumn("__b", _bucket(F.col("__h"), digits))
     counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("c")).collect()
@@ -94,10 +108,11 @@ def hash_rank(
     keys: list[str],
     seed: int = DEFAULT_SEED,
     epoch=None,
-    digits: int = DEFAULT_DIGITS,
+    digits: int | None = None,
     out: str = "rank",
 ) -> DataFrame:
-    """0-based rank by ``(order_hash(seed, [epoch,] keys), keys)``."""
+    """0-based rank by ``(order_hash(seed, [epoch,] keys), keys)``; ``digits=None`` -> ``auto_digits``."""
+    digits = digits or auto_digits(df)
     hashed = df.withColumn("__h", order_hash(seed, *keys, epoch=epoch)).withColumn("__b", _bucket(F.col("__h"), digits))
     counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
     # One row per non-empty bucket (<= 16^digits): a global window here is legitimate.
