@@ -128,11 +128,24 @@ def hash_rank(
     )
 
 
+RANGE_PARTITION_BYTES = 256 << 20
+
+
+def _range_partitions(df: DataFrame) -> int:
+    """At least ``spark.sql.shuffle.partitions``; more when the size estimate says so (~256 MB each)."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return base
+    return max(base, -(-size // RANGE_PARTITION_BYTES))
+
+
 def ordered_rank(df: DataFrame, order: list[str], out: str = "rank", partitions: int | None = None) -> DataFrame:
     """0-based rank in ``order`` (must be a unique key) via range partitioning + checkpoint."""
     spark = df.sparkSession
     checkpoint_root(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or _range_partitions(df)
     sorted_df = (
         df.repartitionByRange(n_parts, *order)
         .sortWithinPartitions(*order)
