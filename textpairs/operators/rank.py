@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textpairs.session import checkpoint_root
+from textpairs.session import checkpoint_root, estimated_bytes
 
 DEFAULT_SEED = 42
 DEFAULT_DIGITS = 4
@@ -35,9 +35,8 @@ def auto_digits(df: DataFrame, bytes_per_row: int = 64) -> int:
     """4 hex digits (65,536 buckets), or 5 (1,048,576) when the optimizer's size estimate
     suggests more than ``BUCKET_ROWS`` rows per bucket.  The offsets table (one row per
     bucket, broadcast) stays below ~20 MB either way."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
+    size = estimated_bytes(df)
+    if size is None:
         return DEFAULT_DIGITS
     return 5 if size // bytes_per_row > BUCKET_ROWS * 16**DEFAULT_DIGITS else DEFAULT_DIGITS
 
@@ -129,16 +128,16 @@ def hash_rank(
 
 
 RANGE_PARTITION_BYTES = 256 << 20
+MAX_RANGE_PARTITIONS = 1 << 16
 
 
 def _range_partitions(df: DataFrame) -> int:
     """At least ``spark.sql.shuffle.partitions``; more when the size estimate says so (~256 MB each)."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
+    size = estimated_bytes(df)
+    if size is None:
         return base
-    return max(base, -(-size // RANGE_PARTITION_BYTES))
+    return int(min(MAX_RANGE_PARTITIONS, max(base, -(-size // RANGE_PARTITION_BYTES))))
 
 
 def ordered_rank(df: DataFrame, order: list[str], out: str = "rank", partitions: int | None = None) -> DataFrame:

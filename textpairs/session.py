@@ -61,6 +61,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 SPREAD_MAX_BYTES = 1 << 30
 
 
+def estimated_bytes(df):
+    """The optimizer's size estimate of ``df``, or None when it is unknown (no statistics,
+    which Spark reports as a huge default) or not reachable from this client."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+    return None if size >= (1 << 62) else size
+
+
 def spread(df, *keys, max_bytes: int = SPREAD_MAX_BYTES):
     """Hash-spread a *small* scan that yields fewer partitions than the session's parallelism.
 
@@ -74,10 +84,10 @@ def spread(df, *keys, max_bytes: int = SPREAD_MAX_BYTES):
         want = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() >= want:
             return df
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # sessions without a local JVM view (e.g. remote clients): leave the plan alone
         return df
-    if size > max_bytes:
+    size = estimated_bytes(df)
+    if size is None or size > max_bytes:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
