@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The special tokens and their ids, in this order.
-SPECIALS: tuple[str, ...] = ("<unk>", "<eos>", "<bos>", "<pad>")
-UNK, EOS, BOS, PAD = 0, 1, 2, 3
+from textpairs.fixed import BOS, EOS, PAD, SPECIALS, UNK  # noqa: F401  (re-exported)
 
 
 def _col(c) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textpairs.fixed import MODULE_SUFFIX_LEN
+
 # FUN1: the white-space set of Python's str.strip() with no argument, derived by rule:
 # every code point whose str.isspace() is true (29 of them, the last is U+3000).
 WHITESPACE_CODEPOINTS: tuple[int, ...] = tuple(c for c in range(0x3001) if chr(c).isspace())
@@ -47,8 +49,9 @@ def parent_name(path) -> Column:
 
 def drop_last4(name) -> Column:
     """SRC5: module name = base name minus its last four characters ('' when shorter)."""
+    k = MODULE_SUFFIX_LEN
     n = _col(name)
-    return F.when(F.length(n) <= 4, F.lit("")).otherwise(n.substr(F.lit(1), F.length(n) - F.lit(4)))
+    return F.when(F.length(n) <= k, F.lit("")).otherwise(n.substr(F.lit(1), F.length(n) - F.lit(k)))
 
 
 def decode_uri_path(path) -> Column:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
-# The model's position budget (sequence_length) and its two limits.
-SEQUENCE_LENGTH = 200
+from textpairs.fixed import SEQUENCE_LENGTH
+
+# The position budget gives the two limits: a question of SEQUENCE_LENGTH ids, and an
+# answer one longer (it is shifted by one position before use).
 QUESTION_LIMIT = SEQUENCE_LENGTH
 ANSWER_LIMIT = SEQUENCE_LENGTH + 1
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textpairs.fixed import WHISKER_IQR
 from textpairs.functions.text import code_length, round1
 from textpairs.operators.clean import require_columns
 from textpairs.operators.rank import DEFAULT_SEED, order_hash
@@ -131,8 +132,8 @@ def _box_fences(hist: DataFrame, by: str, approx: bool) -> DataFrame:
         F.col("q")[1].cast("double").alias("median"),
         F.col("q")[2].cast("double").alias("q3"),
     ).withColumn("iqr", F.col("q3") - F.col("q1")).withColumn(
-        "lo_fence", F.col("q1") - F.lit(1.5) * F.col("iqr")
-    ).withColumn("hi_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
+        "lo_fence", F.col("q1") - F.lit(WHISKER_IQR) * F.col("iqr")
+    ).withColumn("hi_fence", F.col("q3") + F.lit(WHISKER_IQR) * F.col("iqr"))
 
 
 def box_stats(df: DataFrame, column: str = "question", by: str = "folder", approx: bool = False) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpairs.fixed import TRAIN_DEN, TRAIN_NUM
 from textpairs.session import checkpoint_root, estimated_bytes
 
 DEFAULT_SEED = 42
@@ -54,7 +55,7 @@ def _bucket(h: Column, digits: int) -> Column:
     return F.substring(h, 1, digits)
 
 
-def split_size(n: int, num: int = 4, den: int = 5) -> int:
+def split_size(n: int, num: int = TRAIN_NUM, den: int = TRAIN_DEN) -> int:
     """AGG13: ``int(0.8 * n)`` computed exactly as ``n * 4 // 5``."""
     return (n * num) // den
 
@@ -63,8 +64,8 @@ def exact_split(
     df: DataFrame,
     keys: list[str],
     seed: int = DEFAULT_SEED,
-    num: int = 4,
-    den: int = 5,
+    num: int = TRAIN_NUM,
+    den: int = TRAIN_DEN,
     digits: int | None = None,
     out: str = "split",
 ) -> DataFrame:

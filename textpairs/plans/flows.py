@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textpairs.fixed import BATCH_SIZE
 from textpairs.functions import arrays as A
 from textpairs.operators import batching, clean, evaluate, rank, vocab
 from textpairs.operators.pairing import text_lines
@@ -21,7 +22,6 @@ from textpairs.streaming import ingest
 
 KEYS = ["doc_id", "pair_idx"]
 SEED = rank.DEFAULT_SEED
-BATCH_SIZE = 32
 
 
 # ----------------------------------------------------------------------------- shared stages
