@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textpairs.functions import arrays as A
 from textpairs.operators import batching, clean, evaluate, profile, rank, vectors, vocab
 from textpairs.plans import flows
-from textpairs.session import read_table, scratch_path
+from textpairs.session import materialize, read_table, scratch_path
 from textpairs.sources import files, tables
 
 KEYS = ["doc_id", "pair_idx"]
@@ -177,7 +177,10 @@ def q_random_sample(spark, sf):
 
 # ----------------------------------------------------------------------------- split / batches
 def q_split_80_20(spark, sf):
-    return rank.exact_split(tables.qa_docs(spark, sf), KEYS, seed=SEED).select(*KEYS, "split")
+    # the split needs only the keys: write them once (16 bytes a pair) instead of
+    # re-deriving the pairs from the text for each of the split's three passes
+    keys = materialize(tables.qa_docs(spark, sf).select(*KEYS), "split-keys")
+    return rank.exact_split(keys, KEYS, seed=SEED).select(*KEYS, "split")
 
 
 def q_shuffle_batches(spark, sf):
