@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textpairs.functions.arrays import SPECIALS, UNK, wrap_ids
+from textpairs.functions.arrays import BOS, EOS, SPECIALS, UNK, wrap_ids
 from textpairs.functions.text import chars
 
 # Largest vocabulary shipped inside the plan as literals.
@@ -134,8 +134,6 @@ class Vocabulary:
         i = F.col(ids) if isinstance(ids, str) else ids
         itos = F.lit(list(self.itos))
         if strip_special:
-            from textpairs.functions.arrays import BOS, EOS
-
             body = F.when(F.element_at(i, 1) == F.lit(BOS), F.slice(i, 2, F.size(i))).otherwise(i)
             stop = F.array_position(body, F.lit(EOS))
             i = F.when(stop > 0, F.slice(body, 1, (stop - 1).cast("int"))).otherwise(body)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textpairs.fixed import BATCH_SIZE
 from textpairs.functions import arrays as A
 from textpairs.operators import batching, clean, evaluate, rank, vocab
-from textpairs.operators.pairing import text_lines
+from textpairs.operators.pairing import pairs_in_rows, text_lines
 from textpairs.session import materialize, read_table, scratch_path
 from textpairs.sources import tables
 from textpairs.streaming import ingest
@@ -37,8 +37,6 @@ def select_docs(spark: SparkSession, sf: str, folders=None, modules=None) -> Dat
         docs = docs.filter(F.col("module").isin(list(modules)))
     if (folders or modules) and docs.isEmpty():
         raise ValueError("None of the specified folders / files were found.")
-    from textpairs.operators.pairing import pairs_in_rows
-
     return pairs_in_rows(docs, "text", tables.DOC_KEYS)
 
 
