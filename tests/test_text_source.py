@@ -10,6 +10,10 @@ def _rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
+# read_qa routes small files through whole-file reads; -1 forces the numbered-line path
+PATHS = pytest.mark.parametrize("whole", [files.WHOLE_FILE_BYTES, -1], ids=["whole-file", "line-numbers"])
+
+
 def test_large_file_across_many_splits_keeps_order(spark, write_files):
     n = 50000
     root = write_files({"fa/m1.txt": "".join(f"q{i}\na{i}\n" for i in range(n))})
@@ -18,7 +22,7 @@ def test_large_file_across_many_splits_keeps_order(spark, write_files):
     try:
         lines = files.numbered_lines(spark, [f"{root}/fa/m1.txt"])
         assert lines.select("value").rdd.getNumPartitions() > 5
-        pairs, unpaired, _ = files.read_qa(spark, root, samples_per_module=10**9)
+        pairs, unpaired, _ = files.read_qa(spark, root, samples_per_module=10**9, whole_file_bytes=-1)
         bad = pairs.filter(
             (F.col("question") != F.concat(F.lit("q"), F.col("pair_idx").cast("string")))
             | (F.col("answer") != F.concat(F.lit("a"), F.col("pair_idx").cast("string")))
@@ -31,7 +35,8 @@ def test_large_file_across_many_splits_keeps_order(spark, write_files):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_edge_files(spark, write_files):
+@PATHS
+def test_edge_files(spark, write_files, whole):
     root = write_files(
         {
             "fa/m1.txt": "q\na\n",
@@ -43,7 +48,7 @@ def test_edge_files(spark, write_files):
             "fb/_hidden.txt": "q\na\n",
         }
     )
-    pairs, unpaired, listing = files.read_qa(spark, root, folders=["fb", "missing"])
+    pairs, unpaired, listing = files.read_qa(spark, root, folders=["fb", "missing"], whole_file_bytes=whole)
     got = _rows(pairs, "module", "pair_idx", "question", "answer")
     assert got == [
         ("m1", 0, "q0", "a0"),
@@ -56,23 +61,25 @@ def test_edge_files(spark, write_files):
     assert _rows(unpaired, "module", "ln", "text") == [("m1", 4, "odd")]
     assert any(p.endswith("_hidden.txt") for p in listing["skipped_hidden"])
     # equal module names in two folders stay apart by folder
-    allp, _, _ = files.read_qa(spark, root)
+    allp, _, _ = files.read_qa(spark, root, whole_file_bytes=whole)
     assert _rows(allp.filter(F.col("module") == "m1"), "folder", "pair_idx") == [("fa", 0), ("fb", 0), ("fb", 1)]
 
 
-def test_cap_before_odd_tail_and_fail_mode(spark, write_files):
+@PATHS
+def test_cap_before_odd_tail_and_fail_mode(spark, write_files, whole):
     root = write_files({"fb/cap.txt": "q\na\nodd\n", "fc/bad.txt": "q\na\nodd\n"})
-    pairs, unpaired, _ = files.read_qa(spark, root, folders=["fb"], samples_per_module=1, on_unpaired="fail")
+    pairs, unpaired, _ = files.read_qa(spark, root, folders=["fb"], samples_per_module=1, on_unpaired="fail", whole_file_bytes=whole)
     assert _rows(pairs, "question", "answer") == [("q", "a")]
     assert unpaired.count() == 0
-    pairs2, _, _ = files.read_qa(spark, root, folders=["fc"], on_unpaired="fail")
+    pairs2, _, _ = files.read_qa(spark, root, folders=["fc"], on_unpaired="fail", whole_file_bytes=whole)
     with pytest.raises(Exception, match="unpaired"):
         pairs2.collect()
 
 
-def test_names_and_errors(spark, write_files):
+@PATHS
+def test_names_and_errors(spark, write_files, whole):
     root = write_files({"f a/m.txt": "q\na\n", "f a/ab": "q\na\n"})
-    pairs, _, _ = files.read_qa(spark, root)
+    pairs, _, _ = files.read_qa(spark, root, whole_file_bytes=whole)
     assert _rows(pairs, "folder", "module") == [("f a", ""), ("f a", "m")]
     with pytest.raises(ValueError):
         files.read_qa(spark, root, folders=["nope"])
@@ -133,3 +140,12 @@ def test_dataset_layout_naming():
         files.dataset_name("train", None, 0)
     with pytest.raises(ValueError):
         files.dataset_name("dev", None, 5)
+
+
+def test_mixed_routing_equals_single_path(spark, write_files):
+    root = write_files({"fa/big.txt": "".join(f"q{i}\na{i}\n" for i in range(3000)) + "tail\n", "fb/small.txt": "x\ny\nz\n"})
+    mixed, mixed_u, _ = files.read_qa(spark, root, whole_file_bytes=1000)  # big.txt > 1000 bytes
+    lines, lines_u, _ = files.read_qa(spark, root, whole_file_bytes=-1)
+    cols = ["folder", "module", "pair_idx", "question", "answer"]
+    assert _rows(mixed, *cols) == _rows(lines, *cols)
+    assert _rows(mixed_u, "module", "ln", "text") == _rows(lines_u, "module", "ln", "text") == [("big", 6000, "tail"), ("small", 2, "z")]

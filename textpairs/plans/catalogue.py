@@ -92,6 +92,13 @@ def q_file_source(spark, sf):
     return flows.with_lang_source(pairs).select("lang", "source", "chunk", "pair_idx", "question", "answer")
 
 
+def q_file_source_lines(spark, sf):
+    """Same files and result as ``file_source``, forced through the numbered-line path (H1)."""
+    root = flows.write_doc_files(spark, sf)
+    pairs, _unpaired, _listing = files.read_qa(spark, root, samples_per_module=1 << 40, whole_file_bytes=-1)
+    return flows.with_lang_source(pairs).select("lang", "source", "chunk", "pair_idx", "question", "answer")
+
+
 def q_stream_ingest(spark, sf):
     root = flows.write_doc_files(spark, sf)
     voc = flows.docs_vocab(spark, sf)

@@ -154,6 +154,7 @@ ORACLE: dict[str, str] = {
     "split_folder": f"WITH {PAIRS} SELECT folder AS split_key, doc_id, pair_idx, question, answer FROM p",
     "split_module": f"WITH {PAIRS} SELECT module AS split_key, doc_id, pair_idx, question, answer FROM p",
     "file_source": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp",
+    "file_source_lines": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp",
     "stream_ingest": (
         f"WITH {PAIRS}, {VOCAB}, {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer, {enc('question')} AS question_ids, "
         f"{enc('answer')} AS answer_ids FROM fp, vt"

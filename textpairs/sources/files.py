@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from textpairs.fixed import SAMPLES_PER_MODULE
 from textpairs.functions.text import decode_uri_path, drop_last4, parent_name
-from textpairs.operators.pairing import _check_cap, pairs_from_lines
+from textpairs.operators.pairing import _check_cap, pairs_from_lines, pairs_in_rows, unpaired_in_rows
 
 log = logging.getLogger(__name__)
 
@@ -64,9 +64,17 @@ def list_inputs(spark: SparkSession, root: str, folders=None, files=None) -> dic
     jvm = spark.sparkContext._jvm
     base = rootp.toString().rstrip("/")
 
+    sizes: dict = {}
+
     def glob(pattern):
         found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(pattern)) or []
-        return [(st.getPath().toString(), st.isDirectory()) for st in found]
+        out = []
+        for st in found:
+            p, is_dir = st.getPath().toString(), st.isDirectory()
+            if not is_dir:
+                sizes[p] = st.getLen()
+            out.append((p, is_dir))
+        return out
 
     # one glob per level, not one listing call per folder
     subdirs = {p.rsplit("/", 1)[-1]: p for p, is_dir in glob(base + "/*") if is_dir}
@@ -90,6 +98,7 @@ def list_inputs(spark: SparkSession, root: str, folders=None, files=None) -> dic
                     cand = jvm.org.apache.hadoop.fs.Path(d + "/" + f)
                     if fs.exists(cand) and fs.getFileStatus(cand).isFile():
                         by_folder.setdefault(d, {})[f] = cand.toString()
+                        sizes[cand.toString()] = fs.getFileStatus(cand).getLen()
     out_files, hidden = [], []
     for d in chosen:
         entries = by_folder.get(d, {})
@@ -102,7 +111,7 @@ def list_inputs(spark: SparkSession, root: str, folders=None, files=None) -> dic
         raise ValueError("None of the specified files were found.")
     if not out_files:
         raise ValueError("No files found in the chosen folders.")
-    return {"folders": chosen, "files": out_files, "skipped_hidden": hidden}
+    return {"folders": chosen, "files": out_files, "sizes": {f: sizes.get(f, 0) for f in out_files}, "skipped_hidden": hidden}
 
 
 # ----------------------------------------------------------------------------- text pairs
@@ -153,6 +162,23 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
+# Files up to this size are read whole and paired in-row; larger ones take the line path.
+WHOLE_FILE_BYTES = 64 << 20
+FILE_KEYS = ["file", "folder", "module"]
+
+
+def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, folder, module, text): one row per file (``wholetext``, passed as an argument)."""
+    raw = spark.read.text(paths, wholetext=True)
+    path = decode_uri_path(F.col("_metadata.file_path"))
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        parent_name(path).alias("folder"),
+        drop_last4(F.element_at(F.split(path, "/"), -1)).alias("module"),
+        F.col("value").alias("text"),
+    )
+
+
 def read_qa(
     spark: SparkSession,
     root: str,
@@ -160,16 +186,35 @@ def read_qa(
     files=None,
     samples_per_module: int = DEFAULT_CAP,
     on_unpaired: str = "quarantine",
+    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> tuple[DataFrame, DataFrame, dict]:
     """PIP1 (SRC1-SRC8): ``(pairs, unpaired, listing)``.
 
     pairs: (file, folder, module, pair_idx, question, answer) - first ``samples_per_module``
     pairs of every file; unpaired: (file, folder, module, ln, text).
+
+    Files are routed by the size the listing reports: up to ``whole_file_bytes`` a file is
+    read whole and paired inside its row (one read, no shuffle); larger files take the
+    numbered-line path (two reads, one shuffle, any file size).  Both give the same rows.
     """
     _check_cap(samples_per_module)
     listing = list_inputs(spark, root, folders, files)
-    lines = numbered_lines(spark, listing["files"])
-    pairs, unpaired = pairs_from_lines(lines, ["file", "folder", "module"], cap=samples_per_module, on_unpaired=on_unpaired)
+    small = [f for f in listing["files"] if listing["sizes"][f] <= whole_file_bytes]
+    big = [f for f in listing["files"] if listing["sizes"][f] > whole_file_bytes]
+    parts = []
+    if small:
+        texts = whole_files(spark, small)
+        parts.append(
+            (
+                pairs_in_rows(texts, "text", FILE_KEYS, cap=samples_per_module, on_unpaired=on_unpaired),
+                unpaired_in_rows(texts, "text", FILE_KEYS, cap=samples_per_module),
+            )
+        )
+    if big:
+        parts.append(pairs_from_lines(numbered_lines(spark, big), FILE_KEYS, cap=samples_per_module, on_unpaired=on_unpaired))
+    pairs, unpaired = parts[0]
+    for p, u in parts[1:]:
+        pairs, unpaired = pairs.unionByName(p), unpaired.unionByName(u)
     return pairs, unpaired, listing
 
 
