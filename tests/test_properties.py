@@ -35,6 +35,7 @@ def test_vocab_order_and_round_trip(spark):
     freqs = [(-r["freq"], r["token"]) for r in rows[4:]]
     assert freqs == sorted(freqs)
     voc = vocab.Vocabulary.from_df(v)
+    assert vocab.Vocabulary.from_freq(vocab.char_freq(df)) == voc
     enc = vocab.encode_columns(df, voc)
     out = enc.select("question", voc.decode("question_ids").alias("d"), F.size("question_ids").alias("n"),
                      voc.decode("question_ids", strip_special=True).alias("s")).collect()

@@ -61,11 +61,11 @@ class Vocabulary:
 
     @staticmethod
     def from_df(vocab: DataFrame, limit: int = INLINE_LIMIT) -> "Vocabulary":
-        # one job: at most limit + 1 rows ever reach the driver
-        rows = vocab.select("token", "id").limit(limit + 1).collect()
+        # a character vocabulary has at most 1,114,112 + 4 rows (the code space): one collect
+        rows = vocab.select("token", "id").collect()
         n = len(rows)
         if n > limit:
-            raise ValueError(f"vocabulary of more than {limit} entries exceeds the inline limit; use encode_by_join")
+            raise ValueError(f"vocabulary of {n} entries exceeds the inline limit {limit}; use encode_by_join")
         ids = sorted(r["id"] for r in rows)
         if ids != list(range(n)):
             raise ValueError("vocabulary ids must be dense 0..V-1")
@@ -76,6 +76,16 @@ class Vocabulary:
             raise ValueError(f"vocabulary must start with the specials {SPECIALS}")
         return Vocabulary(tuple(itos))
 
+    @staticmethod
+    def from_freq(freq: DataFrame, specials=SPECIALS, limit: int = INLINE_LIMIT) -> "Vocabulary":
+        """AGG2 on the driver from the character counts (<= code-space rows, one job):
+        specials, then freq desc, token asc (Python str order = code-point order = Spark's)."""
+        rows = freq.select("token", "freq").collect()
+        toks = sorted(((r["token"], r["freq"]) for r in rows if r["token"] not in specials), key=lambda tf: (-tf[1], tf[0]))
+        if len(toks) + len(specials) > limit:
+            raise ValueError(f"vocabulary of {len(toks) + len(specials)} entries exceeds the inline limit {limit}; use encode_by_join")
+        return Vocabulary(tuple(specials) + tuple(t for t, _ in toks))
+
     @property
     def size(self) -> int:
         return len(self.itos)

@@ -121,7 +121,7 @@ def q_encode(spark, sf):
 
 def q_encode_oov(spark, sf):
     p = tables.qa_docs(spark, sf)
-    voc = vocab.Vocabulary.from_df(vocab.build_vocab(p.filter(F.col("folder") == "en")))
+    voc = vocab.Vocabulary.from_freq(vocab.char_freq(p.filter(F.col("folder") == "en")))
     return vocab.encode_columns(p, voc).select(*KEYS, "question_ids", "answer_ids")
 
 

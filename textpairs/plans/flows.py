@@ -41,7 +41,7 @@ def select_docs(spark: SparkSession, sf: str, folders=None, modules=None) -> Dat
 
 
 def docs_vocab(spark: SparkSession, sf: str) -> vocab.Vocabulary:
-    return vocab.Vocabulary.from_df(vocab.build_vocab(tables.qa_docs(spark, sf)))
+    return vocab.Vocabulary.from_freq(vocab.char_freq(tables.qa_docs(spark, sf)))
 
 
 def encoded_docs(spark: SparkSession, sf: str, voc: vocab.Vocabulary | None = None) -> DataFrame:
