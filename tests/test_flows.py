@@ -33,6 +33,11 @@ def test_prepare_splits_batches_and_pads(spark):
             assert r["questions"][0] == A.BOS
     voc = out["vocabulary"]
     assert voc.itos[:4] == A.SPECIALS
+    e1 = flows.epoch_batches(out, ["k"], epoch=1).collect()
+    assert sorted(r["k"] for r in e1) == sorted(r["k"] for r in tr)
+    order0 = [r["k"] for r in sorted(tr, key=lambda r: (r["batch_id"], r["pos_in_batch"]))]
+    order1 = [r["k"] for r in sorted(e1, key=lambda r: (r["batch_id"], r["pos_in_batch"]))]
+    assert order0 != order1
     with pytest.raises(ValueError):
         clean.require_columns(train.drop("answer"), ["question", "answer"])
 

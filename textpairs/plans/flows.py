@@ -186,6 +186,7 @@ def prepare(
     out = {
         "vocab": vocab_df,
         "vocabulary": voc,
+        "split": split,
         "train": batching.make_batches(vocab.encode_columns(tr, voc, enc_cols)),
         "val": batching.make_batches(vocab.encode_columns(va, voc, enc_cols)),
         "test": None,
@@ -197,6 +198,14 @@ def prepare(
     return out
 
 
+def epoch_batches(prepared: dict, keys: list[str], epoch: int, seed: int = SEED, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """SRT4: the training batches of another epoch - a new hash order over the same split
+    (the reference reshuffles the training rows every epoch), padded and encoded."""
+    tr = prepared["split"].filter(F.col("split") == "train")
+    ranked = rank.batch_ids(rank.hash_rank(tr, keys, seed=seed, epoch=epoch), batch_size=batch_size)
+    return batching.make_batches(vocab.encode_columns(ranked, prepared["vocabulary"]))
+
+
 def evaluate_greedy(batches: DataFrame, keys: list[str], make_predictor, fraction: float, voc: vocab.Vocabulary | None = None) -> dict:
     """PIP3: accuracy over the first ``int(n_batches * fraction)`` batches + one example per batch.
 
