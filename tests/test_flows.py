@@ -82,3 +82,10 @@ def test_collate_extra_columns(spark):
     df = spark.createDataFrame([(0, 0, [2, 5, 1], [2, 1])], "batch_id long, k long, question_ids array<int>, answer_ids array<int>")
     out = batching.make_batches(df, extra_cols=[F.size("question_ids").alias("q_len")]).first()
     assert out["q_len"] == 3 and out["questions"] == [2, 5, 1]
+
+
+def test_prepare_saves_and_loads_vocabulary(spark, tmp_path):
+    train, test = _frames(spark)
+    saved = flows.prepare(train, None, keys=["k"], save_path=str(tmp_path / "run"))
+    loaded = flows.prepare(train.limit(10), None, keys=["k"], load_path=str(tmp_path / "run"))
+    assert loaded["vocabulary"] == saved["vocabulary"]

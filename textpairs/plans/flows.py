@@ -17,7 +17,7 @@ from textpairs.functions import arrays as A
 from textpairs.operators import batching, clean, evaluate, rank, vocab
 from textpairs.operators.pairing import pairs_in_rows, text_lines
 from textpairs.session import materialize, read_table, scratch_path
-from textpairs.sources import tables
+from textpairs.sources import files, tables
 from textpairs.streaming import ingest
 
 KEYS = ["doc_id", "pair_idx"]
@@ -154,12 +154,16 @@ def prepare(
     fit_on: str = "train+val",
     strict: bool = True,
     materialize_input: bool = True,
+    save_path: str | None = None,
+    load_path: str | None = None,
 ) -> dict:
     """PIP2: ``{"vocab", "train", "val", "test"}`` DataFrames; batches padded and keyed.
 
     The vocabulary is built on train+validation rows (the reference's choice) unless
-    ``fit_on="train"``; a given ``vocab_df`` is used as is.  Test rows use the same
-    vocabulary and keep their key order.
+    ``fit_on="train"``; a given ``vocab_df`` is used as is.  With ``save_path`` the built
+    vocabulary is also written there (``<save_path>/vocab``); with only ``load_path`` it
+    is read from there instead of built (save wins when both are given).  Test rows use
+    the same vocabulary and keep their key order.
     """
     clean.require_columns(train_df, ["question", "answer", *keys])
     enc_cols = ("question", "answer")
@@ -171,12 +175,16 @@ def prepare(
             clean.require_columns(test_df, ["question", "answer", *(test_keys or keys)])
             clean.require_nonempty(test_df, "test")
             clean.require_all_strings(test_df, enc_cols)
+    if vocab_df is None and load_path and not save_path:
+        vocab_df = files.read_vocab(train_df.sparkSession, load_path.rstrip("/") + "/vocab")
     if vocab_df is None and fit_on == "train":
         pre = rank.exact_split(train_df, keys, seed=seed)
         vocab_df = vocab.build_vocab(pre.filter(F.col("split") == "train"))
     elif vocab_df is None:
         vocab_df = vocab.build_vocab(train_df)
     voc = vocab.Vocabulary.from_df(vocab_df)
+    if save_path:
+        files.write_vocab(vocab_df, save_path.rstrip("/") + "/vocab")
     # FLT6 on text lengths, written once (the split's count jobs and the ranks reuse it),
     # then split and rank on keys; only kept rows are encoded.
     kept = materialize(clean.within_budget_text(train_df), "prepare-train") if materialize_input else clean.within_budget_text(train_df)
