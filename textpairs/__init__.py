@@ -1,0 +1,8 @@
+"""textpairs - question/answer text corpora on Spark: ingest, profile, encode, split, batch, score.
+
+Layout: ``functions`` (column expressions), ``operators`` (DataFrame -> DataFrame
+operators), ``sources`` (files and tables in and out), ``streaming`` (incremental ingest),
+``plans`` (composite flows, cluster jobs and the query catalogue).
+"""
+
+__version__ = "0.1.0"

@@ -71,7 +71,8 @@ def exact_split(
 ) -> DataFrame:
     """SRT3 / SET4: adds ``out`` = 'train' for the first ``n*num//den`` rows in hash order, else 'val'.
 
-    Disjoint and exhaustive by construction: one column, one predicate.
+    Disjoint and exhaustive by construction: one column, one predicate.  ``keys`` must be
+    unique (a key held by many copies would also put all of them into one hash bucket).
     """
     digits = digits or auto_digits(df)
     h = order_hash(seed, *keys)
@@ -98,6 +99,8 @@ def exact_split(
         .filter(F.col("__rn") == F.lit(need))
         .first()
     )
+    if last is None:
+        raise RuntimeError("exact_split: the input changed between its jobs (keys must be unique and the input stable)")
     thr = F.struct(F.lit(last["__h"]).alias("__h"), *[F.lit(last[k]).alias(k) for k in keys])
     mine = F.struct(F.col("__h"), *[F.col(k) for k in keys])
     return hashed.withColumn(out, F.when(mine <= thr, F.lit("train")).otherwise(F.lit("val"))).drop("__h", "__b")
