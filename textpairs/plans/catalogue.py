@@ -239,6 +239,18 @@ def q_accuracy_fraction(spark, sf):
     )
 
 
+def q_greedy_eval(spark, sf):
+    """PIP3: first half of the validation batches -> caller's model (stub: reversed question
+    ids, run by mapInPandas) -> exact match -> accuracy."""
+    voc = flows.docs_vocab(spark, sf)
+    batches = batching.make_batches(flows.val_batches(spark, sf, voc))
+    res = flows.evaluate_greedy(batches, KEYS, evaluate.reverse_predictor, 0.5)
+    return res["accuracy"].select(
+        F.lit(res["n_batches"]).cast("long").alias("n_batches"), F.lit(res["used_batches"]).cast("long").alias("used_batches"),
+        "n", "matches", "accuracy",
+    )
+
+
 def q_batch_examples(spark, sf):
     voc = flows.docs_vocab(spark, sf)
     m = evaluate.batch_examples(flows.val_matches(spark, sf, voc))

@@ -253,6 +253,14 @@ ORACLE: dict[str, str] = {
         "CAST(floor(n_batches * 0.5) AS BIGINT) AS used FROM nb) SELECT any_value(n_batches) AS n_batches, any_value(used) AS used_batches, "
         "count(*) AS n, count(*) FILTER (WHERE match) AS matches, avg(match::DOUBLE) AS accuracy FROM mt, k WHERE batch_id < used"
     ),
+    "greedy_eval": (
+        f"WITH {EVAL}, nb AS (SELECT max(batch_id) + 1 AS n_batches FROM vp), k AS (SELECT n_batches, "
+        "CAST(floor(n_batches * 0.5) AS BIGINT) AS used FROM nb), "
+        "g AS (SELECT *, list_reverse(questions) AS rq FROM vp, k WHERE batch_id < used), "
+        "gm AS (SELECT *, (len(answers) = len(rq) AND list_bool_and([a = rq[i] OR a = 3 for a, i in answers])) AS m FROM g) "
+        "SELECT any_value(n_batches) AS n_batches, any_value(used) AS used_batches, count(*) AS n, "
+        "count(*) FILTER (WHERE m) AS matches, avg(m::DOUBLE) AS accuracy FROM gm"
+    ),
     "batch_examples": (
         f"WITH {EVAL} SELECT doc_id, pair_idx, batch_id, {dec('questions')} AS question_text, {dec('answers')} AS answer_text, "
         f"{dec('pred_ids')} AS predicted_text FROM pr, vt WHERE pos_in_batch = 0"
