@@ -206,6 +206,13 @@ def q_padded(spark, sf):
     return _train_padded(spark, sf).select(*KEYS, "batch_id", "questions", "answers")
 
 
+def q_prepare_train(spark, sf):
+    """PIP2 end to end (vocabulary, budget, split, epoch-0 shuffle, batches, encode, pad);
+    the same rows as ``padded``."""
+    prep = flows.prepare(tables.qa_docs(spark, sf), None, keys=KEYS, strict=False)
+    return prep["train"].select(*KEYS, "batch_id", "questions", "answers")
+
+
 def q_src_mask(spark, sf):
     return _train_padded(spark, sf).select(*KEYS, A.src_mask("questions").alias("questions_mask"))
 

@@ -231,6 +231,7 @@ ORACLE: dict[str, str] = {
     "shuffle_batches": f"WITH {BATCHES} SELECT doc_id, pair_idx, batch_id, pos_in_batch FROM tb",
     "ordered_batches": f"WITH {BATCHES} SELECT doc_id, pair_idx, batch_id, pos_in_batch FROM vb",
     "padded": f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, batch_id, questions, answers FROM tp",
+    "prepare_train": f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, batch_id, questions, answers FROM tp",
     "src_mask": f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, [x <> 3 for x in questions] AS questions_mask FROM tp",
     "trg_mask": (
         f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, "
