@@ -1,7 +1,8 @@
 """Composite entry points (PIP1-PIP3) and the shared stages of the query catalogue.
 
-* ``prepare`` (PIP2): vocabulary (built, or given) -> encode train/test -> length budget
-  -> exact 80/20 split -> train / validation / test batches, padded.
+* ``prepare`` (PIP2): vocabulary (built, loaded or given) -> length budget on the text
+  (written once) -> exact 80/20 split -> hash ranks -> batch ids -> encode -> pad;
+  test rows keep their key order.  ``epoch_batches`` re-shuffles the training rows.
 * ``evaluate_greedy`` (PIP3): first ``fraction`` of the batches -> caller's model
   (``batch_predict``) -> exact match -> accuracy (+ one example per batch).
 * ``files.read_qa`` is PIP1.
