@@ -28,3 +28,15 @@ def test_stream_equals_batch(spark, write_files, tmp_path):
     # a second run over the same checkpoint finds nothing new (exactly-once file tracking)
     ingest.run_available(stream, out, ck)
     assert spark.read.parquet(out).count() == len(s)
+
+
+def test_stream_picks_up_new_files_only(spark, write_files, tmp_path):
+    root = write_files({"fa/m1.txt": "q1\na1\n"})
+    voc = vocab.Vocabulary(("<unk>", "<eos>", "<bos>", "<pad>", "q", "a", "1", "2"))
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    ingest.run_available(ingest.encode_stream(ingest.stream_pairs(spark, root + "/*/*.txt"), voc), out, ck)
+    assert spark.read.parquet(out).count() == 1
+    (tmp_path / "corpus" / "fa" / "m2.txt").write_text("q2\na2\nq2\na2\n")
+    ingest.run_available(ingest.encode_stream(ingest.stream_pairs(spark, root + "/*/*.txt"), voc), out, ck)
+    got = sorted((r["module"], r["pair_idx"], r["question_ids"]) for r in spark.read.parquet(out).collect())
+    assert got == [("m1", 0, [2, 4, 6, 1]), ("m2", 0, [2, 4, 7, 1]), ("m2", 1, [2, 4, 7, 1])]
