@@ -14,6 +14,7 @@ explode / join / regroup path instead of inlining it.
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,12 @@ INLINE_LIMIT = 200_000
 DENSE_MAX_CP = 0xFFFF
 
 
+def array_literal(values: list, element_type: str) -> Column:
+    """A constant array built from one JSON string: one call into the JVM instead of one per
+    element, and constant-folded by the optimizer into a single literal."""
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), f"array<{element_type}>")
+
+
 def char_freq(df: DataFrame, cols=("question", "answer")) -> DataFrame:
     """AGG1 / SET3: (token, freq) over the characters of all given columns together."""
     all_chars = F.concat(*[F.coalesce(chars(c), F.array().cast("array<string>")) for c in cols])
@@ -117,10 +124,11 @@ class Vocabulary:
     def lookup(self):
         """Returns ``f(char_col) -> id_col`` (OOV -> <unk>)."""
         dense, astral = self._tables()
-        dense_lit = F.lit(dense).cast("array<int>") if dense else None
-        astral_map = (
-            F.create_map(*[x for t, i in sorted(astral.items()) for x in (F.lit(t), F.lit(i))]) if astral else None
-        )
+        dense_lit = array_literal(dense, "int") if dense else None
+        astral_map = None
+        if astral:
+            keys = sorted(astral)
+            astral_map = F.map_from_arrays(array_literal(keys, "string"), array_literal([astral[k] for k in keys], "int"))
 
         def f(c: Column) -> Column:
             parts = []
@@ -142,7 +150,7 @@ class Vocabulary:
     def decode(self, ids, strip_special: bool = False) -> Column:
         """FUN3: ids -> tokens joined.  ``strip_special`` drops a leading <bos> and stops at the first <eos>."""
         i = F.col(ids) if isinstance(ids, str) else ids
-        itos = F.lit(list(self.itos))
+        itos = array_literal(list(self.itos), "string")
         if strip_special:
             body = F.when(F.element_at(i, 1) == F.lit(BOS), F.slice(i, 2, F.size(i))).otherwise(i)
             stop = F.array_position(body, F.lit(EOS))
