@@ -125,6 +125,13 @@ def q_encode_oov(spark, sf):
     return vocab.encode_columns(p, voc).select(*KEYS, "question_ids", "answer_ids")
 
 
+def q_encode_benchmark(spark, sf):
+    """FUN4 on held-out text: ``benchmark`` items encoded with the documents' vocabulary."""
+    voc = flows.docs_vocab(spark, sf)
+    bench = read_table(spark, sf, "benchmark")
+    return bench.select("item_id", voc.encode("text").alias("text_ids"))
+
+
 def q_decode(spark, sf):
     voc = flows.docs_vocab(spark, sf)
     e = vocab.encode_columns(tables.qa_docs(spark, sf), voc)
@@ -238,6 +245,13 @@ def q_accuracy_by_folder(spark, sf):
     return evaluate.accuracy(flows.val_matches(spark, sf), by="folder")
 
 
+def q_accuracy_by_quality(spark, sf):
+    """AGG11 grouped by a key from a second table: accuracy of the labelled documents by
+    ``labels.quality`` (equi-join on ``doc_id``; the optimizer / AQE picks the strategy)."""
+    labels = read_table(spark, sf, "labels").select("doc_id", "quality")
+    return evaluate.accuracy(flows.val_matches(spark, sf).join(labels, "doc_id"), by="quality")
+
+
 def q_accuracy_fraction(spark, sf):
     m = flows.val_matches(spark, sf)
     kept, n_batches, k = evaluate.first_batches(m, 0.5)

@@ -167,6 +167,7 @@ ORACLE: dict[str, str] = {
         f"WITH {PAIRS}, pe AS (SELECT * FROM p WHERE folder = 'en'), {vocab_ctes('pe')} "
         f"SELECT doc_id, pair_idx, {enc('question')} AS question_ids, {enc('answer')} AS answer_ids FROM p, vt"
     ),
+    "encode_benchmark": f"WITH {PAIRS}, {VOCAB} SELECT item_id, {enc('text')} AS text_ids FROM benchmark, vt",
     "decode": f"WITH {PAIRS} SELECT doc_id, pair_idx, '<bos>' || question || '<eos>' AS question_text, '<bos>' || answer || '<eos>' AS answer_text FROM p",
     "over_budget": (
         f"WITH {PAIRS} SELECT folder, count(*) AS pairs, count(*) FILTER (WHERE length(question) + 2 > 200) AS over_question, "
@@ -249,6 +250,10 @@ ORACLE: dict[str, str] = {
         f"WITH {EVAL} SELECT folder, count(*) AS n, count(*) FILTER (WHERE match) AS matches, avg(match::DOUBLE) AS accuracy "
         "FROM mt GROUP BY folder"
     ),
+    "accuracy_by_quality": (
+        f"WITH {EVAL} SELECT l.quality, count(*) AS n, count(*) FILTER (WHERE match) AS matches, avg(match::DOUBLE) AS accuracy "
+        "FROM mt JOIN labels l ON mt.doc_id = l.doc_id GROUP BY l.quality"
+    ),
     "accuracy_fraction": (
         f"WITH {EVAL}, nb AS (SELECT max(batch_id) + 1 AS n_batches FROM mt), k AS (SELECT n_batches, "
         "CAST(floor(n_batches * 0.5) AS BIGINT) AS used FROM nb) SELECT any_value(n_batches) AS n_batches, any_value(used) AS used_batches, "
