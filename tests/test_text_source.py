@@ -60,6 +60,7 @@ def test_edge_files(spark, write_files, whole):
     ]
     assert _rows(unpaired, "module", "ln", "text") == [("m1", 4, "odd")]
     assert any(p.endswith("_hidden.txt") for p in listing["skipped_hidden"])
+    assert files.listing_counts(listing) == {"folders": 1, "files": 5, "skipped_hidden": 1}
     # equal module names in two folders stay apart by folder
     allp, _, _ = files.read_qa(spark, root, whole_file_bytes=whole)
     assert _rows(allp.filter(F.col("module") == "m1"), "folder", "pair_idx") == [("fa", 0), ("fb", 0), ("fb", 1)]

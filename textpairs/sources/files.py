@@ -218,6 +218,12 @@ def read_qa(
     return pairs, unpaired, listing
 
 
+def listing_counts(listing: dict) -> dict:
+    """SRC8: numbers of chosen folders and files (and hidden files Spark skips), as logged
+    after an ingest; counts come from the listing, so files without a pair count too."""
+    return {"folders": len(listing["folders"]), "files": len(listing["files"]), "skipped_hidden": len(listing["skipped_hidden"])}
+
+
 def ingest_report(pairs: DataFrame) -> DataFrame:
     """SRC8: files and pairs per (folder, module), with folder totals and a grand total (rollup)."""
     return pairs.rollup("folder", "module").agg(
