@@ -34,9 +34,11 @@ PARTIAL_SCHEMA = (
 
 
 def _block_kernel(causal: bool):
+    cols = ["grp", "q_pos", "n_keys", "best_key", "max_score", "sum_exp", "sum_exp_score", "pooled"]
+
     def run(batches):
         for pdf in batches:
-            out = []
+            parts = []
             for row in pdf.itertuples(index=False):
                 qp = np.asarray(row.q_pos, dtype=np.int64)
                 kp = np.asarray(row.k_pos, dtype=np.int64)
@@ -45,23 +47,31 @@ def _block_kernel(causal: bool):
                 scores = (q @ k.T) / math.sqrt(q.shape[1])
                 visible = kp[None, :] <= qp[:, None] if causal else np.ones(scores.shape, dtype=bool)
                 n_vis = visible.sum(axis=1)
-                masked = np.where(visible, scores, -np.inf)
-                mx = masked.max(axis=1)
                 has = n_vis > 0
                 if not has.any():
                     continue
+                masked = np.where(visible, scores, -np.inf)
+                mx = masked.max(axis=1)
                 # lowest key position among the maxima
                 is_max = visible & (masked == mx[:, None])
                 best = np.where(is_max, kp[None, :], np.iinfo(np.int64).max).min(axis=1)
                 wts = np.where(visible, np.exp(masked - np.where(has, mx, 0.0)[:, None]), 0.0)
-                sums = wts.sum(axis=1)
-                sum_ws = (wts * np.where(visible, scores, 0.0)).sum(axis=1)
                 pooled = wts @ k
-                for i in np.nonzero(has)[0]:
-                    out.append(
-                        (row.grp, int(qp[i]), int(n_vis[i]), int(best[i]), float(mx[i]), float(sums[i]), float(sum_ws[i]), pooled[i].tolist())
+                parts.append(
+                    pd.DataFrame(
+                        {
+                            "grp": row.grp,
+                            "q_pos": qp[has],
+                            "n_keys": n_vis[has].astype(np.int64),
+                            "best_key": best[has],
+                            "max_score": mx[has],
+                            "sum_exp": wts.sum(axis=1)[has],
+                            "sum_exp_score": (wts * np.where(visible, scores, 0.0)).sum(axis=1)[has],
+                            "pooled": list(pooled[has]),
+                        }
                     )
-            yield pd.DataFrame(out, columns=["grp", "q_pos", "n_keys", "best_key", "max_score", "sum_exp", "sum_exp_score", "pooled"])
+                )
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in cols})
 
     return run
 
