@@ -89,3 +89,16 @@ def test_prepare_saves_and_loads_vocabulary(spark, tmp_path):
     saved = flows.prepare(train, None, keys=["k"], save_path=str(tmp_path / "run"))
     loaded = flows.prepare(train.limit(10), None, keys=["k"], load_path=str(tmp_path / "run"))
     assert loaded["vocabulary"] == saved["vocabulary"]
+
+
+def test_vocabulary_fit_on_train_rows_only(spark):
+    rows = [(i, f"q{i}", "a") for i in range(100)] + [(1000 + i, "Z", "Z") for i in range(5)]
+    df = spark.createDataFrame(rows, "k long, question string, answer string")
+    from textpairs.operators import rank
+
+    split = {r["k"]: r["split"] for r in rank.exact_split(df, ["k"]).collect()}
+    z_in_train = any(split[1000 + i] == "train" for i in range(5))
+    out = flows.prepare(df, None, keys=["k"], fit_on="train")
+    assert ("Z" in out["vocabulary"].itos) == z_in_train
+    both = flows.prepare(df, None, keys=["k"])
+    assert "Z" in both["vocabulary"].itos
