@@ -111,6 +111,7 @@ def test_csv_round_trip_keeps_quotes_empty_null(spark, tmp_path):
         ("q3", None, "f", "m"),
         ("q4", "None", "f", "m"),
         ("back\\slash", "multi\nline", "f", "m"),
+        ("\\N", "\\\\N", "f", "m"),
     ]
     df = spark.createDataFrame(rows, files.QA_SCHEMA)
     path = str(tmp_path / "qa.csv")
