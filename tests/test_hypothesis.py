@@ -31,3 +31,31 @@ def test_pairs_match_python_model(spark, texts):
         want_pairs, want_tail = model(t)
         assert sorted(got.get(k, [])) == want_pairs, repr(t)
         assert tails.get(k, []) == want_tail, repr(t)
+
+
+LINE = st.lists(st.sampled_from(list("ab é")), min_size=0, max_size=30).map("".join)
+END = st.sampled_from(["\n", "\r", "\r\n"])
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(LINE, END), min_size=50, max_size=400), st.booleans())
+def test_line_number_path_across_tiny_splits(spark, tmp_path_factory, lines, final_newline):
+    from textpairs.sources import files
+
+    text = "".join(a + b for a, b in lines)
+    if not final_newline:
+        text = text.rstrip("\r\n")
+    root = tmp_path_factory.mktemp("corpus")
+    (root / "f").mkdir()
+    (root / "f" / "m.txt").write_bytes(text.encode("utf-8"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        pairs, unpaired, _ = files.read_qa(spark, str(root), samples_per_module=10**9, whole_file_bytes=-1)
+        got = sorted((r["pair_idx"], r["question"], r["answer"]) for r in pairs.collect())
+        tail = [(r["ln"], r["text"]) for r in unpaired.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want_pairs, want_tail = model(text)
+    assert got == want_pairs
+    assert tail == want_tail
