@@ -169,3 +169,15 @@ def test_batch_predict_runs_caller_model(spark):
     df = spark.createDataFrame([(1, [2, 5, 6, 1]), (2, [2, 1])], "k long, questions array<int>")
     out = evaluate.batch_predict(df, evaluate.reverse_predictor, ["k"], ids_col="questions", max_len_col=None)
     assert sorted((r["k"], r["pred_ids"]) for r in out.collect()) == [(1, [1, 6, 5, 2]), (2, [1, 2])]
+
+
+def test_ranks_with_large_scale_settings(spark):
+    df = spark.range(400).withColumnRenamed("id", "k")
+    five = {r["k"]: r["rank"] for r in rank.hash_rank(df, ["k"], seed=9, digits=5).collect()}
+    four = {r["k"]: r["rank"] for r in rank.hash_rank(df, ["k"], seed=9, digits=4).collect()}
+    assert five == four and sorted(five.values()) == list(range(400))
+    s5 = sorted((r["k"], r["split"]) for r in rank.exact_split(df, ["k"], seed=9, digits=5).collect())
+    s2 = sorted((r["k"], r["split"]) for r in rank.exact_split(df, ["k"], seed=9, digits=2).collect())
+    assert s5 == s2
+    many = rank.ordered_rank(df.repartition(3), ["k"], partitions=64).collect()
+    assert sorted((r["rank"], r["k"]) for r in many) == [(i, i) for i in range(400)]
