@@ -88,14 +88,14 @@ def q_split_module(spark, sf):
 
 def q_file_source(spark, sf):
     root = flows.write_doc_files(spark, sf)
-    pairs, _unpaired, _listing = files.read_qa(spark, root, samples_per_module=1 << 40)
+    pairs, _unpaired, _listing = files.read_qa(spark, root, samples_per_module=None)
     return flows.with_lang_source(pairs).select("lang", "source", "chunk", "pair_idx", "question", "answer")
 
 
 def q_file_source_lines(spark, sf):
     """Same files and result as ``file_source``, forced through the numbered-line path (H1)."""
     root = flows.write_doc_files(spark, sf)
-    pairs, _unpaired, _listing = files.read_qa(spark, root, samples_per_module=1 << 40, whole_file_bytes=-1)
+    pairs, _unpaired, _listing = files.read_qa(spark, root, samples_per_module=None, whole_file_bytes=-1)
     return flows.with_lang_source(pairs).select("lang", "source", "chunk", "pair_idx", "question", "answer")
 
 

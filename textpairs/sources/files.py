@@ -184,14 +184,14 @@ def read_qa(
     root: str,
     folders=None,
     files=None,
-    samples_per_module: int = DEFAULT_CAP,
+    samples_per_module: int | None = DEFAULT_CAP,
     on_unpaired: str = "quarantine",
     whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> tuple[DataFrame, DataFrame, dict]:
     """PIP1 (SRC1-SRC8): ``(pairs, unpaired, listing)``.
 
     pairs: (file, folder, module, pair_idx, question, answer) - first ``samples_per_module``
-    pairs of every file; unpaired: (file, folder, module, ln, text).
+    pairs of every file (``None``: whole files); unpaired: (file, folder, module, ln, text).
 
     Files are routed by the size the listing reports: up to ``whole_file_bytes`` a file is
     read whole and paired inside its row (one read, no shuffle); larger files take the
