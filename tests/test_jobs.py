@@ -16,3 +16,6 @@ def test_ingest_profile_prepare(spark, write_files, tmp_path):
     va = spark.read.parquet(f"{out}/prep/batches_val")
     assert tr.count() == 300 * 4 // 5 and va.count() == 300 - 240
     assert spark.read.parquet(f"{out}/prep/vocab").count() > 4
+    from textpairs import session
+
+    assert session._SCRATCH == []  # the prepare step removed its intermediates

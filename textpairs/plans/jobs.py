@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 from textpairs.operators import profile
 from textpairs.plans import flows
+from textpairs.session import drop_scratch
 from textpairs.sources import files
 
 
@@ -79,6 +80,8 @@ def main(argv=None) -> None:
         profile_pairs(spark, args.input, args.output, args.approx)
     else:
         prepare(spark, args.input, args.output, args.test, args.batch_size, args.seed)
+    # outputs are written: the step's intermediate tables are no longer read
+    drop_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
+# scratch paths handed out in this process, for ``drop_scratch``
+_SCRATCH: list[str] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "textpairs") -> SparkSession:
@@ -55,7 +57,24 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for a written table."""
     root = checkpoint_root(spark)
-    return root.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
+    path = root.rstrip("/") + f"/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables handed out so far (call when no DataFrame reads them any
+    more, e.g. at the end of a job step).  Returns how many were removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            removed += 1
+    return removed
 
 
 SPREAD_MAX_BYTES = 1 << 30
