@@ -6,6 +6,9 @@ from textpairs.plans import jobs
 def test_ingest_profile_prepare(spark, write_files, tmp_path):
     root = write_files({f"f{j}/m{i}.txt": "".join(f"q{k}+{i}\na{k}\n" for k in range(60)) for j in range(2) for i in range(3)})
     out = str(tmp_path / "out")
+    from textpairs import session
+
+    before = session.scratch_mark()
     jobs.main(["ingest", "--input", root, "--output", out, "--samples-per-module", "50"])
     pairs = spark.read.parquet(f"{out}/pairs")
     assert pairs.count() == 2 * 3 * 50
@@ -16,6 +19,4 @@ def test_ingest_profile_prepare(spark, write_files, tmp_path):
     va = spark.read.parquet(f"{out}/prep/batches_val")
     assert tr.count() == 300 * 4 // 5 and va.count() == 300 - 240
     assert spark.read.parquet(f"{out}/prep/vocab").count() > 4
-    from textpairs import session
-
-    assert session._SCRATCH == []  # the prepare step removed its intermediates
+    assert session.scratch_mark() == before  # each step removed only its own intermediates

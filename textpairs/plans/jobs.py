@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 
 from textpairs.operators import profile
 from textpairs.plans import flows
-from textpairs.session import drop_scratch
+from textpairs.session import drop_scratch, scratch_mark
 from textpairs.sources import files
 
 
@@ -74,6 +74,7 @@ def main(argv=None) -> None:
     c.add_argument("--seed", type=int, default=flows.SEED)
     args = ap.parse_args(argv)
     spark = _session()
+    mark = scratch_mark()
     if args.step == "ingest":
         ingest(spark, args.input, args.output, args.folders, args.files, args.samples_per_module, args.on_unpaired)
     elif args.step == "profile":
@@ -81,7 +82,7 @@ def main(argv=None) -> None:
     else:
         prepare(spark, args.input, args.output, args.test, args.batch_size, args.seed)
     # outputs are written: the step's intermediate tables are no longer read
-    drop_scratch(spark)
+    drop_scratch(spark, since=mark)
 
 
 if __name__ == "__main__":

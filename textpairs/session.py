@@ -62,13 +62,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables handed out so far (call when no DataFrame reads them any
-    more, e.g. at the end of a job step).  Returns how many were removed."""
+def scratch_mark() -> int:
+    """A mark for ``drop_scratch``: scratch paths handed out after it belong to the caller."""
+    return len(_SCRATCH)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch tables handed out since ``since`` (a ``scratch_mark``); call when no
+    DataFrame reads them any more, e.g. at the end of a job step.  Returns how many."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
-    while _SCRATCH:
+    while len(_SCRATCH) > since:
         p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         fs = p.getFileSystem(conf)
         if fs.exists(p):
