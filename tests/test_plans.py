@@ -33,3 +33,16 @@ def test_split_is_a_row_predicate(spark):
 def test_conversation_pairs_join_on_turn_not_window(spark):
     plan = _plan(catalogue.q_qa_conv(spark, SMALL))
     assert "Window" not in plan
+
+
+def test_join_encode_fallback_broadcasts_the_vocabulary(spark):
+    from textpairs.operators import vocab
+
+    df = spark.createDataFrame([(1, "ab"), (2, "ba a")], "k long, question string")
+    v = vocab.build_vocab(df.withColumn("answer", df.question))
+    out = vocab.encode_by_join(df, v, ["k"], "question", "question_ids")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+    assert {r["k"]: r["question_ids"] for r in out.collect()} == {
+        r["k"]: r["question_ids"] for r in vocab.encode_columns(df, vocab.Vocabulary.from_df(v), ("question",)).collect()
+    }
