@@ -101,7 +101,8 @@ def exact_split(
     )
     if last is None:
         raise RuntimeError("exact_split: the input changed between its jobs (keys must be unique and the input stable)")
-    thr = F.struct(F.lit(last["__h"]).alias("__h"), *[F.lit(last[k]).alias(k) for k in keys])
+    types = {f.name: f.dataType for f in hashed.schema.fields}
+    thr = F.struct(F.lit(last["__h"]).alias("__h"), *[F.lit(last[k]).cast(types[k]).alias(k) for k in keys])
     mine = F.struct(F.col("__h"), *[F.col(k) for k in keys])
     return hashed.withColumn(out, F.when(mine <= thr, F.lit("train")).otherwise(F.lit("val"))).drop("__h", "__b")
 
