@@ -15,7 +15,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from textpairs.operators import profile
+from textpairs.operators import clean, profile
 from textpairs.plans import flows
 from textpairs.session import drop_scratch, scratch_mark
 from textpairs.sources import files
@@ -34,6 +34,8 @@ def ingest(spark: SparkSession, inp: str, out: str, folders=None, modules=None,
 
 def profile_pairs(spark: SparkSession, inp: str, out: str, approx: bool = False) -> None:
     pairs = spark.read.parquet(inp)
+    clean.require_columns(pairs, ["question", "answer", "folder", "module"])  # FLT1
+    clean.require_nonempty(pairs, "pairs", strict=False)  # FLT2: a warning, as when profiling
     profile.length_stats(pairs, approx=approx).write.mode("overwrite").parquet(f"{out}/length_stats")
     profile.length_hist(pairs).write.mode("overwrite").parquet(f"{out}/length_hist")
     profile.box_stats(pairs, "question", "folder", approx=approx).write.mode("overwrite").parquet(f"{out}/box_question")
