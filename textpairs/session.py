@@ -83,6 +83,7 @@ def drop_scratch(spark: SparkSession, since: int = 0) -> int:
 
 
 SPREAD_MAX_BYTES = 1 << 30
+SPREAD_PER_CORE = 3
 
 
 def estimated_bytes(df):
@@ -105,9 +106,11 @@ def spread(df, *keys, max_bytes: int = SPREAD_MAX_BYTES):
     """
     spark = df.sparkSession
     try:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= want:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
             return df
+        # a few partitions per core, so rows of very different sizes even out across cores
+        want = SPREAD_PER_CORE * cores
     except Exception:  # sessions without a local JVM view (e.g. remote clients): leave the plan alone
         return df
     size = estimated_bytes(df)
