@@ -181,3 +181,26 @@ def test_ranks_with_large_scale_settings(spark):
     assert s5 == s2
     many = rank.ordered_rank(df.repartition(3), ["k"], partitions=64).collect()
     assert sorted((r["rank"], r["k"]) for r in many) == [(i, i) for i in range(400)]
+
+
+def test_package_functions_ship_by_value(tmp_path):
+    """Workers need not import this package: its functions are pickled by value."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from textpairs.operators.evaluate import reverse_predictor
+
+    blob = tmp_path / "f.pkl"
+    blob.write_bytes(cloudpickle.dumps(reverse_predictor))
+    code = (
+        "import pickle, sys, numpy as np; "
+        "assert not any('textpairs' in (p or '') for p in sys.path); "
+        f"f = pickle.load(open({str(blob)!r}, 'rb')); print(f()([np.array([1, 2])], None)[0].tolist())"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert out.stdout.strip() == "[2, 1]"
