@@ -52,13 +52,14 @@ def test_query_matches_oracle(spark, con, name):
 
 
 @pytest.mark.parametrize("name", ["split_80_20", "shuffle_batches", "test_batches", "accuracy", "attn_pool", "file_source_lines"])
-def test_same_result_without_aqe_and_other_partitioning(spark, con, name):
-    old = (spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
+def test_same_result_without_aqe_ansi_and_other_partitioning(spark, con, name):
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled")
+    old = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ("false", "3", "false")):
+        spark.conf.set(k, v)
     try:
         got = se.queries()[name](spark, SMALL).toPandas()
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", old[0])
-        spark.conf.set("spark.sql.shuffle.partitions", old[1])
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
     assert _rows(got) == _rows(con.execute(se.oracle_sql()[name]).fetchdf())
