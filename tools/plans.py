@@ -39,6 +39,17 @@ def main():
         df = QUERIES[name](spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         rows.append((name, summarize(plan)))
+    # full formatted plans of the bench's headline queries
+    from bench import HEADLINE
+
+    detail = ["# Formatted plans of the headline queries", "", f"`explain(\"formatted\")` on `{sf}`, AQE off.", ""]
+    for name in HEADLINE:
+        df = QUERIES[name](spark, sf)
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        detail += [f"## {name}", "", "```", text.strip(), "```", ""]
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with open(os.path.join(root, "PLANS_DETAIL.md"), "w") as f:
+        f.write("\n".join(detail) + "\n")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     out = [
         "# Plan summary",
