@@ -41,3 +41,12 @@ def test_trg_mask_shape_and_causality(spark):
         [True, True, True, False],
         [True, True, True, False],
     ]
+
+
+def test_argmax_long_ties_go_to_lowest_id(spark):
+    from textpairs.operators.evaluate import argmax_long
+
+    df = spark.createDataFrame([(1, 0, 0.5), (1, 1, 2.0), (1, 2, 2.0), (2, 5, -1.0), (2, 3, -1.0)], "k long, id long, v double")
+    assert sorted(tuple(r) for r in argmax_long(df, ["k"], "id", "v").collect()) == [(1, 1), (2, 3)]
+    arr = spark.createDataFrame([([0.5, 2.0, 2.0],)], "l array<double>").select(A.argmax("l")).first()[0]
+    assert arr == 1
