@@ -204,3 +204,13 @@ def test_package_functions_ship_by_value(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
     assert out.stdout.strip() == "[2, 1]"
+
+
+def test_loaded_vocabulary_is_validated(spark):
+    import pytest
+
+    good = [("<unk>", 0, 0), ("<eos>", 0, 1), ("<bos>", 0, 2), ("<pad>", 0, 3), ("a", 5, 4)]
+    assert vocab.Vocabulary.from_df(spark.createDataFrame(good, "token string, freq long, id int")).size == 5
+    for rows in (good[:4] + [("ab", 1, 4)], good[:3] + [("a", 5, 3)], good[:4] + [("a", 5, 6)]):
+        with pytest.raises(ValueError):
+            vocab.Vocabulary.from_df(spark.createDataFrame(rows, "token string, freq long, id int"))

@@ -81,6 +81,9 @@ class Vocabulary:
             itos[r["id"]] = r["token"]
         if tuple(itos[: len(SPECIALS)]) != SPECIALS:
             raise ValueError(f"vocabulary must start with the specials {SPECIALS}")
+        bad = [t for t in itos[len(SPECIALS):] if t is None or len(t) != 1]
+        if bad:
+            raise ValueError(f"character vocabulary holds tokens that are not one code point: {bad[:5]}")
         return Vocabulary(tuple(itos))
 
     @staticmethod
