@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as se
+from textpairs.plans.catalogue import QUERIES
 from tests.conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,7 +42,7 @@ def test_entry_smoke(spark):
     assert df.count() > 4
 
 
-@pytest.mark.parametrize("name", sorted(se.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     oracle = se.oracle_sql()
     got = se.queries()[name](spark, SMALL).toPandas()
