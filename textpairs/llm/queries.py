@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from textpairs.llm.decontaminate import op2_decontaminate
+from textpairs.llm.lm_scoring import op9_lm_score
+from textpairs.llm.packing import op1_best_fit_packing
+from textpairs.llm.quality_rules import op5_quality_rules
 from textpairs.llm.substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_decontaminate": op2_decontaminate,
+    "op5_quality_rules": op5_quality_rules,
+    "op9_lm_score": op9_lm_score,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
