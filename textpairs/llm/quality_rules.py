@@ -3,7 +3,8 @@
 Each rule reads per-document statistics and votes good, bad or abstains.  Expectation-maximisation
 over the counts of vote patterns (at most ``3 ** len(RULES)`` rows, counted over all documents)
 estimates for each rule how often its good and its bad votes are right, and the share of good
-documents.  The posterior probability of *good* replaces an all-rules-must-pass filter.
+documents.  Faults of different kinds seldom meet in one document, so the likelihood alone would call
+only the commonest kind bad; each rule's ``floor`` (how seldom it wrongs a good document) keeps the others.  The posterior probability of *good* replaces an all-rules-must-pass filter.
 
 Defined cases: a null or empty text has no words, fails the base rule and is not kept; an empty
 table gives no rows; equal rows get equal results; columns of the input other than the id are not
@@ -110,20 +111,21 @@ class Rule:
     name: str
     good: Column
     bad: Column
+    floor: float  # least share of right votes on good documents: what the rule's author vouches for
 
 
 def rules() -> list[Rule]:
     """The voting rules; a document for which neither side holds makes the rule abstain."""
     c = F.col
     return [
-        Rule("symbols", c("n_symbols") * 100 <= c("word_chars"), c("n_symbols") * 100 > c("word_chars") * 8),
-        Rule("dup_lines", (c("n_lines") >= 3) & (c("n_dup_lines") == 0), c("n_dup_lines") * 100 > c("n_lines") * 30),
-        Rule("repeats", (c("n_words") >= 20) & (c("n_repeat_words") * 100 <= c("n_words") * 2), c("n_repeat_words") * 100 > c("n_words") * 15),
-        Rule("word_length", (c("word_chars") >= 3 * c("n_words")) & (c("word_chars") <= 9 * c("n_words")), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words"))),
-        Rule("size", c("n_words") >= 40, c("n_words") < 10),
-        Rule("capitals", c("n_upper") * 100 <= c("n_letters") * 10, c("n_upper") * 100 > c("n_letters") * 40),
-        Rule("line_ends", c("n_ended") * 100 >= c("n_lines") * 60, c("n_ended") * 100 < c("n_lines") * 15),
-        Rule("variety", c("n_distinct") * 100 >= c("n_words") * 30, (c("n_words") >= 20) & (c("n_distinct") * 100 < c("n_words") * 12)),
+        Rule("symbols", c("n_symbols") * 100 <= c("word_chars"), c("n_symbols") * 100 > c("word_chars") * 8, 0.999),
+        Rule("dup_lines", (c("n_lines") >= 3) & (c("n_dup_lines") == 0), c("n_dup_lines") * 100 > c("n_lines") * 30, 0.97),
+        Rule("repeats", (c("n_words") >= 20) & (c("n_repeat_words") * 100 <= c("n_words") * 2), c("n_repeat_words") * 100 > c("n_words") * 18, 0.97),
+        Rule("word_length", (c("word_chars") >= 3 * c("n_words")) & (c("word_chars") <= 9 * c("n_words")), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words")), 0.99),
+        Rule("size", c("n_words") >= 40, c("n_words") < 10, 0.9),
+        Rule("capitals", c("n_upper") * 100 <= c("n_letters") * 10, c("n_upper") * 100 > c("n_letters") * 40, 0.999),
+        Rule("line_ends", c("n_ended") * 100 >= c("n_lines") * 60, c("n_ended") * 100 < c("n_lines") * 15, 0.9),
+        Rule("variety", c("n_distinct") * 100 >= c("n_words") * 30, (c("n_words") >= 20) & (c("n_distinct") * 100 < c("n_words") * 12), 0.97),
     ]
 
 
@@ -144,21 +146,20 @@ class VoteModel:
         return 1 / (1 + np.exp(-self.log_odds(votes)))
 
 
-def start(r: int) -> VoteModel:
-    """Where EM starts: most documents are good, a bad vote is seldom wrong, and each rule sees its own kind of fault only."""
-    return VoteModel(0.8, np.full(r, 0.995), np.full(r, 0.2))
+def start(floors: np.ndarray) -> VoteModel:
+    """Where EM starts: most documents are good, and each rule sees its own kind of fault only."""
+    return VoteModel(0.8, (1 + floors) / 2, np.full(len(floors), 0.2))
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> VoteModel:
+def fit_votes(votes: np.ndarray, counts: np.ndarray, floors: np.ndarray, rounds: int = 100) -> VoteModel:
     """EM over vote patterns (rows of -1, 0, 1) that occur ``counts`` times."""
-    r = votes.shape[1]
-    m = start(r)
+    m = start(floors)
     votes, counts = votes.astype(float), counts.astype(float)
     for _ in range(rounds):
         good = m.posterior(votes) * counts
         bad = counts - good
         # a little prior weight keeps every estimate inside (0, 1); on_good + on_bad >= 1 keeps each vote on its own side
-        on_good = np.clip((good @ (votes > 0) + 4) / (good @ (votes != 0) + 4.02), 0.5, 0.9995)
+        on_good = np.clip((good @ (votes > 0) + 4) / (good @ (votes != 0) + 4.02), floors, 0.9995)
         on_bad = np.clip((bad @ (votes < 0) + 1) / (bad @ (votes != 0) + 2), 1 - on_good + 1e-6, 0.9995)
         m = VoteModel(float(np.clip((good.sum() + 4) / (counts.sum() + 5), 0.01, 0.99)), on_good, on_bad)
     return m
@@ -168,15 +169,16 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Statistics, each rule's vote (``vote_<name>``), ``quality`` (posterior), ``base_failed`` and ``kept``."""
     stats = materialize(text_stats(docs, id_col, text_col), "op5-stats")
     named = rules()
+    floors = np.array([r.floor for r in named])
     voted = stats.withColumns({f"vote_{r.name}": F.when(r.bad, -1).when(r.good, 1).otherwise(0) for r in named})
     names = [f"vote_{r.name}" for r in named]
     patterns = voted.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
     if patterns:
         got = np.array([tuple(p) for p in patterns], dtype=np.int64)
         order = np.lexsort(got.T[::-1])
-        model = fit_votes(got[order, :-1], got[order, -1])
+        model = fit_votes(got[order, :-1], got[order, -1], floors)
     else:
-        model = start(len(named))
+        model = start(floors)
     odds = F.lit(float(np.log(model.prior / (1 - model.prior))))
     for n, g, b in zip(names, model.on_good.tolist(), model.on_bad.tolist()):
         odds = odds + F.when(F.col(n) > 0, float(np.log(g / (1 - b)))).when(F.col(n) < 0, float(np.log((1 - g) / b))).otherwise(0.0)
