@@ -119,7 +119,7 @@ def rules() -> list[Rule]:
     c = F.col
     return [
         Rule("symbols", c("n_symbols") * 100 <= c("word_chars"), c("n_symbols") * 100 > c("word_chars") * 8, 0.999),
-        Rule("dup_lines", (c("n_lines") >= 3) & (c("n_dup_lines") == 0), c("n_dup_lines") * 100 > c("n_lines") * 30, 0.97),
+        Rule("dup_lines", (c("n_lines") >= 3) & (c("n_dup_lines") == 0), c("n_dup_lines") * 100 > c("n_lines") * 50, 0.97),
         Rule("repeats", (c("n_words") >= 20) & (c("n_repeat_words") * 100 <= c("n_words") * 2), c("n_repeat_words") * 100 > c("n_words") * 18, 0.97),
         Rule("word_length", (c("word_chars") >= 3 * c("n_words")) & (c("word_chars") <= 9 * c("n_words")), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words")), 0.99),
         Rule("size", c("n_words") >= 40, c("n_words") < 10, 0.9),

@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+from textpairs.llm import chat_rotation
+from textpairs.llm.chat_rotation import op6_chat_rotation
 from textpairs.llm.decontaminate import op2_decontaminate
+from textpairs.llm.jaccard_join import op3_jaccard_join
+from textpairs.llm.language_id import op4_language_id
+from textpairs.llm.license_scan import op8_license_scan
 from textpairs.llm.lm_scoring import op9_lm_score
 from textpairs.llm.packing import op1_best_fit_packing
 from textpairs.llm.quality_rules import op5_quality_rules
 from textpairs.llm.substring_dedup import op10_substring_dedup
+from textpairs.llm.toxicity import op7_toxicity
 
-QUERIES = {
+#: texts are long, so fewer rows go to a Python worker at once than Spark's 10,000
+ARROW_ROWS = 2000
+
+
+def _small_batches(query):
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontaminate": op2_decontaminate,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_rotation": op6_chat_rotation,
+    "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op9_lm_score": op9_lm_score,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+QUERIES = {name: _small_batches(query) for name, query in _ALL.items()}
+
+ORACLE: dict[str, str] = {"op6_chat_rotation": chat_rotation.ORACLE_SQL}
