@@ -154,7 +154,7 @@ def pack(pieces: DataFrame, order_cols: list[str], length_col: str = "length", c
     blocks = max(1, -(-rest.count() // BLOCK_PIECES))
     rest = rest.withColumn("__block", F.pmod(F.xxhash64(*order_cols), F.lit(blocks)))
 
-    def one(key, table: pa.Table) -> pa.Table:
+    def one(key, table):
         table = table.sort_by([(c, "ascending") for c in order_cols])
         lengths = table[length_col].to_numpy().astype(np.int64)
         seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
