@@ -35,29 +35,29 @@ MAX_TERMS = 4 << 20
 BLOCK_WINDOWS = 1 << 20
 _APART = 64
 
-INDEX = "shard long, ids array<long>, n_words array<long>, terms binary, cuts binary, postings binary"
-SCHEMA = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("cuts", pa.binary()), ("postings", pa.binary())])
+INDEX = "shard long, ids array<long>, tkeys array<long>, n_words array<long>, terms binary, cuts binary, postings binary"
+SCHEMA = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("tkeys", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.binary()), ("cuts", pa.binary()), ("postings", pa.binary())])
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray | None) -> DataFrame:
     """The stored index; ``terms``: sorted word hashes to keep postings for, None for all."""
     held = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)
 
-    def row(number: int, ids: list, counts: list, found: list) -> pa.RecordBatch:
+    def row(number: int, ids: list, tkeys: list, counts: list, found: list) -> pa.RecordBatch:
         h, at = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(h, kind="stable")
         h, at = h[order], at[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
         n = np.concatenate(counts).astype(np.int64)
-        row = {"shard": number, "ids": ids, "n_words": n, "terms": h[first].tobytes(), "cuts": np.append(first, len(h)).astype(np.int64).tobytes(), "postings": at.astype(np.int32).tobytes()}
+        row = {"shard": number, "ids": ids, "tkeys": tkeys, "n_words": n, "terms": h[first].tobytes(), "cuts": np.append(first, len(h)).astype(np.int64).tobytes(), "postings": at.astype(np.int32).tobytes()}
         return pa.RecordBatch.from_pylist([row], schema=SCHEMA)
 
     def run(batches):
         keep = None if held is None else held.value
         task, seq, base, size = TaskContext.get().partitionId(), 0, 0, 0
-        ids, counts, found = [], [], []
+        ids, tkeys, counts, found = [], [], [], []
         for batch in batches:
-            all_ids = batch.column(0).to_pylist()
+            all_ids, all_keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for s in words.slices(batch.column(1), words.ALNUM, True):
                 h = words.word_hashes(s)
                 at = np.arange(len(h)) + _APART * s.doc_of_word() + base
@@ -66,17 +66,18 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray |
                     some = np.zeros(len(h), bool) if not len(keep) else keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h
                     h, at = h[some], at[some]
                 ids += all_ids[s.lo : s.hi]
+                tkeys += all_keys[s.lo : s.hi]
                 counts.append(s.counts)
                 found.append((h, at))
                 size += len(s.buf)
                 if size >= SHARD_BYTES:
-                    yield row(exchange.chunk_number(task, seq), ids, counts, found)
+                    yield row(exchange.chunk_number(task, seq), ids, tkeys, counts, found)
                     seq, base, size = seq + 1, 0, 0
-                    ids, counts, found = [], [], []
+                    ids, tkeys, counts, found = [], [], [], []
         if ids:
-            yield row(exchange.chunk_number(task, seq), ids, counts, found)
+            yield row(exchange.chunk_number(task, seq), ids, tkeys, counts, found)
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tkey"))
     return materialize(d.mapInArrow(run, INDEX), "op2-index")
 
 
@@ -205,7 +206,7 @@ def _covered(batches):
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, slop: int = 0) -> DataFrame:
-    """Per document: id, ``n_words``, ``n_hit``, ``items`` and ``near_items`` (sorted as strings)."""
+    """Per document: id, ``tkey`` (its text's xxhash64), ``n_words``, ``n_hit``, ``items`` and ``near_items`` (sorted as strings)."""
     terms: np.ndarray | None = np.zeros(0, np.uint64)
     for block in item_windows(items, item_col, item_text_col, size):
         if terms is not None:
@@ -219,11 +220,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     found = found.groupBy("shard", "row").agg(F.collect_list("spans").alias("spans"), flat("items").alias("items"), flat("near_items").alias("near_items"))
     found = found.mapInArrow(_covered, "shard long, row long, items array<string>, near_items array<string>, n_hit long")
-    rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "n_words")).alias("row", "x"))
-    rows = rows.select("shard", F.col("row").cast("long").alias("row"), F.col("x.ids").alias(id_col), F.col("x.n_words").alias("n_words"))
+    rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "tkeys", "n_words")).alias("row", "x"))
+    rows = rows.select("shard", F.col("row").cast("long").alias("row"), F.col("x.ids").alias(id_col), F.col("x.tkeys").alias("tkey"), F.col("x.n_words").alias("n_words"))
     none = F.array().cast("array<string>")
     return rows.join(found, ["shard", "row"], "left").select(
-        id_col, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items")
+        id_col, "tkey", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items")
     )
 
 

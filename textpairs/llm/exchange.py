@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textpairs.session import materialize
+
 #: text bytes that one bucket stands for
 BUCKET_BYTES = 12 << 20
 #: text bytes of one chunk
@@ -66,3 +68,32 @@ def joined(table: pa.Table, column: str = "answer") -> bytes:
     return b"".join(table[column][int(i)].as_py() for i in order)
 
 
+#: numbers that keys are put into to tell texts that need a join from those that do not
+GROUPS = 1 << 18
+
+
+def split_by_key(docs: DataFrame, keys: DataFrame, doc_key: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` whose key may be among ``keys``, rows whose key surely is not), without a shuffle of ``docs``.
+
+    What is broadcast are at most ``GROUPS`` numbers, whatever the size of ``keys``.
+    """
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(GROUPS))
+    groups = F.broadcast(keys.select(group(key).alias("__g")).distinct())
+    on = group(doc_key) == F.col("__g")
+    return docs.join(groups, on, "left_semi"), docs.join(groups, on, "left_anti")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``gone(id, tkey)`` does not name; tkey is the text's xxhash64."""
+    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("tkey").alias("__key")).distinct(), "gone")
+    maybe, rest = split_by_key(docs.withColumn("__tkey", F.xxhash64(text_col)), gone, "__tkey", "__key")
+    kept = maybe.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key")), "left_anti")
+    return kept.unionByName(rest).drop("__tkey")
+
+
+#: texts are long, so fewer rows go to a Python worker at once than Spark's 10,000
+ARROW_ROWS = 2000
+
+
+def small_batches(spark) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -159,10 +159,11 @@ def _prefixes(order, buckets: int):
         )
 
     def run(batches):
+        ranked = words.revive(Order, order.value)
         task, seq, size, found = TaskContext.get().partitionId(), 0, 0, []
         for sid, n, w, read in _new_sets(batches, 0):
             if len(sid):
-                place = np.lexsort((w, order.value.rank(w), np.repeat(np.arange(len(n)), n)))
+                place = np.lexsort((w, ranked.rank(w), np.repeat(np.arange(len(n)), n)))
                 p = prefix_length(n)
                 first = np.cumsum(n) - n
                 found.append((sid, n, p, w[place][np.repeat(first, p) + _within(p)]))
@@ -364,7 +365,7 @@ def members_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     often = d.select("text").mapInArrow(_often, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     hot = often.filter(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "h").limit(HOT).collect()  # at most HOT rows
-    order = spark.sparkContext.broadcast(Order(np.array([r.h for r in reversed(hot)], np.int64).view(np.uint64)))
+    order = spark.sparkContext.broadcast(vars(Order(np.array([r.h for r in reversed(hot)], np.int64).view(np.uint64))))
 
     path = scratch_path(spark, "op3-chunks")
     schema = "chunk long, sids binary, ns binary, ps binary, index binary, asks array<struct<bucket:long,keys:binary,vals:binary>>"
@@ -402,13 +403,31 @@ def members_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, tkey, n_shingles, component_id``: the smallest id that links reach (its own for an empty set)."""
+    """``id, tkey, n_shingles, root, component_id``: the smallest id that links reach (its own for an empty set)."""
     members, links = members_and_links(docs, id_col, text_col)
     roots = connected(links)
     named = members.join(roots, members["sid"] == roots["node"], "left").select("id", "tkey", "n", F.coalesce("root", "sid").alias("root"))
+    named = materialize(named, "op3-named")
     least = materialize(named.filter("n > 0").groupBy("root").agg(F.min("id").alias("least")), "op3-least")
     out = named.join(least, "root", "left")
-    return out.select("id", "tkey", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "tkey", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component (the smallest id); those without words all stay."""
+    c = jaccard_components(docs, id_col, text_col).filter("n_shingles > 0")
+    c = c.groupBy("root", "id", "tkey").agg(F.count("*").alias("rows"))
+    c = materialize(c.withColumn("rank", F.struct(F.col("id").isNull(), "id", "tkey")), "op3-rows")
+    first = materialize(c.groupBy(F.col("root").alias("r")).agg(F.min("rank").alias("first")), "op3-first")
+    named = c.join(first, F.col("root") == F.col("r"))
+    stays = F.col("rank").eqNullSafe(F.col("first"))
+    kept = exchange.without(docs, named.filter(~stays), id_col, text_col)
+    # rows that repeat in every way but are to stay once
+    again = materialize(named.filter(stays & (F.col("rows") > 1)).select(F.col("id").alias("__id"), F.col("tkey").alias("__key")), "op3-again")
+    maybe, rest = exchange.split_by_key(kept.withColumn("__tkey", F.xxhash64(text_col)), again, "__tkey", "__key")
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key"))
+    once = maybe.join(again, on, "left_semi").dropDuplicates([id_col, "__tkey"])
+    return once.unionByName(maybe.join(again, on, "left_anti")).unionByName(rest).drop("__tkey")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -214,11 +214,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, model: BiGru, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``."""
     docs = docs.drop("lang_pred", "lang_score")
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(vars(model))
     names = docs.columns
 
     def run(batches):
-        m = held.value
+        m = words.revive(BiGru, held.value)
         for batch in batches:
             pred, score = [], []
             texts = batch.column(names.index(text_col))

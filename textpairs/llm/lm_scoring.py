@@ -196,10 +196,10 @@ def _chunk_arrays(batch, r: int):
 
 def fit(chunks: DataFrame, v: Vocabulary) -> LogBilinear:
     """Every partition trains on all its training tokens from one start; parameters are averaged by tokens."""
-    held = chunks.sparkSession.sparkContext.broadcast(v)
+    held = chunks.sparkSession.sparkContext.broadcast(vars(v))
 
     def run(batches):
-        vocab = held.value
+        vocab = words.revive(Vocabulary, held.value)
         model, seen = LogBilinear(vocab), 0
         for batch in batches:
             for r in range(batch.num_rows):
@@ -222,10 +222,10 @@ def fit(chunks: DataFrame, v: Vocabulary) -> LogBilinear:
 def normalisers(spark, model: LogBilinear) -> np.ndarray:
     """log Z of every pair of context tokens, ``[u, v]``."""
     size = len(model.bias)
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(vars(model))
 
     def run(batches):
-        m = held.value
+        m = words.revive(LogBilinear, held.value)
         every = np.arange(size)
         for batch in batches:
             for u in batch.column(0).to_pylist():
@@ -244,6 +244,7 @@ SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score dou
 def _score(held, n: int, seen: int):
     def run(_, chunk: pa.Table, got: pa.Table) -> pa.Table:
         v, model, z = held.value
+        v, model = words.revive(Vocabulary, v), words.revive(LogBilinear, model)
         if not chunk.num_rows:
             return pa.table({c.split()[0]: pa.array([], t) for c, t in zip(SCORES.split(", "), [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])})
         keys, index, lens, out = _chunk_arrays(chunk.combine_chunks().to_batches()[0], 0)
@@ -291,7 +292,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = int(chunks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0)
     v = Vocabulary(np.array([t.key for t in top], np.int64).view(np.uint64), top_n, ends, n - ends - int(top_n.sum()))
     model = fit(chunks, v)
-    held = spark.sparkContext.broadcast((v, model, normalisers(spark, model)))
+    held = spark.sparkContext.broadcast((vars(v), vars(model), normalisers(spark, model)))
     out = chunks.groupBy("chunk").cogroup(counts.select("chunk", "bucket", "answer").groupBy("chunk")).applyInArrow(_score(held, n, seen), SCORES)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

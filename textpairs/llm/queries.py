@@ -5,6 +5,7 @@ from __future__ import annotations
 from textpairs.llm import chat_rotation
 from textpairs.llm.chat_rotation import op6_chat_rotation
 from textpairs.llm.decontaminate import op2_decontaminate
+from textpairs.llm.exchange import small_batches
 from textpairs.llm.jaccard_join import op3_jaccard_join
 from textpairs.llm.language_id import op4_language_id
 from textpairs.llm.license_scan import op8_license_scan
@@ -14,13 +15,10 @@ from textpairs.llm.quality_rules import op5_quality_rules
 from textpairs.llm.substring_dedup import op10_substring_dedup
 from textpairs.llm.toxicity import op7_toxicity
 
-#: texts are long, so fewer rows go to a Python worker at once than Spark's 10,000
-ARROW_ROWS = 2000
-
 
 def _small_batches(query):
     def run(spark, sf_dir):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        small_batches(spark)
         return query(spark, sf_dir)
 
     return run

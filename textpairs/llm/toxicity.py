@@ -146,11 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds:
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` of every text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches):
+        m = words.revive(ToxicModel, held.value)
         for batch in batches:
-            parts = [held.value.score(s) for s in words.slices(batch.column(1), words.SPACED, True)]
+            parts = [m.score(s) for s in words.slices(batch.column(1), words.SPACED, True)]
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts))], names=["id", "score"])
 

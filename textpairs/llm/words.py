@@ -33,7 +33,30 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class _Powers:
+    """Powers of the base and of its inverse; not sent to workers, which make their own."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return (_Powers, ())
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, _PIECE + 1)
+            up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+            up[0] = down[0] = 1
+            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            if size > 4 * _PIECE:  # one huge word: not kept
+                return up, down
+            self.up, self.down = up, down
+        return self.up, self.down
+
+
+_POWERS = _Powers()
 
 
 @dataclass
@@ -107,16 +130,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(0)
-    if have is None or len(have[0]) < n:
-        n = max(n, _PIECE + 1)
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        have = _POWERS[0] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return have
-
-
 def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """uint64 hash of each word ``buf[start:end]``; starts rise and words do not overlap."""
     out = np.empty(len(starts), np.uint64)
@@ -125,13 +138,11 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         base = int(starts[w])
         x = max(w + 1, int(np.searchsorted(ends, base + _PIECE, "right")))
         last = int(ends[x - 1])
-        up, down = _powers(last - base + 1)
+        up, down = _POWERS.upto(last - base + 1)
         total = np.zeros(last - base + 1, np.uint64)
         np.cumsum(_BYTE[buf[base:last]] * up[: last - base], out=total[1:])
         s, e = starts[w:x] - base, ends[w:x] - base
         out[w:x] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
-        if last - base > 4 * _PIECE:
-            _POWERS.clear()  # one huge word: do not keep its table
         w = x
     return mix(out)
 
@@ -161,6 +172,13 @@ def window_starts(off: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(doc[: total - k + 1] == doc[k - 1 :])
 
 
+def revive(kind: type, state: dict):
+    """An object from its broadcast attributes (plain arrays, so workers need not import its class by name)."""
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
 def id_crc(doc_id) -> int:
     """crc32 of the id written as text; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
