@@ -1,10 +1,75 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns what it keeps, with the columns of ``documents``; the
+last one returns the packed pieces.  ``run`` applies them in order.  Intermediate tables go under the shared
+checkpoint folder.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textpairs.llm import decontaminate, jaccard_join, language_id, packing, substring_dedup
+from textpairs.llm.exchange import small_batches, without
+from textpairs.session import materialize
+
+#: a document stays if the network gives its language at least this probability
+LANGUAGE_LEAST = 0.5
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those that read as none of the learned languages."""
+    small_batches(spark)
+    got = language_id.predict(docs, language_id.train(docs))
+    return got.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LANGUAGE_LEAST)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest document id of each group of alike documents."""
+    small_batches(spark)
+    return jaccard_join.one_of_each(docs).select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that an earlier document has; documents of which nothing is left go."""
+    small_batches(spark)
+    got = substring_dedup.remove_repeats(docs)
+    got = got.filter((F.col("n_words") == 0) | (F.col("n_removed") < F.col("n_words")))
+    # a text that loses nothing stays as it was, blanks and all
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return got.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    small_batches(spark)
+    hit = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0")
+    return without(docs, hit.select(F.col("doc_id").alias("id"), "tkey"), "doc_id", "text").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their place in a sequence."""
+    small_batches(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", keep_known_language),
+    ("jaccard_join", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("decontaminate", drop_contaminated),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: a trained network and a tokenizer decide, which SQL cannot state
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{name}")
+    return docs
