@@ -4,8 +4,8 @@
 2. All shingles stand in one global order: those found often (counted over all texts, the most frequent
    ``HOT`` kept) last by their count, the others before them by hash.  Two sets that are alike share a
    shingle among the first ``n - ceil(0.8 n) + 1`` of each (the prefix).
-3. Chunks of texts ask the hash buckets which of their distinct prefix shingles another set also has (one
-   entry a chunk, however many sets share the shingle).  Sets without one are done.
+3. Chunks of texts ask the hash buckets which of their prefix shingles another set of like size also has
+   (one entry a chunk, shingle and size class, however many sets share it).  Sets without one are done.
 4. Each remaining set's *home* is its most shared prefix shingle, and it visits every home of a set that it
    shares a prefix shingle with.  At a home the resident sets stand in a trie of globally ordered shingles,
    the most frequent first, so that partial overlaps are shared; each visitor walks it level by level and
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from textpairs.llm import exchange, words
 from textpairs.llm.components import connected
-from textpairs.session import materialize, scratch_path
+from textpairs.session import materialize
 
 SHINGLE = 5
 HOT = 1 << 16
@@ -141,22 +141,36 @@ class Order:
         return np.where(self.keys[at] == h, self.place[at], 0)
 
 
-def _prefixes(order, buckets: int):
+def size_class(n: np.ndarray) -> np.ndarray:
+    """0 to 63; the classes of two sizes that can be linked (a ratio of 1.25 at most) differ by 1 at most."""
+    return np.minimum(np.log(np.maximum(n, 1)) / np.log(1.3), 63).astype(np.uint64)
+
+
+_CLASS = np.uint64(63)
+
+
+def _entries(sid: np.ndarray, n: np.ndarray, p: np.ndarray, w: np.ndarray):
+    """(shingles, values, entry of each prefix shingle): one entry for each shingle and size class, in their order.
+
+    A value is the set's name with the class in its last six bits, or the class alone if several sets share the entry.
+    """
+    c, owner = np.repeat(size_class(n), p), np.repeat(sid, p)
+    order = np.lexsort((c, w))
+    w, c, owner = w[order], c[order], owner[order]
+    new = np.append(True, (w[1:] != w[:-1]) | (c[1:] != c[:-1])) if len(w) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    index = np.empty(len(w), np.int64)
+    index[order] = np.cumsum(new) - 1
+    low, high = (f.reduceat(owner, first) if len(first) else owner for f in (np.minimum, np.maximum))
+    return w[first], np.where(low == high, low.view(np.uint64) & ~_CLASS, np.uint64(0)) | c[first], index
+
+
+def _prefixes(order):
+    """Chunk rows: names, sizes and prefixes of the sets that the task meets first."""
+
     def row(number, found):
-        sid, n, p, w = (np.concatenate(x) for x in zip(*found))
-        distinct, index = np.unique(w, return_inverse=True)
-        owner = np.repeat(sid, p)
-        some = np.zeros(len(distinct), np.int64)
-        some[index] = owner
-        several = np.zeros(len(distinct), bool)
-        several[index[some[index] != owner]] = True
-        some[several] = 0
-        cuts = exchange.bucket_cuts(distinct, buckets)
-        asks = [{"bucket": int(b), "keys": distinct[cuts[b] : cuts[b + 1]].tobytes(), "vals": some[cuts[b] : cuts[b + 1]].tobytes()} for b in np.flatnonzero(np.diff(cuts))]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (sid, n, p, index.astype(np.int32))), pa.array([asks], pa.list_(pa.struct([("bucket", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])))],
-            names=["chunk", "sids", "ns", "ps", "index", "asks"],
-        )
+        cols = dict(zip(("sids", "ns", "ps", "prefix"), (np.concatenate(x) for x in zip(*found))))
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in cols.items()})
 
     def run(batches):
         ranked = words.revive(Order, order.value)
@@ -177,41 +191,63 @@ def _prefixes(order, buckets: int):
     return run
 
 
+def _open(chunk, r: int):
+    return [np.frombuffer(chunk[x][r].as_py(), t) for x, t in (("sids", np.int64), ("ns", np.int64), ("ps", np.int64), ("prefix", np.uint64))]
+
+
+def _asks(buckets: int):
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, vals, _ = _entries(*_open(batch, r))
+                cuts = exchange.bucket_cuts(keys, buckets)
+                used = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array(np.full(len(used), batch["chunk"][r].as_py())), "bucket": pa.array(used.astype(np.int64)),
+                    "keys": pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()), "vals": pa.array([vals[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
+                })
+
+    return run
+
+
 def _shared(keys, vals):
-    """For each shingle 0 if one set only has it, else about how many chunks' worth of sets do."""
+    """For each entry 0 if no other set of a like size has its shingle, else about how many sets do."""
     sizes = [len(x) for x in keys]
-    distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-    owner = np.frombuffer(b"".join(vals), np.int64)
-    weight = np.bincount(index, 1 + (owner == 0), len(distinct)).astype(np.int32)
-    one = np.zeros(len(distinct), np.int64)
-    one[index] = owner
-    differ = np.zeros(len(distinct), bool)
-    differ[index[(owner == 0) | (one[index] != owner)]] = True
-    weight[~differ] = 0
-    return [x.tobytes() for x in np.split(weight[index], np.cumsum(sizes)[:-1])], {}
+    val = np.frombuffer(b"".join(vals), np.uint64)
+    c, owner = (val & _CLASS).astype(np.int64), val >> np.uint64(6)
+    _, token = np.unique(np.concatenate(keys), return_inverse=True)
+    cell = token * 64 + c
+    order = np.lexsort((owner, cell))
+    new = np.append(True, (cell[order][1:] != cell[order][:-1]) | (owner[order][1:] != owner[order][:-1]))
+    weight = np.zeros(len(cell), np.int64)
+    weight[order[new]] = 1  # a set counts once, whichever chunks have it
+    weight[owner == 0] = 2
+    cells, at = np.unique(cell, return_inverse=True)
+    number = np.bincount(at, weight, len(cells)).astype(np.int64)
+    near = number[at]
+    for step, edge in ((-1, c > 0), (1, c < 63)):
+        i = np.minimum(np.searchsorted(cells, cell + step), len(cells) - 1)
+        near = near + np.where(edge & (cells[i] == cell + step), number[i], 0)
+    near = np.where(near > 1, near, 0).astype(np.int32)
+    return [x.tobytes() for x in np.split(near, np.cumsum(sizes)[:-1])], {}
 
 
 def _live(_, chunk: pa.Table, got: pa.Table) -> pa.Table:
     """The sets with shared prefix shingles, those shingles, and the home among them."""
     sids, ns, tokens, homes = [], [], [], []
     if chunk.num_rows and got.num_rows:
-        weight = np.frombuffer(exchange.joined(got), np.int32)
-        asks = chunk["asks"].combine_chunks()[0].values
-        # the chunk's buckets stand in rising order, as do the answers
-        keys = np.frombuffer(b"".join(asks.field("keys").to_pylist()), np.int64)
-        c = {x: np.frombuffer(chunk[x][0].as_py(), t) for x, t in (("sids", np.int64), ("ns", np.int64), ("ps", np.int64), ("index", np.int32))}
-        shared = weight[c["index"]]
-        cuts = np.concatenate(([0], np.cumsum(c["ps"])))
-        alive = np.add.reduceat(shared > 0, cuts[:-1]) if len(c["ps"]) else np.zeros(0)
+        sid, n, p, w = _open(chunk, 0)
+        shared = np.frombuffer(exchange.joined(got), np.int32)[_entries(sid, n, p, w)[2]]
+        w = w.view(np.int64)
+        cuts = np.concatenate(([0], np.cumsum(p)))
+        alive = np.add.reduceat(shared > 0, cuts[:-1])
         for d in np.flatnonzero(alive).tolist():
             part = slice(cuts[d], cuts[d + 1])
-            at, w = c["index"][part], shared[part]
-            at, w = at[w > 0], w[w > 0]
-            key = keys[at]
-            sids.append(int(c["sids"][d]))
-            ns.append(int(c["ns"][d]))
+            key, many = w[part][shared[part] > 0], shared[part][shared[part] > 0]
+            sids.append(int(sid[d]))
+            ns.append(int(n[d]))
             tokens.append(key)
-            homes.append(int(key[np.lexsort((key, -w))[0]]))
+            homes.append(int(key[np.lexsort((key, -many))[0]]))
     return pa.table({"sid": pa.array(sids, pa.int64()), "n": pa.array(ns, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "home": pa.array(homes, pa.int64())})
 
 
@@ -336,6 +372,9 @@ def _block_links(table: pa.Table) -> pa.Table:
     home, block = table["home"].to_numpy(), table["block"].to_numpy()
     sids, res, vis = table["sid"].to_numpy(), table["resident"].to_numpy(), table["visitor"].to_numpy()
     data = table["shingles"].combine_chunks()
+    once = np.append(True, (home[1:] != home[:-1]) | (block[1:] != block[:-1]) | (sids[1:] != sids[:-1])) if len(home) else np.zeros(0, bool)
+    if not once.all():  # a document that stands in the table twice
+        return _block_links(table.filter(pa.array(once)))
     new = np.flatnonzero(np.append(True, (home[1:] != home[:-1]) | (block[1:] != block[:-1]))) if len(home) else np.zeros(0, int)
     links = []
     for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(home)]):
@@ -346,33 +385,35 @@ def _block_links(table: pa.Table) -> pa.Table:
 
 
 def _whole_sets(batches):
-    """(sid, shingles) of texts."""
+    """A row for each place of a text's set: (home, block, sid, resident, visitor, shingles)."""
+    names = ["home", "block", "sid", "resident", "visitor", "shingles"]
     for batch in batches:
-        sids, data = [], []
-        for s in words.slices(batch.column(0), words.SPACED, True):
+        rows: dict[str, list] = {c: [] for c in names}
+        places = batch.column("places").to_pylist()
+        for s in words.slices(batch.column("text"), words.SPACED, True):
             off, w = shingle_sets(s)
-            sids += set_ids(off, w).tolist()
-            data += [x.tobytes() for x in np.split(w, off[1:-1])]
-        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(data, pa.binary())], names=["sid", "shingles"])
+            for d, sid in enumerate(set_ids(off, w).tolist()):
+                data = w[off[d] : off[d + 1]].tobytes()
+                for x in places[s.lo + d]:
+                    for c, v in zip(names, (x["home"], x["block"], sid, x["resident"], x["visitor"], data)):
+                        rows[c].append(v)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], names=names)
 
 
 def members_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``members(id, tkey, n, sid)`` of every document, and ``links(a, b)`` between sets."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
     members = materialize(d.mapInArrow(_members, "id long, tkey long, n long, sid long"), "op3-members")
     buckets = exchange.bucket_count(exchange.total_bytes(d, "text"))
 
     often = d.select("text").mapInArrow(_often, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     hot = often.filter(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "h").limit(HOT).collect()  # at most HOT rows
-    order = spark.sparkContext.broadcast(vars(Order(np.array([r.h for r in reversed(hot)], np.int64).view(np.uint64))))
-
-    path = scratch_path(spark, "op3-chunks")
-    schema = "chunk long, sids binary, ns binary, ps binary, index binary, asks array<struct<bucket:long,keys:binary,vals:binary>>"
-    d.select("text").mapInArrow(_prefixes(order, buckets), schema).write.option("compression", "zstd").parquet(path)
-    chunks = spark.read.parquet(path)
-    asks = chunks.select("chunk", F.explode("asks").alias("a")).select("chunk", "a.*")
-    got = exchange.answers(asks, _shared)
+    order = sc.broadcast(vars(Order(np.array([r.h for r in reversed(hot)], np.int64).view(np.uint64))))
+
+    chunks = materialize(d.select("text").mapInArrow(_prefixes(order), "chunk long, sids binary, ns binary, ps binary, prefix binary"), "op3-chunks")
+    got = exchange.answers(chunks.mapInArrow(_asks(buckets), exchange.ASK), _shared)
     live = chunks.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(_live, "sid long, n long, tokens array<long>, home long")
     # a set that several chunks have: one of their rows, chosen alike each time
     live = live.groupBy("sid").agg(F.min(F.struct("home", "n", "tokens")).alias("x")).select("sid", "x.*")
@@ -389,16 +430,18 @@ def members_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = visits.join(size, "at").withColumn("block", F.explode(F.expr("sequence(0, rs * vs - 1)")))
     placed = placed.withColumn("visitor", F.col("block") % F.col("vs") == F.pmod(F.xxhash64("sid"), F.col("vs")))
     placed = placed.withColumn("resident", F.col("resident") & (F.floor(F.col("block") / F.col("vs")) == F.pmod(F.xxhash64("sid", F.lit(1)), F.col("rs"))))
-    placed = placed.filter("visitor or resident").select("sid", F.col("at").alias("home"), "block", "resident", "visitor", "n")
+    placed = placed.filter("visitor or resident").withColumn("block", F.col("block").cast("long"))
+    total = int(placed.agg(F.sum("n")).first()[0] or 0)
+    placed = placed.groupBy("sid").agg(F.collect_list(F.struct(F.col("at").alias("home"), "block", "resident", "visitor")).alias("places"))
 
-    # the sets themselves, from one document of each
+    # the sets themselves, from one document of each; other texts are not shuffled
     one = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct("id", "tkey")).alias("x"))
-    one = one.join(live.select("sid"), "sid", "left_semi").select(F.col("x.id").alias("rid"), F.col("x.tkey").alias("rkey"))
-    texts = d.join(one, d["id"].eqNullSafe(F.col("rid")) & (d["tkey"] == F.col("rkey")), "left_semi").select("text")
-    sets = texts.mapInArrow(_whole_sets, "sid long, shingles binary").dropDuplicates(["sid"])
-    total = int(placed.agg(F.sum("n")).first()[0] or 0)
+    one = materialize(one.join(placed, "sid").select(F.col("x.id").alias("rid"), F.col("x.tkey").alias("rkey"), "places"), "op3-places")
+    maybe, _ = exchange.split_by_key(d, one, "tkey", "rkey")
+    texts = maybe.join(one, maybe["id"].eqNullSafe(F.col("rid")) & (maybe["tkey"] == F.col("rkey"))).select("text", "places")
+    blocks = texts.mapInArrow(_whole_sets, "home long, block long, sid long, resident boolean, visitor boolean, shingles binary")
     parts = max(1, -(-total // BUCKET_SHINGLES)) * 8
-    blocks = placed.drop("n").join(sets, "sid").withColumn("part", F.pmod(F.xxhash64("home", "block"), F.lit(parts)))
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("home", "block"), F.lit(parts)))
     return members, blocks.groupBy("part").applyInArrow(_block_links, "a long, b long")
 
 

@@ -5,7 +5,7 @@ rest is dealt by hash into blocks of about ``BLOCK_PIECES`` pieces (each leaves
 sequence underfull), and every block is packed in one task: best fit by falling length, then the local search
 over underfull bins.  The search takes the emptiest bin and moves its documents out, exchanges one
 for one, two for one or one for two with another bin, always so that the sum of squared fills rises,
-until bins are empty, the lower bound is met, or a sweep over all bins finds no step.
+until bins are empty and the lower bound is met or the emptiest bins stay.
 
 Defined cases: a null or empty text is the end token alone; rows that share an id are packed each for itself;
 a null id stays null; an empty table gives no rows; clashing columns of the input are not read.
@@ -26,7 +26,7 @@ from textpairs.session import materialize
 CAPACITY = 4096
 END_ID = 1
 BLOCK_PIECES = 16_384
-MAX_SWEEPS = 8
+PATIENCE = 32
 CACHED_WORDS = 400_000
 CACHED_WORD_BYTES = 48
 
@@ -124,20 +124,29 @@ class _Underfull:
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Fewer or equal bins with the same items; every step raises the sum of squared fills."""
+    """Fewer or equal bins with the same items; every step raises the sum of squared fills.
+
+    The emptiest bins give first.  A sweep ends when ``PATIENCE`` bins in a row could not be emptied; the search
+    ends at the lower bound, or after a sweep that emptied none.
+    """
     full = [b for b in bins if int(lengths[b].sum()) == capacity]
     rest = [b for b in bins if int(lengths[b].sum()) < capacity]
-    least = -(-int(sum(int(lengths[b].sum()) for b in rest)) // capacity)
+    least = -(-sum(int(lengths[b].sum()) for b in rest) // capacity)
     u = _Underfull(rest, lengths, capacity)
-    used = len(rest)
-    for _ in range(MAX_SWEEPS):
-        better = False
+    used, emptied = len(rest), True
+    while emptied and used > least:
+        emptied, failed = False, 0
         for s in np.argsort(u.fill, kind="stable").tolist():
-            while used > least and u.bins[s] and u.step(s):
-                better = True
-                used -= not u.bins[s]
-        if not better or used <= least:
-            break
+            if not u.bins[s]:
+                continue
+            while u.bins[s] and u.step(s):
+                pass
+            if u.bins[s]:
+                failed += 1
+            else:
+                used, failed, emptied = used - 1, 0, True
+            if used <= least or failed == PATIENCE:
+                break
     return full + [b for b in u.bins if b]
 
 
