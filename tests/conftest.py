@@ -13,7 +13,7 @@ MEDIUM = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(cores="4", shuffle_partitions=8)
+    s = local_session(cores=os.environ.get("TEST_CORES", "4"), shuffle_partitions=8)
     yield s
     s.stop()
 

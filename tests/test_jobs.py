@@ -19,4 +19,15 @@ def test_ingest_profile_prepare(spark, write_files, tmp_path):
     va = spark.read.parquet(f"{out}/prep/batches_val")
     assert tr.count() == 300 * 4 // 5 and va.count() == 300 - 240
     assert spark.read.parquet(f"{out}/prep/vocab").count() > 4
+    assert spark.read.parquet(f"{out}/prep/encoded_train").count() == 300
     assert session.scratch_mark() == before  # each step removed only its own intermediates
+
+
+def test_ingest_takes_whole_files_and_keeps_folder_names(spark, write_files, tmp_path):
+    root = write_files({"007/m.txt": "q\na\n" * 10050, "7/m.txt": "q\na\n", "07/none.txt": "only\n"})
+    out = str(tmp_path / "out")
+    jobs.main(["ingest", "--input", root, "--output", out])
+    pairs = spark.read.parquet(f"{out}/pairs")
+    assert {r[0]: r[1] for r in pairs.groupBy("folder").count().collect()} == {"007": 10050, "7": 1}
+    rep = {(r["folder"], r["module"]): (r["files"], r["pairs"]) for r in spark.read.parquet(f"{out}/report").collect()}
+    assert rep[("007", "m")] == (1, 10050) and rep[("7", None)] == (1, 1) and rep[("07", "none")] == (1, 0) and rep[(None, None)] == (3, 10051)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textpairs.functions import arrays as A
 from textpairs.functions.text import WHITESPACE, chars, strip
-from textpairs.operators import batching, evaluate, rank, vectors, vocab
+from textpairs.operators import batching, clean, evaluate, rank, vectors, vocab
 
 TEXTS = ["abc", "", "é", "é", "😀x", "a b\tc", "Zz"]
 
@@ -136,14 +136,14 @@ def test_argmax_softmax_xent(spark):
 
 def _emb(spark, n_groups=3, per=40, d=6, seed=0):
     rng = np.random.default_rng(seed)
-    rows = [(g, g * 1000 + i, [float(x) for x in rng.normal(size=d)]) for g in range(n_groups) for i in range(per)]
+    rows = [(g, i, [float(x) for x in rng.normal(size=d)]) for g in range(n_groups) for i in range(per)]
     return spark.createDataFrame(rows, "g int, pos long, v array<float>"), rows
 
 
 @pytest.mark.parametrize("causal", [True, False])
 def test_attention_blocked_equals_single_block_and_numpy(spark, causal):
     df, rows = _emb(spark)
-    one = {(r["g"], r["q_pos"]): r for r in vectors.attention(df, "g", "pos", "v", causal=causal, block_size=512).collect()}
+    one = {(r["g"], r["q_pos"]): r for r in vectors.attention(df, "g", "pos", "v", causal=causal, block_size=64).collect()}
     many = {(r["g"], r["q_pos"]): r for r in vectors.attention(df, "g", "pos", "v", causal=causal, block_size=7).collect()}
     assert one.keys() == many.keys() and len(one) == len(rows)
     for key, r in one.items():
@@ -171,6 +171,38 @@ def test_batch_predict_runs_caller_model(spark):
     assert sorted((r["k"], r["pred_ids"]) for r in out.collect()) == [(1, [1, 6, 5, 2]), (2, [1, 2])]
 
 
+def test_attention_rejects_positions_beyond_the_sequence(spark):
+    df = spark.createDataFrame([(0, 9, [1.0])], "g int, pos long, v array<float>")
+    with pytest.raises(Exception, match="position outside"):
+        vectors.attention(df, "g", "pos", "v", max_len=9).collect()
+
+
+def test_echo_model_keeps_the_contract():
+    predict = evaluate.echo_predictor()
+    got = predict([np.array([2, 5, 6, 1]), np.array([2, 1])], np.array([3, 4]))
+    assert [x.tolist() for x in got] == [[2, 5, 6], [2, 1, 3, 3]]
+
+
+def test_large_vocabulary_and_join_form_agree(spark):
+    tokens = [chr(c) for c in range(0x20, 0x40000) if not 0xD800 <= c < 0xE000]
+    voc = vocab.Vocabulary(A.SPECIALS + tuple(tokens))
+    assert voc.size > 200_000
+    table = spark.createDataFrame([(t, i) for i, t in enumerate(voc.itos)], "token string, id int")
+    df = _qa(spark, ["a\U0002F800é", "\U0010FFFF", "", None, "\U0001F600 b"])
+    inline = {r["k"]: r["question_ids"] for r in vocab.encode_columns(df, voc).collect()}
+    joined = {r["k"]: r["question_ids"] for r in vocab.encode_by_join(df, table, ["k"], "question", "question_ids").collect()}
+    assert inline == joined and inline[0][2] == voc.itos.index("\U0002F800") and inline[1] == [A.BOS, A.UNK, A.EOS]
+
+
+def test_split_by_keeps_null_and_lookalike_keys(spark):
+    df = spark.createDataFrame([("7", 1), ("07", 2), ("", 3), (None, 4), ("7", 5)], "key string, v int")
+    parts = {k: sorted(r["v"] for r in x.collect()) for k, x in clean.split_by(df, "key").items()}
+    assert parts == {"7": [1, 5], "07": [2], "": [3], None: [4]}
+    assert clean.split_by(df.limit(0), "key") == {}
+    with pytest.raises(ValueError, match="distinct"):
+        clean.distinct_keys(df, "key", max_keys=2)
+
+
 def test_ranks_with_large_scale_settings(spark):
     df = spark.range(400).withColumnRenamed("id", "k")
     five = {r["k"]: r["rank"] for r in rank.hash_rank(df, ["k"], seed=9, digits=5).collect()}

@@ -22,12 +22,16 @@ def test_hot_conversation_pairs_by_join(spark, tmp_path):
     assert "Window" not in plan
 
 
-def test_hot_group_attention_is_exact_and_spread(spark):
+def test_long_sequence_attention_is_exact_and_spread(spark):
     rng = np.random.default_rng(1)
     rows = [(0, i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
-    rows += [(g, 10_000 + g * 10 + i, [float(x) for x in rng.normal(size=4)]) for g in range(1, 6) for i in range(3)]
+    rows += [(g, i, [float(x) for x in rng.normal(size=4)]) for g in range(1, 6) for i in range(3)]
     df = spark.createDataFrame(rows, "g int, pos long, v array<float>")
-    out = {(r["g"], r["q_pos"]): r for r in vectors.attention(df, "g", "pos", "v", causal=True, block_size=16).collect()}
+    att = vectors.attention(df, "g", "pos", "v", causal=True, max_len=300, block_size=16)
+    plan = att._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+    assert "hashpartitioning(seq" in plan and ", blk" in plan[plan.index("hashpartitioning(seq") :].split(")")[0]
+    out = {(r["g"], r["q_pos"]): r for r in att.collect()}
     assert len(out) == len(rows)
     hot = [(p, np.array(v, dtype=np.float32).astype(np.float64)) for g, p, v in rows if g == 0]
     for qp, qv in hot[::37]:

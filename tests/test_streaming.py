@@ -11,32 +11,42 @@ def test_stream_equals_batch(spark, write_files, tmp_path):
             "fa/m1.txt": "".join(f"q{i} é\na{i}\n" for i in range(300)) + "tail\n",
             "fb/m2.txt": "q0\r\n a0  \nq1\na1",
             "fb/m3.txt": "q\n\n\na\n",
+            "fb/m4.csv": "one",
+            "fb/mark.txt": "\ufeffq\na\n",
+            "fb/_hidden.txt": "q\na\n",
         }
     )
     batch, unpaired, _ = files.read_qa(spark, root)
+    lines, unpaired_lines, _ = files.read_qa(spark, root, whole_file_bytes=-1)
     voc = vocab.Vocabulary.from_df(vocab.build_vocab(batch))
-    stream = ingest.encode_stream(ingest.stream_pairs(spark, root + "/*/*.txt", max_files_per_trigger=1), voc)
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    ingest.run_available(stream, out, ck)
-    got = spark.read.parquet(out)
+
+    def run():
+        ingest.run_available(ingest.stream_files(spark, root + "/*/*", max_files_per_trigger=1), voc, out, ck)
+
+    run()
+    got = ingest.read_stream_output(spark, out, "pairs")
     cols = ["folder", "module", "pair_idx", "question", "answer"]
     s = sorted(tuple(r) for r in got.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
-    assert s == b and len(s) == 300 + 2 + 2
+    ln = sorted(tuple(r) for r in lines.select(*cols).collect())
+    assert s == b == ln and len(s) == 300 + 2 + 2 + 1 and ("fb", "mark", 0, "q", "a") in s
+    tails = [sorted(tuple(r) for r in u.select("folder", "module", "ln", "text").collect()) for u in (unpaired, unpaired_lines, ingest.read_stream_output(spark, out, "unpaired"))]
+    assert tails[0] == tails[1] == tails[2] == [("fa", "m1", 600, "tail"), ("fb", "m4", 0, "one")]
     enc = {(r["module"], r["pair_idx"]): r["question_ids"] for r in vocab.encode_columns(batch, voc).collect()}
     assert {(r["module"], r["pair_idx"]): r["question_ids"] for r in got.collect()} == enc
     # a second run over the same checkpoint finds nothing new (exactly-once file tracking)
-    ingest.run_available(stream, out, ck)
-    assert spark.read.parquet(out).count() == len(s)
+    run()
+    assert ingest.read_stream_output(spark, out, "pairs").count() == len(s)
 
 
 def test_stream_picks_up_new_files_only(spark, write_files, tmp_path):
     root = write_files({"fa/m1.txt": "q1\na1\n"})
     voc = vocab.Vocabulary(("<unk>", "<eos>", "<bos>", "<pad>", "q", "a", "1", "2"))
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    ingest.run_available(ingest.encode_stream(ingest.stream_pairs(spark, root + "/*/*.txt"), voc), out, ck)
-    assert spark.read.parquet(out).count() == 1
+    ingest.run_available(ingest.stream_files(spark, root + "/*/*"), voc, out, ck)
+    assert ingest.read_stream_output(spark, out, "pairs").count() == 1
     (tmp_path / "corpus" / "fa" / "m2.txt").write_text("q2\na2\nq2\na2\n")
-    ingest.run_available(ingest.encode_stream(ingest.stream_pairs(spark, root + "/*/*.txt"), voc), out, ck)
-    got = sorted((r["module"], r["pair_idx"], r["question_ids"]) for r in spark.read.parquet(out).collect())
+    ingest.run_available(ingest.stream_files(spark, root + "/*/*"), voc, out, ck)
+    got = sorted((r["module"], r["pair_idx"], r["question_ids"]) for r in ingest.read_stream_output(spark, out, "pairs").collect())
     assert got == [("m1", 0, [2, 4, 6, 1]), ("m2", 0, [2, 4, 7, 1]), ("m2", 1, [2, 4, 7, 1])]

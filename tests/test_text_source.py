@@ -96,12 +96,55 @@ def test_names_and_errors(spark, write_files, whole):
 
 
 def test_ingest_report_rollup(spark, write_files):
-    root = write_files({"fa/m1.txt": "q\na\nq\na\n", "fb/m1.txt": "q\na\n", "fb/m2.txt": "q\na\n"})
-    pairs, _, _ = files.read_qa(spark, root)
-    rep = {(r["folder"], r["module"]): (r["files"], r["pairs"]) for r in files.ingest_report(pairs).collect()}
+    root = write_files({"fa/m1.txt": "q\na\nq\na\n", "fb/m1.txt": "q\na\n", "fb/m2.txt": "q\na\n", "fb/none.txt": "q\n", "f c/m é.txt": "q\na\n"})
+    pairs, _, listing = files.read_qa(spark, root)
+    rep = {(r["folder"], r["module"]): (r["files"], r["pairs"]) for r in files.ingest_report(pairs, files.listed_files(spark, listing)).collect()}
     assert rep[("fa", "m1")] == (1, 2)
-    assert rep[("fb", None)] == (2, 2)
-    assert rep[(None, None)] == (3, 4)
+    assert rep[("fb", None)] == (3, 2)
+    assert rep[("fb", "none")] == (1, 0)
+    assert rep[("f c", "m é")] == (1, 1)
+    assert rep[(None, None)] == (5, 5)
+
+
+@PATHS
+def test_marks_repeated_names_and_compressed_files(spark, write_files, whole):
+    import gzip
+
+    root = write_files({"fa/m001.txt": "\ufeffq0\na0\nq1\na1\nodd\n", "fb/other.txt": "x\ny\n"})
+    with gzip.open(f"{root}/fa/z.txt.gz", "wb") as f:
+        f.write(b"qz\naz\n")
+    pairs, unpaired, listing = files.read_qa(spark, root, folders=["fa", "fa"], files=["m001.txt", "m001.txt", "z.txt.gz"], whole_file_bytes=whole)
+    assert _rows(pairs, "question", "answer") == [("q0", "a0"), ("q1", "a1"), ("qz", "az")]
+    assert _rows(unpaired, "ln", "text") == [(4, "odd")]
+    assert len(listing["files"]) == 2 and len(listing["folders"]) == 1
+
+
+def test_whole_files_by_default(spark, write_files):
+    root = write_files({"fa/m.txt": "q\na\n" * 10001})
+    assert files.read_qa(spark, root)[0].count() == 10001
+    assert files.read_qa(spark, root, samples_per_module=7)[0].count() == 7
+
+
+def test_line_path_sorts_no_aggregate_over_text(spark, write_files):
+    root = write_files({"fa/m.txt": "q\na\n"})
+    pairs, _, _ = files.read_qa(spark, root, whole_file_bytes=-1)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "folder" not in plan[plan.index("hashpartitioning(file") :]
+
+
+def test_split_and_layout_keep_odd_names(spark, tmp_path):
+    rows = [(k, i) for i, k in enumerate(["", "7", "07", "007", None, "null", "a/b", "7"])]
+    df = spark.createDataFrame(rows, "key string, v int")
+    files.write_split(df, str(tmp_path / "s"), "key")
+    got = {k: sorted(r["v"] for r in x.collect()) for k, x in files.read_split(spark, str(tmp_path / "s"), "key").items()}
+    assert got == {None: [4], "": [0], "007": [3], "07": [2], "7": [1, 7], "a/b": [6], "null": [5]}
+    root = str(tmp_path / "d")
+    for m in ("007", "7", "a/b"):
+        files.write_dataset(df.filter(F.col("key") == m).select("v"), root, "test", m, 5)
+        files.write_dataset(df.filter(F.col("key") == m).select(F.array("v").alias("ids")), root, "test", m, 5, tokenized=True)
+    assert [r["v"] for r in files.read_dataset(spark, root, "test", "007", 5).collect()] == [3]
+    assert [r["ids"] for r in files.read_dataset(spark, root, "test", "a/b", 5, tokenized=True).collect()] == [[6]]
+    assert files.read_dataset(spark, root, "test", "7", 5).columns == ["v"]
 
 
 def test_csv_round_trip_keeps_quotes_empty_null(spark, tmp_path):
@@ -112,6 +155,8 @@ def test_csv_round_trip_keeps_quotes_empty_null(spark, tmp_path):
         ("q4", "None", "f", "m"),
         ("back\\slash", "multi\nline", "f", "m"),
         ("\\N", "\\\\N", "f", "m"),
+        (" lead", "trail ", "\x01ctl", "ctl\x02"),
+        ("\t", " ", "f", "m"),
     ]
     df = spark.createDataFrame(rows, files.QA_SCHEMA)
     path = str(tmp_path / "qa.csv")

@@ -103,15 +103,6 @@ def softmax(values) -> Column:
     return F.transform(v, lambda x: F.exp(x - m) / total)
 
 
-def dot(a, b) -> Column:
-    """Inner product of two numeric arrays, in double."""
-    return F.aggregate(
-        F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0).cast("double"),
-        lambda acc, x: acc + x,
-    )
-
-
 def hadamard(a, b) -> Column:
     """VEC4: element-wise product, in double."""
     return F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpairs.functions.arrays import pad_to, shift_input, shift_mask, shift_target, src_mask, trg_mask
+from textpairs.operators.vocab import Vocabulary
 
 
 def pad_batches(
@@ -21,10 +22,8 @@ def pad_batches(
 ) -> DataFrame:
     """AGG10 + FUN6: pad every id column to the longest one of its batch."""
     w = Window.partitionBy(*batch_keys)
-    out = df
-    for c in ids_cols:
-        out = out.withColumn(f"{c}{suffix}", pad_to(F.col(c), F.max(F.size(c)).over(w)))
-    return out
+    widths = {f"__w_{c}": F.max(F.size(c)).over(w) for c in ids_cols}
+    return df.withColumns(widths).withColumns({f"{c}{suffix}": pad_to(F.col(c), F.col(f"__w_{c}")) for c in ids_cols}).drop(*widths)
 
 
 def make_batches(
@@ -43,6 +42,31 @@ def make_batches(
     out = pad_batches(df, (q_col, a_col), batch_keys).withColumnRenamed(f"{q_col}_padded", "questions").withColumnRenamed(
         f"{a_col}_padded", "answers"
     )
+    return _finish(out, with_masks, extra_cols)
+
+
+def encode_batches(
+    df: DataFrame,
+    vocab: Vocabulary,
+    text_cols=("question", "answer"),
+    batch_keys=("batch_id",),
+    with_masks: bool = False,
+    extra_cols=(),
+) -> DataFrame:
+    """FUN13 from text: the batch shuffle carries the texts, and ids are made and padded after it.
+
+    A text of n code points has n + 2 ids, so the batch maximum is known from the text; both
+    columns share one window.  Adds ``<col>_ids`` and the columns of ``make_batches``.
+    """
+    w = Window.partitionBy(*batch_keys)
+    widths = {f"__w_{c}": F.max(F.length(c) + F.lit(2)).over(w) for c in text_cols}
+    ids = {f"{c}_ids": vocab.encode(c) for c in text_cols}
+    padded = {out: pad_to(F.col(f"{c}_ids"), F.col(f"__w_{c}")) for c, out in zip(text_cols, ("questions", "answers"))}
+    out = df.withColumns(widths).withColumns(ids).withColumns(padded).drop(*widths)
+    return _finish(out, with_masks, extra_cols)
+
+
+def _finish(out: DataFrame, with_masks: bool, extra_cols) -> DataFrame:
     if with_masks:
         out = out.withColumn("questions_mask", src_mask("questions")).withColumn("answers_mask", trg_mask("answers"))
     if extra_cols:

@@ -11,12 +11,12 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-log = logging.getLogger(__name__)
-
 from textpairs.fixed import SEQUENCE_LENGTH
 
-# The position budget gives the two limits: a question of SEQUENCE_LENGTH ids, and an
-# answer one longer (it is shifted by one position before use).
+log = logging.getLogger(__name__)
+
+# The position budget of the network gives two limits: a question of SEQUENCE_LENGTH ids, and an
+# answer one longer (it is shifted by one position before use).  Nothing applies them unasked.
 QUESTION_LIMIT = SEQUENCE_LENGTH
 ANSWER_LIMIT = SEQUENCE_LENGTH + 1
 
@@ -25,7 +25,7 @@ def require_columns(df: DataFrame, cols) -> None:
     """FLT1: raise ValueError naming the first missing column."""
     for c in cols:
         if c not in df.columns:
-            raise ValueError(f"DataFrame is missing the column '{c}'")
+            raise ValueError(f"column {c!r} is needed here; the frame has {df.columns}")
 
 
 def require_nonempty(df: DataFrame, what: str = "input", strict: bool = True) -> bool:
@@ -33,8 +33,8 @@ def require_nonempty(df: DataFrame, what: str = "input", strict: bool = True) ->
     empty = df.isEmpty()
     if empty:
         if strict:
-            raise ValueError(f"The {what} DataFrame is empty.")
-        log.warning("The %s DataFrame is empty.", what)
+            raise ValueError(f"no rows in the {what} frame")
+        log.warning("no rows in the %s frame", what)
     return not empty
 
 
@@ -44,23 +44,33 @@ def qa_only(df: DataFrame) -> DataFrame:
     return df.select("question", "answer")
 
 
-def distinct_keys(df: DataFrame, key: str) -> list:
-    """AGG3 / SET2: distinct values of ``key`` in ascending order (one row per key reaches the driver)."""
+MAX_KEYS = 100_000
+
+
+def distinct_keys(df: DataFrame, key: str, max_keys: int = MAX_KEYS) -> list:
+    """AGG3 / SET2: distinct values of ``key`` in ascending order, null first.
+
+    One row per key reaches the driver, so more than ``max_keys`` are an error: a frame
+    of many keys is better grouped than split into named frames.
+    """
     require_columns(df, [key])
-    return [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
+    keys = [r[0] for r in df.select(key).distinct().orderBy(F.asc_nulls_first(key)).limit(max_keys + 1).collect()]
+    if len(keys) > max_keys:
+        raise ValueError(f"{key!r} has more than {max_keys} distinct values; group by it instead")
+    return keys
 
 
 def split_by(df: DataFrame, key: str) -> dict:
-    """FLT3 / FLT4: ``{value: df.filter(key == value)}`` - lazy filters, one per distinct key.
+    """FLT3 / FLT4: ``{value: rows of that value}`` - lazy filters, one per distinct key, null among them.
 
-    Equal module names in different folders are merged (FLT4), as in the reference.
-    An empty frame gives an empty dict.
+    Equal module names in different folders are merged (FLT4).  An empty frame gives an
+    empty dict.
     """
     require_columns(df, [key])
     if df.isEmpty():
-        log.warning("The input DataFrame is empty. Returning an empty dictionary.")
+        log.warning("nothing to split: the frame has no rows")
         return {}
-    return {k: df.filter(F.col(key) == F.lit(k)) for k in distinct_keys(df, key)}
+    return {k: df.filter(F.col(key).eqNullSafe(F.lit(k))) for k in distinct_keys(df, key)}
 
 
 def null_report(df: DataFrame, cols=("question", "answer")) -> DataFrame:
@@ -79,22 +89,21 @@ def require_all_strings(df: DataFrame, cols=("question", "answer")) -> None:
         raise TypeError(f"text columns must hold strings only; nulls found: {bad}")
 
 
-def within_budget_condition(q_ids: str = "question_ids", a_ids: str = "answer_ids"):
-    return (F.size(q_ids) <= F.lit(QUESTION_LIMIT)) & (F.size(a_ids) <= F.lit(ANSWER_LIMIT))
-
-
-def within_budget_text(df: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
-    """FLT6 before encoding: ``size(ids) = length + 2`` exactly (one id per code point plus
-    <bos> and <eos>), so the budget can be applied to the text and only the rows that
-    survive are encoded."""
-    return df.filter(
-        (F.length(question) + F.lit(2) <= F.lit(QUESTION_LIMIT)) & (F.length(answer) + F.lit(2) <= F.lit(ANSWER_LIMIT))
-    )
+def within_budget_condition(question: str = "question", answer: str = "answer", question_limit: int | None = None, answer_limit: int | None = None):
+    """FLT6 on the text: ``size(ids) = length + 2`` exactly (one id per code point plus <bos> and
+    <eos>), so the budget needs no encoding.  A limit of None lets every length pass."""
+    cond = F.lit(True)
+    for c, limit in ((question, question_limit), (answer, answer_limit)):
+        if limit is not None:
+            cond = cond & (F.length(c) + F.lit(2) <= F.lit(limit))
+    return cond
 
 
-def within_budget(df: DataFrame, q_ids: str = "question_ids", a_ids: str = "answer_ids") -> DataFrame:
-    """FLT6: keep rows whose encoded question / answer fit the position budget."""
-    return df.filter(within_budget_condition(q_ids, a_ids))
+def within_budget_text(df: DataFrame, question: str = "question", answer: str = "answer", question_limit: int | None = None, answer_limit: int | None = None) -> DataFrame:
+    """FLT6: the rows whose texts fit the given limits; all rows when none is given."""
+    if question_limit is None and answer_limit is None:
+        return df
+    return df.filter(within_budget_condition(question, answer, question_limit, answer_limit))
 
 
 def budget_report(df: DataFrame, by: str = "folder", q_ids: str = "question_ids", a_ids: str = "answer_ids") -> DataFrame:

@@ -36,7 +36,7 @@ def accuracy(df: DataFrame, match_col: str = "match", by=None) -> DataFrame:
 def first_batches(df: DataFrame, fraction: float, batch_col: str = "batch_id") -> tuple[DataFrame, int, int]:
     """SRT6: rows of the first ``int(n_batches * fraction)`` batches (fraction in [0, 1])."""
     if not 0.0 <= fraction <= 1.0:
-        raise ValueError("infer_percent must be a fraction between 0 and 1")
+        raise ValueError(f"fraction is a share of the batches, from 0 to 1; got {fraction!r}")
     n_batches = df.agg(F.max(batch_col)).first()[0]
     n_batches = 0 if n_batches is None else int(n_batches) + 1
     k = int(n_batches * fraction)
@@ -97,6 +97,21 @@ def batch_predict(
     return df.select(*cols).mapInPandas(run, schema)
 
 
+def echo_predictor():
+    """Deterministic stand-in model that keeps UDF1's contract: exactly ``max_len`` ids that start with
+    <bos>.  It answers with the question (cut or padded), so it is right where the two are equal."""
+
+    def predict(ids, max_lens):
+        out = []
+        for x, n in zip(ids, max_lens):
+            y = np.full(int(n), PAD, dtype=np.int32)
+            y[: min(int(n), len(x))] = np.asarray(x)[: int(n)]
+            out.append(y)
+        return out
+
+    return predict
+
+
 def reverse_predictor():
     """Deterministic stand-in model for tests and checks: the question ids reversed."""
 
@@ -111,6 +126,7 @@ __all__ = [
     "argmax_long",
     "batch_examples",
     "batch_predict",
+    "echo_predictor",
     "first_batches",
     "masked_cross_entropy",
     "match_predictions",

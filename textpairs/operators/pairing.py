@@ -6,10 +6,8 @@ Two physical forms, one meaning:
   a streamed file).  Lines are split and paired *inside the row* with array functions,
   so the operator is narrow: no shuffle, no window, any number of partitions.
 * ``pairs_from_lines`` - one row per line with a global line number (the
-  large-file path, see ``sources.files``).  Pairs are formed by grouping on
-  ``(file, ln div 2)``; the partial aggregate merges the two lines of a pair
-  map-side whenever they sit in one split, and a huge file is spread over many
-  tasks instead of one.
+  large-file path, see ``sources.files``).  Even and odd lines are joined on
+  ``(file, ln div 2)``, so a huge file is spread over many tasks instead of one.
 
 Line semantics follow Python's text-mode file iteration: ``\\n``, ``\\r\\n`` and
 ``\\r`` end a line, a final newline does not open an empty line, an empty text has
@@ -46,9 +44,9 @@ def _check_mode(on_unpaired: str) -> None:
 
 def _check_cap(cap) -> None:
     if cap is not None and (not isinstance(cap, int) or isinstance(cap, bool)):
-        raise TypeError("samples_per_module must be an integer")
+        raise TypeError(f"the cap on pairs is a whole number or None, got {type(cap).__name__}")
     if cap is not None and cap <= 0:
-        raise ValueError("samples_per_module must be a positive integer")
+        raise ValueError(f"the cap on pairs is above 0, got {cap}")
 
 
 def _exploded_lines(df: DataFrame, text_col: str, keys: list[str], cap: int | None) -> DataFrame:
@@ -92,10 +90,16 @@ def pairs_in_rows(
 
 
 def unpaired_in_rows(df: DataFrame, text_col: str, keys: list[str], cap: int | None = None) -> DataFrame:
-    """SRC6 quarantine: (keys..., ln, text) of an odd last line reached before the cap."""
+    """SRC6 quarantine: (keys..., ln, text) of an odd last line reached before the cap.
+
+    At most one line per text, so nothing is exploded: the last line where their number is odd.
+    """
     _check_cap(cap)
-    ex = _exploded_lines(df, text_col, keys, cap)
-    return ex.filter(F.col("a").isNull()).select(*keys, "ln", F.col("q").alias("text"))
+    lines = df.select(*keys, text_lines(text_col).alias("__lines"))
+    odd = F.size("__lines") % 2 == 1
+    if cap is not None:
+        odd = odd & (F.size("__lines") <= F.lit(2 * cap))
+    return lines.filter(odd).select(*keys, (F.size("__lines") - 1).cast("long").alias("ln"), F.element_at("__lines", -1).alias("text"))
 
 
 def pairs_from_lines(
@@ -106,31 +110,26 @@ def pairs_from_lines(
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, unpaired) from one row per line ``(keys..., ln, value)``.
 
-    Grouping is on ``keys + [ln div 2]``: at most two lines per group, so no group can
-    grow with the data however large one file is.
+    Even lines are joined with odd ones on ``keys + [ln div 2]``: one row on each side, so no key
+    can grow with the data however large one file is, and the lines are sorted once, after
+    their shuffle (an aggregate over text would also sort them before it).
     """
     _check_mode(on_unpaired)
     _check_cap(cap)
     if cap is not None:
         lines = lines.filter(F.col("ln") < F.lit(2 * cap))
-    even = F.col("ln") % 2 == 0
-    grouped = lines.groupBy(*keys, F.shiftright(F.col("ln"), 1).alias("pair_idx")).agg(
-        F.max(F.when(even, F.col("value"))).alias("q"),
-        F.max(F.when(~even, F.col("value"))).alias("a"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    unpaired = grouped.filter(F.col("n") == 1).select(
-        *keys, (F.col("pair_idx") * 2).alias("ln"), F.col("q").alias("text")
-    )
+    pair = F.shiftright(F.col("ln"), 1).alias("pair_idx")
+    even = lines.filter(F.col("ln") % 2 == 0).select(*keys, pair, F.col("value").alias("q"))
+    odd = lines.filter(F.col("ln") % 2 == 1).select(*keys, pair, F.col("value").alias("a"))
+    both = even.join(odd, [*keys, "pair_idx"], "left")
+    unpaired = both.filter(F.col("a").isNull()).select(*keys, (F.col("pair_idx") * 2).alias("ln"), F.col("q").alias("text"))
     answer = strip(F.col("a"))
     if on_unpaired == "fail":
         answer = F.when(
-            F.col("n") == 1,
+            F.col("a").isNull(),
             F.raise_error(F.concat(F.lit("unpaired trailing line at "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))),
         ).otherwise(answer)
     else:
-        grouped = grouped.filter(F.col("n") == 2)
-    pairs = grouped.select(
-        *keys, "pair_idx", strip(F.col("q")).alias("question"), answer.cast("string").alias("answer")
-    )
+        both = both.filter(F.col("a").isNotNull())
+    pairs = both.select(*keys, "pair_idx", strip(F.col("q")).alias("question"), answer.cast("string").alias("answer"))
     return pairs, unpaired

@@ -47,13 +47,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def value_share(df: DataFrame, column: str) -> DataFrame:
     """AGG5: adds ``share`` = count / total.
 
-    The total is one number (a count job); dividing by it keeps the aggregated rows
-    distributed, where a window over all of them would gather a high-cardinality
-    column into one partition.
+    The total is a scalar subquery over the counted values, so the rows are read once and the
+    counts stay distributed (a window over all of them would gather them into one partition).
     """
-    total = df.filter(F.col(column).isNotNull()).count()
     vc = value_counts(df, column)
-    return vc.withColumn("share", F.col("count") / F.lit(float(total)) if total else F.lit(None).cast("double"))
+    return vc.withColumn("share", F.col("count") / vc.agg(F.sum("count")).scalar().cast("double"))
 
 
 def length_stats(df: DataFrame, cols=("question", "answer"), approx: bool = False, rounded: bool = True) -> DataFrame:
@@ -155,17 +153,27 @@ def box_stats(df: DataFrame, column: str = "question", by: str = "folder", appro
     )
 
 
+BROADCAST_GROUPS = 100_000
+SALTS = 64
+
+
 def box_outliers(df: DataFrame, keys: list[str], column: str = "question", by: str = "folder", approx: bool = False) -> DataFrame:
     """AGG9 outliers: (keys..., by, length) of the points beyond the fences.
 
-    Fences come from the histogram (one row per group); the row pass joins them with
-    the strategy AQE picks from their real size.
+    Fences come from the histogram, one row per group.  Up to ``BROADCAST_GROUPS`` groups
+    (counted) they are broadcast; beyond, rows and fences are joined on the group and a
+    salt, so that a group that holds most rows is spread over ``SALTS`` tasks.
     """
     require_columns(df, [column, by, *keys])
     fences = _box_fences(_length_hist_by(df, column, by), by, approx)
     lens = df.select(*keys, *([by] if by not in keys else []), code_length(column).alias("length"))
+    if fences.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        joined = lens.join(F.broadcast(fences), by)
+    else:
+        salted = fences.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = lens.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(salted, [by, "__salt"])
     return (
-        lens.join(fences, by)
+        joined
         .filter((F.col("length") < F.col("lo_fence")) | (F.col("length") > F.col("hi_fence")))
         .select(*keys, *([by] if by not in keys else []), "length")
     )
@@ -174,13 +182,13 @@ def box_outliers(df: DataFrame, keys: list[str], column: str = "question", by: s
 def head_sample(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     """SRT1: first ``n`` rows in key order - a top-k (TakeOrderedAndProject), no full sort."""
     if not isinstance(n, int) or n <= 0:
-        raise ValueError("num_samples must be a positive integer")
+        raise ValueError(f"a sample needs a whole number of rows above 0; got {n!r}")
     return df.orderBy(*order).limit(n)
 
 
 def random_sample(df: DataFrame, keys: list[str], n: int = 5, seed: int = DEFAULT_SEED) -> DataFrame:
     """SRT2: exactly ``n`` rows without replacement (all rows when fewer), seeded and repeatable."""
     if not isinstance(n, int) or n <= 0:
-        raise ValueError("num_samples must be a positive integer")
+        raise ValueError(f"a sample needs a whole number of rows above 0; got {n!r}")
     h = order_hash(seed, *keys)
     return df.withColumn("__h", h).orderBy("__h", *keys).limit(n).drop("__h")

@@ -175,6 +175,6 @@ def batch_ids(df: DataFrame, rank_col: str = "rank", batch_size: int = 32) -> Da
     """WIN4: ``batch_id = rank div batch_size``, ``pos_in_batch = rank mod batch_size``; last batch partial."""
     if not isinstance(batch_size, int) or batch_size <= 0:
         raise ValueError("batch_size must be a positive integer")
-    return df.withColumn("batch_id", F.floor(F.col(rank_col) / F.lit(batch_size)).cast("long")).withColumn(
+    return df.withColumn("batch_id", F.expr(f"`{rank_col}` div {batch_size}")).withColumn(
         "pos_in_batch", F.pmod(F.col(rank_col), F.lit(batch_size)).cast("int")
     )

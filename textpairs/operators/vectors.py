@@ -1,19 +1,16 @@
-"""Attention-style operators on tables of vectors (VEC1-VEC5, JOI5, WIN6).
-
-Input: one row per vector ``(group, pos, vec array<float>)``; inside a group every
-vector is a query and a key; with ``causal=True`` a query at ``q`` sees keys at
-``k <= q``.  Per query the operator returns the scaled-dot-score summary (number of
-visible keys, best key, max score, log of the softmax normaliser), the
-softmax-weighted pooling of the key vectors, and optionally that pooling times a
-role vector.
-
-No (query, key) pair is ever a row.  Each group is cut into hash blocks of about
-``block_size`` vectors (``pmod(xxhash64(pos), n_blocks)``, ``n_blocks`` from the
-group's size, so a huge group becomes many blocks and no block grows with the data).
-Block pairs of a group are joined and a vectorised numpy kernel computes, per
-query, the partial softmax state over one key block: ``(max, sum exp, sum exp * v)``.
-Partials of one query are merged exactly with built-in aggregates (the online-softmax
-rule), dimension by dimension, so no task ever holds a whole group.
+"""Attention inside sequences of vectors (VEC1-VEC4, JOI5, WIN6).
+
+Input: one row per vector ``(seq, pos, vec array<float>)`` with ``0 <= pos < max_len``; inside a
+sequence every vector is a query and a key; with ``causal=True`` a query at ``q`` sees keys
+at ``k <= q``.  Per query the operator returns the scaled-dot-score summary (number of visible
+keys, best key, max score, log of the softmax normaliser, largest weight, entropy) and
+the softmax-weighted pooling of the key vectors.
+
+A sequence is cut into query blocks of ``block_size`` positions.  Every vector goes as a key to
+the blocks that can see it, so one shuffle on ``(seq, block)`` puts a block's queries and all
+their keys into one task: at most ``max_len`` vectors, however many sequences there are.  One
+vectorised kernel pass then gives the final rows; no (query, key) pair is ever a row, and
+partial results need no merge.
 """
 
 from __future__ import annotations
@@ -25,149 +22,71 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textpairs.fixed import SEQUENCE_LENGTH
 from textpairs.functions.arrays import hadamard
 
-PARTIAL_SCHEMA = (
-    "grp long, q_pos long, n_keys long, best_key long, max_score double, sum_exp double, sum_exp_score double, "
-    "pooled array<double>"
-)
-
-
-def _block_kernel(causal: bool):
-    cols = ["grp", "q_pos", "n_keys", "best_key", "max_score", "sum_exp", "sum_exp_score", "pooled"]
-
-    def run(batches):
-        for pdf in batches:
-            parts = []
-            for row in pdf.itertuples(index=False):
-                qp = np.asarray(row.q_pos, dtype=np.int64)
-                kp = np.asarray(row.k_pos, dtype=np.int64)
-                q = np.stack(row.q_vec).astype(np.float64)
-                k = np.stack(row.k_vec).astype(np.float64)
-                scores = (q @ k.T) / math.sqrt(q.shape[1])
-                visible = kp[None, :] <= qp[:, None] if causal else np.ones(scores.shape, dtype=bool)
-                n_vis = visible.sum(axis=1)
-                has = n_vis > 0
-                if not has.any():
-                    continue
-                masked = np.where(visible, scores, -np.inf)
-                mx = masked.max(axis=1)
-                # lowest key position among the maxima
-                is_max = visible & (masked == mx[:, None])
-                best = np.where(is_max, kp[None, :], np.iinfo(np.int64).max).min(axis=1)
-                wts = np.where(visible, np.exp(masked - np.where(has, mx, 0.0)[:, None]), 0.0)
-                pooled = wts @ k
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "grp": row.grp,
-                            "q_pos": qp[has],
-                            "n_keys": n_vis[has].astype(np.int64),
-                            "best_key": best[has],
-                            "max_score": mx[has],
-                            "sum_exp": wts.sum(axis=1)[has],
-                            "sum_exp_score": (wts * np.where(visible, scores, 0.0)).sum(axis=1)[has],
-                            "pooled": list(pooled[has]),
-                        }
-                    )
-                )
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in cols})
+COLUMNS = ["seq", "q_pos", "n_keys", "best_key", "max_score", "log_norm", "max_weight", "entropy", "pooled"]
+OUT = "n_keys long, best_key long, max_score double, log_norm double, max_weight double, entropy double, pooled array<double>"
+
+
+def _kernel(causal: bool, block_size: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seq, block = pdf["seq"].iloc[0], int(pdf["blk"].iloc[0])
+        pos = pdf["pos"].to_numpy(np.int64)
+        k = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        mine = pos // block_size == block
+        if not mine.any():  # keys of a shorter sequence, sent to a block that it does not reach
+            return pd.DataFrame(columns=COLUMNS)
+        q, q_pos = k[mine], pos[mine]
+        scores = (q @ k.T) / math.sqrt(k.shape[1])
+        visible = pos[None, :] <= q_pos[:, None] if causal else np.ones(scores.shape, dtype=bool)
+        masked = np.where(visible, scores, -np.inf)
+        top = masked.max(axis=1)
+        best = np.where(masked == top[:, None], pos[None, :], np.iinfo(np.int64).max).min(axis=1)
+        weights = np.exp(masked - top[:, None])
+        total = weights.sum(axis=1)
+        log_norm = top + np.log(total)
+        return pd.DataFrame(
+            {
+                "seq": seq,
+                "q_pos": q_pos,
+                "n_keys": visible.sum(axis=1).astype(np.int64),
+                "best_key": best,
+                "max_score": top,
+                "log_norm": log_norm,
+                "max_weight": 1.0 / total,
+                "entropy": log_norm - (weights * np.where(visible, scores, 0.0)).sum(axis=1) / total,
+                "pooled": list((weights @ k) / total[:, None]),
+            }
+        )
 
     return run
 
 
 def attention(
     df: DataFrame,
-    group: str,
+    seq: str,
     pos: str,
     vec: str,
     causal: bool = True,
-    block_size: int = 512,
+    max_len: int = SEQUENCE_LENGTH,
+    block_size: int = 64,
 ) -> DataFrame:
-    """VEC1 + VEC2 + VEC3: (group, q_pos, n_keys, best_key, max_score, log_norm, max_weight, entropy, pooled).
+    """VEC1 + VEC2 + VEC3: (seq, q_pos, n_keys, best_key, max_score, log_norm, max_weight, entropy, pooled).
 
-    ``log_norm`` = log of sum over visible keys of exp(score); the softmax weight of key k is
+    ``log_norm`` = log of the sum over visible keys of exp(score); the softmax weight of key k is
     ``exp(score_k - log_norm)``; ``max_weight`` is the largest weight and ``entropy`` the
     entropy of the weights; ``pooled`` = sum of weight * key vector (array<double>).
+    A position outside ``0 .. max_len - 1`` is an error.
     """
-    orig_type = df.schema[group].dataType
-    base = df.select(F.col(group).cast("long").alias("grp"), F.col(pos).cast("long").alias("pos"), F.col(vec).alias("vec"))
-    sizes = base.groupBy("grp").agg(F.count(F.lit(1)).alias("__n")).withColumn(
-        "__nb", F.greatest(F.ceil(F.col("__n") / F.lit(block_size)), F.lit(1)).cast("long")
-    )
-    blocked = base.join(sizes.select("grp", "__nb"), "grp").withColumn("blk", F.pmod(F.xxhash64("pos"), F.col("__nb")))
-    blocks = blocked.groupBy("grp", "blk").agg(
-        F.collect_list("pos").alias("pos_list"),
-        F.collect_list("vec").alias("vec_list"),
-        F.min("pos").alias("min_pos"),
-        F.max("pos").alias("max_pos"),
-    )
-    blocks = blocks.join(sizes.select("grp", "__nb"), "grp")
-    # Each query block names every key block of its group, and the join key is
-    # (group, key block): a hot group's n_blocks^2 block pairs spread over n_blocks
-    # join keys (and tasks) instead of meeting on one group key in one task.
-    qb = blocks.select(
-        "grp",
-        F.col("blk").alias("qb"),
-        F.col("pos_list").alias("q_pos"),
-        F.col("vec_list").alias("q_vec"),
-        F.col("max_pos").alias("q_max"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("__nb") - 1)).alias("kb"),
-    )
-    kb = blocks.select("grp", F.col("blk").alias("kb"), F.col("pos_list").alias("k_pos"), F.col("vec_list").alias("k_vec"), F.col("min_pos").alias("k_min"))
-    pairs = qb.join(kb, ["grp", "kb"])
-    if causal:
-        # a key block whose smallest position lies after every query of the query block adds nothing
-        pairs = pairs.filter(F.col("k_min") <= F.col("q_max"))
-    partial = pairs.select("grp", "q_pos", "q_vec", "k_pos", "k_vec").mapInPandas(_block_kernel(causal), PARTIAL_SCHEMA)
-    # One row is collected: the largest block count.  With one block per group every
-    # query has exactly one partial state, which is already final.
-    max_nb = sizes.agg(F.max("__nb")).first()[0] or 1
-    merged = _final_single(partial) if max_nb == 1 else _merge_partials(partial)
-    return merged.withColumn("grp", F.col("grp").cast(orig_type)).withColumnRenamed("grp", group)
-
-
-def _finish(df: DataFrame, sum_exp: str, sum_exp_score: str, pooled) -> DataFrame:
-    log_norm = F.col("max_score") + F.log(sum_exp)
-    return df.select(
-        "grp",
-        "q_pos",
-        "n_keys",
-        "best_key",
-        "max_score",
-        log_norm.alias("log_norm"),
-        F.exp(F.col("max_score") - log_norm).alias("max_weight"),
-        (log_norm - F.col(sum_exp_score) / F.col(sum_exp)).alias("entropy"),
-        pooled.alias("pooled"),
-    )
-
-
-def _final_single(partial: DataFrame) -> DataFrame:
-    return _finish(partial, "sum_exp", "sum_exp_score", F.transform("pooled", lambda x: x / F.col("sum_exp")))
-
-
-def _merge_partials(partial: DataFrame) -> DataFrame:
-    """Exact online-softmax merge of per-block partial states of each query."""
-    qkey = ["grp", "q_pos"]
-    head = partial.groupBy(*qkey).agg(
-        F.max("max_score").alias("max_score"),
-        F.sum("n_keys").alias("n_keys"),
-        F.max_by("best_key", F.struct(F.col("max_score"), -F.col("best_key"))).alias("best_key"),
-    )
-    scaled = partial.join(head.select(*qkey, F.col("max_score").alias("__m")), qkey).withColumn(
-        "__f", F.exp(F.col("max_score") - F.col("__m"))
-    )
-    norm = scaled.groupBy(*qkey).agg(
-        F.sum(F.col("sum_exp") * F.col("__f")).alias("__s"), F.sum(F.col("sum_exp_score") * F.col("__f")).alias("__ss")
-    )
-    dims = (
-        scaled.select(*qkey, "__f", F.posexplode("pooled").alias("__d", "__x"))
-        .groupBy(*qkey, "__d")
-        .agg(F.sum(F.col("__x") * F.col("__f")).alias("__x"))
-        .groupBy(*qkey)
-        .agg(F.array_sort(F.collect_list(F.struct("__d", "__x"))).alias("__v"))
-    )
-    return _finish(head.join(norm, qkey).join(dims, qkey), "__s", "__ss", F.transform("__v", lambda s: s["__x"] / F.col("__s")))
+    p = F.col(pos).cast("long")
+    checked = F.when((p >= 0) & (p < max_len), p).otherwise(F.raise_error(F.concat(F.lit(f"position outside 0..{max_len - 1}: "), p.cast("string"))).cast("long"))
+    last = F.lit((max_len - 1) // block_size)
+    first = (F.expr("pos div {}".format(block_size)) if causal else F.lit(0)).cast("int")
+    rows = df.select(F.col(seq).alias("seq"), checked.alias("pos"), F.col(vec).alias("vec"))
+    spread = rows.withColumn("blk", F.explode(F.sequence(first, last.cast("int"))))
+    schema = f"seq {df.schema[seq].dataType.simpleString()}, q_pos long, {OUT}"
+    return spread.groupBy("seq", "blk").applyInPandas(_kernel(causal, block_size), schema).withColumnRenamed("seq", seq)
 
 
 def bind_role(pooled: DataFrame, roles: DataFrame, keys: list[str], pooled_col: str = "pooled", role_col: str = "role") -> DataFrame:

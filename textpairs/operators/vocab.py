@@ -5,10 +5,9 @@ so the shuffle carries at most (distinct characters x partitions) rows.
 
 The vocabulary itself is bounded by the Unicode code space (1,114,112 code points plus
 four specials), so it may be held on the driver and shipped inside the plan.  Encoding
-uses a dense id array indexed by code point for the Basic Multilingual Plane and a map
-for the few characters beyond it - O(1) per character, all JVM-side.  If a vocabulary
-is larger than ``INLINE_LIMIT`` entries the encoder switches to an exact
-explode / join / regroup path instead of inlining it.
+uses a dense id array indexed by code point (one literal of at most 1,114,112 integers) -
+O(1) per character, all JVM-side, for a vocabulary of any size.  ``encode_by_join`` is the
+same by a join, for vocabularies that exist only as a table.
 """
 
 from __future__ import annotations
@@ -23,11 +22,6 @@ from pyspark.sql import functions as F
 from textpairs.functions.arrays import BOS, EOS, SPECIALS, UNK, wrap_ids
 from textpairs.functions.text import chars
 
-# Largest vocabulary shipped inside the plan as literals.
-INLINE_LIMIT = 200_000
-# Dense code-point table covers the BMP; astral characters go through a map literal.
-DENSE_MAX_CP = 0xFFFF
-
 
 def array_literal(values: list, element_type: str) -> Column:
     """A constant array built from one JSON string: one call into the JVM instead of one per
@@ -67,12 +61,10 @@ class Vocabulary:
     itos: tuple[str, ...]
 
     @staticmethod
-    def from_df(vocab: DataFrame, limit: int = INLINE_LIMIT) -> "Vocabulary":
+    def from_df(vocab: DataFrame) -> "Vocabulary":
         # a character vocabulary has at most 1,114,112 + 4 rows (the code space): one collect
         rows = vocab.select("token", "id").collect()
         n = len(rows)
-        if n > limit:
-            raise ValueError(f"vocabulary of {n} entries exceeds the inline limit {limit}; use encode_by_join")
         ids = sorted(r["id"] for r in rows)
         if ids != list(range(n)):
             raise ValueError("vocabulary ids must be dense 0..V-1")
@@ -87,13 +79,11 @@ class Vocabulary:
         return Vocabulary(tuple(itos))
 
     @staticmethod
-    def from_freq(freq: DataFrame, specials=SPECIALS, limit: int = INLINE_LIMIT) -> "Vocabulary":
+    def from_freq(freq: DataFrame, specials=SPECIALS) -> "Vocabulary":
         """AGG2 on the driver from the character counts (<= code-space rows, one job):
         specials, then freq desc, token asc (Python str order = code-point order = Spark's)."""
         rows = freq.select("token", "freq").collect()
         toks = sorted(((r["token"], r["freq"]) for r in rows if r["token"] not in specials), key=lambda tf: (-tf[1], tf[0]))
-        if len(toks) + len(specials) > limit:
-            raise ValueError(f"vocabulary of {len(toks) + len(specials)} entries exceeds the inline limit {limit}; use encode_by_join")
         return Vocabulary(tuple(specials) + tuple(t for t, _ in toks))
 
     @property
@@ -107,42 +97,16 @@ class Vocabulary:
     def stoi(self) -> dict[str, int]:
         return {t: i for i, t in enumerate(self.itos)}
 
-    def _tables(self):
-        dense_size = 0
-        astral = {}
-        for i, t in enumerate(self.itos):
-            if len(t) != 1:
-                continue
-            cp = ord(t)
-            if cp <= DENSE_MAX_CP:
-                dense_size = max(dense_size, cp + 1)
-            else:
-                astral[t] = i
-        dense = [UNK] * dense_size
-        for i, t in enumerate(self.itos):
-            if len(t) == 1 and ord(t) <= DENSE_MAX_CP:
-                dense[ord(t)] = i
-        return dense, astral
-
     def lookup(self):
         """Returns ``f(char_col) -> id_col`` (OOV -> <unk>)."""
-        dense, astral = self._tables()
-        dense_lit = array_literal(dense, "int") if dense else None
-        astral_map = None
-        if astral:
-            keys = sorted(astral)
-            astral_map = F.map_from_arrays(array_literal(keys, "string"), array_literal([astral[k] for k in keys], "int"))
-
-        def f(c: Column) -> Column:
-            parts = []
-            if dense_lit is not None:
-                parts.append(F.try_element_at(dense_lit, F.ascii(c) + F.lit(1)))
-            if astral_map is not None:
-                parts.append(F.try_element_at(astral_map, c))
-            parts.append(F.lit(UNK))
-            return F.coalesce(*parts)
-
-        return f
+        points = {ord(t): i for i, t in enumerate(self.itos) if len(t) == 1}
+        dense = [UNK] * (max(points, default=-1) + 1)
+        for cp, i in points.items():
+            dense[cp] = i
+        if not dense:
+            return lambda c: F.lit(UNK)
+        table = array_literal(dense, "int")
+        return lambda c: F.coalesce(F.try_element_at(table, F.ascii(c) + F.lit(1)), F.lit(UNK))
 
     def encode(self, text) -> Column:
         """FUN4: ``[<bos>] + ids(chars) + [<eos>]``; null text stays null."""

@@ -59,7 +59,8 @@ def q_file_selected(spark, sf):
 
 def q_ingest_report(spark, sf):
     p = tables.qa_docs(spark, sf).withColumnRenamed("doc_id", "file")
-    return files.ingest_report(p)
+    listed = read_table(spark, sf, "documents").select(F.col("doc_id").alias("file"), F.col("lang").alias("folder"), F.col("source").alias("module"))
+    return files.ingest_report(p, listed)
 
 
 def q_null_report(spark, sf):
@@ -70,14 +71,61 @@ def _split_roundtrip(spark, sf, key):
     p = tables.qa_docs(spark, sf).select(key, *KEYS, "question", "answer")
     path = scratch_path(spark, f"split-{key}")
     files.write_split(p, path, key)
-    parts = files.read_split(spark, path, key)
+    return files.read_split_table(spark, path).select(F.col(key).alias("split_key"), *KEYS, "question", "answer")
+
+
+def _all_parts(parts, *cols):
+    """The named frames of a split, one after another, with their name."""
     out = None
     for k, df in parts.items():
-        df = df.select(F.lit(k).alias("split_key"), *KEYS, "question", "answer")
+        df = df.select(F.lit(k).cast("string").alias("split_key"), *cols)
         out = df if out is None else out.unionByName(df)
     return out
 
 
+def q_split_by_folder(spark, sf):
+    """FLT3 / FLT4 on the frame itself: one filter per key."""
+    return _all_parts(clean.split_by(tables.qa_docs(spark, sf), "folder"), *KEYS, "question", "answer")
+
+
+def _odd_keys(spark, sf):
+    """Pairs under keys that look alike once types are inferred or blanks are trimmed."""
+    keys = F.array(*[F.lit(x) for x in ("", "7", "07", "007", "a b", "x/y=z%", "null")], F.lit(None).cast("string"))
+    return tables.qa_docs(spark, sf).select(
+        F.element_at(keys, (F.pmod("doc_id", F.lit(8)) + 1).cast("int")).alias("key"),
+        *KEYS,
+        F.concat(F.lit(" "), "question", F.lit(" ")).alias("question"),
+        F.concat(F.lit("\x01"), "answer", F.lit("\x02")).alias("answer"),
+    )
+
+
+def q_split_odd_keys(spark, sf):
+    """SNK5 per key: every named frame of the read side."""
+    path = scratch_path(spark, "split-odd")
+    files.write_split(_odd_keys(spark, sf), path, "key")
+    return _all_parts(files.read_split(spark, path, "key"), "key", *KEYS, "question", "answer")
+
+
+def q_csv_odd_cells(spark, sf):
+    """SNK1 / SRC9: blanks and control characters at both ends, empty and null keys."""
+    path = scratch_path(spark, "csv-odd")
+    files.write_csv(_odd_keys(spark, sf), path)
+    back = files.read_csv(spark, path)
+    return back.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("pair_idx").cast("long").alias("pair_idx"), "question", "answer")
+
+
+def q_qa_only(spark, sf):
+    """PRJ1."""
+    return clean.qa_only(tables.qa_docs(spark, sf))
+
+
+def q_checked(spark, sf):
+    """FLT1 + FLT2: the checks that run before a frame is used, then its size."""
+    p = tables.qa_docs(spark, sf)
+    clean.require_columns(p, ["question", "answer", "folder", "module"])
+    return p.select(F.lit(clean.require_nonempty(p)).alias("has_rows")).groupBy("has_rows").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def q_split_folder(spark, sf):
     return _split_roundtrip(spark, sf, "folder")
 
@@ -88,24 +136,46 @@ def q_split_module(spark, sf):
 
 def q_file_source(spark, sf):
     root = flows.write_doc_files(spark, sf)
-    pairs, _unpaired, _listing = files.read_qa(spark, root, samples_per_module=None)
+    pairs, _unpaired, _listing = files.read_qa(spark, root)
     return flows.with_lang_source(pairs).select("lang", "source", "chunk", "pair_idx", "question", "answer")
 
 
 def q_file_source_lines(spark, sf):
     """Same files and result as ``file_source``, forced through the numbered-line path (H1)."""
     root = flows.write_doc_files(spark, sf)
-    pairs, _unpaired, _listing = files.read_qa(spark, root, samples_per_module=None, whole_file_bytes=-1)
+    pairs, _unpaired, _listing = files.read_qa(spark, root, whole_file_bytes=-1)
     return flows.with_lang_source(pairs).select("lang", "source", "chunk", "pair_idx", "question", "answer")
 
 
 def q_stream_ingest(spark, sf):
     root = flows.write_doc_files(spark, sf)
     voc = flows.docs_vocab(spark, sf)
-    out = flows.stream_ingest(spark, root, voc)
+    out, _tails = flows.stream_ingest(spark, root, voc)
     return flows.with_lang_source(out).select("lang", "source", "chunk", "pair_idx", "question", "answer", "question_ids", "answer_ids")
 
 
+def q_stream_unpaired(spark, sf):
+    """SRC6 in the stream: the odd tails of the same files."""
+    root = flows.write_doc_files(spark, sf)
+    _pairs, tails = flows.stream_ingest(spark, root, flows.docs_vocab(spark, sf))
+    return flows.with_lang_source(tails).select("lang", "source", "chunk", "ln", "text")
+
+
+def q_file_unpaired(spark, sf):
+    """SRC6 in the batch reader, through the numbered-line path."""
+    root = flows.write_doc_files(spark, sf)
+    _pairs, unpaired, _listing = files.read_qa(spark, root, whole_file_bytes=-1)
+    return flows.with_lang_source(unpaired).select("lang", "source", "chunk", "ln", "text")
+
+
+def q_file_report(spark, sf):
+    """SRC8 over real files: the listing's files and the pairs read from them."""
+    root = flows.write_doc_files(spark, sf)
+    pairs, _unpaired, listing = files.read_qa(spark, root)
+    rep = flows.with_lang_source(files.ingest_report(pairs, files.listed_files(spark, listing)).filter("folder is not null and module is null"))
+    return rep.select("lang", "source", "chunk", "files", "pairs")
+
+
 # ----------------------------------------------------------------------------- vocabulary / encoding
 def q_char_freq(spark, sf):
     return vocab.char_freq(tables.qa_docs(spark, sf))
@@ -205,8 +275,13 @@ def q_ordered_batches(spark, sf):
     return flows.val_batches(spark, sf).select(*KEYS, "batch_id", "pos_in_batch")
 
 
-def _train_padded(spark, sf):
-    return batching.make_batches(flows.train_batches(spark, sf, flows.docs_vocab(spark, sf)))
+def _train_padded(spark, sf, with_masks=False, extra_cols=(), **limits):
+    return batching.encode_batches(flows.train_batches(spark, sf, **limits), flows.docs_vocab(spark, sf), with_masks=with_masks, extra_cols=extra_cols)
+
+
+def _short_padded(spark, sf, **options):
+    """Training batches under the network's position budget, asked for."""
+    return _train_padded(spark, sf, question_limit=clean.QUESTION_LIMIT, answer_limit=clean.ANSWER_LIMIT, **options)
 
 
 def q_padded(spark, sf):
@@ -214,18 +289,61 @@ def q_padded(spark, sf):
 
 
 def q_prepare_train(spark, sf):
-    """PIP2 end to end (vocabulary, budget, split, epoch-0 shuffle, batches, encode, pad);
+    """PIP2 end to end (split, vocabulary, encoded cache, epoch-0 shuffle, batches, pad);
     the same rows as ``padded``."""
-    prep = flows.prepare(tables.qa_docs(spark, sf), None, keys=KEYS, strict=False)
+    prep = flows.prepare(tables.qa_docs(spark, sf), None, keys=KEYS, strict=False, save_path=scratch_path(spark, "prepared"))
     return prep["train"].select(*KEYS, "batch_id", "questions", "answers")
 
 
+def q_prepare_test(spark, sf):
+    """PIP2: the test rows, encoded and padded with the training vocabulary, in key order."""
+    conv = tables.qa_conv(spark, sf)
+    prep = flows.prepare(tables.qa_docs(spark, sf), conv, keys=KEYS, test_keys=["conv_id", "turn"], strict=False, vocab_df=vocab.build_vocab(tables.qa_docs(spark, sf)))
+    return prep["test"].select("conv_id", "turn", "batch_id", "questions", "answers")
+
+
+def q_prepare_loaded(spark, sf):
+    """PIP2 from a kept vocabulary and encoded cache: the validation batches."""
+    path, pairs = scratch_path(spark, "prepared"), tables.qa_docs(spark, sf)
+    flows.prepare(pairs, None, keys=KEYS, strict=False, save_path=path)
+    prep = flows.prepare(pairs, None, keys=KEYS, strict=False, load_path=path)
+    return prep["val"].select(*KEYS, "batch_id", "questions", "answers")
+
+
+def q_prepare_budget(spark, sf):
+    """PIP2 with the position budget as an option, and the number of rows it leaves out."""
+    prep = flows.prepare(
+        tables.qa_docs(spark, sf), None, keys=KEYS, strict=False, save_path=scratch_path(spark, "prepared"),
+        question_limit=clean.QUESTION_LIMIT, answer_limit=clean.ANSWER_LIMIT,
+    )
+    return prep["train"].select(*KEYS, "batch_id", "questions", "answers", F.lit(prep["dropped"]).cast("long").alias("dropped"))
+
+
 def q_src_mask(spark, sf):
     return _train_padded(spark, sf).select(*KEYS, A.src_mask("questions").alias("questions_mask"))
 
 
 def q_trg_mask(spark, sf):
-    return _train_padded(spark, sf).select(*KEYS, batching.mask_bits(A.trg_mask("answers")).alias("answers_mask"))
+    """FUN8 in its exact compact form: ``m[i][j] = j < valid_len and j <= i`` for ``0 <= i, j < mask_len``."""
+    return _train_padded(spark, sf).select(*KEYS, F.size("answers").alias("mask_len"), A.valid_len("answers").alias("valid_len"))
+
+
+def q_trg_mask_matrix(spark, sf):
+    """FUN8 / FUN13 with masks: the full L x L matrix of the short rows."""
+    b = _short_padded(spark, sf, with_masks=True)
+    return b.select(*KEYS, "questions_mask", batching.mask_bits("answers_mask").alias("answers_mask"))
+
+
+def q_shifted_mask(spark, sf):
+    """FUN9 on masks: ``mask[:-1, :-1]`` of the short rows."""
+    b = batching.teacher_forcing(_short_padded(spark, sf, with_masks=True))
+    return b.select(*KEYS, batching.mask_bits("decoder_mask").alias("decoder_mask"))
+
+
+def q_collate_extra(spark, sf):
+    """UDF2: a caller's columns, evaluated per padded row."""
+    extra = [F.size("questions").alias("width"), A.valid_len("questions").alias("used")]
+    return _train_padded(spark, sf, extra_cols=extra).select(*KEYS, "batch_id", "width", "used")
 
 
 def q_shifted(spark, sf):
@@ -261,11 +379,11 @@ def q_accuracy_fraction(spark, sf):
 
 
 def q_greedy_eval(spark, sf):
-    """PIP3: first half of the validation batches -> caller's model (stub: reversed question
-    ids, run by mapInPandas) -> exact match -> accuracy."""
+    """PIP3: first half of the validation batches (written once) -> caller's model (stub: the question
+    as the answer, in ``max_len`` ids) -> joined on the key -> exact match -> accuracy."""
     voc = flows.docs_vocab(spark, sf)
-    batches = batching.make_batches(flows.val_batches(spark, sf, voc))
-    res = flows.evaluate_greedy(batches, KEYS, evaluate.reverse_predictor, 0.5)
+    batches = materialize(batching.encode_batches(flows.val_batches(spark, sf), voc).select(*KEYS, "batch_id", "pos_in_batch", "questions", "answers"), "val")
+    res = flows.evaluate_greedy(batches, KEYS, evaluate.echo_predictor, 0.5)
     return res["accuracy"].select(
         F.lit(res["n_batches"]).cast("long").alias("n_batches"), F.lit(res["used_batches"]).cast("long").alias("used_batches"),
         "n", "matches", "accuracy",
@@ -306,6 +424,12 @@ def q_token_xent(spark, sf):
     return emb.select("vec_id", "label", F.round(A.cross_entropy_at("embedding", "label"), FLOAT_DIGITS).alias("xent"))
 
 
+def q_softmax(spark, sf):
+    """VEC5: softmax weights of every row of logits."""
+    emb = read_table(spark, sf, "embeddings")
+    return emb.select("vec_id", _round_arr(A.softmax("embedding")).alias("weights"))
+
+
 def q_masked_xent(spark, sf):
     emb = read_table(spark, sf, "embeddings")
     out = evaluate.masked_cross_entropy(emb, "embedding", "label")
@@ -313,24 +437,32 @@ def q_masked_xent(spark, sf):
 
 
 # ----------------------------------------------------------------------------- vectors
-def _attention(spark, sf, causal=True):
-    emb = read_table(spark, sf, "embeddings")
-    return vectors.attention(emb, "label", "vec_id", "embedding", causal=causal)
+VECTORS_PER_SEQUENCE = 100
+
+
+def _sequences(spark, sf):
+    """``embeddings`` as sequences of ``VECTORS_PER_SEQUENCE`` consecutive vectors."""
+    n = VECTORS_PER_SEQUENCE
+    return read_table(spark, sf, "embeddings").select(F.expr(f"vec_id div {n}").alias("seq_id"), (F.col("vec_id") % n).alias("pos"), "embedding")
+
+
+def _attention(spark, sf, causal=True, **blocks):
+    return vectors.attention(_sequences(spark, sf), "seq_id", "pos", "embedding", causal=causal, **blocks)
 
 
 def q_attn_stats(spark, sf):
     a = _attention(spark, sf)
     return a.select(
-        "label", "q_pos", "n_keys", "best_key",
+        "seq_id", "q_pos", "n_keys", "best_key",
         F.round("max_score", FLOAT_DIGITS).alias("max_score"), F.round("log_norm", FLOAT_DIGITS).alias("log_norm"),
     )
 
 
 def q_dot_scores(spark, sf):
-    """VEC1 / JOI5 re-aimed: per query, the summary of its scaled dot scores over all keys of its group."""
+    """VEC1 / JOI5 re-aimed: per query, the summary of its scaled dot scores over all keys of its sequence."""
     a = _attention(spark, sf, causal=False)
     return a.select(
-        "label", "q_pos", "n_keys", "best_key",
+        "seq_id", "q_pos", "n_keys", "best_key",
         F.round("max_score", FLOAT_DIGITS).alias("max_score"), F.round("log_norm", FLOAT_DIGITS).alias("log_norm"),
     )
 
@@ -339,24 +471,27 @@ def q_attn_softmax(spark, sf):
     """VEC2 re-aimed: per query, the largest softmax weight and the entropy of the weights (causal)."""
     a = _attention(spark, sf)
     return a.select(
-        "label", "q_pos", F.round("max_weight", FLOAT_DIGITS).alias("max_weight"), F.round("entropy", FLOAT_DIGITS).alias("entropy")
+        "seq_id", "q_pos", F.round("max_weight", FLOAT_DIGITS).alias("max_weight"), F.round("entropy", FLOAT_DIGITS).alias("entropy")
     )
 
 
 def q_attn_pool(spark, sf):
-    return _attention(spark, sf).select("label", "q_pos", _round_arr("pooled").alias("pooled"))
+    return _attention(spark, sf).select("seq_id", "q_pos", _round_arr("pooled").alias("pooled"))
 
 
 def q_attn_pool_full(spark, sf):
-    return _attention(spark, sf, causal=False).select("label", "q_pos", _round_arr("pooled").alias("pooled"))
+    return _attention(spark, sf, causal=False).select("seq_id", "q_pos", _round_arr("pooled").alias("pooled"))
 
 
 def q_attn_bind(spark, sf):
     a = _attention(spark, sf)
-    roles = read_table(spark, sf, "embeddings").select(
-        F.col("label").cast("int").alias("label"), F.col("vec_id").alias("q_pos"), F.col("embedding").alias("role")
-    )
-    return vectors.bind_role(a, roles, ["label", "q_pos"]).select("label", "q_pos", _round_arr("bound").alias("bound"))
+    roles = _sequences(spark, sf).select("seq_id", F.col("pos").alias("q_pos"), F.col("embedding").alias("role"))
+    return vectors.bind_role(a, roles, ["seq_id", "q_pos"]).select("seq_id", "q_pos", _round_arr("bound").alias("bound"))
+
+
+def q_attn_blocks(spark, sf):
+    """Many query blocks a sequence: the same pooling as ``attn_pool``."""
+    return _attention(spark, sf, block_size=7).select("seq_id", "q_pos", "n_keys", _round_arr("pooled").alias("pooled"))
 
 
 # ----------------------------------------------------------------------------- sink round trips
@@ -388,11 +523,32 @@ def q_vocab_roundtrip(spark, sf):
 
 
 def q_dataset_layout(spark, sf):
-    split = rank.exact_split(tables.qa_docs(spark, sf), KEYS, seed=SEED)
-    root = scratch_path(spark, "dataset")
-    files.write_dataset(split.filter(F.col("split") == "train").select(*QA_OUT), root, "train", None, 10000)
-    files.write_dataset(split.filter(F.col("split") == "val").select(*QA_OUT), root, "test", None, 10000)
-    return files.read_dataset(spark, root, "train", None, 10000).select(*QA_OUT)
+    """SNK4: both halves written and read, with tokenized tables beside them under one root."""
+    split = rank.exact_split(materialize(tables.qa_docs(spark, sf), "layout"), KEYS, seed=SEED)
+    root, n = scratch_path(spark, "dataset"), 10000
+    for half, kind in (("train", "train"), ("val", "test")):
+        rows = split.filter(F.col("split") == half).select(*QA_OUT)
+        files.write_dataset(rows, root, kind, None, n)
+        files.write_dataset(rows.select(*KEYS, F.array(F.length("question")).alias("ids")), root, kind, None, n, tokenized=True)
+    out = None
+    for kind in ("train", "test"):
+        plain = files.read_dataset(spark, root, kind, None, n)
+        both = plain.join(files.read_dataset(spark, root, kind, None, n, tokenized=True), KEYS)
+        part = both.select(F.lit(kind).alias("kind"), *QA_OUT, F.col("ids")[0].alias("question_length"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_dataset_modules(spark, sf):
+    """SNK4 per module: names that differ only as text stay apart."""
+    pairs = materialize(_odd_keys(spark, sf).filter("key in ('7', '07', '007')"), "modules")
+    root, out = scratch_path(spark, "modules"), None
+    for module in ("7", "07", "007"):
+        files.write_dataset(pairs.filter(F.col("key") == module), root, "test", module, 5)
+    for module in ("7", "07", "007"):
+        part = files.read_dataset(spark, root, "test", module, 5).select(F.lit(module).alias("name"), "key", *KEYS)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,8 +1,9 @@
 """Composite entry points (PIP1-PIP3) and the shared stages of the query catalogue.
 
-* ``prepare`` (PIP2): vocabulary (built, loaded or given) -> length budget on the text
-  (written once) -> exact 80/20 split -> hash ranks -> batch ids -> encode -> pad;
-  test rows keep their key order.  ``epoch_batches`` re-shuffles the training rows.
+* ``prepare`` (PIP2): rows written once (all of them, or those within a length budget that
+  the caller gives) -> exact 80/20 split -> vocabulary (built, loaded or given) -> hash
+  ranks -> batch ids -> encode -> pad; test rows keep their key order.
+  ``epoch_batches`` re-shuffles the training rows.
 * ``evaluate_greedy`` (PIP3): first ``fraction`` of the batches -> caller's model
   (``batch_predict``) -> exact match -> accuracy (+ one example per batch).
 * ``files.read_qa`` is PIP1.
@@ -37,7 +38,7 @@ def select_docs(spark: SparkSession, sf: str, folders=None, modules=None) -> Dat
     if modules:
         docs = docs.filter(F.col("module").isin(list(modules)))
     if (folders or modules) and docs.isEmpty():
-        raise ValueError("None of the specified folders / files were found.")
+        raise ValueError(f"no documents for folders {folders} and modules {modules}")
     return pairs_in_rows(docs, "text", tables.DOC_KEYS)
 
 
@@ -49,24 +50,22 @@ def encoded_docs(spark: SparkSession, sf: str, voc: vocab.Vocabulary | None = No
     return vocab.encode_columns(tables.qa_docs(spark, sf), voc or docs_vocab(spark, sf))
 
 
-def budget_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs within the length budget (filtered on text length, before any encoding), written
-    once to the shared checkpoint folder, then split 80/20."""
-    short = materialize(clean.within_budget_text(tables.qa_docs(spark, sf)), "budget-pairs")
-    return rank.exact_split(short, KEYS, seed=SEED)
+def pairs_split(spark: SparkSession, sf: str, question_limit: int | None = None, answer_limit: int | None = None) -> DataFrame:
+    """All pairs (or those within the given limits), written once to the shared checkpoint
+    folder, then split 80/20."""
+    pairs = clean.within_budget_text(tables.qa_docs(spark, sf), question_limit=question_limit, answer_limit=answer_limit)
+    return rank.exact_split(materialize(pairs, "pairs"), KEYS, seed=SEED)
 
 
-def train_batches(spark: SparkSession, sf: str, voc=None, epoch: int = 0) -> DataFrame:
-    """Train rows with batch ids; encoded (after ranking, on the kept rows only) when ``voc`` is given."""
-    s = budget_split(spark, sf).filter(F.col("split") == "train")
-    b = rank.batch_ids(rank.hash_rank(s, KEYS, seed=SEED, epoch=epoch), batch_size=BATCH_SIZE)
-    return vocab.encode_columns(b, voc) if voc is not None else b
+def train_batches(spark: SparkSession, sf: str, epoch: int = 0, **limits) -> DataFrame:
+    """Train rows with batch ids."""
+    s = pairs_split(spark, sf, **limits).filter(F.col("split") == "train")
+    return rank.batch_ids(rank.hash_rank(s, KEYS, seed=SEED, epoch=epoch), batch_size=BATCH_SIZE)
 
 
-def val_batches(spark: SparkSession, sf: str, voc=None) -> DataFrame:
-    s = budget_split(spark, sf).filter(F.col("split") == "val")
-    b = rank.batch_ids(rank.hash_rank(s, KEYS, seed=SEED), batch_size=BATCH_SIZE)
-    return vocab.encode_columns(b, voc) if voc is not None else b
+def val_batches(spark: SparkSession, sf: str, **limits) -> DataFrame:
+    s = pairs_split(spark, sf, **limits).filter(F.col("split") == "val")
+    return rank.batch_ids(rank.hash_rank(s, KEYS, seed=SEED), batch_size=BATCH_SIZE)
 
 
 def echo_predictions(df: DataFrame, answers: str = "answers") -> DataFrame:
@@ -81,33 +80,25 @@ def echo_predictions(df: DataFrame, answers: str = "answers") -> DataFrame:
 
 
 def val_matches(spark: SparkSession, sf: str, voc=None) -> DataFrame:
-    b = batching.make_batches(val_batches(spark, sf, voc or docs_vocab(spark, sf)))
+    b = batching.encode_batches(val_batches(spark, sf), voc or docs_vocab(spark, sf))
     return echo_predictions(b).withColumn("match", A.exact_match("answers", "pred_ids"))
 
 
 # ----------------------------------------------------------------------------- derived files
-DOCS_PER_FILE = 1000
-
-
-def doc_chunk_width(docs: DataFrame) -> int:
-    """Doc-id range per file: ``DOCS_PER_FILE`` x the number of (lang, source) groups, so that
-    files average ``DOCS_PER_FILE`` documents and none holds more than the width."""
-    groups = docs.select("lang", "source").distinct().count()
-    return DOCS_PER_FILE * max(groups, 1)
+DOCS_PER_FILE = 4000
 
 
 def write_doc_files(spark: SparkSession, sf: str) -> str:
     """Writes the documents as module files: the lines of the documents of one (lang, source)
-    and one doc-id range, in doc order, form one file
+    and one range of ``DOCS_PER_FILE`` doc ids, in doc order, form one file
     ``<root>/folder=<lang>__<source>__<chunk>/part-*.txt``.  Returns ``<root>``.
 
-    Every file holds a bounded number of documents (``doc_chunk_width``), so a dominant
-    (lang, source) is written by many tasks, never by one.
+    A file holds at most ``DOCS_PER_FILE`` documents whatever the number of groups, so a
+    dominant (lang, source) is written by many tasks, never by one.
     """
     root = scratch_path(spark, "docfiles")
     docs = read_table(spark, sf, "documents")
-    width = doc_chunk_width(docs)
-    chunk = F.floor(F.col("doc_id") / F.lit(width)).cast("long").cast("string")
+    chunk = F.expr(f"doc_id div {DOCS_PER_FILE}").cast("string")
     lines = docs.select(
         F.concat_ws("__", "lang", "source", chunk).alias("folder"), "doc_id", F.posexplode(text_lines("text")).alias("ln", "value")
     )
@@ -133,13 +124,12 @@ def with_lang_source(df: DataFrame) -> DataFrame:
     )
 
 
-def stream_ingest(spark: SparkSession, root: str, voc: vocab.Vocabulary) -> DataFrame:
-    """STR1 over ``root``: availableNow run into a Parquet table, returned as a batch DataFrame."""
+def stream_ingest(spark: SparkSession, root: str, voc: vocab.Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """STR1 over ``root``: availableNow run into two Parquet tables; returns (pairs, odd tails)."""
     out = scratch_path(spark, "stream-out")
     ck = scratch_path(spark, "stream-ckpt")
-    s = ingest.encode_stream(ingest.stream_pairs(spark, root.rstrip("/") + "/*/*.txt"), voc)
-    ingest.run_available(s, out, ck)
-    return spark.read.parquet(out)
+    ingest.run_available(ingest.stream_files(spark, root.rstrip("/") + "/*/*"), voc, out, ck)
+    return tuple(ingest.read_stream_output(spark, out, name) for name in ("pairs", "unpaired"))
 
 
 # ----------------------------------------------------------------------------- PIP2 / PIP3
@@ -154,72 +144,106 @@ def prepare(
     epoch: int = 0,
     fit_on: str = "train+val",
     strict: bool = True,
-    materialize_input: bool = True,
     save_path: str | None = None,
     load_path: str | None = None,
+    question_limit: int | None = None,
+    answer_limit: int | None = None,
 ) -> dict:
-    """PIP2: ``{"vocab", "train", "val", "test"}`` DataFrames; batches padded and keyed.
+    """PIP2: ``{"vocab", "vocabulary", "split", "train", "val", "test", "dropped"}``; batches padded and keyed.
 
-    The vocabulary is built on train+validation rows (the reference's choice) unless
-    ``fit_on="train"``; a given ``vocab_df`` is used as is.  With ``save_path`` the built
-    vocabulary is also written there (``<save_path>/vocab``); with only ``load_path`` it
-    is read from there instead of built (save wins when both are given).  Test rows use
-    the same vocabulary and keep their key order.
+    The vocabulary is built on train+validation rows, or on the rows of the one 80/20 split that
+    are "train" with ``fit_on="train"``; a given ``vocab_df`` is used as is.  With
+    ``save_path`` the vocabulary and the encoded tables (with the vocabulary's fingerprint) are
+    written there; with only ``load_path`` both are read from there, and nothing is built or encoded (save
+    wins when both are given).  One of the three sources of a vocabulary must be named.  Test
+    rows use the same vocabulary and keep their key order.
+
+    Every row is kept unless ``question_limit`` / ``answer_limit`` (numbers of ids) are given;
+    ``dropped`` is the number of train and test rows beyond them.
     """
+    if vocab_df is None and not (save_path or load_path):
+        raise ValueError("prepare needs save_path (build and keep a vocabulary), load_path (use a kept one) or vocab_df")
+    spark = train_df.sparkSession
     clean.require_columns(train_df, ["question", "answer", *keys])
     enc_cols = ("question", "answer")
+    tk = test_keys or keys
     if strict:
         # FLT2 / FLT5: an empty training table or a non-string text cell is an error
         clean.require_nonempty(train_df, "training")
         clean.require_all_strings(train_df, enc_cols)
         if test_df is not None:
-            clean.require_columns(test_df, ["question", "answer", *(test_keys or keys)])
+            clean.require_columns(test_df, ["question", "answer", *tk])
             clean.require_nonempty(test_df, "test")
             clean.require_all_strings(test_df, enc_cols)
-    if vocab_df is None and load_path and not save_path:
-        vocab_df = files.read_vocab(train_df.sparkSession, load_path.rstrip("/") + "/vocab")
-    if vocab_df is None and fit_on == "train":
-        pre = rank.exact_split(train_df, keys, seed=seed)
-        vocab_df = vocab.build_vocab(pre.filter(F.col("split") == "train"))
+    limits = {"question_limit": question_limit, "answer_limit": answer_limit}
+    limited = question_limit is not None or answer_limit is not None
+
+    def fit(df):
+        return clean.within_budget_text(df, **limits)
+
+    dropped = sum(df.filter(~clean.within_budget_condition(**limits)).count() for df in (train_df, test_df) if limited and df is not None)
+    # written once: the split's count jobs and the ranks reuse it
+    kept = materialize(fit(train_df), "prepare-train")
+    split = rank.exact_split(kept, keys, seed=seed)
+    loading = vocab_df is None and load_path and not save_path
+    if loading:
+        vocab_df = files.read_vocab(spark, load_path.rstrip("/") + "/vocab")
     elif vocab_df is None:
-        vocab_df = vocab.build_vocab(train_df)
+        vocab_df = vocab.build_vocab(split.filter(F.col("split") == "train") if fit_on == "train" else kept)
     voc = vocab.Vocabulary.from_df(vocab_df)
     if save_path:
         files.write_vocab(vocab_df, save_path.rstrip("/") + "/vocab")
-    # FLT6 on text lengths, written once (the split's count jobs and the ranks reuse it),
-    # then split and rank on keys; only kept rows are encoded.
-    kept = materialize(clean.within_budget_text(train_df), "prepare-train") if materialize_input else clean.within_budget_text(train_df)
-    split = rank.exact_split(kept, keys, seed=seed)
-    tr = rank.batch_ids(rank.hash_rank(split.filter(F.col("split") == "train"), keys, seed=seed, epoch=epoch), batch_size=batch_size)
-    va = rank.batch_ids(rank.hash_rank(split.filter(F.col("split") == "val"), keys, seed=seed), batch_size=batch_size)
+    cache = (save_path or (load_path if loading else None) or "").rstrip("/")
+
+    def encoded(df, name, key_cols):
+        """``df`` with ids from the cache (written first when saving); None without a cache."""
+        if not cache:
+            return None
+        path = f"{cache}/encoded_{name}"
+        if save_path:
+            ids = vocab.encode_columns(df, voc, enc_cols).select(*key_cols, *[f"{c}_ids" for c in enc_cols])
+            files.write_encoded(ids, path, voc.fingerprint)
+        return df.join(files.read_encoded(spark, path, voc.fingerprint), key_cols)
+
+    def batches(ranked, cached):
+        ranked = rank.batch_ids(ranked, batch_size=batch_size)
+        return batching.make_batches(ranked) if cached else batching.encode_batches(ranked, voc, enc_cols)
+
+    with_ids = encoded(split, "train", keys)
+    source = split if with_ids is None else with_ids
+    tr = rank.hash_rank(source.filter(F.col("split") == "train"), keys, seed=seed, epoch=epoch)
+    va = rank.hash_rank(source.filter(F.col("split") == "val"), keys, seed=seed)
     out = {
         "vocab": vocab_df,
         "vocabulary": voc,
         "split": split,
-        "train": batching.make_batches(vocab.encode_columns(tr, voc, enc_cols)),
-        "val": batching.make_batches(vocab.encode_columns(va, voc, enc_cols)),
+        "dropped": dropped,
+        "train": batches(tr, with_ids is not None),
+        "val": batches(va, with_ids is not None),
         "test": None,
     }
     if test_df is not None:
-        tk = test_keys or keys
-        te = rank.batch_ids(rank.ordered_rank(clean.within_budget_text(test_df), tk), batch_size=batch_size)  # checkpointed inside
-        out["test"] = batching.make_batches(vocab.encode_columns(te, voc, enc_cols))
+        te = fit(test_df)
+        te_ids = encoded(te, "test", tk)
+        ranked = rank.ordered_rank(te if te_ids is None else te_ids, tk)  # checkpointed inside
+        out["test"] = batches(ranked, te_ids is not None)
     return out
 
 
 def epoch_batches(prepared: dict, keys: list[str], epoch: int, seed: int = SEED, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """SRT4: the training batches of another epoch - a new hash order over the same split
-    (the reference reshuffles the training rows every epoch), padded and encoded."""
+    """SRT4: the training batches of another epoch - a new hash order over the same split,
+    padded and encoded."""
     tr = prepared["split"].filter(F.col("split") == "train")
     ranked = rank.batch_ids(rank.hash_rank(tr, keys, seed=seed, epoch=epoch), batch_size=batch_size)
-    return batching.make_batches(vocab.encode_columns(ranked, prepared["vocabulary"]))
+    return batching.encode_batches(ranked, prepared["vocabulary"])
 
 
 def evaluate_greedy(batches: DataFrame, keys: list[str], make_predictor, fraction: float, voc: vocab.Vocabulary | None = None) -> dict:
     """PIP3: accuracy over the first ``int(n_batches * fraction)`` batches + one example per batch.
 
     ``make_predictor() -> predict(question_id_arrays, max_lens)``; ``max_len`` is the padded
-    answer length, as the reference generates exactly that many ids.
+    answer length, and a model gives exactly that many ids.  ``batches`` is read three times (batch
+    count, model, scoring): pass a written table.
     """
     kept, n_batches, k = evaluate.first_batches(batches, fraction)
     kept = kept.withColumn("max_len", F.size("answers"))

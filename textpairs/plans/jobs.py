@@ -12,6 +12,7 @@ scratch data goes to its ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import SparkSession
 
@@ -21,15 +22,19 @@ from textpairs.session import drop_scratch, scratch_mark
 from textpairs.sources import files
 
 
+log = logging.getLogger(__name__)
+
+
 def _session() -> SparkSession:
     return SparkSession.builder.appName("textpairs").getOrCreate()
 
 
-def ingest(spark: SparkSession, inp: str, out: str, folders=None, modules=None, cap: int = files.DEFAULT_CAP, on_unpaired: str = "quarantine") -> None:
-    pairs, unpaired, _ = files.read_qa(spark, inp, folders=folders, files=modules, samples_per_module=cap, on_unpaired=on_unpaired)
-    pairs.write.mode("overwrite").partitionBy("folder").parquet(f"{out}/pairs")
+def ingest(spark: SparkSession, inp: str, out: str, folders=None, modules=None, cap: int | None = None, on_unpaired: str = "quarantine") -> None:
+    pairs, unpaired, listing = files.read_qa(spark, inp, folders=folders, files=modules, samples_per_module=cap, on_unpaired=on_unpaired)
+    files.write_split(pairs, f"{out}/pairs", "folder")  # folder names stay text
     unpaired.write.mode("overwrite").parquet(f"{out}/unpaired")
-    files.ingest_report(spark.read.parquet(f"{out}/pairs")).write.mode("overwrite").parquet(f"{out}/report")
+    report = files.ingest_report(files.read_split_table(spark, f"{out}/pairs"), files.listed_files(spark, listing))
+    report.write.mode("overwrite").parquet(f"{out}/report")
 
 
 def profile_pairs(spark: SparkSession, inp: str, out: str, approx: bool = False) -> None:
@@ -44,11 +49,13 @@ def profile_pairs(spark: SparkSession, inp: str, out: str, approx: bool = False)
         profile.value_counts(pairs, c).write.mode("overwrite").parquet(f"{out}/counts_{c}")
 
 
-def prepare(spark: SparkSession, inp: str, out: str, test: str | None = None, batch_size: int = flows.BATCH_SIZE, seed: int = flows.SEED) -> None:
+def prepare(spark: SparkSession, inp: str, out: str, test: str | None = None, batch_size: int = flows.BATCH_SIZE, seed: int = flows.SEED, question_limit: int | None = None, answer_limit: int | None = None) -> None:
     keys = ["file", "pair_idx"]
     train = spark.read.parquet(inp)
     test_df = spark.read.parquet(test) if test else None
-    prep = flows.prepare(train, test_df, keys=keys, batch_size=batch_size, seed=seed, save_path=out)
+    prep = flows.prepare(train, test_df, keys=keys, batch_size=batch_size, seed=seed, save_path=out, question_limit=question_limit, answer_limit=answer_limit)
+    if prep["dropped"]:
+        log.warning("%d rows are beyond the length limits and left out", prep["dropped"])
     for name in ("train", "val", "test"):
         if prep[name] is not None:
             prep[name].write.mode("overwrite").parquet(f"{out}/batches_{name}")
@@ -62,7 +69,7 @@ def main(argv=None) -> None:
     a.add_argument("--output", required=True)
     a.add_argument("--folders", nargs="*")
     a.add_argument("--files", nargs="*")
-    a.add_argument("--samples-per-module", type=int, default=files.DEFAULT_CAP)
+    a.add_argument("--samples-per-module", type=int, help="pairs to take of each file (default: all)")
     a.add_argument("--on-unpaired", default="quarantine")
     b = sub.add_parser("profile")
     b.add_argument("--input", required=True)
@@ -74,6 +81,8 @@ def main(argv=None) -> None:
     c.add_argument("--test")
     c.add_argument("--batch-size", type=int, default=flows.BATCH_SIZE)
     c.add_argument("--seed", type=int, default=flows.SEED)
+    c.add_argument("--question-limit", type=int, help="leave out questions of more ids (default: none)")
+    c.add_argument("--answer-limit", type=int)
     args = ap.parse_args(argv)
     spark = _session()
     mark = scratch_mark()
@@ -82,7 +91,7 @@ def main(argv=None) -> None:
     elif args.step == "profile":
         profile_pairs(spark, args.input, args.output, args.approx)
     else:
-        prepare(spark, args.input, args.output, args.test, args.batch_size, args.seed)
+        prepare(spark, args.input, args.output, args.test, args.batch_size, args.seed, args.question_limit, args.answer_limit)
     # outputs are written: the step's intermediate tables are no longer read
     drop_scratch(spark, since=mark)
 

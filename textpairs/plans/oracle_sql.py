@@ -1,8 +1,9 @@
 """DuckDB oracle SQL for the query catalogue (tables registered as views by name).
 
 Shared fragments mirror the Spark plans: ``p`` = question/answer pairs of the
-documents, ``v`` = vocabulary, ``e`` = encoded pairs, ``s`` = 80/20 split of the
-pairs within the length budget, ``tb`` / ``vb`` = train / validation batches.
+documents, ``v`` = vocabulary, ``e`` = encoded pairs, ``s`` = 80/20 split of all
+pairs, ``tb`` / ``vb`` = train / validation batches; ``b`` = pairs within the length
+budget, for the queries that ask for it.
 Floating-point results are rounded to 6 decimals on both sides (summation order
 differs between engines).
 """
@@ -66,7 +67,8 @@ def split_cte(name: str, src: str) -> str:
     )
 
 
-S = split_cte("s", "b")
+S = split_cte("s", "e")
+S_BUDGET = split_cte("s", "b")
 TB = (
     "tr AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '0', doc_id, pair_idx)), doc_id, pair_idx) - 1 AS rk "
     "FROM s WHERE split = 'train'), "
@@ -77,7 +79,8 @@ VB = (
     "FROM s WHERE split = 'val'), "
     "vb AS (SELECT *, CAST(rk // 32 AS BIGINT) AS batch_id, CAST(rk % 32 AS INTEGER) AS pos_in_batch FROM va)"
 )
-BATCHES = f"{ENCODED}, {B}, {S}, {TB}, {VB}"
+BATCHES = f"{ENCODED}, {S}, {TB}, {VB}"
+BUDGET_BATCHES = f"{ENCODED}, {B}, {S_BUDGET}, {TB}"
 
 
 def padded(src: str, name: str) -> str:
@@ -96,10 +99,10 @@ PRED = (
 )
 EVAL = f"{BATCHES}, {padded('vb', 'vp')}, {PRED}"
 
-# driver tables read as files: all lines of one (lang, source, doc_id div (1000 x groups)) in doc order form one file
+# driver tables read as files: all lines of one (lang, source, doc_id div 4000) in doc order form one file
 FILE_LINES = (
     "fl AS (SELECT lang, source, chunk, v, row_number() OVER (PARTITION BY lang, source, chunk ORDER BY doc_id, ln) - 1 AS fln FROM "
-    "(SELECT doc_id, lang, source, CAST(doc_id // (1000 * (SELECT count(*) FROM (SELECT DISTINCT lang, source FROM documents))) AS BIGINT) AS chunk, "
+    "(SELECT doc_id, lang, source, CAST(doc_id // 4000 AS BIGINT) AS chunk, "
     "unnest(string_split(text, chr(10))) AS v, "
     "generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents)), "
     "fa AS (SELECT *, lead(v) OVER (PARTITION BY lang, source, chunk ORDER BY fln) AS a FROM fl), "
@@ -107,25 +110,29 @@ FILE_LINES = (
     "FROM fa WHERE fln % 2 = 0 AND a IS NOT NULL)"
 )
 
-EMB = "x AS (SELECT label, vec_id AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+EMB = "x AS (SELECT vec_id // 100 AS seq_id, vec_id % 100 AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+ODD = (
+    "od AS (SELECT ['', '7', '07', '007', 'a b', 'x/y=z%', 'null', NULL][doc_id % 8 + 1] AS key, doc_id, pair_idx, "
+    "' ' || question || ' ' AS question, chr(1) || answer || chr(2) AS answer FROM p)"
+)
 
 
 def attention_ctes(causal: bool) -> str:
     cond = "AND k.pos <= q.pos" if causal else ""
     return (
         f"{EMB}, "
-        f"sc AS (SELECT q.label, q.pos AS q_pos, k.pos AS k_pos, list_inner_product(q.v, k.v) / sqrt(len(q.v)) AS score, k.v AS kv "
-        f"FROM x q JOIN x k ON q.label = k.label {cond}), "
-        "mx AS (SELECT *, max(score) OVER (PARTITION BY label, q_pos) AS m FROM sc), "
+        f"sc AS (SELECT q.seq_id, q.pos AS q_pos, k.pos AS k_pos, list_inner_product(q.v, k.v) / sqrt(len(q.v)) AS score, k.v AS kv "
+        f"FROM x q JOIN x k ON q.seq_id = k.seq_id {cond}), "
+        "mx AS (SELECT *, max(score) OVER (PARTITION BY seq_id, q_pos) AS m FROM sc), "
         "w AS (SELECT *, exp(score - m) AS ew FROM mx), "
-        "nrm AS (SELECT label, q_pos, count(*) AS n_keys, max(m) AS max_score, sum(ew) AS se, sum(ew * score) AS sws, "
-        "min(k_pos) FILTER (WHERE score = m) AS best_key FROM w GROUP BY label, q_pos), "
-        "dm AS (SELECT label, q_pos, i, sum(ew * xv) AS sx FROM (SELECT label, q_pos, ew, unnest(kv) AS xv, "
-        "generate_subscripts(kv, 1) AS i FROM w) GROUP BY label, q_pos, i), "
-        "pool AS (SELECT d.label, d.q_pos, list(round(d.sx / n.se, 6) + 0.0 ORDER BY d.i) AS pooled FROM dm d "
-        "JOIN nrm n ON d.label = n.label AND d.q_pos = n.q_pos GROUP BY d.label, d.q_pos), "
-        "poolraw AS (SELECT d.label, d.q_pos, list(d.sx / n.se ORDER BY d.i) AS pooled FROM dm d "
-        "JOIN nrm n ON d.label = n.label AND d.q_pos = n.q_pos GROUP BY d.label, d.q_pos)"
+        "nrm AS (SELECT seq_id, q_pos, count(*) AS n_keys, max(m) AS max_score, sum(ew) AS se, sum(ew * score) AS sws, "
+        "min(k_pos) FILTER (WHERE score = m) AS best_key FROM w GROUP BY seq_id, q_pos), "
+        "dm AS (SELECT seq_id, q_pos, i, sum(ew * xv) AS sx FROM (SELECT seq_id, q_pos, ew, unnest(kv) AS xv, "
+        "generate_subscripts(kv, 1) AS i FROM w) GROUP BY seq_id, q_pos, i), "
+        "pool AS (SELECT d.seq_id, d.q_pos, list(round(d.sx / n.se, 6) + 0.0 ORDER BY d.i) AS pooled FROM dm d "
+        "JOIN nrm n ON d.seq_id = n.seq_id AND d.q_pos = n.q_pos GROUP BY d.seq_id, d.q_pos), "
+        "poolraw AS (SELECT d.seq_id, d.q_pos, list(d.sx / n.se ORDER BY d.i) AS pooled FROM dm d "
+        "JOIN nrm n ON d.seq_id = n.seq_id AND d.q_pos = n.q_pos GROUP BY d.seq_id, d.q_pos)"
     )
 
 
@@ -145,13 +152,27 @@ ORACLE: dict[str, str] = {
     "folder_selected": f"WITH {PAIRS} SELECT doc_id, folder, module, pair_idx, question, answer FROM p WHERE folder IN ('en', 'fr', 'xx')",
     "file_selected": f"WITH {PAIRS} SELECT doc_id, folder, module, pair_idx, question, answer FROM p WHERE module IN ('src1', 'src7', 'nope')",
     "ingest_report": (
-        f"WITH {PAIRS} SELECT folder, module, count(DISTINCT doc_id) AS files, count(*) AS pairs FROM p GROUP BY ROLLUP (folder, module)"
+        f"WITH {PAIRS} SELECT d.lang AS folder, d.source AS module, count(DISTINCT d.doc_id) AS files, count(p.doc_id) AS pairs "
+        "FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY ROLLUP (d.lang, d.source)"
     ),
     "null_report": (
         f"WITH {PAIRS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE question IS NULL) AS null_question, "
         "count(*) FILTER (WHERE answer IS NULL) AS null_answer FROM p"
     ),
     "split_folder": f"WITH {PAIRS} SELECT folder AS split_key, doc_id, pair_idx, question, answer FROM p",
+    "split_by_folder": f"WITH {PAIRS} SELECT folder AS split_key, doc_id, pair_idx, question, answer FROM p",
+    "split_odd_keys": f"WITH {PAIRS}, {ODD} SELECT key AS split_key, key, doc_id, pair_idx, question, answer FROM od",
+    "csv_odd_cells": f"WITH {PAIRS}, {ODD} SELECT key, doc_id, pair_idx, question, answer FROM od",
+    "dataset_modules": f"WITH {PAIRS}, {ODD} SELECT key AS name, key, doc_id, pair_idx FROM od WHERE key IN ('7', '07', '007')",
+    "qa_only": f"WITH {PAIRS} SELECT question, answer FROM p",
+    "checked": f"WITH {PAIRS} SELECT true AS has_rows, count(*) AS n_rows FROM p",
+    "file_unpaired": f"WITH {FILE_LINES} SELECT lang, source, chunk, CAST(fln AS BIGINT) AS ln, v AS text FROM fa WHERE fln % 2 = 0 AND a IS NULL",
+    "stream_unpaired": f"WITH {FILE_LINES} SELECT lang, source, chunk, CAST(fln AS BIGINT) AS ln, v AS text FROM fa WHERE fln % 2 = 0 AND a IS NULL",
+    "file_report": (
+        f"WITH {FILE_LINES}, f AS (SELECT DISTINCT lang, source, chunk FROM fl) SELECT f.lang, f.source, f.chunk, CAST(1 AS BIGINT) AS files, "
+        "count(fp.pair_idx) AS pairs FROM f LEFT JOIN fp ON f.lang = fp.lang AND f.source = fp.source AND f.chunk = fp.chunk "
+        "GROUP BY f.lang, f.source, f.chunk"
+    ),
     "split_module": f"WITH {PAIRS} SELECT module AS split_key, doc_id, pair_idx, question, answer FROM p",
     "file_source": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp",
     "file_source_lines": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp",
@@ -235,10 +256,36 @@ ORACLE: dict[str, str] = {
     "prepare_train": f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, batch_id, questions, answers FROM tp",
     "src_mask": f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, [x <> 3 for x in questions] AS questions_mask FROM tp",
     "trg_mask": (
-        f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, "
+        f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, CAST(len(answers) AS INTEGER) AS mask_len, "
+        "CAST(len([x for x in answers if x <> 3]) AS INTEGER) AS valid_len FROM tp"
+    ),
+    "trg_mask_matrix": (
+        f"WITH {BUDGET_BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, [x <> 3 for x in questions] AS questions_mask, "
         "[array_to_string([CASE WHEN x <> 3 AND j <= i THEN '1' ELSE '0' END for x, j in answers], '') for y, i in answers] AS answers_mask "
         "FROM tp"
     ),
+    "shifted_mask": (
+        f"WITH {BUDGET_BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, "
+        "[array_to_string([CASE WHEN x <> 3 AND j <= i THEN '1' ELSE '0' END for x, j in answers[1:len(answers) - 1]], '') "
+        "for y, i in answers[1:len(answers) - 1]] AS decoder_mask FROM tp"
+    ),
+    "prepare_budget": (
+        f"WITH {PAIRS}, pb AS (SELECT * FROM p WHERE length(question) + 2 <= 200 AND length(answer) + 2 <= 201), {vocab_ctes('pb')}, "
+        f"b AS (SELECT doc_id, pair_idx, {enc('question')} AS question_ids, {enc('answer')} AS answer_ids FROM pb, vt), {S_BUDGET}, {TB}, "
+        f"{padded('tb', 'tp')} SELECT doc_id, pair_idx, batch_id, questions, answers, (SELECT count(*) FROM p) - (SELECT count(*) FROM pb) AS dropped FROM tp"
+    ),
+    "prepare_loaded": f"WITH {BATCHES}, {padded('vb', 'vp')} SELECT doc_id, pair_idx, batch_id, questions, answers FROM vp",
+    "prepare_test": (
+        f"WITH {PAIRS}, {VOCAB}, cv AS (SELECT conv_id, turn, text AS question, nxt AS answer, row_number() OVER (ORDER BY conv_id, turn) - 1 AS rk "
+        "FROM (SELECT *, lead(text) OVER w AS nxt, lead(role) OVER w AS nrole FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) "
+        "WHERE role = 'user' AND nrole = 'assistant'), "
+        f"ce AS (SELECT conv_id, turn, CAST(rk // 32 AS BIGINT) AS batch_id, {enc('question')} AS question_ids, {enc('answer')} AS answer_ids FROM cv, vt), "
+        f"{padded('ce', 'cp')} SELECT conv_id, turn, batch_id, questions, answers FROM cp"
+    ),
+    "collate_extra": (
+        f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, batch_id, CAST(len(questions) AS INTEGER) AS width, "
+        "CAST(len(question_ids) AS INTEGER) AS used FROM tp"
+    ),
     "shifted": (
         f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, answers[1:len(answers) - 1] AS decoder_input, "
         "answers[2:len(answers)] AS target FROM tp"
@@ -262,7 +309,7 @@ ORACLE: dict[str, str] = {
     "greedy_eval": (
         f"WITH {EVAL}, nb AS (SELECT max(batch_id) + 1 AS n_batches FROM vp), k AS (SELECT n_batches, "
         "CAST(floor(n_batches * 0.5) AS BIGINT) AS used FROM nb), "
-        "g AS (SELECT *, list_reverse(questions) AS rq FROM vp, k WHERE batch_id < used), "
+        "g AS (SELECT *, list_resize(questions[1:len(answers)], len(answers), 3) AS rq FROM vp, k WHERE batch_id < used), "
         "gm AS (SELECT *, (len(answers) = len(rq) AND list_bool_and([a = rq[i] OR a = 3 for a, i in answers])) AS m FROM g) "
         "SELECT any_value(n_batches) AS n_batches, any_value(used) AS used_batches, count(*) AS n, "
         "count(*) FILTER (WHERE m) AS matches, avg(m::DOUBLE) AS accuracy FROM gm"
@@ -278,6 +325,11 @@ ORACLE: dict[str, str] = {
         "WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS lg FROM embeddings) SELECT vec_id, label, "
         "round(list_max(lg) + ln(list_sum([exp(t - list_max(lg)) for t in lg])) - lg[label + 1], 6) + 0.0 AS xent FROM x"
     ),
+    "softmax": (
+        "WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS lg FROM embeddings), "
+        "y AS (SELECT vec_id, [exp(t - list_max(lg)) for t in lg] AS ex FROM x) "
+        "SELECT vec_id, [round(t / list_sum(ex), 6) + 0.0 for t in ex] AS weights FROM y"
+    ),
     "masked_xent": (
         "WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS lg FROM embeddings), "
         "y AS (SELECT label, list_max(lg) + ln(list_sum([exp(t - list_max(lg)) for t in lg])) - lg[label + 1] AS xe FROM x) "
@@ -285,26 +337,33 @@ ORACLE: dict[str, str] = {
     ),
     # ---- vectors
     "attn_stats": (
-        f"WITH {attention_ctes(True)} SELECT label, q_pos, n_keys, best_key, round(max_score, 6) + 0.0 AS max_score, "
+        f"WITH {attention_ctes(True)} SELECT seq_id, q_pos, n_keys, best_key, round(max_score, 6) + 0.0 AS max_score, "
         "round(max_score + ln(se), 6) + 0.0 AS log_norm FROM nrm"
     ),
-    "attn_pool": f"WITH {attention_ctes(True)} SELECT label, q_pos, pooled FROM pool",
+    "attn_blocks": (
+        f"WITH {attention_ctes(True)} SELECT pool.seq_id, pool.q_pos, nrm.n_keys, pooled FROM pool JOIN nrm "
+        "ON pool.seq_id = nrm.seq_id AND pool.q_pos = nrm.q_pos"
+    ),
+    "attn_pool": f"WITH {attention_ctes(True)} SELECT seq_id, q_pos, pooled FROM pool",
     "dot_scores": (
-        f"WITH {attention_ctes(False)} SELECT label, q_pos, n_keys, best_key, round(max_score, 6) + 0.0 AS max_score, "
+        f"WITH {attention_ctes(False)} SELECT seq_id, q_pos, n_keys, best_key, round(max_score, 6) + 0.0 AS max_score, "
         "round(max_score + ln(se), 6) + 0.0 AS log_norm FROM nrm"
     ),
     "attn_softmax": (
-        f"WITH {attention_ctes(True)} SELECT label, q_pos, round(1.0 / se, 6) + 0.0 AS max_weight, "
+        f"WITH {attention_ctes(True)} SELECT seq_id, q_pos, round(1.0 / se, 6) + 0.0 AS max_weight, "
         "round(max_score + ln(se) - sws / se, 6) + 0.0 AS entropy FROM nrm"
     ),
-    "attn_pool_full": f"WITH {attention_ctes(False)} SELECT label, q_pos, pooled FROM pool",
+    "attn_pool_full": f"WITH {attention_ctes(False)} SELECT seq_id, q_pos, pooled FROM pool",
     "attn_bind": (
-        f"WITH {attention_ctes(True)} SELECT p.label, p.q_pos, [round(a * x.v[i], 6) + 0.0 for a, i in p.pooled] AS bound "
-        "FROM poolraw p JOIN x ON p.label = x.label AND p.q_pos = x.pos"
+        f"WITH {attention_ctes(True)} SELECT p.seq_id, p.q_pos, [round(a * x.v[i], 6) + 0.0 for a, i in p.pooled] AS bound "
+        "FROM poolraw p JOIN x ON p.seq_id = x.seq_id AND p.q_pos = x.pos"
     ),
     # ---- round trips through sinks
     "csv_roundtrip": f"WITH {PAIRS} SELECT doc_id, folder, module, pair_idx, question, answer FROM p",
     "parquet_roundtrip": f"WITH {ENCODED} SELECT doc_id, pair_idx, question_ids, answer_ids FROM e",
     "vocab_roundtrip": f"WITH {PAIRS}, {VOCAB} SELECT token, freq, id FROM v",
-    "dataset_layout": f"WITH {PAIRS}, {split_cte('s0', 'p')} SELECT doc_id, folder, module, pair_idx, question, answer FROM s0 WHERE split = 'train'",
+    "dataset_layout": (
+        f"WITH {PAIRS}, {split_cte('s0', 'p')} SELECT CASE WHEN split = 'train' THEN 'train' ELSE 'test' END AS kind, doc_id, folder, module, "
+        "pair_idx, question, answer, CAST(length(question) AS INTEGER) AS question_length FROM s0"
+    ),
 }

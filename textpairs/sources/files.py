@@ -13,7 +13,7 @@ recover them exactly and at scale (H1):
 3. a prefix sum over the blocks of a file (a window over that small table) gives
    each block's first line number; the table is joined back (broadcast when it is
    small, which AQE decides from its real size);
-4. pairs are formed by grouping on ``(file, ln div 2)`` (see ``operators.pairing``).
+4. pairs are formed by joining even with odd lines on ``(file, ln div 2)`` (see ``operators.pairing``).
 
 Listing (SRC2, SRC3) goes through the Hadoop FileSystem of the session, so the same
 code lists local folders, HDFS or object stores.
@@ -22,18 +22,18 @@ code lists local folders, HDFS or object stores.
 from __future__ import annotations
 
 import logging
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textpairs.fixed import SAMPLES_PER_MODULE
 from textpairs.functions.text import decode_uri_path, drop_last4, parent_name
+from textpairs.operators.clean import distinct_keys
 from textpairs.operators.pairing import _check_cap, pairs_from_lines, pairs_in_rows, unpaired_in_rows
 
 log = logging.getLogger(__name__)
 
 QA_SCHEMA = "question string, answer string, folder string, module string"
-DEFAULT_CAP = SAMPLES_PER_MODULE
 
 
 # ----------------------------------------------------------------------------- listing
@@ -53,11 +53,14 @@ def list_inputs(spark: SparkSession, root: str, folders=None, files=None) -> dic
     Returns ``{"folders": [...], "files": [...], "skipped_hidden": [...]}`` (paths).
     Missing folders / files are skipped silently; no folder -> ValueError; files asked
     for but none found -> ValueError; a hidden file (``_x``, ``.x`` - Spark never reads
-    those) asked for by name -> ValueError.
+    those) asked for by name -> ValueError.  A name given twice counts once.  With
+    ``folders`` only those folders are listed.
     """
-    for name, seq in (("folders_to_process", folders), ("files_to_process", files)):
+    for name, seq in (("folders", folders), ("files", files)):
         if seq is not None and not all(isinstance(x, str) for x in seq):
-            raise TypeError(f"All elements in {name} must be strings.")
+            raise TypeError(f"{name}: names are strings, got {[type(x).__name__ for x in seq]}")
+    folders = list(dict.fromkeys(folders)) if folders else None
+    files = list(dict.fromkeys(files)) if files else None
     fs, rootp = _fs(spark, root)
     if not fs.exists(rootp):
         raise FileNotFoundError(f"input directory {root} not found")
@@ -76,20 +79,28 @@ def list_inputs(spark: SparkSession, root: str, folders=None, files=None) -> dic
             out.append((p, is_dir))
         return out
 
-    # one glob per level, not one listing call per folder
-    subdirs = {p.rsplit("/", 1)[-1]: p for p, is_dir in glob(base + "/*") if is_dir}
+    by_folder: dict = {}
     if folders:
-        chosen = [subdirs[f] for f in folders if f in subdirs]
+        # only the named folders are opened
+        chosen = []
+        for f in folders:
+            d = jvm.org.apache.hadoop.fs.Path(base + "/" + f)
+            if fs.exists(d) and fs.getFileStatus(d).isDirectory():
+                chosen.append(d.toString())
+                for st in fs.listStatus(d):
+                    p = st.getPath().toString()
+                    name = p.rsplit("/", 1)[-1]
+                    if st.isFile() and not name.startswith("."):
+                        sizes[p] = st.getLen()
+                        by_folder.setdefault(d.toString(), {})[name] = p
     else:
-        chosen = [subdirs[k] for k in sorted(subdirs)]
+        # one glob per level, not one listing call per folder
+        chosen = sorted((p for p, is_dir in glob(base + "/*") if is_dir), key=lambda p: p.rsplit("/", 1)[-1])
+        for p, is_dir in glob(base + "/*/*"):
+            if not is_dir:
+                by_folder.setdefault(p.rsplit("/", 1)[0], {})[p.rsplit("/", 1)[-1]] = p
     if not chosen:
-        raise ValueError("None of the specified folders were found.")
-    chosen_set = set(chosen)
-    by_folder: dict = {}
-    for p, is_dir in glob(base + "/*/*"):
-        parent = p.rsplit("/", 1)[0]
-        if not is_dir and parent in chosen_set:
-            by_folder.setdefault(parent, {})[p.rsplit("/", 1)[-1]] = p
+        raise ValueError(f"no folder to read under {root}" + (f" among {folders}" if folders else ""))
     # glob skips names starting with '.'; when asked for by name, look them up directly
     if files:
         for d in chosen:
@@ -106,11 +117,11 @@ def list_inputs(spark: SparkSession, root: str, folders=None, files=None) -> dic
         for n in names:
             (hidden if _hidden(n) else out_files).append(entries[n])
     if files and hidden:
-        raise ValueError(f"files whose names start with '_' or '.' are not readable by Spark: {hidden}")
+        raise ValueError(f"Spark passes over names that start with '_' or '.': {hidden}")
     if files and not out_files:
-        raise ValueError("None of the specified files were found.")
+        raise ValueError(f"no chosen folder holds any of {files}")
     if not out_files:
-        raise ValueError("No files found in the chosen folders.")
+        raise ValueError(f"the chosen folders under {root} hold no readable file")
     return {"folders": chosen, "files": out_files, "sizes": {f: sizes.get(f, 0) for f in out_files}, "skipped_hidden": hidden}
 
 
@@ -120,7 +131,8 @@ OFFSETS_BROADCAST_BYTES = 128 << 20
 
 
 def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, folder, module, ln, value): every line with its 0-based number in its file (WIN1).
+    """(file, ln, value): every line with its 0-based number in its file (WIN1); ``named`` adds
+    folder and module, after any shuffle, so only one path string travels with a line.
 
     SRC7 / SET1: all chosen files are one ``read.text`` over their paths - a union all of
     the per-file line sets; row order is defined by ``(folder, module, pair_idx)`` keys.
@@ -151,19 +163,22 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     est_bytes = max_splits * (max((len(p) for p in paths), default=0) + 48)
     if est_bytes <= OFFSETS_BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
+    return raw.join(offsets, ["file", "block"]).select("file", (F.col("off") + F.col("mid") - F.col("mid0")).alias("ln"), "value")
+
+
+def named(df: DataFrame) -> DataFrame:
+    """``df`` with folder and module of its ``file``, as columns 2 and 3."""
     path = decode_uri_path(F.col("file"))
     base = F.element_at(F.split(path, "/"), -1)
-    return raw.join(offsets, ["file", "block"]).select(
-        "file",
-        parent_name(path).alias("folder"),
-        drop_last4(base).alias("module"),
-        (F.col("off") + F.col("mid") - F.col("mid0")).alias("ln"),
-        "value",
-    )
+    rest = [c for c in df.columns if c != "file"]
+    return df.select("file", parent_name(path).alias("folder"), drop_last4(base).alias("module"), *rest)
 
 
-# Files up to this size are read whole and paired in-row; larger ones take the line path.
+# Files up to this size are read whole and paired in-row; larger ones take the line path, as
+# do compressed ones, whose size says little about their text.  Both give the same rows.
 WHOLE_FILE_BYTES = 64 << 20
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
+BYTE_ORDER_MARK = "\ufeff"
 FILE_KEYS = ["file", "folder", "module"]
 
 
@@ -175,23 +190,29 @@ def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         parent_name(path).alias("folder"),
         drop_last4(F.element_at(F.split(path, "/"), -1)).alias("module"),
-        F.col("value").alias("text"),
+        without_mark("value").alias("text"),
     )
 
 
+def without_mark(text: str):
+    """A text without a leading byte-order mark, which says how the file is encoded and is no part of its
+    first line (Spark's line reader drops it too)."""
+    return F.when(F.startswith(F.col(text), F.lit(BYTE_ORDER_MARK)), F.substr(F.col(text), F.lit(2))).otherwise(F.col(text))
+
+
 def read_qa(
     spark: SparkSession,
     root: str,
     folders=None,
     files=None,
-    samples_per_module: int | None = DEFAULT_CAP,
+    samples_per_module: int | None = None,
     on_unpaired: str = "quarantine",
     whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> tuple[DataFrame, DataFrame, dict]:
     """PIP1 (SRC1-SRC8): ``(pairs, unpaired, listing)``.
 
-    pairs: (file, folder, module, pair_idx, question, answer) - first ``samples_per_module``
-    pairs of every file (``None``: whole files); unpaired: (file, folder, module, ln, text).
+    pairs: (file, folder, module, pair_idx, question, answer) - whole files, or the first
+    ``samples_per_module`` pairs of every file when that is given; unpaired: (file, folder, module, ln, text).
 
     Files are routed by the size the listing reports: up to ``whole_file_bytes`` a file is
     read whole and paired inside its row (one read, no shuffle); larger files take the
@@ -199,8 +220,9 @@ def read_qa(
     """
     _check_cap(samples_per_module)
     listing = list_inputs(spark, root, folders, files)
-    small = [f for f in listing["files"] if listing["sizes"][f] <= whole_file_bytes]
-    big = [f for f in listing["files"] if listing["sizes"][f] > whole_file_bytes]
+    is_small = {f: listing["sizes"][f] <= whole_file_bytes and not f.endswith(COMPRESSED) for f in listing["files"]}
+    small = [f for f, s in is_small.items() if s]
+    big = [f for f, s in is_small.items() if not s]
     parts = []
     if small:
         texts = whole_files(spark, small)
@@ -211,7 +233,8 @@ def read_qa(
             )
         )
     if big:
-        parts.append(pairs_from_lines(numbered_lines(spark, big), FILE_KEYS, cap=samples_per_module, on_unpaired=on_unpaired))
+        found = pairs_from_lines(numbered_lines(spark, big), ["file"], cap=samples_per_module, on_unpaired=on_unpaired)
+        parts.append(tuple(named(p) for p in found))
     pairs, unpaired = parts[0]
     for p, u in parts[1:]:
         pairs, unpaired = pairs.unionByName(p), unpaired.unionByName(u)
@@ -224,15 +247,25 @@ def listing_counts(listing: dict) -> dict:
     return {"folders": len(listing["folders"]), "files": len(listing["files"]), "skipped_hidden": len(listing["skipped_hidden"])}
 
 
-def ingest_report(pairs: DataFrame) -> DataFrame:
-    """SRC8: files and pairs per (folder, module), with folder totals and a grand total (rollup)."""
-    return pairs.rollup("folder", "module").agg(
-        F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("pairs")
-    )
+def listed_files(spark: SparkSession, listing: dict) -> DataFrame:
+    """(file, folder, module) of the listed files, named as in the pairs."""
+    paths = spark.createDataFrame([(f,) for f in listing["files"]], "file string")
+    base = F.element_at(F.split("file", "/"), -1)
+    return paths.select("file", parent_name(F.col("file")).alias("folder"), drop_last4(base).alias("module"))
+
+
+def ingest_report(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """SRC8: files and pairs per (folder, module), with folder totals and a grand total (rollup).
+
+    ``listed(file, folder, module)`` are the chosen files; a file that gave no pair counts as a file.
+    """
+    counts = pairs.groupBy("folder", "module").agg(F.lit(0).cast("long").alias("files"), F.count(F.lit(1)).alias("pairs"))
+    chosen = listed.groupBy("folder", "module").agg(F.count(F.lit(1)).alias("files"), F.lit(0).cast("long").alias("pairs"))
+    return chosen.unionByName(counts).rollup("folder", "module").agg(F.sum("files").alias("files"), F.sum("pairs").alias("pairs"))
 
 
 # ----------------------------------------------------------------------------- csv
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "\\N"}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 # Text that looks like the null marker (backslashes then N) gets one more backslash on
 # write and loses it on read, so "\N" typed by a user survives as text.
 _MARKER_LIKE_W = r"^(\\+N)$"
@@ -245,7 +278,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bo
     An empty frame still gets its header.  ``single_file`` coalesces to one task (small outputs only).
     """
     if df.isEmpty():
-        log.warning("The DataFrame is empty. A header-only file will be saved.")
+        log.warning("no rows to write: %s gets a header alone", path)
     strings = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     df = df.select(*[F.regexp_replace(c, _MARKER_LIKE_W, r"\\$1").alias(c) if c in strings else F.col(c) for c in df.columns])
     out = df.coalesce(1) if single_file else df
@@ -256,7 +289,7 @@ def read_csv(spark: SparkSession, path: str, columns=None, na_values=None) -> Da
     """SRC9: every column as string; ``na_values`` (opt-in) turns those words into null."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
-        raise FileNotFoundError(f"The file at the provided path {path} was not found.")
+        raise FileNotFoundError(f"no csv at {path}")
     if columns is None:
         header = spark.read.options(**CSV_OPTIONS).csv(path).columns
         columns = header
@@ -266,7 +299,7 @@ def read_csv(spark: SparkSession, path: str, columns=None, na_values=None) -> Da
     if na_values:
         df = df.select(*[F.when(F.col(c).isin(list(na_values)), F.lit(None)).otherwise(F.col(c)).alias(c) for c in columns])
     if df.isEmpty():
-        log.warning("The loaded DataFrame is empty.")
+        log.warning("%s holds no rows", path)
     return df
 
 
@@ -283,7 +316,7 @@ def read_encoded(spark: SparkSession, path: str, fingerprint: str | None = None)
     """SRC10: encoded table; with ``fingerprint`` it must match the vocabulary it was made with."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
-        raise FileNotFoundError(f"No tokenized data found at {path}")
+        raise FileNotFoundError(f"no encoded table at {path}")
     df = spark.read.parquet(path)
     if fingerprint is not None:
         bad = df.filter(F.col("vocab_fp") != F.lit(fingerprint)).limit(1).count()
@@ -301,7 +334,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """SRC11: the vocabulary; ids must be dense 0..V-1 with the specials first (checked by ``Vocabulary``)."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
-        raise FileNotFoundError(f"No vocabulary found at {path}")
+        raise FileNotFoundError(f"no vocabulary table at {path}")
     return spark.read.parquet(path)
 
 
@@ -309,42 +342,64 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 def dataset_name(kind: str, module: str | None, samples_per_module: int) -> tuple[str, str]:
     """SNK4 naming rule -> (mix, name).  ``kind`` is 'train' or 'test'; N must be a positive int."""
     if not isinstance(samples_per_module, int) or isinstance(samples_per_module, bool):
-        raise TypeError('"samples_per_module" must be an integer.')
+        raise TypeError(f"samples_per_module is a whole number, got {type(samples_per_module).__name__}")
     if samples_per_module <= 0:
-        raise ValueError('"samples_per_module" must be a positive integer.')
+        raise ValueError(f"samples_per_module is above 0, got {samples_per_module}")
     if kind not in ("train", "test"):
-        raise ValueError(f'Invalid dataframe_type: {kind}. Expected "train" or "test".')
+        raise ValueError(f"kind is 'train' or 'test', got {kind!r}")
     if not module:
         return "mixed", ("interpolate" if kind == "test" else f"mixed_{samples_per_module}")
     return "unique_module", (module if kind == "test" else f"{module}_{samples_per_module}")
 
 
-def write_dataset(df: DataFrame, root: str, kind: str, module: str | None, samples_per_module: int, tokenized: bool = False, mode: str = "overwrite") -> str:
-    """SNK4: one Parquet tree partitioned ``kind=/split=/mix=/name=``; returns the leaf path."""
+def _leaf(root: str, kind: str, module: str | None, samples_per_module: int, tokenized: bool) -> str:
     mix, name = dataset_name(kind, module, samples_per_module)
     table = "tokenized_dataframe" if tokenized else "dataframe"
-    leaf = f"{root.rstrip('/')}/kind={table}/split={kind}/mix={mix}/name={name}"
+    return f"{root.rstrip('/')}/kind={table}/split={kind}/mix={mix}/name={quote(name, safe='')}"
+
+
+def write_dataset(df: DataFrame, root: str, kind: str, module: str | None, samples_per_module: int, tokenized: bool = False, mode: str = "overwrite") -> str:
+    """SNK4: one Parquet tree laid out ``kind=/split=/mix=/name=``; returns the leaf path."""
+    leaf = _leaf(root, kind, module, samples_per_module, tokenized)
     df.write.mode(mode).parquet(leaf)
     return leaf
 
 
 def read_dataset(spark: SparkSession, root: str, kind: str, module: str | None, samples_per_module: int, tokenized: bool = False) -> DataFrame:
-    """SNK4 read side: partition pruning on the layout columns picks one leaf."""
-    mix, name = dataset_name(kind, module, samples_per_module)
-    table = "tokenized_dataframe" if tokenized else "dataframe"
-    df = spark.read.option("basePath", root).parquet(root)
-    return df.filter(
-        (F.col("kind") == table) & (F.col("split") == kind) & (F.col("mix") == mix) & (F.col("name") == name)
-    ).drop("kind", "split", "mix", "name")
+    """SNK4 read side: the one leaf, read by its own path - names stay text (``007`` is not ``7``) and
+    plain and tokenized tables under one root keep their own schemas."""
+    leaf = _leaf(root, kind, module, samples_per_module, tokenized)
+    return spark.read.option("basePath", leaf).parquet(leaf)
+
+
+SPLIT_SALTS = 16
+_PART = "key_part"
+
+
+def _key_part(key: str):
+    """The directory value of a key: marked text, so '' and null differ and no type is inferred."""
+    c = F.col(key).cast("string")
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("k_"), c))
 
 
 def write_split(df: DataFrame, path: str, key: str, mode: str = "overwrite") -> None:
-    """SNK5: persist the per-key frames of FLT3 / FLT4 as one table partitioned by the key."""
-    df.write.mode(mode).partitionBy(key).parquet(path)
+    """SNK5: persist the per-key frames of FLT3 / FLT4 as one table with a directory per key.
+
+    The key stays a data column; rows are gathered by key and ``SPLIT_SALTS`` salts first, so a
+    key has few files and a key that holds most rows is written by many tasks.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SPLIT_SALTS))
+    out = df.withColumn(_PART, _key_part(key))
+    out.repartition(F.col(_PART), salt).write.mode(mode).partitionBy(_PART).parquet(path)
+
+
+def read_split_table(spark: SparkSession, path: str) -> DataFrame:
+    """All keys of a split in one scan."""
+    return spark.read.parquet(path).drop(_PART)
 
 
 def read_split(spark: SparkSession, path: str, key: str) -> dict:
-    """SNK5 read side: ``{value: pruned scan of that partition}``; keys ascending."""
+    """SNK5 read side: ``{value: pruned scan of that partition}``; keys ascending, null first."""
     df = spark.read.parquet(path)
-    keys = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
-    return {k: df.filter(F.col(key) == F.lit(k)) for k in keys}
+    parts = {k: "null" if k is None else f"k_{k}" for k in distinct_keys(df, key)}
+    return {k: df.filter((F.col(_PART) == part) & F.col(key).eqNullSafe(F.lit(k))).drop(_PART) for k, part in parts.items()}
