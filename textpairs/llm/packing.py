@@ -14,7 +14,10 @@ a null id stays null; an empty table gives no rows; clashing columns of the inpu
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,9 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK_PIECES = 16_384
 PATIENCE = 32
-CACHED_WORDS = 400_000
+CACHED_WORDS = 450_000
 CACHED_WORD_BYTES = 48
+GROUP_BYTES = 1 << 20
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -177,11 +181,52 @@ def pack(pieces: DataFrame, order_cols: list[str], length_col: str = "length", c
     return full.unionByName(packed)
 
 
+class WordIds:
+    """Ids of words, remembered in two generations of at most about ``CACHED_WORDS`` words each.
+
+    When the young one is full it becomes the old one; words met again move back into the young one.  One
+    memory serves all tasks of a worker process.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.young, self.old = tokenizer, {}, {}
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        young, old, learn = self.young, self.old, []
+        for w in {x for t in texts for x in t if x not in young}:
+            if w in old:
+                young[w] = old[w]
+            else:
+                learn.append(w)
+        if learn:
+            for w, e in zip(learn, self.tokenizer.encode_batch_fast([w.decode() for w in learn], add_special_tokens=False)):
+                ids = e.ids
+                young[w] = pack_ids(f"<{len(ids)}I", *ids)
+        out = [b"".join(map(young.__getitem__, t)) for t in texts]
+        for w in learn:
+            if len(w) > CACHED_WORD_BYTES:
+                del young[w]
+        if len(young) > CACHED_WORDS:
+            self.young, self.old = {}, young
+        return out
+
+
+def _word_ids(tokenizer_json: str) -> WordIds:
+    """The worker process's ``WordIds`` of this tokenizer (functions come by value, so it is kept in a module of its own)."""
+    from tokenizers import Tokenizer
+
+    kept = sys.modules.setdefault("_textpairs_word_ids", types.ModuleType("_textpairs_word_ids"))
+    key = zlib.crc32(tokenizer_json.encode())
+    if getattr(kept, "key", None) != key:
+        kept.key, kept.ids = key, WordIds(Tokenizer.from_str(tokenizer_json))
+    return kept.ids
+
+
 def token_pieces(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``): each text's tokens and the end id, cut at ``capacity``.
 
-    Words between blanks are encoded once and remembered (the tokenizer drops blanks and never joins
-    over them); the memory is emptied when it holds ``CACHED_WORDS`` words.
+    Words between blanks are encoded each for itself and remembered: the tokenizer drops blanks and never joins over them.
     """
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     end = END_ID.to_bytes(4, "little")
@@ -189,40 +234,31 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_str(held.value)
-        known: dict[bytes, bytes] = {}
-
-        def learn(new: list[bytes]) -> dict[bytes, bytes]:
-            return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))}
-
+        words = _word_ids(held.value)
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            kept = []
+            kept, group, size = [], [], 0
+
+            def flush(group):
+                for (doc, _), data in zip(group, words.encode([w for _, w in group])):
+                    data += end
+                    for p, at in enumerate(range(0, len(data), 4 * capacity)):
+                        ids = data[at : at + 4 * capacity]
+                        for c, x in zip(out, (doc, p, at // 4, len(ids) // 4, zlib.crc32(ids))):
+                            out[c].append(x)
+                        if keep_ids:
+                            kept.append(np.frombuffer(ids, "<u4").astype(np.int32))
+
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                w = (text.as_py() or b"").split()
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                new = set(w) - known.keys()
-                extra = {}
-                if new:
-                    extra = learn(list(new))
-                    if len(extra) < CACHED_WORDS // 2:
-                        known.update(x for x in extra.items() if len(x[0]) <= CACHED_WORD_BYTES)
-                        extra = {k: v for k, v in extra.items() if len(k) > CACHED_WORD_BYTES}
-                data = b"".join([extra[x] if x in extra else known[x] for x in w] if extra else map(known.__getitem__, w)) + end
-                for p, at in enumerate(range(0, len(data), 4 * capacity)):
-                    ids = data[at : at + 4 * capacity]
-                    out["doc_id"].append(doc)
-                    out["piece"].append(p)
-                    out["start"].append(at // 4)
-                    out["length"].append(len(ids) // 4)
-                    out["ids_crc32"].append(zlib.crc32(ids))
-                    if keep_ids:
-                        kept.append(np.frombuffer(ids, "<u4").astype(np.int32))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            arrays = [pa.array(v, t) for v, t in zip(out.values(), types)]
+                raw = text.as_py() or b""
+                group.append((doc, raw.split()))
+                size += len(raw)
+                if size >= GROUP_BYTES:
+                    flush(group)
+                    group, size = [], 0
+            flush(group)
+            types_ = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            arrays = [pa.array(v, t) for v, t in zip(out.values(), types_)]
             if keep_ids:
                 arrays.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names=[*out, *(["ids"] if keep_ids else [])])
