@@ -35,7 +35,7 @@ def items_of(texts):
 
 
 def near_brute(docs, items, size, slop):
-    """Items a window of which stands, from its rarest... from any of its words, within ``slop`` places in the document."""
+    """Items a window of which has a start from which all its words are within ``slop`` places."""
     out = []
     for i, t in docs:
         w = alnum_words(t)
@@ -47,8 +47,7 @@ def near_brute(docs, items, size, slop):
             v = alnum_words(text)
             for j in range(max(1, len(v) - size + 1) if v else 0):
                 x = v[j : j + size]
-                lead = min(range(len(x)), key=lambda q: len(at[x[q]]))
-                if any(all(any(abs(p - (a + q - lead)) <= slop for p in at[x[q]]) for q in range(len(x))) for a in at[x[lead]]):
+                if any(all(any(abs(p - s - q) <= slop for p in at[y]) for q, y in enumerate(x)) for s in range(-slop, len(w) + slop)):
                     names.add("" if k is None else str(k))
         out.append((i, sorted(names)))
     return sorted(out, key=repr)
@@ -84,8 +83,12 @@ def test_proximity(spark):
     got = dc.contamination(df, table, size=5, slop=1)
     assert collect(got.select("doc_id", "items")) == [(1, ["7"]), (2, []), (3, []), (4, []), (5, [])]
     near = {r.doc_id: r.near_items for r in got.collect()}
-    assert near[1] == near[5] == ["7"] and near[3] == near[4] == []
+    assert near[1] == near[2] == near[5] == ["7"] and near[3] == near[4] == []
     assert collect(got.select("doc_id", "near_items")) == near_brute(docs, items, 5, 1)
+    short = [r[:2] for r in edge_rows() if len(r[1] or "") < 2000]
+    items = items_of([t for _, t in [r[:2] for r in edge_rows()]])
+    df, table = spark.createDataFrame(short, "doc_id long, text string").repartition(3), spark.createDataFrame([(*x, "") for x in items], ITEMS)
+    assert collect(dc.contamination(df, table, size=4, slop=2).select("doc_id", "near_items")) == near_brute(short, items, 4, 2)
 
 
 def test_query(spark, tmp_path):

@@ -8,7 +8,8 @@ postings; with a vocabulary over ``MAX_TERMS`` all terms are stored instead.
 *Search.* A window of a test item is looked up in every shard from its rarest term: that term's
 postings, less its place in the window, are the candidates, and the other terms' lists, adjusted by
 theirs, are intersected with them from rare to frequent.  With a tolerance the same intersection
-gives proximity matches: every term within ``slop`` places of where the phrase has it.
+gives proximity matches: there is a start from which every term is within ``slop`` places of where the
+phrase has it.
 
 Test windows go to the shards in blocks of at most ``BLOCK_WINDOWS``, so what is broadcast is bounded
 at any size of the benchmark.  No document data is shuffled but the matches.
@@ -129,7 +130,7 @@ def _near(listed: np.ndarray, want: np.ndarray, slop: int) -> np.ndarray:
 
 
 def find(windows, terms, cuts, postings, slop: int):
-    """(window, start, anchor, exact) of every match in a shard; a start is exact where ``exact``."""
+    """(window, start, anchor, exact) of every match in a shard: where it starts, a place of its rarest term, whether it is the phrase."""
     h, length, _, _ = windows
     none = np.zeros(0, np.int64)
     if not len(terms) or not len(h):
@@ -143,18 +144,19 @@ def find(windows, terms, cuts, postings, slop: int):
         t = term[w, : length[w]]
         order = np.argsort(n[t], kind="stable")
         lead = int(order[0])
-        anchor = postings[cuts[t[lead]] : cuts[t[lead] + 1]].astype(np.int64)
-        exact = np.ones(len(anchor), bool)
+        anchor = np.repeat(postings[cuts[t[lead]] : cuts[t[lead] + 1]].astype(np.int64), 2 * slop + 1)
+        start = anchor - lead + np.tile(np.arange(-slop, slop + 1), len(anchor) // (2 * slop + 1))
+        exact = start + lead == anchor
         for j in order[1:].tolist():
             listed = postings[cuts[t[j]] : cuts[t[j] + 1]]
-            ok = _near(listed, anchor + (j - lead), slop)
+            ok = _near(listed, start + j, slop)
             if not ok.all():
-                anchor, exact = anchor[ok], exact[ok]
+                anchor, start, exact = anchor[ok], start[ok], exact[ok]
             if not len(anchor):
                 break
-            exact &= _near(listed, anchor + (j - lead), 0)
+            exact &= _near(listed, start + j, 0)
         if len(anchor):
-            out.append((np.full(len(anchor), w), anchor - lead, anchor, exact))
+            out.append((np.full(len(anchor), w), start, anchor, exact))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none, none.astype(bool))
 
 

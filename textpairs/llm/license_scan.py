@@ -119,7 +119,11 @@ class Signature:
 
 def signatures() -> list[Signature]:
     """All rules, by falling priority, then in the order of the lists."""
-    out = [Signature(label, priority, sure, key, re.compile((r"(?<![^ ])" + p.replace("{n}", name) + r"(?![^ ])").encode())) for label, key, name in LICENSES for _, priority, sure, p in PHRASES]
+    out = []
+    for label, key, name in LICENSES:
+        # a name that says "license" itself needs no phrase around it
+        for _, priority, sure, p in [*PHRASES, *([("full name", 5, 0.8, "{n}")] if "licen" in name else [])]:
+            out.append(Signature(label, priority, sure, key, re.compile((r"(?<![^ ])" + p.replace("{n}", name) + r"(?![^ ])").encode())))
     return sorted(out, key=lambda s: -s.priority)
 
 

@@ -30,6 +30,7 @@ CAPACITY = 4096
 END_ID = 1
 BLOCK_PIECES = 16_384
 PATIENCE = 32
+SWEEPS = 6
 CACHED_WORDS = 450_000
 CACHED_WORD_BYTES = 48
 GROUP_BYTES = 1 << 20
@@ -131,26 +132,28 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     """Fewer or equal bins with the same items; every step raises the sum of squared fills.
 
     The emptiest bins give first.  A sweep ends when ``PATIENCE`` bins in a row could not be emptied; the search
-    ends at the lower bound, or after a sweep that emptied none.
+    ends at the lower bound, after a sweep without a step, or after ``SWEEPS`` sweeps.
     """
     full = [b for b in bins if int(lengths[b].sum()) == capacity]
     rest = [b for b in bins if int(lengths[b].sum()) < capacity]
     least = -(-sum(int(lengths[b].sum()) for b in rest) // capacity)
     u = _Underfull(rest, lengths, capacity)
-    used, emptied = len(rest), True
-    while emptied and used > least:
-        emptied, failed = False, 0
+    used = len(rest)
+    for _ in range(SWEEPS):
+        moved, failed = False, 0
         for s in np.argsort(u.fill, kind="stable").tolist():
+            if used <= least or failed == PATIENCE:
+                break
             if not u.bins[s]:
                 continue
             while u.bins[s] and u.step(s):
-                pass
+                moved = True
             if u.bins[s]:
                 failed += 1
             else:
-                used, failed, emptied = used - 1, 0, True
-            if used <= least or failed == PATIENCE:
-                break
+                used, failed = used - 1, 0
+        if not moved or used <= least:
+            break
     return full + [b for b in u.bins if b]
 
 
