@@ -72,6 +72,28 @@ def test_links_are_exact_at_the_threshold():
         assert p == n - least + 1
 
 
+def test_linked_sets_share_enough_of_their_prefixes():
+    rng = np.random.default_rng(7)
+    seen = 0
+    for _ in range(4000):
+        a = set(rng.choice(400, int(rng.integers(1, 60)), replace=False).tolist())
+        b = set(a)
+        for x in rng.choice(400, int(rng.integers(0, max(1, len(a) // 5) + 1))).tolist():
+            b ^= {x}
+        if b and jj.linked(len(a & b), len(a), len(b)):
+            pre = [set(sorted(x)[: int(jj.prefix_length(np.array(len(x))))]) for x in (a, b)]
+            assert len(pre[0] & pre[1]) >= jj.shared_least(len(a), len(b)) >= 1
+            step = int(jj.size_class(np.array([len(b)]))[0]) - int(jj.size_class(np.array([len(a)]))[0])
+            assert len(pre[0] & pre[1]) >= jj.least_by_class(np.array([len(a)]))[0, step + jj._REACH]
+            seen += 1
+    assert seen > 1000
+    for n in (1, 2, 4, 5, 9, 100, 1234, 10**6):  # every size that can be linked is in reach
+        c = int(jj.size_class(np.array([n]))[0])
+        for m in range(-(-4 * n // 5), 5 * n // 4 + 1, max(1, n // 300)):
+            d = int(jj.size_class(np.array([m]))[0]) - c
+            assert abs(d) <= jj._REACH and jj.least_by_class(np.array([n]))[0, d + jj._REACH] <= jj.shared_least(n, m)
+
+
 def test_trie_finds_what_all_pairs_find():
     rng = np.random.default_rng(0)
     for _ in range(30):

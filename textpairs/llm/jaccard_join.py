@@ -4,10 +4,11 @@
 2. All shingles stand in one global order: those found often (counted over all texts, the most frequent
    ``HOT`` kept) last by their count, the others before them by hash.  Two sets that are alike share a
    shingle among the first ``n - ceil(0.8 n) + 1`` of each (the prefix).
-3. Chunks of texts ask the hash buckets which of their prefix shingles another set of like size also has
-   (one entry a chunk, shingle and size class, however many sets share it).  Sets without one are done.
-4. Each remaining set's *home* is its most shared prefix shingle, and it visits every home of a set that it
-   shares a prefix shingle with.  At a home the resident sets stand in a trie of globally ordered shingles,
+3. Chunks of texts ask the hash buckets in which size classes other sets have their prefix shingles (one
+   entry a chunk, shingle and class, however many sets share it).  Linked sets of sizes a and b share at least
+   ``shared_least(a, b)`` prefix shingles; sets that share fewer with every class are done.
+4. Each remaining set's *home* is its most shared prefix shingle, and it visits every home with whose residents
+   it shares enough prefix shingles.  At a home the resident sets stand in a trie of globally ordered shingles,
    the most frequent first, so that partial overlaps are shared; each visitor walks it level by level and
    drops subtrees whose best possible overlap (found so far, plus the shorter rest) is too small.  A home with
    more than ``BLOCK_SHINGLES`` shingles is cut into blocks of residents by blocks of visitors.  Only links that join
@@ -49,6 +50,15 @@ def linked(overlap, a, b):
     return 9 * overlap >= 4 * (a + b)
 
 
+def shared_least(a, b):
+    """Prefix shingles that linked sets of these sizes share at least.
+
+    The k-th common shingle stands in the larger set behind k - 1 common ones and at most its uncommon ones, so
+    the first ``overlap - ceil(0.8 larger) + 1`` common ones stand in its prefix, and in the smaller one's too.
+    """
+    return np.maximum(1, -(-4 * (a + b) // 9) - (4 * np.maximum(a, b) + 4) // 5 + 1)
+
+
 def shingle_sets(s: words.Slice, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, hashes): each document's distinct shingles, rising within a document."""
     h = words.word_hashes(s)
@@ -141,12 +151,26 @@ class Order:
         return np.where(self.keys[at] == h, self.place[at], 0)
 
 
+_WIDTH = 1.04
+_CLASS_BITS = 10
+_CLASS = np.uint64((1 << _CLASS_BITS) - 1)
+_REACH = 7  # classes between sizes that can be linked (a ratio of 1.25 at most): log 1.25 / log 1.04 and rounding
+
+
 def size_class(n: np.ndarray) -> np.ndarray:
-    """0 to 63; the classes of two sizes that can be linked (a ratio of 1.25 at most) differ by 1 at most."""
-    return np.minimum(np.log(np.maximum(n, 1)) / np.log(1.3), 63).astype(np.uint64)
+    return np.minimum(np.log(np.maximum(n, 1)) / np.log(_WIDTH), int(_CLASS)).astype(np.uint64)
 
 
-_CLASS = np.uint64(63)
+def least_by_class(n: np.ndarray) -> np.ndarray:
+    """``[set, step + _REACH]``: the prefix shingles that a set of size n shares at least with a linked one so many classes on."""
+    c = size_class(n).astype(np.int64)[:, None] + np.arange(-_REACH, _REACH + 1)
+    n = n[:, None]
+    low = np.maximum(np.floor(_WIDTH ** np.maximum(c, 0)).astype(np.int64) - 1, -(-4 * n // 5))
+    high = np.minimum(np.ceil(_WIDTH ** (np.maximum(c, 0) + 1)).astype(np.int64) + 1, 5 * n // 4)
+    high = np.where(c >= int(_CLASS), 5 * n // 4, high)
+    # over an interval of sizes the least is at one of its ends
+    least = np.minimum(shared_least(n, low), shared_least(n, high))
+    return np.where((c >= 0) & (low <= high), least, 1 << 40)
 
 
 def _entries(sid: np.ndarray, n: np.ndarray, p: np.ndarray, w: np.ndarray):
@@ -211,12 +235,12 @@ def _asks(buckets: int):
 
 
 def _shared(keys, vals):
-    """For each entry 0 if no other set of a like size has its shingle, else about how many sets do."""
+    """For each entry: bits of the classes (from ``-_REACH`` on) in which another set has its shingle, and about how many sets."""
     sizes = [len(x) for x in keys]
     val = np.frombuffer(b"".join(vals), np.uint64)
-    c, owner = (val & _CLASS).astype(np.int64), val >> np.uint64(6)
+    c, owner = (val & _CLASS).astype(np.int64), val >> np.uint64(_CLASS_BITS)
     _, token = np.unique(np.concatenate(keys), return_inverse=True)
-    cell = token * 64 + c
+    cell = token * (int(_CLASS) + 1) + c
     order = np.lexsort((owner, cell))
     new = np.append(True, (cell[order][1:] != cell[order][:-1]) | (owner[order][1:] != owner[order][:-1]))
     weight = np.zeros(len(cell), np.int64)
@@ -224,30 +248,38 @@ def _shared(keys, vals):
     weight[owner == 0] = 2
     cells, at = np.unique(cell, return_inverse=True)
     number = np.bincount(at, weight, len(cells)).astype(np.int64)
-    near = number[at]
-    for step, edge in ((-1, c > 0), (1, c < 63)):
-        i = np.minimum(np.searchsorted(cells, cell + step), len(cells) - 1)
-        near = near + np.where(edge & (cells[i] == cell + step), number[i], 0)
-    near = np.where(near > 1, near, 0).astype(np.int32)
-    return [x.tobytes() for x in np.split(near, np.cumsum(sizes)[:-1])], {}
+    bits, many = np.zeros(len(cells), np.int32), np.zeros(len(cells), np.int64)
+    of = cells & int(_CLASS)
+    for step in range(-_REACH, _REACH + 1):
+        i = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        there = (cells[i] == cells + step) & (of + step >= 0) & (of + step <= int(_CLASS))
+        if step == 0:
+            there &= number > 1
+        bits |= there.astype(np.int32) << (step + _REACH)
+        many += np.where(there, number[i], 0)
+    out = np.stack([bits, np.minimum(many, 1 << 30).astype(np.int32)], 1)[at]
+    return [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])], {}
 
 
 def _live(_, chunk: pa.Table, got: pa.Table) -> pa.Table:
-    """The sets with shared prefix shingles, those shingles, and the home among them."""
+    """The sets that share enough prefix shingles with some class, those shingles, and the home among them."""
     sids, ns, tokens, homes = [], [], [], []
     if chunk.num_rows and got.num_rows:
         sid, n, p, w = _open(chunk, 0)
-        shared = np.frombuffer(exchange.joined(got), np.int32)[_entries(sid, n, p, w)[2]]
-        w = w.view(np.int64)
+        answer = np.frombuffer(exchange.joined(got), np.int32).reshape(-1, 2)[_entries(sid, n, p, w)[2]]
+        bits, many, w = answer[:, 0], answer[:, 1], w.view(np.int64)
         cuts = np.concatenate(([0], np.cumsum(p)))
-        alive = np.add.reduceat(shared > 0, cuts[:-1])
-        for d in np.flatnonzero(alive).tolist():
+        counts = np.stack([np.add.reduceat(bits >> k & 1, cuts[:-1]) for k in range(2 * _REACH + 1)], 1)
+        enough = counts >= least_by_class(n)
+        masks = (enough << np.arange(2 * _REACH + 1)).sum(1)
+        for d in np.flatnonzero(masks).tolist():
             part = slice(cuts[d], cuts[d + 1])
-            key, many = w[part][shared[part] > 0], shared[part][shared[part] > 0]
+            use = bits[part] & masks[d] != 0
+            key = w[part][use]
             sids.append(int(sid[d]))
             ns.append(int(n[d]))
             tokens.append(key)
-            homes.append(int(key[np.lexsort((key, -many))[0]]))
+            homes.append(int(key[np.lexsort((key, -many[part][use]))[0]]))
     return pa.table({"sid": pa.array(sids, pa.int64()), "n": pa.array(ns, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "home": pa.array(homes, pa.int64())})
 
 
@@ -422,7 +454,13 @@ def members_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = live.select("sid", "n", "home", F.explode("tokens").alias("token"))
     homes = shared.groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("home", "at")
     visits = shared.join(homes, "token").filter((F.col("n") * 4 <= F.col("most") * 5) & (F.col("n") * 5 >= F.col("least") * 4))
-    visits = materialize(visits.groupBy("sid", "at").agg(F.first("n").alias("n"), F.first(F.col("home") == F.col("at")).alias("resident")), "op3-visits")
+    visits = visits.groupBy("sid", "at").agg(
+        F.first("n").alias("n"), F.first(F.col("home") == F.col("at")).alias("resident"), F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    # enough common shingles for some size between least and most (at one of the ends, within the ratio)
+    low, high = F.greatest("least", F.ceil(F.col("n") * 4 / 5)), F.least("most", F.floor(F.col("n") * 5 / 4))
+    need = F.least(*[F.ceil((F.col("n") + b) * 4 / 9) - F.ceil(F.greatest(F.col("n"), b) * 4 / 5) + 1 for b in (low, high)])
+    visits = materialize(visits.filter(F.col("resident") | (F.col("common") >= need)).drop("common", "least", "most"), "op3-visits")
     # a home that only one set visits has no link
     size = visits.groupBy("at").agg(F.count("*").alias("sets"), F.sum("n").alias("all_n"), F.sum(F.when(F.col("resident"), F.col("n")).otherwise(0)).alias("res_n")).filter("sets > 1")
     cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_SHINGLES)).cast("int")

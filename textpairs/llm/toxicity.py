@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from textpairs.llm import words
 
-BITS = 18
-SIZES = (4, 5)
+BITS = 20
+SIZES = (4, 6)
 SAMPLE = 3000
 FEATURES = 16_384
 ROUNDS = 300
