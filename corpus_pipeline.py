@@ -15,7 +15,7 @@ from textpairs.llm.exchange import small_batches, without
 from textpairs.session import materialize
 
 #: a document stays if the network gives its language at least this probability
-LANGUAGE_LEAST = 0.5
+LANGUAGE_LEAST = 0.4
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
