@@ -3,7 +3,7 @@
 1. Every text becomes its set of distinct word shingles (64-bit hashes).  Equal sets are one *set* from here on.
 2. All shingles stand in one global order: those found often (counted over all texts, the most frequent
    ``HOT`` kept) last by their count, the others before them by hash.  Two sets that are alike share a
-   shingle among the first ``n - ceil(0.8 n) + 1`` of each (the prefix).
+   shingle among the first ``n - ceil(0.8 n) + 1`` of each; the prefix has a twentieth more, so that they share many.
 3. Chunks of texts ask the hash buckets in which size classes other sets have their prefix shingles (one
    entry a chunk, shingle and class, however many sets share it).  Linked sets of sizes a and b share at least
    ``shared_least(a, b)`` prefix shingles; sets that share fewer with every class are done.
@@ -42,7 +42,7 @@ BUCKET_SHINGLES = 4 << 20
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n - (4 * n + 4) // 5 + 1
+    return np.minimum(n, n - (4 * n + 4) // 5 + 1 + (n + 19) // 20)
 
 
 def linked(overlap, a, b):
@@ -53,10 +53,11 @@ def linked(overlap, a, b):
 def shared_least(a, b):
     """Prefix shingles that linked sets of these sizes share at least.
 
-    The k-th common shingle stands in the larger set behind k - 1 common ones and at most its uncommon ones, so
-    the first ``overlap - ceil(0.8 larger) + 1`` common ones stand in its prefix, and in the smaller one's too.
+    The k-th common shingle stands in a set behind k - 1 common ones and at most all its uncommon ones, so the
+    first ``overlap - size + prefix_length(size)`` common ones stand in its prefix, for either set.
     """
-    return np.maximum(1, -(-4 * (a + b) // 9) - (4 * np.maximum(a, b) + 4) // 5 + 1)
+    overlap = -(-4 * (a + b) // 9)
+    return np.maximum(1, overlap + np.minimum(prefix_length(a) - a, prefix_length(b) - b))
 
 
 def shingle_sets(s: words.Slice, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +169,8 @@ def least_by_class(n: np.ndarray) -> np.ndarray:
     low = np.maximum(np.floor(_WIDTH ** np.maximum(c, 0)).astype(np.int64) - 1, -(-4 * n // 5))
     high = np.minimum(np.ceil(_WIDTH ** (np.maximum(c, 0) + 1)).astype(np.int64) + 1, 5 * n // 4)
     high = np.where(c >= int(_CLASS), 5 * n // 4, high)
-    # over an interval of sizes the least is at one of its ends
-    least = np.minimum(shared_least(n, low), shared_least(n, high))
+    # over an interval of sizes the least is at one of its ends, give or take one for rounding
+    least = np.maximum(1, np.minimum(shared_least(n, low), shared_least(n, high)) - 1)
     return np.where((c >= 0) & (low <= high), least, 1 << 40)
 
 
@@ -457,9 +458,10 @@ def members_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     visits = visits.groupBy("sid", "at").agg(
         F.first("n").alias("n"), F.first(F.col("home") == F.col("at")).alias("resident"), F.count("*").alias("common"), F.min("least").alias("least"), F.max("most").alias("most")
     )
-    # enough common shingles for some size between least and most (at one of the ends, within the ratio)
+    # enough common shingles for some size between least and most (the least is at an end, give or take one)
     low, high = F.greatest("least", F.ceil(F.col("n") * 4 / 5)), F.least("most", F.floor(F.col("n") * 5 / 4))
-    need = F.least(*[F.ceil((F.col("n") + b) * 4 / 9) - F.ceil(F.greatest(F.col("n"), b) * 4 / 5) + 1 for b in (low, high)])
+    outside = lambda m: F.greatest(F.lit(0), F.ceil(m * 4 / 5) - 1 - F.ceil(m / 20))  # noqa: E731  size - prefix_length(size)
+    need = F.least(*[F.ceil((F.col("n") + b) * 4 / 9) - F.greatest(outside(F.col("n")), outside(b)) - 1 for b in (low, high)])
     visits = materialize(visits.filter(F.col("resident") | (F.col("common") >= need)).drop("common", "least", "most"), "op3-visits")
     # a home that only one set visits has no link
     size = visits.groupBy("at").agg(F.count("*").alias("sets"), F.sum("n").alias("all_n"), F.sum(F.when(F.col("resident"), F.col("n")).otherwise(0)).alias("res_n")).filter("sets > 1")
