@@ -189,6 +189,34 @@ def test_lm_beats_the_unigram_base_on_held_out_texts(spark):
     assert r["sum(score)"] > r["sum(base_score)"]
 
 
+def test_lm_vocabulary_grows_with_the_words(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "VOCAB", 8)
+    rng = np.random.default_rng(4)
+    sizes, buckets = [], 4
+    for distinct in (400, 4000):
+        keys = np.sort(rng.integers(0, 2**64, distinct, dtype=np.uint64))
+        cuts = lm_scoring.exchange.bucket_cuts(keys, buckets)
+        own, shared = [], []
+        for b in range(buckets):
+            k = keys[cuts[b] : cuts[b + 1]]
+            _, got = lm_scoring._count(buckets)([k], [rng.integers(1, 9, len(k)).astype(np.int32).tobytes()])
+            x = {c: got[c][0].as_py() for c in got}
+            own.append((np.frombuffer(x["own"], np.uint64), np.frombuffer(x["own_n"], np.int64)))
+            shared.append((np.frombuffer(x["shared_n"], np.int64), np.frombuffer(x["shared_words"], np.int64)))
+        v = lm_scoring.Vocabulary(*(np.concatenate(c) for c in zip(*own)), 50, 0, shared)
+        slot = v.of(keys)
+        assert slot.min() > 1 and np.array_equal(np.bincount(slot, minlength=v.size)[v.words > 0], v.words[v.words > 0])
+        m = lm_scoring.LogBilinear(v)
+        assert len(m.noise) > 1
+        w, u = rng.integers(1, v.size, 2000).astype(np.int32), rng.integers(1, v.size, 2000).astype(np.int32)
+        m.train(w, u, np.roll(u, 1), 3)
+        every = np.arange(v.size)
+        assert np.exp(m.log_prob(every, np.full(v.size, 5), np.full(v.size, 6))).sum() == pytest.approx(1, abs=1e-4)
+        assert not np.allclose(m.log_prob(every, np.full(v.size, 5), every), m.log_prob(every, np.full(v.size, v.size - 1), every))
+        sizes.append(v.size)
+    assert sizes[1] > 3 * sizes[0]
+
+
 # licenses
 
 

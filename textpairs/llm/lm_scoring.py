@@ -4,12 +4,17 @@
 of documents asks the hash buckets for the counts of its own distinct words (one entry a chunk,
 however frequent the word) and gets them back in order.
 
-*Model.* The ``VOCAB`` most frequent tokens get vectors; all other words share one *rare* class, inside
-which a word has its smoothed unigram share.  The score of a token w after tokens u, v is
-``(Q[u] * A + Q[v] * B) . R[w] + b[w]``, normalised by a softmax over the vocabulary.  It is trained by
-noise-contrastive estimation on all training documents: every partition of chunks runs its own
-stochastic gradient from one common start, and the parameters are averaged by tokens seen.  The
-normaliser of every pair of context tokens is computed once, in batched matrix products.
+*Model.* Every training word has a *slot*: of each hash bucket's words the most frequent have one each, the
+others share as many by their hash.  There are about ``2 * distinct words ** (2 / 3)`` slots, ``VOCAB`` at least,
+so the model grows with the words of the corpus; while the words fit into ``VOCAB`` each has its own.  A slot has
+vectors Q (as context), R (as target) and a bias; inside a shared slot a word has its smoothed unigram share.
+Slots of neighbouring frequency form *groups*, about the square root of the slots in number and in size, with
+vectors S.  After tokens u, v the context is ``c = Q[u] * A + Q[v] * B``, and a token of slot w in group g has
+``P(g | c) * P(w | g, c)``: a softmax of ``c . S + d`` over all groups times one of ``c . R + b`` over the group's
+slots, both normalised exactly for every token.  Both are trained by noise-contrastive estimation on all training
+documents: every partition of chunks runs its own stochastic gradient from one common start; the groups'
+parameters are averaged by tokens, a slot's by how often each partition met it, and a partition sends only the
+slots it met.
 
 Defined cases: a null or empty text is one end token; a null id hashes as the empty text and so is held
 out; with nothing to train on every count is 0 and the model is the uniform one; equal rows get
@@ -32,11 +37,15 @@ from textpairs.session import scratch_path
 VOCAB = 1024
 WIDTH = 16
 NOISE = 24
+#: noise words drawn for each example in its group; each stands for NOISE / DRAWS
+DRAWS = 4
 BATCH = 4096
 RATE = 0.08
 CHUNK_BYTES = 12 << 20
 END = np.uint64(0x7E57E4D0C0FFEE11)
 RARE = 0
+#: slots whose parameters travel and are averaged together
+BLOCK = 1 << 10
 
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, lens array<int>, index binary, asks array<struct<bucket:long,keys:binary,vals:binary>>"
 _ASKS = pa.list_(pa.struct([("bucket", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())]))
@@ -74,106 +83,190 @@ def _chunks(folds: int, fold: int, buckets: int):
     return run
 
 
-def _count(top: int):
-    """Corpus counts of a bucket's words; its first row also has the bucket's totals and most frequent words."""
+def own_slots(distinct: int, buckets: int) -> int:
+    """Words of a bucket with ``distinct`` training words that get a slot each; the others share as many."""
+    return max(math.ceil((distinct * buckets) ** (2 / 3) / buckets), math.ceil(VOCAB / buckets))
+
+
+def shared_slot(h: np.ndarray, m: np.ndarray | int) -> np.ndarray:
+    return (words.mix(h ^ END) % np.asarray(m).astype(np.uint64)).astype(np.int64)
+
+
+def _count(buckets: int):
+    """Corpus counts of a bucket's words; its first row also has the bucket's totals and slots."""
 
     def answer(keys, vals):
         sizes = [len(x) for x in keys]
         distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.zeros(len(distinct), np.int64)
         np.add.at(counts, index, np.frombuffer(b"".join(vals), np.int32))
-        order = np.lexsort((distinct, -counts))[:top]
-        order = order[counts[order] > 0]
-        rest = [0] * (len(sizes) - 1)
+        order = np.lexsort((distinct, -counts))
+        order = order[(counts[order] > 0) & (distinct[order] != END)]
+        size = own_slots(len(order), buckets)
+        own, rest = order[:size], order[size:]
+        m = min(size, len(rest))
+        at = shared_slot(distinct[rest], m) if m else np.zeros(0, np.int64)
+        first = lambda x: [x.tobytes(), *([b""] * (len(sizes) - 1))]
+        more = [0] * (len(sizes) - 1)
         return [x.tobytes() for x in np.split(counts[index], np.cumsum(sizes)[:-1])], {
-            "seen": pa.array([int((counts > 0).sum()), *rest], pa.int64()),
-            "tokens": pa.array([int(counts.sum()), *rest], pa.int64()),
-            "top": pa.array([[{"key": int(k), "n": int(c)} for k, c in zip(distinct[order].view(np.int64), counts[order])], *([[]] * len(rest))], pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64())]))),
+            "seen": pa.array([int((counts > 0).sum()), *more], pa.int64()),
+            "tokens": pa.array([int(counts.sum()), *more], pa.int64()),
+            "own": pa.array(first(distinct[own]), pa.binary()),
+            "own_n": pa.array(first(counts[own]), pa.binary()),
+            "shared_n": pa.array(first(np.bincount(at, counts[rest], m).astype(np.int64)), pa.binary()),
+            "shared_words": pa.array(first(np.bincount(at, minlength=m).astype(np.int64)), pa.binary()),
         }
 
     return answer
 
 
 class Vocabulary:
-    """Class numbers of token hashes: 0 is the rare class, 1 the end token, then words by falling count."""
+    """Slot numbers of token hashes: 0 is for words of buckets without shared slots, 1 the end token, then words, then shared slots.
+
+    ``shared``: for each bucket the tokens and the distinct words of its shared slots.
+    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, ends: int, rare: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, ends: int, rare: int, shared: list[tuple[np.ndarray, np.ndarray]] = ()):
         self.keys = np.append(END, keys)
-        self.counts = np.concatenate(([rare, ends], counts)).astype(float)
+        self.buckets = max(1, len(shared))
+        self.shared = np.array([len(n) for n, _ in shared] or [0], np.int64)
+        self.offset = 1 + len(self.keys) + np.cumsum(self.shared) - self.shared
+        self.counts = np.concatenate(([rare, ends], counts, *[n for n, _ in shared])).astype(float)
+        #: words among which a slot's tokens are shared out; 0 is a word's own slot
+        self.words = np.concatenate((np.zeros(len(self.keys) + 1), *[k for _, k in shared]))
         order = np.argsort(self.keys)
         self.sorted, self.number = self.keys[order], (order + 1).astype(np.int32)
         self.size = len(self.counts)
 
     def of(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.number[at], RARE)
+        bucket = (h >> np.uint64(64 - self.buckets.bit_length() + 1)).astype(np.int64) if self.buckets > 1 else np.zeros(len(h), np.int64)
+        m = self.shared[bucket]
+        other = np.where(m > 0, self.offset[bucket] + shared_slot(h, np.maximum(m, 1)), RARE)
+        return np.where(self.sorted[at] == h, self.number[at], other).astype(np.int32)
+
+    def log_inside(self, slot: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 share of a word with corpus count c in its slot."""
+        alone = (slot > RARE) & (self.words[slot] == 0)
+        return np.where(alone, 0.0, np.log10((c + 0.1) / (self.counts[slot] + 0.1 * (self.words[slot] + 1))))
 
 
 class LogBilinear:
-    """Parameters and gradient steps; everything is float32 but the flat vector."""
+    """Parameters and gradient steps, in float32."""
 
     def __init__(self, v: Vocabulary, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
         share = (v.counts + 0.5) / (v.counts + 0.5).sum()
-        self.noise = share.astype(np.float64)
+        self.width = v.size if v.size <= VOCAB else math.isqrt(v.size - 1) + 1
+        self.order = np.argsort(-share, kind="stable")  # group g is order[g * width : (g + 1) * width]
+        self.group = np.empty(v.size, np.int32)
+        self.group[self.order] = np.arange(v.size) // self.width
+        self.total = np.concatenate(([0.0], np.cumsum(share[self.order])))
+        self.noise = np.bincount(self.group, share)
         self.q = rng.normal(0, 0.1, (v.size, WIDTH)).astype(np.float32)
         self.r = rng.normal(0, 0.1, (v.size, WIDTH)).astype(np.float32)
+        self.bias = np.log(share / self.noise[self.group]).astype(np.float32)
+        self.log_noise = self.bias + np.float32(math.log(NOISE))
         self.a, self.b = np.ones(WIDTH, np.float32), np.full(WIDTH, 0.5, np.float32)
-        self.bias = np.log(share).astype(np.float32)
-
-    def parts(self):
-        return [self.q, self.r, self.a, self.b, self.bias]
+        self.s = np.zeros((len(self.noise), WIDTH), np.float32)
+        self.d = np.log(self.noise).astype(np.float32)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float64)
+    def dense(self) -> list[np.ndarray]:
+        return [self.a, self.b, self.s, self.d]
 
-    def load(self, x: np.ndarray) -> LogBilinear:
-        at = 0
-        for p in self.parts():
-            p[...] = x[at : at + p.size].reshape(p.shape)
-            at += p.size
-        return self
+    def sparse(self) -> list[np.ndarray]:
+        return [self.q, self.r, self.bias[:, None]]
 
     def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         return self.q[u] * self.a + self.q[v] * self.b
 
-    def log_normaliser(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        s = self.context(u, v) @ self.r.T + self.bias
-        top = s.max(axis=1, keepdims=True)
-        return np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
-
-    def train(self, w: np.ndarray, u: np.ndarray, v: np.ndarray, seed: int) -> None:
-        """One pass of noise-contrastive estimation; u is the token just before w, v the one before that.
-
-        Every batch shares ``NOISE`` noise tokens, each weighted as one of ``NOISE`` noise draws of each example.
+    def log_normaliser(self, u: np.ndarray, v: np.ndarray, group: int = 0) -> np.ndarray:
+        """log of the sum over the group's slots; while the slots fit into ``VOCAB`` there is one group."""
+        k = self.order[group * self.width : (group + 1) * self.width]
+        return _log_sum(self.context(u, v) @ self.r[k].T + self.bias[k])
+
+    def log_prob(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Natural log of P(w | u, v); u is the token just before w, v the one before that."""
+        out = np.empty(len(w))
+        at = np.argsort(self.group[w], kind="stable")
+        cuts = np.searchsorted(self.group[w][at], np.arange(len(self.noise) + 1))
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
+            k = self.order[g * self.width : (g + 1) * self.width]
+            r, bias = self.r[k].T, self.bias[k]
+            for lo in range(cuts[g], cuts[g + 1], 4096):
+                i = at[lo : min(lo + 4096, cuts[g + 1])]
+                c = self.context(u[i], v[i])
+                out[i] = (c * self.r[w[i]]).sum(1) + self.bias[w[i]] - _log_sum(c @ r + bias)
+                if len(self.noise) > 1:
+                    out[i] += c @ self.s[g] + self.d[g] - _log_sum(c @ self.s.T + self.d)
+        return out
+
+    def train(self, w: np.ndarray, u: np.ndarray, v: np.ndarray, seed: int) -> np.ndarray:
+        """One pass of noise-contrastive estimation; returns how often each slot was met.
+
+        Every example draws ``DRAWS`` noise slots of its own group; every batch shares ``NOISE`` noise groups, each
+        weighted as one of ``NOISE`` noise draws of each example.
         """
         rng = np.random.Generator(np.random.PCG64(seed))
-        size = len(self.bias)
-        log_noise = (np.log(self.noise) + math.log(NOISE)).astype(np.float32)
-        total = np.cumsum(self.noise)
-        power = [np.full_like(p, 1e-4) for p in self.parts()]
+        size, groups = len(self.bias), len(self.noise)
+        log_groups = (np.log(self.noise) + math.log(NOISE)).astype(np.float32)
+        group_total = np.cumsum(self.noise)
+        dense, rows = self.dense(), self.sparse()
+        power = [np.full_like(p, 1e-4) for p in dense]
+        row_power = [np.full_like(p, 1e-4) for p in rows]
+        met = np.bincount(w, minlength=size) + np.bincount(u, minlength=size) + np.bincount(v, minlength=size)
         order = rng.permutation(len(w))
 
-        def gather(at: np.ndarray, g: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(at, g[:, j], size) for j in range(g.shape[1])], 1).astype(np.float32)
+        def step_rows(p: np.ndarray, s: np.ndarray, at: np.ndarray, g: np.ndarray, n: int) -> None:
+            k, index = np.unique(at, return_inverse=True)
+            g = np.stack([np.bincount(index, g[:, j], len(k)) for j in range(g.shape[1])], 1).astype(np.float32) / np.float32(n)
+            s[k] += g * g
+            p[k] += np.float32(RATE) * g / np.sqrt(s[k])
 
         for lo in range(0, len(w), BATCH):
             i = order[lo : lo + BATCH]
-            wi, ui, vi = w[i], u[i], v[i]
-            x = np.minimum(np.searchsorted(total, rng.random(NOISE) * total[-1]), size - 1)
+            n, wi, ui, vi = len(i), w[i], u[i], v[i]
+            gi = self.group[wi]
+            begin = gi * self.width
+            end = np.minimum(begin + self.width, size)
+            draw = self.total[begin][:, None] + rng.random((n, DRAWS)) * (self.total[end] - self.total[begin])[:, None]
+            x = self.order[np.clip(np.searchsorted(self.total, draw.ravel(), "right").reshape(n, DRAWS) - 1, begin[:, None], end[:, None] - 1)]
             qu, qv, rw, rx = self.q[ui], self.q[vi], self.r[wi], self.r[x]
             c = qu * self.a + qv * self.b
-            d = 1 - 1 / (1 + np.exp(-((c * rw).sum(1) + self.bias[wi] - log_noise[wi])))
-            e = -1 / (1 + np.exp(-(c @ rx.T + self.bias[x] - log_noise[x])))
-            gc = d[:, None] * rw + e @ rx
-            gr = gather(wi, d[:, None] * c) + gather(x, e.T @ c)
-            gq = gather(ui, gc * self.a) + gather(vi, gc * self.b)
-            gb = np.bincount(wi, d, size) + np.bincount(x, e.sum(0), size)
-            steps = [gq, gr, (gc * qu).sum(0), (gc * qv).sum(0), gb.astype(np.float32)]
-            for p, g, s in zip(self.parts(), steps, power):
-                g = g / np.float32(len(i))
-                s += g * g
-                p += np.float32(RATE) * g / np.sqrt(s)
+            d = 1 - 1 / (1 + np.exp(-((c * rw).sum(1) + self.bias[wi] - self.log_noise[wi])))
+            e = np.float32(-NOISE / DRAWS) / (1 + np.exp(-(np.einsum("nw,njw->nj", c, rx) + self.bias[x] - self.log_noise[x])))
+            gc = d[:, None] * rw + np.einsum("nj,njw->nw", e, rx)
+            steps = [None, None, None, None]
+            if groups > 1:
+                y = np.minimum(np.searchsorted(group_total, rng.random(NOISE) * group_total[-1]), groups - 1)
+                sg, sy = self.s[gi], self.s[y]
+                dg = 1 - 1 / (1 + np.exp(-((c * sg).sum(1) + self.d[gi] - log_groups[gi])))
+                eg = -1 / (1 + np.exp(-(c @ sy.T + self.d[y] - log_groups[y])))
+                gc = gc + dg[:, None] * sg + eg @ sy
+                gs = np.stack([np.bincount(gi, (dg * c[:, j]), groups) for j in range(WIDTH)], 1)
+                np.add.at(gs, y, eg.T @ c)
+                steps[2], steps[3] = gs, np.bincount(gi, dg, groups) + np.bincount(y, eg.sum(0), groups)
+            steps[0], steps[1] = (gc * qu).sum(0), (gc * qv).sum(0)
+            flat = x.ravel()
+            met += np.bincount(flat, minlength=size)
+            both = np.concatenate((d[:, None], e.reshape(-1, 1)))
+            target = np.concatenate((wi, flat))
+            step_rows(self.r, row_power[1], target, both * np.concatenate((c, np.repeat(c, DRAWS, 0))), n)
+            step_rows(rows[2], row_power[2], target, both, n)
+            step_rows(self.q, row_power[0], np.concatenate((ui, vi)), np.concatenate((gc * self.a, gc * self.b)), n)
+            for p, g, s in zip(dense, steps, power):
+                if g is not None:
+                    g = (g / n).astype(np.float32)
+                    s += g * g
+                    p += np.float32(RATE) * g / np.sqrt(s)
+        return met
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(axis=1, keepdims=True)
+    s -= top
+    np.exp(s, out=s)
+    return np.log(s.sum(axis=1)) + top[:, 0]
 
 
 def _before(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,48 +287,81 @@ def _chunk_arrays(batch, r: int):
     return keys, index, np.asarray(batch.column("lens")[r].values), np.asarray(batch.column("held")[r].values.to_numpy(zero_copy_only=False), bool)
 
 
+STEPS = "block long, weight double, slots binary, met binary, steps binary"
+
+
 def fit(chunks: DataFrame, v: Vocabulary) -> LogBilinear:
-    """Every partition trains on all its training tokens from one start; parameters are averaged by tokens."""
+    """Every partition trains on all its training tokens from one start; its steps are averaged.
+
+    Block -1 has the groups' parameters, weighted by tokens; the other blocks have the met slots, weighted by meetings.
+    """
     held = chunks.sparkSession.sparkContext.broadcast(vars(v))
+    names = [c.split()[0] for c in STEPS.split(", ")]
 
     def run(batches):
         vocab = words.revive(Vocabulary, held.value)
-        model, seen = LogBilinear(vocab), 0
+        model, seen, met = LogBilinear(vocab), 0, np.zeros(vocab.size)
         for batch in batches:
             for r in range(batch.num_rows):
                 keys, index, lens, out = _chunk_arrays(batch, r)
                 ids = vocab.of(keys)[index]
                 u, w = _before(ids, lens)
                 use = ~np.repeat(out, lens)
-                model.train(ids[use], u[use], w[use], seed=11 + seen)
+                met += model.train(ids[use], u[use], w[use], seed=11 + seen)
                 seen += int(use.sum())
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.flat()], pa.list_(pa.float64()))], names=["weight", "params"])
-
-    got = chunks.select("index", "lens", "held", "asks").mapInArrow(run, "weight double, params array<double>")
-    mean = got.select("weight", F.posexplode("params").alias("i", "x")).groupBy("i").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
-    rows = mean.orderBy("i").toArrow()  # one row a parameter
+        if not seen:
+            return
+        start = LogBilinear(vocab)
+        step = np.concatenate([(x - y).ravel() for x, y in zip(model.dense(), start.dense())]).astype(np.float32)
+        rows = [(-1, b"", b"", step.tobytes())]
+        for lo in range(0, vocab.size, BLOCK):
+            k = lo + np.flatnonzero(met[lo : lo + BLOCK])
+            if len(k):
+                step = np.concatenate([x[k] - y[k] for x, y in zip(model.sparse(), start.sparse())], 1).astype(np.float16)
+                rows.append((lo // BLOCK, (k - lo).astype(np.int32).tobytes(), met[k].astype(np.float32).tobytes(), step.tobytes()))
+        for block, k, n, step in rows:
+            cols = [pa.array([block], pa.int64()), pa.array([float(seen)]), *[pa.array([x], pa.binary()) for x in (k, n, step)]]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    def average(table):
+        block = table["block"][0].as_py()
+        total, weight = 0.0, np.zeros(BLOCK)
+        steps = np.zeros((BLOCK, 2 * WIDTH + 1)) if block >= 0 else 0.0
+        for i in range(table.num_rows):
+            n, k, met, step = (table[c][i].as_py() for c in names[1:])
+            if block < 0:
+                steps = steps + n * np.frombuffer(step, np.float32).astype(float)
+                total += n
+            else:
+                k, met = np.frombuffer(k, np.int32), np.frombuffer(met, np.float32).astype(float)
+                steps[k] += met[:, None] * np.frombuffer(step, np.float16).reshape(len(k), -1)
+                weight[k] += met
+        mean = steps / total if block < 0 else steps / np.maximum(weight, 1)[:, None]
+        return pa.table({"block": pa.array([block], pa.int64()), "mean": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+    got = chunks.select("index", "lens", "held", "asks").mapInArrow(run, STEPS)
     model = LogBilinear(v)
-    return model.load(rows["x"].to_numpy()) if rows.num_rows else model
-
-
-def normalisers(spark, model: LogBilinear) -> np.ndarray:
-    """log Z of every pair of context tokens, ``[u, v]``."""
-    size = len(model.bias)
-    held = spark.sparkContext.broadcast(vars(model))
-
-    def run(batches):
-        m = words.revive(LogBilinear, held.value)
-        every = np.arange(size)
-        for batch in batches:
-            for u in batch.column(0).to_pylist():
-                z = m.log_normaliser(np.full(size, u), every).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([z.tobytes()], pa.binary())], names=["u", "z"])
-
-    out = np.zeros((size, size), np.float32)
-    for u, z in spark.range(0, size, 1, 32).mapInArrow(run, "u long, z binary").toLocalIterator():  # VOCAB rows
-        out[u] = np.frombuffer(z, np.float32)
-    return out
+    for row in got.groupBy("block").applyInArrow(average, "block long, mean binary").toLocalIterator():  # slots / BLOCK rows
+        mean, at = np.frombuffer(row.mean, np.float32), 0
+        if row.block >= 0:
+            mean, lo = mean.reshape(BLOCK, -1), row.block * BLOCK
+            for p in model.sparse():
+                n = len(p[lo : lo + BLOCK])
+                p[lo : lo + BLOCK] += mean[:n, at : at + p.shape[1]]
+                at += p.shape[1]
+        else:
+            for p in model.dense():
+                p += mean[at : at + p.size].reshape(p.shape)
+                at += p.size
+    return model
+
+
+def vocabulary(counts: DataFrame, buckets: int, ends: int) -> Vocabulary:
+    """All slots, gathered from the buckets."""
+    parts = {r.bucket: [np.frombuffer(x, t) for x, t in zip(r[1:], (np.uint64, np.int64, np.int64, np.int64))] for r in counts.filter("seen > 0").select("bucket", "own", "own_n", "shared_n", "shared_words").toLocalIterator()}
+    none = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
+    parts = [parts.get(b, none) for b in range(buckets)]
+    return Vocabulary(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), ends, 0, [(x[2], x[3]) for x in parts])
 
 
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -243,7 +369,7 @@ SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score dou
 
 def _score(held, n: int, seen: int):
     def run(_, chunk: pa.Table, got: pa.Table) -> pa.Table:
-        v, model, z = held.value
+        v, model = held.value
         v, model = words.revive(Vocabulary, v), words.revive(LogBilinear, model)
         if not chunk.num_rows:
             return pa.table({c.split()[0]: pa.array([], t) for c, t in zip(SCORES.split(", "), [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])})
@@ -251,15 +377,10 @@ def _score(held, n: int, seen: int):
         c = np.frombuffer(exchange.joined(got), np.int64)
         base = np.log10((c + 0.1) / (n + 0.1 * (seen + 1)))
         number = v.of(keys)
-        known = seen - int((v.counts[1:] > 0).sum())
-        inside = np.where(number == RARE, np.log10((c + 0.1) / (v.counts[RARE] + 0.1 * (known + 1))), 0.0)
+        inside = v.log_inside(number, c)
         ids = number[index]
         u, w = _before(ids, lens)
-        logp = np.empty(len(ids))
-        for lo in range(0, len(ids), 1 << 17):
-            i = slice(lo, lo + (1 << 17))
-            logp[i] = (model.context(u[i], w[i]) * model.r[ids[i]]).sum(1) + model.bias[ids[i]] - z[u[i], w[i]]
-        logp = logp / math.log(10) + inside[index]
+        logp = model.log_prob(ids, u, w) / math.log(10) + inside[index]
         first = np.cumsum(lens) - lens
         add = lambda x: np.add.reduceat(x, first)
         return pa.table({
@@ -283,16 +404,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = spark.read.parquet(path)
     asks = chunks.select("chunk", F.explode("asks").alias("a")).select("chunk", "a.*")
     path = scratch_path(spark, "op9-counts")
-    exchange.answers(asks, _count(VOCAB), "seen long, tokens long, top array<struct<key:long,n:long>>").write.option("compression", "zstd").parquet(path)
+    exchange.answers(asks, _count(buckets), "seen long, tokens long, own binary, own_n binary, shared_n binary, shared_words binary").write.option("compression", "zstd").parquet(path)
     counts = spark.read.parquet(path)
     seen, n = counts.agg(F.sum("seen"), F.sum("tokens")).first()
     seen, n = int(seen or 0), int(n or 0)
-    top = counts.select(F.explode("top").alias("t")).select("t.*").filter(F.col("key") != int(np.array(END).view(np.int64))).orderBy(F.desc("n"), "key").limit(VOCAB - 2).collect()
-    top_n = np.array([t.n for t in top], np.int64)
     ends = int(chunks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0)
-    v = Vocabulary(np.array([t.key for t in top], np.int64).view(np.uint64), top_n, ends, n - ends - int(top_n.sum()))
+    v = vocabulary(counts, buckets, ends)
     model = fit(chunks, v)
-    held = spark.sparkContext.broadcast((vars(v), vars(model), normalisers(spark, model)))
+    held = spark.sparkContext.broadcast((vars(v), vars(model)))
     out = chunks.groupBy("chunk").cogroup(counts.select("chunk", "bucket", "answer").groupBy("chunk")).applyInArrow(_score(held, n, seen), SCORES)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
