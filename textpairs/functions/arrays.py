@@ -43,6 +43,23 @@ def trg_mask(ids) -> Column:
     return F.transform(ids, lambda _y, i: F.transform(ids, lambda x, j: (x != F.lit(PAD)) & (j <= i)))
 
 
+def trg_mask_rows(ids, of_row=lambda bits: bits) -> Column:
+    """FUN8 row by row: ``of_row`` of each mask row as a '0'/'1' string (the valid bits up to i, then zeros).
+
+    The same cells as ``trg_mask``; only one row of L cells is held at a time if ``of_row`` shortens it.
+    """
+    ids = _col(ids)
+    valid = F.array_join(F.transform(ids, lambda x: F.when(x != F.lit(PAD), "1").otherwise("0")), "")
+    # the valid bits are bound once, so that they are not made again for every row
+    rows = F.transform(F.array(valid), lambda v: F.transform(ids, lambda _y, i: of_row(F.rpad(F.substring(v, F.lit(1), i + 1), F.length(v), F.lit("0")))))
+    return F.element_at(rows, 1)
+
+
+def trg_mask_digest(ids) -> Column:
+    """md5 of the md5 of every mask row: the whole L x L mask in one value, without holding it."""
+    return F.md5(F.array_join(trg_mask_rows(ids, F.md5), ""))
+
+
 def valid_len(ids) -> Column:
     """Compact form of the masks: number of non-pad ids."""
     return F.size(F.filter(_col(ids), lambda x: x != F.lit(PAD)))

@@ -340,6 +340,23 @@ def q_shifted_mask(spark, sf):
     return b.select(*KEYS, batching.mask_bits("decoder_mask").alias("decoder_mask"))
 
 
+def q_trg_mask_digest(spark, sf):
+    """FUN8 on all training rows: every row of the L x L mask is built, and one digest of all is kept."""
+    return _train_padded(spark, sf).select(*KEYS, F.size("answers").alias("mask_len"), A.trg_mask_digest("answers").alias("digest"))
+
+
+def q_shifted_mask_compact(spark, sf):
+    """FUN9 on the masks of all training rows, in the exact compact form of ``trg_mask``."""
+    b = batching.teacher_forcing(_train_padded(spark, sf))
+    return b.select(*KEYS, F.size("decoder_input").alias("mask_len"), A.valid_len("decoder_input").alias("valid_len"))
+
+
+def q_shifted_mask_digest(spark, sf):
+    """FUN9 on the masks of all training rows: ``mask[:-1, :-1]`` is the mask of ``ids[:-1]``; digest of all its rows."""
+    b = batching.teacher_forcing(_train_padded(spark, sf))
+    return b.select(*KEYS, F.size("decoder_input").alias("mask_len"), A.trg_mask_digest("decoder_input").alias("digest"))
+
+
 def q_collate_extra(spark, sf):
     """UDF2: a caller's columns, evaluated per padded row."""
     extra = [F.size("questions").alias("width"), A.valid_len("questions").alias("used")]

@@ -136,6 +136,15 @@ def attention_ctes(causal: bool) -> str:
     )
 
 
+def mask_digest(ids: str) -> str:
+    """Row i of a mask has ones at the valid places up to i; all padding is at the end."""
+    return (
+        f"WITH {BATCHES}, {padded('tb', 'tp')}, m AS (SELECT doc_id, pair_idx, len({ids}) AS n, len([x for x in {ids} if x <> 3]) AS k FROM tp) "
+        "SELECT doc_id, pair_idx, CAST(n AS INTEGER) AS mask_len, md5(array_to_string([md5(repeat('1', least(i, k)) || repeat('0', n - least(i, k))) "
+        "for i in range(1, n + 1)], '')) AS digest FROM m"
+    )
+
+
 ORACLE: dict[str, str] = {
     # ---- sources / pairing
     "qa_pairs": f"WITH {PAIRS} SELECT doc_id, folder, module, pair_idx, question, answer FROM p",
@@ -269,6 +278,12 @@ ORACLE: dict[str, str] = {
         "[array_to_string([CASE WHEN x <> 3 AND j <= i THEN '1' ELSE '0' END for x, j in answers[1:len(answers) - 1]], '') "
         "for y, i in answers[1:len(answers) - 1]] AS decoder_mask FROM tp"
     ),
+    "trg_mask_digest": mask_digest("answers"),
+    "shifted_mask_compact": (
+        f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, CAST(len(answers) - 1 AS INTEGER) AS mask_len, "
+        "CAST(len([x for x in answers[1:len(answers) - 1] if x <> 3]) AS INTEGER) AS valid_len FROM tp"
+    ),
+    "shifted_mask_digest": mask_digest("answers[1:len(answers) - 1]"),
     "prepare_budget": (
         f"WITH {PAIRS}, pb AS (SELECT * FROM p WHERE length(question) + 2 <= 200 AND length(answer) + 2 <= 201), {vocab_ctes('pb')}, "
         f"b AS (SELECT doc_id, pair_idx, {enc('question')} AS question_ids, {enc('answer')} AS answer_ids FROM pb, vt), {S_BUDGET}, {TB}, "
