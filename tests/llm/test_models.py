@@ -252,6 +252,29 @@ def test_license_rules_and_suppression():
             assert (f in kept) != bool(over)
 
 
+def test_license_gate_lets_every_spelling_through(spark):
+    rules = license_scan.signatures()
+    texts = ["The FreeBSD license", "licensed under GPLv3", "Apache2 license", "released under zero clause bsd"]
+    for _, _, name in license_scan.LICENSES:
+        texts += [f"licensed under the {x}" for x in license_scan.spellings(name)] + [f"see {license_scan.spellings(name)[0]} license"]
+    want = []
+    for i, t in enumerate(texts):
+        text = " ".join(alnum_words(t)).encode()
+        found = []
+        for r in rules:  # no gate
+            for m in r.pattern.finditer(text):
+                a = text[: m.start()].count(b" ")
+                found.append((a, a + m.group().count(b" ") + 1, r.priority, r.label, r.confidence))
+        spans = sorted(license_scan.suppress(found))
+        assert spans, t
+        want.append((i, max(f[4] for f in spans), [(f[0], f[1] - 1, f[3]) for f in spans]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.scan_licenses(docs).collect()
+    assert sorted((r.doc_id, 1.0 if r.n_base else r.score, [tuple(x) for x in r.spans]) for r in got) == [(i, 1.0 if r.n_base else s, x) for (i, s, x), r in zip(want, sorted(got))]
+    labels = {r.doc_id: r.labels for r in got}
+    assert [labels[i] for i in range(4)] == [["bsd-2"], ["gpl-3"], ["apache-2"], ["bsd-0"]]
+
+
 # packing
 
 

@@ -1,9 +1,10 @@
 """License detection by ordered signature rules: regexes behind a keyword prefilter, overlaps resolved.
 
-A rule has a label, a priority, a confidence, a keyword and a regex over a text's words (lower-cased, one
+A rule has a label, a priority, a confidence, gate words and a regex over a text's words (lower-cased, one
 blank between them).  The rules come from ``LICENSES`` (what names a license) and ``PHRASES`` (how a
-text speaks of one), so there are hundreds.  Only documents that hold a rule's keyword as a word are
-searched for it.  Detections are intervals of words; one that lies inside another of the same or a
+text speaks of one), so there are hundreds.  Only documents that hold one of a
+rule's gate words are searched for it; the gate is derived from the regex, so that whatever it can match has one of
+them (``gplv3`` and ``freebsd`` beside ``gpl`` and ``bsd``).  Detections are intervals of words; one that lies inside another of the same or a
 higher priority is suppressed, and the base phrases always stay.
 
 Defined cases: a null or empty text has no words and no detections; equal rows get equal results; an
@@ -15,7 +16,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
-from itertools import accumulate, groupby
+from itertools import accumulate, groupby, product
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from textpairs.llm import words
 #: fixed values: base phrases and their labels
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: label, the keyword that a text must hold, and the regexes of the license's names (words of a-z0-9)
+#: label, the word to gate by wherever the name has it, and the regexes of the license's names (words of a-z0-9)
 LICENSES: list[tuple[str, str, str]] = [
     ("mit", "mit", r"(?:mit|mit x11|x11 mit|expat mit)"),
     ("expat", "expat", r"expat"),
@@ -113,17 +115,54 @@ class Signature:
     label: str
     priority: int
     confidence: float
-    keyword: str
+    words: frozenset[str]
     pattern: re.Pattern
 
 
+def spellings(regex: str) -> list[str]:
+    """Every text that a regex without unbounded repeats can match; assertions count as met."""
+
+    def of(items) -> list[str]:
+        out = [""]
+        for op, arg in items:
+            if op is _parser.LITERAL:
+                new = [chr(arg)]
+            elif op is _parser.IN:
+                new = [chr(c) for kind, x in arg for c in (range(x[0], x[1] + 1) if kind is _parser.RANGE else [x])]
+            elif op is _parser.BRANCH:
+                new = [x for branch in arg[1] for x in of(branch)]
+            elif op is _parser.SUBPATTERN:
+                new = of(arg[3])
+            elif op is _parser.MAX_REPEAT and arg[1] <= 2:
+                new = ["".join(x) for n in range(arg[0], arg[1] + 1) for x in product(of(arg[2]), repeat=n)]
+            elif op in (_parser.ASSERT, _parser.ASSERT_NOT):
+                continue
+            else:
+                raise ValueError(f"{op} in {regex}")
+            out = [x + y for x in out for y in new]
+        return out
+
+    return sorted(set(of(_parser.parse(regex))))
+
+
+def gate_words(keyword: str, name: str) -> frozenset[str]:
+    """Words of which every spelling of the name has one: the keyword, or a word it is written into, or its first word."""
+
+    def gate(spelling: str) -> str:
+        held = spelling.split()
+        return keyword if keyword in held else next((w for w in held if keyword in w), held[0])
+
+    return frozenset(map(gate, spellings(name)))
+
+
 def signatures() -> list[Signature]:
     """All rules, by falling priority, then in the order of the lists."""
     out = []
     for label, key, name in LICENSES:
+        gate = gate_words(key, name)
         # a name that says "license" itself needs no phrase around it
         for _, priority, sure, p in [*PHRASES, *([("full name", 5, 0.8, "{n}")] if "licen" in name else [])]:
-            out.append(Signature(label, priority, sure, key, re.compile((r"(?<![^ ])" + p.replace("{n}", name) + r"(?![^ ])").encode())))
+            out.append(Signature(label, priority, sure, gate, re.compile((r"(?<![^ ])" + p.replace("{n}", name) + r"(?![^ ])").encode())))
     return sorted(out, key=lambda s: -s.priority)
 
 
@@ -163,12 +202,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         rules = signatures()
-        names = sorted({r.keyword for r in rules})
+        names = sorted({w for r in rules for w in r.words})
         keys = hashes(names)
         order = np.argsort(keys)
         keys, names = keys[order], [names[i] for i in order]
         base = [(hashes(p.split()), label) for p, label in BASE]
-        by_key = {k: [r for r in rules if r.keyword == k] for k in names}
+        by_word = {w: {i for i, r in enumerate(rules) if w in r.words} for w in names}
 
         for batch in batches:
             cols: dict[str, list] = {c.strip().split()[0]: [] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
@@ -189,9 +228,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         places.setdefault(d, []).append((at - int(s.off[d]), label))
                 near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 hit = np.flatnonzero(keys[near] == h)
-                gate: dict[int, set[str]] = {}
+                gate: dict[int, set[int]] = {}
                 for d, k in set(zip(doc[hit].tolist(), near[hit].tolist())):
-                    gate.setdefault(d, set()).add(names[k])
+                    gate.setdefault(d, set()).update(by_word[names[k]])
                 for d in range(n):
                     b = places.get(d, [])
                     found: list[tuple[int, int, int, str, float]] = []
@@ -200,7 +239,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         w, e = s.starts[first:last], s.ends[first:last]
                         text = b" ".join(s.buf[x:y].tobytes() for x, y in zip(w.tolist(), e.tolist()))
                         begin = np.cumsum(e - w + 1) - (e - w + 1)
-                        for r in (r for k in gate[d] for r in by_key[k]):
+                        for r in (rules[i] for i in sorted(gate[d])):
                             for m in r.pattern.finditer(text):
                                 a = int(np.searchsorted(begin, m.start()))
                                 found.append((a, a + m.group().count(b" ") + 1, r.priority, r.label, r.confidence))
