@@ -11,7 +11,8 @@ language).  A *suffix* is a place in a piece with the words from there on, at mo
 3. Each bucket sorts its suffix pointers by multikey three-way quicksort to the greatest depth, words being the
    characters.  The weight of an equal partition is the phrase's count; partitions of less than ``least`` are
    abandoned, but for split pairs, whose counts are first added up over their buckets.
-4. Counts are joined with those of their parts; the lowest-scoring cut gives the score, in exact decimals.  A phrase that stands
+4. Counts are joined with those of their parts; the lowest-scoring cut gives the score, in exact decimals.  The words of
+   the phrases that stay are read from the texts again.  A phrase that stands
    in a longer one as often found goes; it is enough to look one word further, as counts only fall with length.
 
 Defined cases: a null or empty text has no words; a null language is ``und`` (and is the same as one that is called so);
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textpairs.llm import exchange, words
 from textpairs.llm.multikey import three_way
-from textpairs.session import materialize
+from textpairs.session import materialize, scratch_path
 
 LONGEST = 5
 LEAST = 100
@@ -74,89 +75,88 @@ def _lang_salt(langs: list[str]) -> np.ndarray:
     return words.hash_words(buf, starts.astype(np.int64), ends.astype(np.int64)) if len(raw) else np.zeros(0, np.uint64)
 
 
-def _chunk_row(number: int, names: np.ndarray, keys: np.ndarray, more: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64()), "names": pa.array([names.tobytes()], pa.binary()), "keys": pa.array([keys.tobytes()], pa.binary())} | more)
+def _pack(run: np.ndarray) -> bytes:
+    """Small numbers as two columns of 16 bits, so that the higher, mostly zero, takes no room when compressed."""
+    return np.stack([run & 0xFFFF, run >> 16]).astype(np.uint16).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint16).reshape(2, -1).astype(np.int32)
+    return low | high << 16
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A written table, packed more tightly than by default: chunks are the bulk of what this operator stores."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+_WORD_CHUNK = "chunk long, run binary, keys binary, counts binary, lang_of binary, langs array<string>, ns array<long>"
 
 
 def _word_chunks(batches):
-    """Chunk rows: its distinct words (keys, numbers, texts with language), the words in order (from 1; 0 between pieces), words by language."""
+    """Chunk rows: its distinct words (the most frequent first) with their numbers and languages, its words in order (from 1; 0 before a piece)."""
     task, seq, size, part = TaskContext.get().partitionId(), 0, 0, []
 
     def row():
-        names, langs, texts, fresh, n_of = (list(x) for x in zip(*part))
-        every = np.concatenate(names)
-        keys, at, index, counts = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
-        first = np.concatenate(fresh)
-        run = np.zeros(len(every) + int(first.sum()), np.int32)  # a 0 before each piece
-        run[np.arange(len(every)) + np.cumsum(first)] = index + 1
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in names])))
-        which = np.searchsorted(bounds, at, "right") - 1
-        said = [langs[i][int(texts[i][1][j])] + b" " + texts[i][0][texts[i][2][j] : texts[i][3][j]].tobytes() for i, j in zip(which.tolist(), (at - bounds[which]).tolist())]
-        total: dict[str, int] = {}
-        for part_n in n_of:
-            for lang, n in part_n.items():
-                total[lang] = total.get(lang, 0) + n
-        return _chunk_row(
-            exchange.chunk_number(task, seq),
-            run,
-            keys,
-            {
-                "counts": pa.array([counts.astype(np.int64).tobytes()], pa.binary()),
-                "texts": pa.array([said], pa.list_(pa.binary())),
-                "langs": pa.array([list(total)], pa.list_(pa.string())),
-                "ns": pa.array([list(total.values())], pa.list_(pa.int64())),
-            },
-        )
-
+        names, first, lang = (np.concatenate(x) for x in zip(*part))
+        keys, at, index, counts = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        run = np.zeros(len(names) + int(first.sum()), np.int32)
+        run[np.arange(len(names)) + np.cumsum(first)] = place[index] + 1
+        cols = {"run": _pack(run), "keys": keys[order].tobytes(), "counts": counts[order].astype(np.int32).tobytes(), "lang_of": lang[at[order]].astype(np.int32).tobytes()}
+        out = {"chunk": pa.array([exchange.chunk_number(task, seq)], pa.int64())} | {c: pa.array([x], pa.binary()) for c, x in cols.items()}
+        total = np.bincount(lang, minlength=len(number_of))
+        return pa.RecordBatch.from_pydict(out | {"langs": pa.array([list(number_of)], pa.list_(pa.string())), "ns": pa.array([total.tolist()], pa.list_(pa.int64()))})
+
+    number_of: dict[str, int] = {}
     for batch in batches:
-        lang = [NO_LANG if x is None else x for x in batch.column("lang").to_pylist()]
-        salt = _lang_salt(lang)
+        said = [NO_LANG if x is None else x for x in batch.column("lang").to_pylist()]
+        salt = _lang_salt(said)
         for s in words.slices(batch.column("text"), _WORD, True):
             if len(s.starts):
                 names, first = _tokens(s, salt[s.lo : s.hi])
-                mine = lang[s.lo : s.hi]
-                n_of: dict[str, int] = {}
-                for x, n in zip(mine, s.counts.tolist()):
-                    if n:
-                        n_of[x] = n_of.get(x, 0) + n
-                part.append((names, [x.encode() for x in mine], (s.buf, s.doc_of_word(), s.starts, s.ends), first, n_of))
+                lang = np.array([number_of.setdefault(x, len(number_of)) for x in said[s.lo : s.hi]])
+                part.append((names, first, np.repeat(lang, s.counts)))
                 size += len(s.buf)
                 if size >= exchange.CHUNK_BYTES:
                     yield row()
                     part, size, seq = [], 0, seq + 1
+                    number_of.clear()
     if part:
         yield row()
 
 
-_WORD_CHUNK = "chunk long, names binary, keys binary, counts binary, texts array<binary>, langs array<string>, ns array<long>"
+def _by_bucket(batch, r: int, keys: np.ndarray, buckets: int, vals: list[np.ndarray]):
+    """(chunk, bucket, keys and the given values) rows of a chunk's keys, and the rows' cuts; keys need not be sorted."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    cuts = exchange.bucket_cuts(keys, buckets)
+    used = np.flatnonzero(np.diff(cuts))
+    cut = lambda x: pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary())
+    return [pa.array(np.full(len(used), batch["chunk"][r].as_py())), pa.array(used.astype(np.int64)), cut(keys), *[cut(v[order]) for v in vals]]
 
 
 def _word_asks(buckets: int):
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                keys = np.frombuffer(batch["keys"][r].as_py(), np.uint64)
-                counts = np.frombuffer(batch["counts"][r].as_py(), np.int64)
-                texts = batch["texts"][r].values
-                cuts = exchange.bucket_cuts(keys, buckets)
-                used = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.array(np.full(len(used), batch["chunk"][r].as_py())), "bucket": pa.array(used.astype(np.int64)),
-                    "keys": pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
-                    "vals": pa.array([counts[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
-                    "texts": pa.array([texts.slice(cuts[b], cuts[b + 1] - cuts[b]) for b in used], pa.list_(pa.binary())),
-                })
+                keys, counts, lang = (np.frombuffer(batch[c][r].as_py(), t) for c, t in (("keys", np.uint64), ("counts", np.int32), ("lang_of", np.int32)))
+                cols = _by_bucket(batch, r, keys, buckets, [counts, lang])
+                langs = batch["langs"][r].as_py()
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([langs] * len(cols[0]), pa.list_(pa.string()))], names=["chunk", "bucket", "keys", "vals", "lang_of", "langs"])
 
     return run
 
 
-def _sums(table: pa.Table):
-    """(distinct keys, each entry's number among them, sums) of a bucket's questions, and entries by chunk."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]]
-    vals = np.frombuffer(b"".join(x.as_py() for x in table["vals"]), np.int64)
+def _sums(keys: list[np.ndarray], vals: list[bytes]):
+    """(distinct keys, each entry's number among them, sums) of a bucket's questions, and where a chunk's entries end."""
     distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, index, vals)
+    np.add.at(total, index, np.frombuffer(b"".join(vals), np.int32))
     return distinct, index, total, np.cumsum([len(x) for x in keys])[:-1]
 
 
@@ -164,14 +164,17 @@ def _frequent_words(least: int):
     """Answers a bucket's chunks (1 for a frequent word); the first row has the frequent words themselves."""
 
     def one(table: pa.Table) -> pa.Table:
-        distinct, index, total, cuts = _sums(table)
+        keys = [np.frombuffer(x.as_py(), np.uint64) for x in table["keys"]]
+        distinct, index, total, cuts = _sums(keys, [x.as_py() for x in table["vals"]])
         often = total >= least
         some = np.flatnonzero(often)
         _, at = np.unique(index, return_index=True)  # an entry of each word
-        texts = pa.concat_arrays([x for c in table["texts"].chunks for x in (c.flatten(),)]).take(pa.array(at[some]))
-        said = [x.as_py().rsplit(b" ", 1) for x in texts]
-        found = [{"key": int(k), "lang": lang.decode(), "word": w.decode("utf-8", "replace"), "f": int(f)} for k, (lang, w), f in zip(distinct[some].view(np.int64).tolist(), said, total[some].tolist())]
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())]))
+        at = at[some]
+        of = np.frombuffer(b"".join(x.as_py() for x in table["lang_of"]), np.int32)[at]
+        row = np.searchsorted(cuts, at, "right")
+        langs = table["langs"].to_pylist()
+        found = [{"key": k, "lang": langs[r][x], "f": f} for k, r, x, f in zip(distinct[some].view(np.int64).tolist(), row.tolist(), of.tolist(), total[some].tolist())]
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("lang", pa.string()), ("f", pa.int64())]))
         return pa.table({
             "chunk": table["chunk"].combine_chunks(), "bucket": table["bucket"].combine_chunks(),
             "answer": pa.array([x.tobytes() for x in np.split(often[index].astype(np.uint8), cuts)], pa.binary()),
@@ -181,36 +184,36 @@ def _frequent_words(least: int):
     return one
 
 
-def _pair_chunks(_, chunk: pa.Table, got: pa.Table) -> pa.Table:
-    """The chunk with its frequent words alone, and its distinct pairs of neighbouring ones with their numbers."""
-    rows = {"chunk": [], "names": [], "keys": [], "pairs": [], "counts": [], "index": []}
+def _frequent_chunks(_, chunk: pa.Table, got: pa.Table) -> pa.Table:
+    """The chunk with its frequent words alone, 0 where others stood."""
+    rows = {"chunk": [], "run": [], "keys": []}
     if chunk.num_rows and got.num_rows:
-        often = np.frombuffer(exchange.joined(got), np.uint8) > 0
         keys = np.frombuffer(chunk["keys"][0].as_py(), np.uint64)
+        often = np.zeros(len(keys), bool)
+        often[np.argsort(keys)] = np.frombuffer(exchange.joined(got), np.uint8) > 0
         new = np.concatenate(([0], np.where(often, np.cumsum(often), 0))).astype(np.int32)
-        run = new[np.frombuffer(chunk["names"][0].as_py(), np.int32)]
-        keys = keys[often]
+        run = new[_unpack(chunk["run"][0].as_py())]
         if len(run):  # zeros in a row are one
             run = run[np.append(True, (run[1:] != 0) | (run[:-1] != 0))]
-        at = np.flatnonzero((run[:-1] != 0) & (run[1:] != 0)) if len(run) else np.zeros(0, np.int64)
-        if len(at):
-            pairs, index, counts = np.unique(phrase_keys(np.stack([keys[run[at] - 1], keys[run[at + 1] - 1]], 1)), return_inverse=True, return_counts=True)
-            for c, x in zip(rows, (chunk["chunk"][0].as_py(), run.tobytes(), keys.tobytes(), pairs.tobytes(), counts.astype(np.int64).tobytes(), index.astype(np.int32).tobytes())):
-                rows[c].append(x)
+        for c, x in zip(rows, (chunk["chunk"][0].as_py(), _pack(run), keys[often].tobytes())):
+            rows[c].append(x)
     return pa.table({c: pa.array(v, pa.int64() if c == "chunk" else pa.binary()) for c, v in rows.items()})
 
 
+def _pairs(run: np.ndarray, keys: np.ndarray):
+    """(places of pairs of neighbouring words, distinct pairs, each place's number among them, their counts)."""
+    at = np.flatnonzero((run[:-1] != 0) & (run[1:] != 0)) if len(run) else np.zeros(0, np.int64)
+    if not len(at):
+        return at, np.zeros(0, np.uint64), at, at
+    return at, *np.unique(phrase_keys(np.stack([keys[run[at] - 1], keys[run[at + 1] - 1]], 1)), return_inverse=True, return_counts=True)
+
+
 def _pair_asks(buckets: int):
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                keys, counts = np.frombuffer(batch["pairs"][r].as_py(), np.uint64), np.frombuffer(batch["counts"][r].as_py(), np.int64)
-                cuts = exchange.bucket_cuts(keys, buckets)
-                used = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.array(np.full(len(used), batch["chunk"][r].as_py())), "bucket": pa.array(used.astype(np.int64)),
-                    "keys": pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()), "vals": pa.array([counts[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
-                })
+                _, pairs, _, counts = _pairs(_unpack(batch["run"][r].as_py()), np.frombuffer(batch["keys"][r].as_py(), np.uint64))
+                yield pa.RecordBatch.from_arrays(_by_bucket(batch, r, pairs, buckets, [counts.astype(np.int32)]), names=["chunk", "bucket", "keys", "vals"])
 
     return run
 
@@ -219,8 +222,7 @@ def _pair_shares(least: int):
     """For each pair over how many buckets its suffixes go, 0 for a rare one."""
 
     def answer(keys, vals):
-        table = pa.table({"keys": pa.array([k.tobytes() for k in keys], pa.binary()), "vals": pa.array(vals, pa.binary())})
-        _, index, total, cuts = _sums(table)
+        _, index, total, cuts = _sums(keys, vals)
         share = np.where(total >= least, 1 + total // SPLIT, 0).astype(np.int32)
         return [x.tobytes() for x in np.split(share[index], cuts)], {}
 
@@ -236,11 +238,9 @@ def _suffixes(buckets: int):
     def run(_, chunk: pa.Table, got: pa.Table) -> pa.Table:
         out: dict[str, list] = {"bucket": [], "whole": [], "keys": [], "lens": [], "at": [], "times": []}
         if chunk.num_rows and got.num_rows:
-            run = np.frombuffer(chunk["names"][0].as_py(), np.int32)
-            keys, pairs = (np.frombuffer(chunk[c][0].as_py(), np.uint64) for c in ("keys", "pairs"))
-            index = np.frombuffer(chunk["index"][0].as_py(), np.int32)
+            run, keys = _unpack(chunk["run"][0].as_py()), np.frombuffer(chunk["keys"][0].as_py(), np.uint64)
+            place, pairs, index, _ = _pairs(run, keys)
             share = np.frombuffer(exchange.joined(got), np.int32)[index]
-            place = np.flatnonzero((run[:-1] != 0) & (run[1:] != 0))
             good = np.zeros(len(run) + LONGEST, bool)  # a frequent pair begins here
             good[place[share > 0]] = True
             start = place[share > 0]
@@ -331,27 +331,58 @@ def _sorted_phrases(least: int):
 
 
 def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``candidates(key, a, size, names, lefts, rights)``, ``words(key, lang, word, f)`` of frequent words, ``sizes(lang, n)``."""
+    """``candidates(key, a, size, names, lefts, rights)``, ``words(key, lang, f)`` of frequent words, ``sizes(lang, n)``."""
     d = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     buckets = exchange.bucket_count(exchange.total_bytes(d, "text"))
-    chunks = materialize(d.mapInArrow(_word_chunks, _WORD_CHUNK), "op13-words")
+    chunks = _kept(d.mapInArrow(_word_chunks, _WORD_CHUNK), "op13-words")
     sizes = chunks.select(F.explode(F.arrays_zip("langs", "ns")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.ns").alias("n"))
-    asks = chunks.mapInArrow(_word_asks(buckets), exchange.ASK + ", texts array<binary>")
-    got = asks.groupBy("bucket").applyInArrow(_frequent_words(least), "chunk long, bucket long, answer binary, words array<struct<key:long,lang:string,word:string,f:long>>")
-    got = materialize(got, "op13-frequent")
+    asks = chunks.select("chunk", "keys", "counts", "lang_of", "langs").mapInArrow(_word_asks(buckets), exchange.ASK + ", lang_of binary, langs array<string>")
+    got = asks.groupBy("bucket").applyInArrow(_frequent_words(least), "chunk long, bucket long, answer binary, words array<struct<key:long,lang:string,f:long>>")
+    got = _kept(got, "op13-frequent")
     frequent = got.filter("words is not null").select(F.explode("words").alias("x")).select("x.*")
-    few = chunks.select("chunk", "names", "keys")
-    pairs = few.groupBy("chunk").cogroup(got.select("chunk", "bucket", "answer").groupBy("chunk")).applyInArrow(
-        _pair_chunks, "chunk long, names binary, keys binary, pairs binary, counts binary, index binary"
-    )
-    pairs = materialize(pairs, "op13-pairs")
-    share = exchange.answers(pairs.mapInArrow(_pair_asks(buckets), exchange.ASK), _pair_shares(least))
-    routed = pairs.groupBy("chunk").cogroup(share.groupBy("chunk")).applyInArrow(_suffixes(buckets), _SUFFIXES)
+    few = chunks.select("chunk", "run", "keys").groupBy("chunk").cogroup(got.select("chunk", "bucket", "answer").groupBy("chunk"))
+    few = _kept(few.applyInArrow(_frequent_chunks, "chunk long, run binary, keys binary"), "op13-frequent-chunks")
+    share = exchange.answers(few.mapInArrow(_pair_asks(buckets), exchange.ASK), _pair_shares(least))
+    routed = few.groupBy("chunk").cogroup(share.groupBy("chunk")).applyInArrow(_suffixes(buckets), _SUFFIXES)
     found = routed.groupBy("bucket").applyInArrow(_sorted_phrases(least), "key long, a long, size int, names array<long>, lefts array<long>, rights array<long>")
     found = found.groupBy("key").agg(F.sum("a").alias("a"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in ("names", "lefts", "rights")])
     return materialize(found.filter(F.col("a") >= least), "op13-candidates"), frequent, sizes
 
 
+def _texts_of(groups):
+    """``(w, word)`` once a slice of words whose name is in one of the numbered groups."""
+
+    def run(batches):
+        wanted = np.zeros(exchange.GROUPS, bool)
+        wanted[groups.value] = True
+        met = np.zeros(0, np.uint64)
+        for batch in batches:
+            salt = _lang_salt([NO_LANG if x is None else x for x in batch.column("lang").to_pylist()])
+            for s in words.slices(batch.column("text"), _WORD, True):
+                if not len(s.starts):
+                    continue
+                names, _ = _tokens(s, salt[s.lo : s.hi])
+                at = np.flatnonzero(wanted[(names % np.uint64(exchange.GROUPS)).astype(np.int64)])
+                new, first = np.unique(names[at], return_index=True)
+                fresh = ~np.isin(new, met)
+                met = np.concatenate([met, new[fresh]])
+                at = at[first[fresh]]
+                said = [s.buf[a:b].tobytes() for a, b in zip(s.starts[at].tolist(), s.ends[at].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(new[fresh].view(np.int64)), pa.array(said, pa.binary()).cast(pa.string())], names=["w", "word"])
+
+    return run
+
+
+def word_texts(docs: DataFrame, names: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """``(w, word)`` of the word names ``names(w)``, from the texts; at most ``exchange.GROUPS`` numbers are broadcast."""
+    names = materialize(names.distinct(), "op13-names")
+    # names are unsigned: their low bits are those of the signed number
+    groups = [r.g for r in names.select(F.col("w").bitwiseAND(F.lit(exchange.GROUPS - 1)).alias("g")).distinct().collect()]
+    held = docs.sparkSession.sparkContext.broadcast(np.array(groups, np.int64))
+    d = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    return d.mapInArrow(_texts_of(held), "w long, word string").join(names, "w", "left_semi").groupBy("w").agg(F.min("word").alias("word"))
+
+
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
     """Each language's ``top`` phrases: ``lang, rank, phrase, a, l, r, n, score``."""
     cand, frequent, sizes = count_phrases(docs, text_col, lang_col, least)
@@ -371,7 +402,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     best = best.withColumn("place", F.rank().over(by)).filter(F.col("place") <= top)
     best = materialize(best.join(cand.select("key", "names"), "key"), "op13-best")
-    said = best.select("key", F.posexplode("names").alias("at", "w")).join(frequent.select(F.col("key").alias("w"), "word"), "w")
+    places = best.select("key", F.posexplode("names").alias("at", "w"))
+    said = places.join(word_texts(docs, places.select("w"), text_col, lang_col), "w")
     said = said.groupBy("key").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])).alias("phrase"))
     out = best.join(said, "key")
     by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
