@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.functions import arrays as A
-from textpairs.operators import batching, clean, evaluate, profile, rank, vectors, vocab
+from textpairs.operators import batching, clean, decode, evaluate, profile, rank, vectors, vocab
 from textpairs.plans import flows
 from textpairs.session import materialize, read_table, scratch_path
 from textpairs.sources import files, tables
@@ -310,6 +310,34 @@ def q_prepare_loaded(spark, sf):
     return prep["val"].select(*KEYS, "batch_id", "questions", "answers")
 
 
+def _older(pairs):
+    """Another state of the pairs as an earlier run might have cached them: some rows were not there yet, some had other
+    answers, some are gone since."""
+    there = pairs.filter(F.col("doc_id") % 5 != 3)
+    answer = F.when(F.col("doc_id") % 7 == 2, F.concat("answer", F.lit(" (old)"))).otherwise(F.col("answer"))
+    gone = pairs.filter(F.col("doc_id") % 11 == 4).withColumn("pair_idx", -1 - F.col("pair_idx"))
+    return there.withColumn("answer", answer).unionByName(gone)
+
+
+def _prepare_changed(spark, sf):
+    path, pairs = scratch_path(spark, "prepared"), tables.qa_docs(spark, sf)
+    # the vocabulary is today's: a cache of another one is refused
+    voc = materialize(vocab.build_vocab(pairs), "vocabulary")
+    flows.prepare(_older(pairs), None, keys=KEYS, strict=False, save_path=path, vocab_df=voc)
+    return flows.prepare(pairs, None, keys=KEYS, strict=False, load_path=path)
+
+
+def q_prepare_changed(spark, sf):
+    """PIP2 from a cache of another state of the table: rows it has, rows that changed and rows it never had all come out,
+    as from a full encode."""
+    return _prepare_changed(spark, sf)["train"].select(*KEYS, "batch_id", "questions", "answers")
+
+
+def q_cache_report(spark, sf):
+    """SRC10: how many rows of the table were reused, changed or new, and how many cached rows are gone."""
+    return _prepare_changed(spark, sf)["cache"]
+
+
 def q_prepare_budget(spark, sf):
     """PIP2 with the position budget as an option, and the number of rows it leaves out."""
     prep = flows.prepare(
@@ -407,6 +435,25 @@ def q_greedy_eval(spark, sf):
     )
 
 
+def _decoded(spark, sf):
+    """All validation batches (written once), decoded by a model counted from the training rows."""
+    voc = flows.docs_vocab(spark, sf)
+    train = materialize(flows.pairs_split(spark, sf).filter("split = 'train'").select("question", "answer"), "decode-train")
+    batches = batching.encode_batches(flows.val_batches(spark, sf), voc).select(*KEYS, "question", "batch_id", "pos_in_batch", "questions", "answers")
+    return flows.decode_batches(materialize(batches, "val"), KEYS, decode.CountedModel(train, voc))
+
+
+def q_greedy_decode(spark, sf):
+    """PIP3 / UDF1 / SRT7: every validation answer generated character by character, ``max_len - 1`` arg-max steps."""
+    return _decoded(spark, sf).select(*KEYS, "pred_ids", "match")
+
+
+def q_greedy_decode_accuracy(spark, sf):
+    """PIP3: exact matches of the generated answers, by language."""
+    folder = tables.documents(spark, sf).select("doc_id", "folder")
+    return evaluate.accuracy(_decoded(spark, sf).join(folder, "doc_id"), by="folder")
+
+
 def q_batch_examples(spark, sf):
     voc = flows.docs_vocab(spark, sf)
     m = evaluate.batch_examples(flows.val_matches(spark, sf, voc))

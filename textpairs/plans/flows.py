@@ -149,14 +149,15 @@ def prepare(
     question_limit: int | None = None,
     answer_limit: int | None = None,
 ) -> dict:
-    """PIP2: ``{"vocab", "vocabulary", "split", "train", "val", "test", "dropped"}``; batches padded and keyed.
+    """PIP2: ``{"vocab", "vocabulary", "split", "train", "val", "test", "dropped", "cache"}``; batches padded and keyed.
 
     The vocabulary is built on train+validation rows, or on the rows of the one 80/20 split that
     are "train" with ``fit_on="train"``; a given ``vocab_df`` is used as is.  With
     ``save_path`` the vocabulary and the encoded tables (with the vocabulary's fingerprint) are
-    written there; with only ``load_path`` both are read from there, and nothing is built or encoded (save
-    wins when both are given).  One of the three sources of a vocabulary must be named.  Test
-    rows use the same vocabulary and keep their key order.
+    written there, each row with a fingerprint of its texts; with only ``load_path`` both are read from there (save
+    wins when both are given).  No row depends on the cache: one whose texts the cache has is taken from there, one that
+    changed or is new is encoded, and ``cache`` has the number of each by table (a lazy frame).  One of the three sources
+    of a vocabulary must be named.  Test rows use the same vocabulary and keep their key order.
 
     Every row is kept unless ``question_limit`` / ``answer_limit`` (numbers of ids) are given;
     ``dropped`` is the number of train and test rows beyond them.
@@ -195,15 +196,20 @@ def prepare(
         files.write_vocab(vocab_df, save_path.rstrip("/") + "/vocab")
     cache = (save_path or (load_path if loading else None) or "").rstrip("/")
 
+    reports = []
+
     def encoded(df, name, key_cols):
-        """``df`` with ids from the cache (written first when saving); None without a cache."""
+        """``df`` with ids, from the cache where it has a row's texts (written first when saving); None without a cache."""
         if not cache:
             return None
         path = f"{cache}/encoded_{name}"
         if save_path:
-            ids = vocab.encode_columns(df, voc, enc_cols).select(*key_cols, *[f"{c}_ids" for c in enc_cols])
-            files.write_encoded(ids, path, voc.fingerprint)
-        return df.join(files.read_encoded(spark, path, voc.fingerprint), key_cols)
+            ids = vocab.encode_columns(df, voc, enc_cols).withColumn(files.ROW_FP, files.row_fingerprint(enc_cols))
+            files.write_encoded(ids.select(*key_cols, *[f"{c}_ids" for c in enc_cols], files.ROW_FP), path, voc.fingerprint)
+        kept = files.read_encoded(spark, path, voc.fingerprint)
+        out = files.reuse_encoded(df, kept, key_cols, voc, enc_cols)
+        reports.append(files.cache_report(out, kept, key_cols).select(F.lit(name).alias("table"), "state", "rows"))
+        return out.drop("cached_state")
 
     def batches(ranked, cached):
         ranked = rank.batch_ids(ranked, batch_size=batch_size)
@@ -227,6 +233,7 @@ def prepare(
         te_ids = encoded(te, "test", tk)
         ranked = rank.ordered_rank(te if te_ids is None else te_ids, tk)  # checkpointed inside
         out["test"] = batches(ranked, te_ids is not None)
+    out["cache"] = reports[0] if len(reports) == 1 else reports[0].unionByName(reports[1]) if reports else None
     return out
 
 
@@ -238,6 +245,13 @@ def epoch_batches(prepared: dict, keys: list[str], epoch: int, seed: int = SEED,
     return batching.encode_batches(ranked, prepared["vocabulary"])
 
 
+def decode_batches(batches: DataFrame, keys: list[str], model, question: str = "question") -> DataFrame:
+    """PIP3 with generation: ``batches`` with ``pred_ids`` of a ``decode.CountedModel`` and ``match``; a prediction has as many
+    ids as the padded answer."""
+    rows = batches.select(*keys, F.col(question).alias("question"), F.size("answers").alias("max_len"))
+    return evaluate.match_predictions(batches, model.decode(rows, keys), keys)
+
+
 def evaluate_greedy(batches: DataFrame, keys: list[str], make_predictor, fraction: float, voc: vocab.Vocabulary | None = None) -> dict:
     """PIP3: accuracy over the first ``int(n_batches * fraction)`` batches + one example per batch.
 

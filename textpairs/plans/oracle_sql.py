@@ -99,6 +99,30 @@ PRED = (
 )
 EVAL = f"{BATCHES}, {padded('vb', 'vp')}, {PRED}"
 
+# greedy decoding: the most frequent next id after (question, step, last id), else after the last two ids, else after the last
+DECODED = (
+    "tq AS (SELECT question, unnest(range(1, len(answer_ids))) AS step, answer_ids AS a FROM tb), "
+    "tn AS (SELECT question, step, CASE WHEN step > 1 THEN a[step - 1] ELSE -1 END AS before, a[step] AS prev, a[step + 1] AS nxt FROM tq), "
+    "na AS (SELECT question, step, prev, nxt, count(*) AS n FROM tn WHERE question IN (SELECT question FROM vp) GROUP BY question, step, prev, nxt), "
+    "nb AS (SELECT before, prev, nxt, count(*) AS n FROM tn GROUP BY before, prev, nxt), "
+    "nc AS (SELECT prev, nxt, count(*) AS n FROM tn GROUP BY prev, nxt), "
+    "ma AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question, step, prev ORDER BY n DESC, nxt) AS r FROM na) WHERE r = 1), "
+    "mb AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY before, prev ORDER BY n DESC, nxt) AS r FROM nb) WHERE r = 1), "
+    "mc AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, nxt) AS r FROM nc) WHERE r = 1), "
+    "gq AS MATERIALIZED (SELECT doc_id, pair_idx, question, len(answers) AS max_len FROM vp), "
+    "gen AS (SELECT *, CAST(0 AS BIGINT) AS pos, -1 AS before, 2 AS prev FROM gq "
+    "UNION ALL SELECT g.doc_id, g.pair_idx, g.question, g.max_len, g.pos + 1, g.prev, coalesce(ma.nxt, mb.nxt, mc.nxt, 1) FROM gen g "
+    "LEFT JOIN ma ON ma.question = g.question AND ma.step = g.pos + 1 AND ma.prev = g.prev LEFT JOIN mb ON mb.before = g.before AND mb.prev = g.prev "
+    "LEFT JOIN mc ON mc.prev = g.prev WHERE g.pos + 1 < g.max_len AND g.prev <> 1), "
+    "gp AS (SELECT doc_id, pair_idx, list(prev ORDER BY pos) AS made FROM gen GROUP BY doc_id, pair_idx), "
+    "gd AS (SELECT vp.doc_id, vp.pair_idx, folder, answers, list_resize(made, len(answers), 1) AS pred_ids FROM vp JOIN gp USING (doc_id, pair_idx)), "
+    "gm AS (SELECT *, list_bool_and([a = pred_ids[i] OR a = 3 for a, i in answers]) AS match FROM gd)"
+)
+OLDER = (
+    "older AS (SELECT doc_id, pair_idx, question, CASE WHEN doc_id % 7 = 2 THEN answer || ' (old)' ELSE answer END AS answer FROM p WHERE doc_id % 5 <> 3 "
+    "UNION ALL SELECT doc_id, -1 - pair_idx, question, answer FROM p WHERE doc_id % 11 = 4)"
+)
+
 # driver tables read as files: all lines of one (lang, source, doc_id div 4000) in doc order form one file
 FILE_LINES = (
     "fl AS (SELECT lang, source, chunk, v, row_number() OVER (PARTITION BY lang, source, chunk ORDER BY doc_id, ln) - 1 AS fln FROM "
@@ -290,6 +314,12 @@ ORACLE: dict[str, str] = {
         f"{padded('tb', 'tp')} SELECT doc_id, pair_idx, batch_id, questions, answers, (SELECT count(*) FROM p) - (SELECT count(*) FROM pb) AS dropped FROM tp"
     ),
     "prepare_loaded": f"WITH {BATCHES}, {padded('vb', 'vp')} SELECT doc_id, pair_idx, batch_id, questions, answers FROM vp",
+    "prepare_changed": f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, batch_id, questions, answers FROM tp",
+    "cache_report": (
+        f"WITH {PAIRS}, {OLDER}, st AS (SELECT CASE WHEN p.doc_id IS NULL THEN 'gone' WHEN o.doc_id IS NULL THEN 'new' "
+        "WHEN o.question = p.question AND o.answer = p.answer THEN 'reused' ELSE 'changed' END AS state "
+        "FROM p FULL JOIN older o ON o.doc_id = p.doc_id AND o.pair_idx = p.pair_idx) SELECT 'train' AS \"table\", state, count(*) AS rows FROM st GROUP BY state"
+    ),
     "prepare_test": (
         f"WITH {PAIRS}, {VOCAB}, cv AS (SELECT conv_id, turn, text AS question, nxt AS answer, row_number() OVER (ORDER BY conv_id, turn) - 1 AS rk "
         "FROM (SELECT *, lead(text) OVER w AS nxt, lead(role) OVER w AS nrole FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) "
@@ -329,6 +359,11 @@ ORACLE: dict[str, str] = {
         "SELECT any_value(n_batches) AS n_batches, any_value(used) AS used_batches, count(*) AS n, "
         "count(*) FILTER (WHERE m) AS matches, avg(m::DOUBLE) AS accuracy FROM gm"
     ),
+    "greedy_decode": f"WITH RECURSIVE {BATCHES}, {padded('vb', 'vp')}, {DECODED} SELECT doc_id, pair_idx, pred_ids, match FROM gm",
+    "greedy_decode_accuracy": (
+        f"WITH RECURSIVE {BATCHES}, {padded('vb', 'vp')}, {DECODED} SELECT folder, count(*) AS n, count(*) FILTER (WHERE match) AS matches, "
+        "avg(match::INTEGER::DOUBLE) AS accuracy FROM gm GROUP BY folder"
+    ),
     "batch_examples": (
         f"WITH {EVAL} SELECT doc_id, pair_idx, batch_id, {dec('questions')} AS question_text, {dec('answers')} AS answer_text, "
         f"{dec('pred_ids')} AS predicted_text FROM pr, vt WHERE pos_in_batch = 0"
