@@ -87,10 +87,77 @@ def test_toxicity_edges(spark, tmp_path):
     rest = [r.score for r in got if r.doc_id is not None and "toad" not in (texts[r.doc_id % 7] or "")]
     assert min(toad) > max(rest)
     clean = labels.filter("toxic = 0")
-    assert {r.score for r in toxicity.op7_toxicity(spark, write_tables(spark, tmp_path / "b", docs, labels=clean)).collect()} < {0.0} or True
+    assert {r.score for r in toxicity.op7_toxicity(spark, write_tables(spark, tmp_path / "b", docs, labels=clean)).collect()} == {0.0}
+    bad = labels.filter("toxic = 1")
+    assert {r.score for r in toxicity.op7_toxicity(spark, write_tables(spark, tmp_path / "d", docs, labels=bad)).collect()} == {1.0}
+    assert {r.score for r in toxicity.op7_toxicity(spark, write_tables(spark, tmp_path / "e", docs, labels=labels.filter("false"))).collect()} == {0.0}
     assert collect(toxicity.op7_toxicity(spark, write_tables(spark, tmp_path / "c", empty_docs(spark), labels=labels))) == []
 
 
+def test_toxicity_equals_a_plain_version(spark, monkeypatch):
+    """Places, counts, choice, fit and scores by plain loops over the texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from textpairs.llm import words
+
+    monkeypatch.setattr(toxicity, "FEATURES", 300)
+    monkeypatch.setattr(toxicity, "ROUNDS", 40)
+    texts = [f"you {w} toad {i}" if i % 3 else f"a {w} day {i}" for i, w in enumerate(["vile", "nice", "Grün", "odd"] * 12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, "zzz repeated id")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(48)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, "doc_id", "text", 4, 2)
+
+    def places(text):
+        return set(toxicity.char_ngrams(next(words.slices(pa.array([text]), words.SPACED, True)))[1].tolist())
+
+    learned = [i for i in range(48) if crc(i, 4) != 2]
+    of = {i: places(min(texts[i], "zzz repeated id") if i == 7 else texts[i]) for i in learned}
+    y = np.array([float(i % 3 > 0) for i in learned])
+    n_bad, n_good = y.sum(), (1 - y).sum()
+    stats = []
+    for p in sorted(set().union(*of.values())):
+        bad, good = sum(p in of[i] for i in learned if i % 3), sum(p in of[i] for i in learned if not i % 3)
+        r = np.log((bad + 1) / (n_bad + 2) / ((good + 1) / (n_good + 2)))
+        if bad + good >= 4 and r:
+            stats.append((-abs(r) * np.sqrt(bad + good), p, r))
+    chosen = sorted((p, r) for _, p, r in sorted(stats)[:300])
+    x = np.array([[r if p in of[i] else 0.0 for p, r in chosen] for i in learned])
+    w, b, m, v = np.zeros(len(chosen)), np.log(y.mean() / (1 - y.mean())), 0, 0
+    for t in range(1, 41):
+        e = (1 / (1 + np.exp(-(b + x @ w))) - y) / len(y)
+        g = np.append(x.T @ e + toxicity.RIDGE * w, e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        w, b = w - step[:-1], b - step[-1]
+    assert np.allclose(model.weight[[p for p, _ in chosen]], [wi * r for wi, (_, r) in zip(w, chosen)], atol=1e-5)
+    assert np.count_nonzero(model.weight) <= len(chosen) and np.isclose(model.intercept, b, atol=1e-6)
+    weight = {p: wi * r for wi, (p, r) in zip(w, chosen)}
+    got = {(r.doc_id, r.score) for r in toxicity.score_toxicity(docs.filter("doc_id <> 7"), model).collect()}
+    want = {i: 1 / (1 + np.exp(-(b + sum(weight.get(p, 0) for p in places(texts[i]))))) for i in range(48) if i != 7}
+    assert len(got) == 47 and all(abs(want[i] - s) < 1e-4 for i, s in got)
+
+
+def test_words_parted_at_signs_have_the_same_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from textpairs.llm import packing
+
+    rng = random.Random(4)
+    text = packing.default_tokenizer()
+    tokenizer, split = Tokenizer.from_str(text), packing._splitter(text)
+    assert split(b"Word, Two.") == [b"word", b",", b"two", b"."]
+    bits = ["a", "Zz", "the", "'s", "'", "é", "É", "ß", ",", ".", "...", ";:", "!", "?", "—", "-", "7", "e\u0301", "\u0338", "İ", "Σ", "一", "☃", "_"]
+    for _ in range(400):
+        raw = "  ".join("".join(rng.choice(bits) for _ in range(rng.randrange(1, 7))) for _ in range(5))
+        want = tokenizer.encode(raw, add_special_tokens=False).ids
+        assert [i for w in split(raw.encode()) for i in tokenizer.encode(w.decode(), add_special_tokens=False).ids] == want, raw
+    plain = text.replace('"Lowercase"', '"NFKC"', 1) if '"Lowercase"' in text else text
+    assert packing._splitter(plain) is bytes.split
+
+
 def test_ngrams_are_of_code_points():
     import pyarrow as pa
 

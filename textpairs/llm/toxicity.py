@@ -10,7 +10,7 @@ of them when there are fewer); the intercept is put right for the two labels' sh
 
 Defined cases: a null or empty text has no n-grams and gets the intercept's score; with no toxic or no
 clean training document every score is the share of toxic ones (0 without any training row); equal
-texts get equal scores; rows without a label are scored all the same; clashing columns are not read.
+texts get equal scores; rows without a label are scored all the same; of training rows that share an id the least text counts; clashing columns are not read.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpairs.llm import words
+from textpairs.session import materialize
 
 BITS = 20
 SIZES = (4, 6)
 SAMPLE = 3000
 FEATURES = 16_384
+LEAST = 4
+RANGES = 64
 ROUNDS = 300
 RIDGE = 2e-3
 
@@ -61,13 +64,16 @@ def char_ngrams(s: words.Slice, sizes=SIZES) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ToxicModel:
-    """``weight`` of each place (most are 0) and the intercept."""
+    """``weight`` of each place (most are 0) and the intercept; ``share`` is the score of all texts if only one label was learned."""
 
     weight: np.ndarray
     intercept: float
+    share: float | None = None
 
     def score(self, s: words.Slice) -> np.ndarray:
         n = s.hi - s.lo
+        if self.share is not None:
+            return np.full(n, self.share)
         doc, place = char_ngrams(s)
         some = self.weight[place] != 0
         key = np.unique(doc[some] << BITS | place[some])
@@ -75,43 +81,96 @@ class ToxicModel:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_toxic(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> ToxicModel:
-    """From each document's distinct places; ``share``: of toxic documents among all training rows."""
+def choose_places(place: np.ndarray, bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places with the most evidence, rising; their log-count ratios), from the documents of each label that have a place."""
+    r = np.log(((bad + 1) / (n_bad + 2)) / ((good + 1) / (n_good + 2)))
+    evidence = np.where(bad + good >= LEAST, np.abs(r) * np.sqrt(bad + good), 0)
+    at = np.lexsort((place, -evidence))[:FEATURES]
+    at = at[evidence[at] > 0]
+    at = at[np.argsort(place[at])]
+    return place[at], r[at]
+
+
+def fit_toxic(cols: list[np.ndarray], toxic: np.ndarray, share: float, places: np.ndarray, ratios: np.ndarray) -> ToxicModel:
+    """From each document's numbers among the chosen places; ``share``: of toxic documents among all training rows."""
     weight = np.zeros(1 << BITS, np.float32)
     y = toxic.astype(float)
     if not len(y) or y.min() == y.max():
-        return ToxicModel(weight, -30.0 if share <= 0 else 30.0 if share >= 1 else float(np.log(share / (1 - share))))
-    lens = np.array([len(r) for r in rows])
-    doc, place = np.repeat(np.arange(len(rows)), lens), np.concatenate(rows).astype(np.int64)
-    on = y[doc] > 0
-    bad, good = np.bincount(place[on], minlength=1 << BITS), np.bincount(place[~on], minlength=1 << BITS)
-    pb, pg = (bad + 1) / (y.sum() + 2), (good + 1) / (len(y) - y.sum() + 2)
-    r = np.log(pb / pg)
-    evidence = np.where(bad + good >= 4, np.abs(r) * np.sqrt(bad + good), 0)
-    chosen = np.argsort(-evidence, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[evidence[chosen] > 0])
-    col = np.full(1 << BITS, -1)
-    col[chosen] = np.arange(len(chosen))
-    used = col[place] >= 0
-    doc, col = doc[used], col[place[used]]
-    x = r[chosen][col]
+        return ToxicModel(weight, 0.0, float(share))
+    doc, col = np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.concatenate(cols).astype(np.int64)
+    x = ratios[col]
     # Adam on the mean log loss with a ridge
-    w, b = np.zeros(len(chosen)), float(np.log(y.mean() / (1 - y.mean())))
-    mom, pow_, t = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0
+    w, b = np.zeros(len(places)), float(np.log(y.mean() / (1 - y.mean())))
+    mom, pow_, t = np.zeros(len(places) + 1), np.zeros(len(places) + 1), 0
     for t in range(1, ROUNDS + 1):
         z = b + np.bincount(doc, w[col] * x, len(y))
         e = (1 / (1 + np.exp(-z)) - y) / len(y)
-        g = np.append(np.bincount(col, e[doc] * x, len(chosen)) + RIDGE * w, e.sum())
+        g = np.append(np.bincount(col, e[doc] * x, len(places)) + RIDGE * w, e.sum())
         mom, pow_ = 0.9 * mom + 0.1 * g, 0.99 * pow_ + 0.01 * g * g
         step = 0.02 * (mom / (1 - 0.9**t)) / (np.sqrt(pow_ / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    weight[chosen] = w * r[chosen]
+    weight[places] = w * ratios
     b += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return ToxicModel(weight, float(b))
 
 
+def _place_counts(batches):
+    """A task's documents by place and label, a row for each range of places that it has."""
+    count = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        toxic = batch.column("toxic").to_numpy()
+        for s in words.slices(batch.column("text"), words.SPACED, True):
+            doc, place = char_ngrams(s)
+            key = np.unique(doc << BITS | place)
+            for label in (0, 1):
+                mine = toxic[s.lo + (key >> BITS)] == label
+                count[label] += np.bincount(key[mine] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
+    step = (1 << BITS) // RANGES
+    for b in range(RANGES):
+        part = count[:, b * step : (b + 1) * step]
+        some = np.flatnonzero(part.any(0)).astype(np.int32)
+        if len(some):
+            yield pa.RecordBatch.from_pydict({"range": pa.array([b], pa.int32()), "place": pa.array([some.tobytes()]), "good": pa.array([part[0, some].tobytes()]), "bad": pa.array([part[1, some].tobytes()])})
+
+
+def _range_counts(table: pa.Table) -> pa.Table:
+    """The counts of a range of places, those with enough documents."""
+    step = (1 << BITS) // RANGES
+    good, bad = np.zeros(step, np.int64), np.zeros(step, np.int64)
+    for r in range(table.num_rows):
+        place = np.frombuffer(table["place"][r].as_py(), np.int32)
+        good[place] += np.frombuffer(table["good"][r].as_py(), np.int32)
+        bad[place] += np.frombuffer(table["bad"][r].as_py(), np.int32)
+    some = np.flatnonzero(good + bad >= LEAST)
+    first = table["range"][0].as_py() * step
+    return pa.table({c: pa.array([x.astype(np.int32).tobytes()], pa.binary()) for c, x in (("place", some + first), ("good", good[some]), ("bad", bad[some]))})
+
+
+def _chosen_columns(held):
+    """Each document's numbers among the chosen places."""
+
+    def run(batches):
+        col = np.full(1 << BITS, -1, np.int32)
+        col[held.value] = np.arange(len(held.value))
+        for batch in batches:
+            out = []
+            for s in words.slices(batch.column("text"), words.SPACED, True):
+                doc, place = char_ngrams(s)
+                place = col[place]
+                key = np.unique(doc[place >= 0] << BITS | place[place >= 0])
+                out += [x.astype(np.int16).tobytes() for x in np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, s.hi - s.lo)))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(out, pa.binary())], names=["id", "toxic", "cols"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int, fold: int) -> ToxicModel:
-    """Fits on labelled documents whose ``crc32(id) % folds != fold``."""
+    """Fits on labelled documents whose ``crc32(id) % folds != fold``.
+
+    Places are counted and chosen by Spark; the driver holds at most ``2 ** BITS`` counts, and of each sampled document its
+    numbers among the ``FEATURES`` chosen places (two bytes each), however long its text is.
+    """
+    spark = docs.sparkSession
     lab = labels.select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     lab = lab.filter(F.crc32(F.col("id").cast("string")) % folds != fold)
     known = lab.join(docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct(), "id", "left_semi")
@@ -121,27 +180,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds:
     for t in (0, 1):  # at most SAMPLE ids each
         part = known.filter(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
         picked = part if picked is None else picked.unionByName(part)
-    chosen = {i: t for i, t in picked.collect()}
-    keys = docs.sparkSession.sparkContext.broadcast(chosen)
-
-    def run(batches):
-        want = keys.value
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            at = [i for i, x in enumerate(ids) if x in want]
-            if not at:
-                continue
-            part = batch.take(pa.array(at))
-            out = []
-            for s in words.slices(part.column(1), words.SPACED, True):
-                doc, place = char_ngrams(s)
-                key = np.unique(doc << BITS | place)
-                out += [x.astype(np.int32).tobytes() for x in np.split(key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(1, s.hi - s.lo)))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([want[ids[i]] for i in at], pa.int32()), pa.array(out, pa.binary())], names=["id", "toxic", "places"])
-
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, toxic int, places binary")
-    rows = sorted(found.dropDuplicates(["id"]).toLocalIterator(), key=lambda x: x.id)
-    return fit_toxic([np.frombuffer(x.places, np.int32) for x in rows], np.array([x.toxic for x in rows]), share.get(1, 0) / total if total else 0.0)
+    of = share.get(1, 0) / total if total else 0.0
+    # the sampled texts, one of each id, apart: at most 2 * SAMPLE of them
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    sample = materialize(sample.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), "op7-sample")
+    n = {t: k for t, k in sample.groupBy("toxic").count().collect()}
+    counts = sample.mapInArrow(_place_counts, "range int, place binary, good binary, bad binary").groupBy("range").applyInArrow(_range_counts, "place binary, good binary, bad binary")
+    found = [[np.frombuffer(x, np.int32).astype(np.int64) for x in r] for r in counts.toLocalIterator()]  # at most 2 ** BITS places
+    place, good, bad = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    places, ratios = choose_places(place, bad, good, n.get(1, 0), n.get(0, 0))
+    cols = sample.mapInArrow(_chosen_columns(spark.sparkContext.broadcast(places)), "id long, toxic int, cols binary")
+    rows = sorted(cols.toLocalIterator(), key=lambda x: x.id)
+    return fit_toxic([np.frombuffer(x.cols, np.int16) for x in rows], np.array([x.toxic for x in rows]), of, places, ratios)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
