@@ -13,9 +13,9 @@ a null id stays null; an empty table gives no rows; clashing columns of the inpu
 
 from __future__ import annotations
 
+import json
 import os
-import sys
-import types
+import re
 import zlib
 from struct import pack as pack_ids
 
@@ -31,9 +31,11 @@ END_ID = 1
 BLOCK_PIECES = 16_384
 PATIENCE = 32
 SWEEPS = 6
-CACHED_WORDS = 450_000
+CACHED_WORDS = 150_000
 CACHED_WORD_BYTES = 48
 GROUP_BYTES = 1 << 20
+#: fixed value: the pattern of tokenizers that take letters, digits and other signs apart, contractions aside
+_LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -187,8 +189,8 @@ def pack(pieces: DataFrame, order_cols: list[str], length_col: str = "length", c
 class WordIds:
     """Ids of words, remembered in two generations of at most about ``CACHED_WORDS`` words each.
 
-    When the young one is full it becomes the old one; words met again move back into the young one.  One
-    memory serves all tasks of a worker process.
+    When the young one is full it becomes the old one; words met again move back into the young one.  At about 200 bytes a
+    word both hold at most some 60 MB, and a task has its own.
     """
 
     def __init__(self, tokenizer):
@@ -215,15 +217,20 @@ class WordIds:
         return out
 
 
-def _word_ids(tokenizer_json: str) -> WordIds:
-    """The worker process's ``WordIds`` of this tokenizer (functions come by value, so it is kept in a module of its own)."""
-    from tokenizers import Tokenizer
+def _splitter(tokenizer_json: str):
+    """``split(text) -> words`` that the tokenizer treats each for itself.
 
-    kept = sys.modules.setdefault("_textpairs_word_ids", types.ModuleType("_textpairs_word_ids"))
-    key = zlib.crc32(tokenizer_json.encode())
-    if getattr(kept, "key", None) != key:
-        kept.key, kept.ids = key, WordIds(Tokenizer.from_str(tokenizer_json))
-    return kept.ids
+    Blanks always part words.  A tokenizer that lower-cases and takes runs of letters and runs of other signs apart gives the
+    same ids for ``Word,`` as for ``word`` and ``,``: such words are lower-cased (A-Z) and parted there, so that fewer
+    different words have to be encoded.
+    """
+    rules = json.loads(tokenizer_json)
+    steps = lambda x, key: [y["type"] for y in x.get(key, [x])] if x else []
+    first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+    if "Lowercase" in steps(rules.get("normalizer") or {}, "normalizers") and first == _LETTERS_APART:
+        sign = re.compile(rb"(?<=[a-z])[.,;:!?]")
+        return lambda raw: sign.sub(rb" \g<0>", raw.lower()).split()
+    return bytes.split
 
 
 def token_pieces(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -236,8 +243,10 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
     def run(batches):
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = _word_ids(held.value)
+        words, split = WordIds(Tokenizer.from_str(held.value)), _splitter(held.value)  # the memory ends with the task
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             kept, group, size = [], [], 0
@@ -254,7 +263,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
 
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
                 raw = text.as_py() or b""
-                group.append((doc, raw.split()))
+                group.append((doc, split(raw)))
                 size += len(raw)
                 if size >= GROUP_BYTES:
                     flush(group)
