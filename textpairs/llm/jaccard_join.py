@@ -35,10 +35,10 @@ from textpairs.session import materialize
 SHINGLE = 5
 HOT = 1 << 16
 HOT_LEAST = 8
-CHUNK_BYTES = 8 << 20
-FLUSH = 3 << 20
+CHUNK_BYTES = 4 << 20
+FLUSH = 1 << 20
 BLOCK_SHINGLES = 1 << 20
-BUCKET_SHINGLES = 4 << 20
+BUCKET_SHINGLES = 2 << 20
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
