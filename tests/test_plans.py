@@ -46,3 +46,24 @@ def test_join_encode_fallback_broadcasts_the_vocabulary(spark):
     assert {r["k"]: r["question_ids"] for r in out.collect()} == {
         r["k"]: r["question_ids"] for r in vocab.encode_columns(df, vocab.Vocabulary.from_df(v), ("question",)).collect()
     }
+
+
+def test_lines_of_large_files_are_not_exchanged(spark, write_files):
+    """Pairs inside a split are made where they are read: the one exchange is the broadcast of the splits' numbers."""
+    from textpairs.sources import files
+
+    root = write_files({"fa/m1.txt": "".join(f"q{i}\na{i}\n" for i in range(3000)) + "odd\n"})
+    conf = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "1000")
+    try:
+        pairs, unpaired, _ = files.read_qa(spark, root, whole_file_bytes=-1)
+        plan = _plan(pairs)
+        inside = plan[: plan.index("FileScan text")]
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and "Sort " not in inside
+        assert plan.count("FileScan text") == 1  # the text is read once beside the count
+        got = sorted((r.pair_idx, r.question, r.answer) for r in pairs.collect())
+        assert got == [(i, f"q{i}", f"a{i}") for i in range(3000)]
+        assert [(r.ln, r.text) for r in unpaired.collect()] == [(6000, "odd")]
+    finally:
+        spark.conf.set(conf, before)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textpairs.operators.pairing import pairs_from_lines
 from textpairs.sources import files
 
 
@@ -127,9 +128,13 @@ def test_whole_files_by_default(spark, write_files):
 
 def test_line_path_sorts_no_aggregate_over_text(spark, write_files):
     root = write_files({"fa/m.txt": "q\na\n"})
-    pairs, _, _ = files.read_qa(spark, root, whole_file_bytes=-1)
+    # the form that joins numbered lines: they are shuffled with their file alone
+    pairs = files.named(pairs_from_lines(files.numbered_lines(spark, [f"{root}/fa/m.txt"]), ["file"])[0])
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "folder" not in plan[plan.index("hashpartitioning(file") :]
+    # the form that pairs inside splits: no shuffle at all
+    plan = files.read_qa(spark, root, whole_file_bytes=-1)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "hashpartitioning" not in plan
 
 
 def test_split_and_layout_keep_odd_names(spark, tmp_path):

@@ -140,6 +140,39 @@ def q_file_source(spark, sf):
     return flows.with_lang_source(pairs).select("lang", "source", "chunk", "pair_idx", "question", "answer")
 
 
+_FILE_OUT = ("lang", "source", "chunk", "pair_idx", "question", "answer")
+
+
+def q_folder_files_selected(spark, sf):
+    """SRC2 / JOI4 over written files: the folders of two languages (and one that is not there) by a semi-join of the listing."""
+    listed = files.file_table(spark, flows.write_doc_files(spark, sf))
+    wanted = flows.with_lang_source(listed).filter(F.col("lang").isin("en", "fr", "xx")).select("folder")
+    pairs, _ = files.read_selected(spark, files.select_files(listed, folders=wanted))
+    return flows.with_lang_source(pairs).select(*_FILE_OUT)
+
+
+def q_module_files_selected(spark, sf):
+    """SRC3 / JOI4 over written files: certain files of certain folders, read through the path for large files."""
+    listed = files.file_table(spark, flows.write_doc_files(spark, sf))
+    wanted = flows.with_lang_source(listed).filter(F.col("source").isin("src1", "src7", "nope")).select("folder", "name")
+    pairs, _ = files.read_selected(spark, files.select_files(listed, names=wanted), whole_file_bytes=-1)
+    return flows.with_lang_source(pairs).select(*_FILE_OUT)
+
+
+def q_listed_files(spark, sf):
+    """SRC2 / SRC3: files of each language and source, from the listing alone."""
+    listed = flows.with_lang_source(files.file_table(spark, flows.write_doc_files(spark, sf)))
+    return listed.groupBy("lang", "source").agg(F.count_distinct("folder").alias("folders"))
+
+
+def q_split_rerun(spark, sf):
+    """SNK5: one folder written, then the others, then the first again: every pair once."""
+    pairs, path = materialize(tables.qa_docs(spark, sf), "rerun"), scratch_path(spark, "rerun-split")
+    for part in (pairs.filter("folder = 'en'"), pairs.filter("folder <> 'en'"), pairs.filter("folder = 'en'")):
+        files.write_split(part, path, "folder", only_keys=True)
+    return files.read_split_table(spark, path).select(*QA_OUT)
+
+
 def q_file_source_lines(spark, sf):
     """Same files and result as ``file_source``, forced through the numbered-line path (H1)."""
     root = flows.write_doc_files(spark, sf)

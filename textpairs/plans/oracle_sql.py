@@ -207,6 +207,10 @@ ORACLE: dict[str, str] = {
         "GROUP BY f.lang, f.source, f.chunk"
     ),
     "split_module": f"WITH {PAIRS} SELECT module AS split_key, doc_id, pair_idx, question, answer FROM p",
+    "folder_files_selected": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp WHERE lang IN ('en', 'fr', 'xx')",
+    "module_files_selected": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp WHERE source IN ('src1', 'src7', 'nope')",
+    "listed_files": "SELECT lang, source, count(DISTINCT doc_id // 4000) AS folders FROM documents GROUP BY lang, source",
+    "split_rerun": f"WITH {PAIRS} SELECT doc_id, folder, module, pair_idx, question, answer FROM p",
     "file_source": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp",
     "file_source_lines": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp",
     "stream_ingest": (

@@ -1,19 +1,14 @@
 """File sources and sinks (SRC1-SRC11, SNK1-SNK5, JOI4).
 
 ``read_qa`` reads ``<root>/<folder>/<module-file>`` text files of alternating
-question / answer lines.  Spark's text source yields lines but no line numbers; we
-recover them exactly and at scale (H1):
-
-1. directly above the scan take ``_metadata.file_path``, ``_metadata.file_block_start``
-   and ``monotonically_increasing_id()``.  The lines of one split are consecutive rows
-   of one task, so ``id - min(id)`` over a (file, block) is the line's index in the
-   block;
-2. one aggregate gives, per (file, block), the line count and the smallest id - one
-   row per split, however large the files;
-3. a prefix sum over the blocks of a file (a window over that small table) gives
-   each block's first line number; the table is joined back (broadcast when it is
-   small, which AQE decides from its real size);
-4. pairs are formed by joining even with odd lines on ``(file, ln div 2)`` (see ``operators.pairing``).
+question / answer lines.  Spark's text source yields lines but no line numbers; for files too large for one row
+they are recovered exactly and at scale (H1):
+
+1. the lines of one split (``_metadata.file_path``, ``_metadata.file_block_start``) are consecutive rows of one task, so one
+   read gives, per split, the line count and the first and last line - one row per split, however large the files;
+2. a prefix sum over the splits of a file (a window over that small table) gives each split's first line number, which
+   is joined back by broadcast;
+3. lines are paired inside their split as they are read again; pairs over a border come from the table of step 1.
 
 Listing (SRC2, SRC3) goes through the Hadoop FileSystem of the session, so the same
 code lists local folders, HDFS or object stores.
@@ -29,7 +24,8 @@ from pyspark.sql import functions as F
 
 from textpairs.functions.text import decode_uri_path, drop_last4, parent_name
 from textpairs.operators.clean import distinct_keys
-from textpairs.operators.pairing import _check_cap, pairs_from_lines, pairs_in_rows, unpaired_in_rows
+from textpairs.operators.pairing import _check_cap, pairs_from_lines, pairs_in_rows, pairs_in_splits, split_lines, unpaired_in_rows
+from textpairs.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -125,44 +121,89 @@ def list_inputs(spark: SparkSession, root: str, folders=None, files=None) -> dic
     return {"folders": chosen, "files": out_files, "sizes": {f: sizes.get(f, 0) for f in out_files}, "skipped_hidden": hidden}
 
 
+def file_table(spark: SparkSession, root: str) -> DataFrame:
+    """SRC2 / SRC3 as a table: ``(path, folder, name, length)`` of every file ``<root>/<folder>/<name>`` that Spark reads.
+
+    Only paths and sizes are read (no content); Spark lists many folders in parallel tasks.  Names that start with ``_`` or
+    ``.`` are not among them, as Spark's readers pass over these too, and neither are empty files, which hold no pair.
+    """
+    found = spark.read.format("binaryFile").load(root.rstrip("/") + "/*/*").select("path", "length")
+    uri = F.col("path")
+    return found.select("path", parent_name(uri).alias("folder"), F.element_at(F.split(uri, "/"), -1).alias("name"), "length")
+
+
+def select_files(table: DataFrame, folders=None, names=None) -> DataFrame:
+    """JOI4: the rows of ``file_table`` whose folder / name is wanted, by semi-joins.
+
+    ``folders`` and ``names`` are lists of names or tables with a column ``folder`` / ``name`` (both, for certain files
+    of certain folders).  Wanted names that do not exist are skipped; a name given twice counts once.
+    """
+    spark = table.sparkSession
+    for column, wanted in (("folder", folders), ("name", names)):
+        if wanted is None:
+            continue
+        if not isinstance(wanted, DataFrame):
+            if not all(isinstance(x, str) for x in wanted):
+                raise TypeError(f"{column}: names are strings, got {[type(x).__name__ for x in wanted]}")
+            wanted = spark.createDataFrame([(x,) for x in wanted], f"{column} string")
+        on = [c for c in ("folder", "name") if c in wanted.columns]
+        table = table.join(wanted.select(*on), on, "left_semi")
+    return table
+
+
+def read_selected(spark: SparkSession, selected: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """PIP1 over chosen rows of ``file_table``: ``(pairs, unpaired)``, with the options of ``read_qa``; no file: an error."""
+    sizes = {r["path"]: r["length"] for r in selected.select("path", "length").toLocalIterator()}  # Spark's own file index holds these paths too
+    if not sizes:
+        raise ValueError("no chosen file to read")
+    return _read_files(spark, sorted(sizes), sizes, **options)
+
+
 # ----------------------------------------------------------------------------- text pairs
 # Largest per-split offsets table broadcast by ``numbered_lines`` (estimated bytes).
 OFFSETS_BROADCAST_BYTES = 128 << 20
 
 
-def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, ln, value): every line with its 0-based number in its file (WIN1); ``named`` adds
-    folder and module, after any shuffle, so only one path string travels with a line.
+def _raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """SRC7 / SET1: all chosen files are one ``read.text`` over their paths - a union all of the per-file line sets; row
+    order is defined by ``(folder, module, pair_idx)`` keys."""
+    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
 
-    SRC7 / SET1: all chosen files are one ``read.text`` over their paths - a union all of
-    the per-file line sets; row order is defined by ``(folder, module, pair_idx)`` keys.
+def pairs_of_lines(spark: SparkSession, paths: list[str], cap: int | None = None, on_unpaired: str = "quarantine") -> tuple[DataFrame, DataFrame]:
+    """(pairs, unpaired) of large files, each with its file.
+
+    One read counts the lines of every split and keeps its first and last (a written table of one row a split); its prefix
+    sums give each split the number of its first line (WIN1).  A second read pairs lines inside their split
+    (``pairing.pairs_in_splits``): no exchange carries lines.
+
+    The splits' numbers are broadcast.  A file of len bytes gives at most len / S + 1 splits and no scan partition holds
+    more than S bytes, so splits <= scan partitions + files (doubled here as a margin), both known before any job runs.  Beyond
+    ``OFFSETS_BROADCAST_BYTES`` (files of about 100 TB) lines are numbered by a join and paired by a shuffle: the same rows.
     """
-    raw = spark.read.text(paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mid"),
-    )
-    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("mid0"))
-    offsets = blocks.select(
-        "file",
-        "block",
-        "mid0",
-        F.coalesce(
-            F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("off"),
-    )
-    # The offsets table has one row per split.  A file of len bytes gives at most
-    # len / S + 1 splits and no scan partition holds more than S bytes, so
-    # splits <= scan partitions + files (doubled here as a margin); both are known
-    # before any job runs, so the table's size has a proven bound.  Within the budget it
-    # is broadcast and the lines are shuffled only once (by the pairing); beyond it the
-    # join is left to the optimizer / AQE.
+    raw = _raw_lines(spark, paths)
     max_splits = 2 * raw.rdd.getNumPartitions() + len(paths)
-    est_bytes = max_splits * (max((len(p) for p in paths), default=0) + 48)
-    if est_bytes <= OFFSETS_BROADCAST_BYTES:
-        offsets = F.broadcast(offsets)
+    if max_splits * (max((len(p) for p in paths), default=0) + 48) > OFFSETS_BROADCAST_BYTES:
+        return pairs_from_lines(numbered_lines(spark, paths), ["file"], cap=cap, on_unpaired=on_unpaired)
+    splits = materialize(split_lines(raw), "splits")
+    by = Window.partitionBy("file").orderBy("block")
+    splits = splits.select(
+        "file", "block", "n", "first", "last",
+        F.xxhash64("file", "block").alias("no"),
+        F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
+        F.lead("first").over(by).alias("next_first"),
+    )
+    splits = materialize(splits, "splits-numbered")
+    lines = raw.join(F.broadcast(splits.select("file", "block", "no", "off")), ["file", "block"])
+    return pairs_in_splits(lines, splits, cap=cap, on_unpaired=on_unpaired)
+
+
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, ln, value): every line with its 0-based number in its file (WIN1)."""
+    raw = _raw_lines(spark, paths).withColumn("mid", F.monotonically_increasing_id())
+    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("mid0"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select("file", "block", "mid0", F.coalesce(before, F.lit(0)).alias("off"))
     return raw.join(offsets, ["file", "block"]).select("file", (F.col("off") + F.col("mid") - F.col("mid0")).alias("ln"), "value")
 
 
@@ -216,11 +257,20 @@ def read_qa(
 
     Files are routed by the size the listing reports: up to ``whole_file_bytes`` a file is
     read whole and paired inside its row (one read, no shuffle); larger files take the
-    numbered-line path (two reads, one shuffle, any file size).  Both give the same rows.
+    line path (two reads, no shuffle of lines, any file size).  Both give the same rows.
     """
     _check_cap(samples_per_module)
     listing = list_inputs(spark, root, folders, files)
-    is_small = {f: listing["sizes"][f] <= whole_file_bytes and not f.endswith(COMPRESSED) for f in listing["files"]}
+    pairs, unpaired = _read_files(spark, listing["files"], listing["sizes"], samples_per_module, on_unpaired, whole_file_bytes)
+    return pairs, unpaired, listing
+
+
+def _read_files(
+    spark: SparkSession, paths: list[str], sizes: dict, samples_per_module: int | None = None, on_unpaired: str = "quarantine", whole_file_bytes: int = WHOLE_FILE_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs, unpaired) of files routed by their sizes."""
+    _check_cap(samples_per_module)
+    is_small = {f: sizes[f] <= whole_file_bytes and not f.endswith(COMPRESSED) for f in paths}
     small = [f for f, s in is_small.items() if s]
     big = [f for f, s in is_small.items() if not s]
     parts = []
@@ -233,12 +283,12 @@ def read_qa(
             )
         )
     if big:
-        found = pairs_from_lines(numbered_lines(spark, big), ["file"], cap=samples_per_module, on_unpaired=on_unpaired)
+        found = pairs_of_lines(spark, big, cap=samples_per_module, on_unpaired=on_unpaired)
         parts.append(tuple(named(p) for p in found))
     pairs, unpaired = parts[0]
     for p, u in parts[1:]:
         pairs, unpaired = pairs.unionByName(p), unpaired.unionByName(u)
-    return pairs, unpaired, listing
+    return pairs, unpaired
 
 
 def listing_counts(listing: dict) -> dict:
@@ -428,15 +478,19 @@ def _key_part(key: str):
     return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("k_"), c))
 
 
-def write_split(df: DataFrame, path: str, key: str, mode: str = "overwrite") -> None:
+def write_split(df: DataFrame, path: str, key: str, mode: str = "overwrite", only_keys: bool = False) -> None:
     """SNK5: persist the per-key frames of FLT3 / FLT4 as one table with a directory per key.
 
+    ``only_keys`` replaces the directories of the keys that ``df`` has and leaves the others, so a step that is run again for
+    some keys neither loses nor doubles any; otherwise an overwrite replaces the table.
+
     The key stays a data column; rows are gathered by key and ``SPLIT_SALTS`` salts first, so a
     key has few files and a key that holds most rows is written by many tasks.
     """
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(SPLIT_SALTS))
     out = df.withColumn(_PART, _key_part(key))
-    out.repartition(F.col(_PART), salt).write.mode(mode).partitionBy(_PART).parquet(path)
+    kind = "dynamic" if only_keys else "static"
+    out.repartition(F.col(_PART), salt).write.mode(mode).option("partitionOverwriteMode", kind).partitionBy(_PART).parquet(path)
 
 
 def read_split_table(spark: SparkSession, path: str) -> DataFrame:
