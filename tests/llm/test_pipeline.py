@@ -81,3 +81,32 @@ def test_run(spark):
     assert Counter(map(key, got)) == Counter(map(key, want)) and len(got) > 50
     assert len({r.sequence_id for r in got}) == len({r.sequence_id for r in want})
     assert all(alnum_words(r.text) for r in docs.collect())
+
+
+CLASHING = ["lang_pred", "lang_score", "n_words", "n_removed", "kept_text", "tkey", "id", "n_hit", "items", "root", "component_id", "n_shingles", "rank", "sid", "a.b", "__spans"]
+
+
+def test_columns_of_the_caller_stay_as_they_are(spark, docs):
+    """Columns named like those that stages add come through with their own values."""
+    wide = docs.selectExpr("*", *[f"concat('{c} of ', coalesce(doc_id, -1)) as `{c}`" for c in CLASHING])
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, wide, SF)
+        assert got.columns == [*COLUMNS, *CLASHING] and got.schema[5:] == wide.schema[5:]
+        assert rows(got) == rows(stage(spark, docs, SF))
+        odd = " or ".join(f"`{c}` <> concat('{c} of ', coalesce(doc_id, -1)) or `{c}` is null" for c in CLASHING)
+        assert got.count() and got.filter(odd).count() == 0
+
+
+def test_empty_tables(spark, docs):
+    none = docs.filter("false")
+    for name, stage in cp.STAGES:
+        got = stage(spark, none, SF)
+        assert got.count() == 0 and (name == "best_fit_packing" or got.columns == COLUMNS)
+
+
+def test_short_clean_texts_stay(spark, docs):
+    """Signs and digits go; short texts of known languages stay."""
+    clean = [(9100 + i, t, None, None, None) for i, t in enumerate(["the and of to in that is", "der die und in den von zu das", "de la que el en y a los"])]
+    got = cp.keep_known_language(spark, docs.unionByName(spark.createDataFrame(clean + [(9200, "?? 12 -- 99", None, None, None)], docs.schema)), SF)
+    left = {i for i, _ in rows(got)}
+    assert {9100, 9101, 9102} <= left and 9200 not in left
