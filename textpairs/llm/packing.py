@@ -31,7 +31,7 @@ END_ID = 1
 BLOCK_PIECES = 16_384
 PATIENCE = 32
 SWEEPS = 6
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
 CACHED_WORD_BYTES = 48
 GROUP_BYTES = 1 << 20
 #: fixed value: the pattern of tokenizers that take letters, digits and other signs apart, contractions aside
@@ -190,7 +190,7 @@ class WordIds:
     """Ids of words, remembered in two generations of at most about ``CACHED_WORDS`` words each.
 
     When the young one is full it becomes the old one; words met again move back into the young one.  At about 200 bytes a
-    word both hold at most some 60 MB, and a task has its own.
+    word both hold at most some 120 MB, and a task has its own.
     """
 
     def __init__(self, tokenizer):
