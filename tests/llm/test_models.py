@@ -241,14 +241,85 @@ def test_lm_is_normalised_and_learns():
     u = rng.integers(0, v.size, 60000).astype(np.int32)
     w = np.where(rng.random(60000) < 0.8, (u + 1) % v.size, rng.integers(0, v.size, 60000)).astype(np.int32)
     x = rng.integers(0, v.size, 60000).astype(np.int32)
-    logp = lambda: (m.context(u, x) * m.r[w]).sum(1) + m.bias[w] - m.log_normaliser(u, x)
-    before = logp().mean()
+    before = m.log_prob(w, u, x).mean()
     for seed in range(5):
         m.train(w, u, x, seed)
-    assert logp().mean() > before + 0.5
+    assert m.log_prob(w, u, x).mean() > before + 0.5
     every = np.arange(v.size)
-    p = [np.exp((m.context(np.array([3]), np.array([4])) * m.r[i]).sum(1) + m.bias[i] - m.log_normaliser(np.array([3]), np.array([4]))) for i in every]
-    assert np.sum(p) == pytest.approx(1, abs=1e-4)
+    for a, b in ((3, 4), (0, 11)):
+        assert np.exp(m.log_prob(every, np.full(v.size, a), np.full(v.size, b))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def plain_log_prob(m, w, u, v):
+    """One token at a time: the group's softmax, then the slot's among the slots of its group."""
+    c = m.q[u].astype(float) * m.a + m.q[v] * m.b
+    group = m.sd[:, :-1] @ c + m.sd[:, -1]
+    inside = [i for i in range(len(m.group)) if m.group[i] == m.group[w]]
+    slot = {i: float(m.rb[i, :-1] @ c + m.rb[i, -1]) for i in inside}
+    return group[m.group[w]] - math.log(sum(math.exp(x) for x in group)) + slot[w] - math.log(sum(math.exp(x) for x in slot.values()))
+
+
+def plain_train(m, w, u, v, seed, batch, tile, draws, noise, rate):
+    """The same draws as ``train``, every example and noise slot by itself in float64."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    size, ends = len(m.q), np.cumsum(m.noise)
+    par = {k: getattr(m, k).astype(float) for k in ("a", "b", "sd", "q", "rb")}
+    power = {k: np.full_like(p, 1e-4) for k, p in par.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    order = rng.permutation(len(w))
+    for lo in range(0, len(w), batch):
+        todo = sorted(order[lo : lo + batch].tolist(), key=lambda i: m.group[w[i]])
+        tiles = []
+        for i in todo:
+            g = m.group[w[i]]
+            if not tiles or tiles[-1][0] != g or len(tiles[-1][1]) == tile:
+                tiles.append((g, []))
+            tiles[-1][1].append(i)
+        at = rng.random((len(tiles), draws))
+        drawn = []
+        for (g, _), t in zip(tiles, at):
+            begin, end = g * m.width, min((g + 1) * m.width, size)
+            mass = m.total[begin] + t * (m.total[end] - m.total[begin])
+            drawn.append([m.order[min(max(int(np.searchsorted(m.total, x, "right")) - 1, begin), end - 1)] for x in mass])
+        others = [min(int(np.searchsorted(ends, x)), len(ends) - 1) for x in rng.random(noise) * ends[-1]]
+        grad = {k: np.zeros_like(p) for k, p in par.items()}
+        for (g, examples), slots in zip(tiles, drawn):
+            for i in examples:
+                qu, qv = par["q"][u[i]], par["q"][v[i]]
+                c = np.append(qu * par["a"] + qv * par["b"], 1)
+                gc = np.zeros_like(c)
+                terms = [("rb", w[i], 1, m.log_share[w[i]]), ("sd", g, 1, math.log(m.noise[g]))]
+                terms += [("rb", x, -noise / draws, m.log_share[x]) for x in slots] + [("sd", y, -1, math.log(m.noise[y])) for y in others]
+                for k, x, weight, log_p in terms:
+                    s = c @ par[k][x] - log_p - math.log(noise)
+                    d = 1 - sigmoid(s) if weight > 0 else weight * sigmoid(s)
+                    grad[k][x] += d * c
+                    gc += d * par[k][x]
+                gc = gc[:-1]
+                grad["q"][u[i]] += gc * par["a"]
+                grad["q"][v[i]] += gc * par["b"]
+                grad["a"] += gc * qu
+                grad["b"] += gc * qv
+        for k in par:
+            g = grad[k] / len(todo)
+            power[k] += g * g
+            par[k] += rate * g / np.sqrt(power[k])
+    return par
+
+
+def test_lm_against_a_plain_version(monkeypatch):
+    for name, value in (("BATCH", 40), ("TILE", 4), ("DRAWS", 3), ("NOISE", 5)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    rng = np.random.default_rng(6)
+    v = lm_scoring.Vocabulary(np.arange(5, 26, dtype=np.uint64), rng.integers(1, 60, 21), 30, 7)
+    m = lm_scoring.LogBilinear(v)
+    w, u, x = (rng.integers(0, v.size, 150).astype(np.int32) for _ in range(3))
+    want = plain_train(m, w, u, x, 5, 40, 4, 3, 5, lm_scoring.RATE)
+    met = m.train(w, u, x, 5)
+    for k, p in want.items():
+        assert np.allclose(getattr(m, k), p, atol=2e-3), k
+    assert np.all(met >= np.bincount(np.concatenate((w, u, x)), minlength=v.size))
+    assert np.allclose(m.log_prob(w, u, x), [plain_log_prob(m, *t) for t in zip(w, u, x)], atol=1e-4)
 
 
 def test_lm_beats_the_unigram_base_on_held_out_texts(spark):

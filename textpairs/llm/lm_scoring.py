@@ -11,8 +11,9 @@ vectors Q (as context), R (as target) and a bias; inside a shared slot a word ha
 Slots of neighbouring frequency form *groups*, about the square root of the slots in number and in size, with
 vectors S.  After tokens u, v the context is ``c = Q[u] * A + Q[v] * B``, and a token of slot w in group g has
 ``P(g | c) * P(w | g, c)``: a softmax of ``c . S + d`` over all groups times one of ``c . R + b`` over the group's
-slots, both normalised exactly for every token.  Both are trained by noise-contrastive estimation on all training
-documents: every partition of chunks runs its own stochastic gradient from one common start; the groups'
+slots, both normalised exactly for every token, by matrix products over the distinct contexts of a chunk.  Both are
+trained by noise-contrastive estimation on all training documents, with noise that examples of one group share, so that
+scores and gradients are matrix products too.  The model has these two levels at every size: every partition of chunks runs its own stochastic gradient from one common start; the groups'
 parameters are averaged by tokens, a slot's by how often each partition met it, and a partition sends only the
 slots it met.
 
@@ -37,8 +38,9 @@ from textpairs.session import scratch_path
 VOCAB = 1024
 WIDTH = 16
 NOISE = 24
-#: noise words drawn for each example in its group; each stands for NOISE / DRAWS
-DRAWS = 4
+#: examples of one group that share noise slots, and how many; each stands for NOISE / DRAWS
+TILE = 32
+DRAWS = 16
 BATCH = 4096
 RATE = 0.08
 CHUNK_BYTES = 12 << 20
@@ -152,113 +154,130 @@ class Vocabulary:
 
 
 class LogBilinear:
-    """Parameters and gradient steps, in float32."""
+    """Parameters and gradient steps, in float32; the last column of ``rb`` and ``sd`` is a bias."""
 
     def __init__(self, v: Vocabulary, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
         share = (v.counts + 0.5) / (v.counts + 0.5).sum()
-        self.width = v.size if v.size <= VOCAB else math.isqrt(v.size - 1) + 1
+        self.width = math.isqrt(v.size - 1) + 1
         self.order = np.argsort(-share, kind="stable")  # group g is order[g * width : (g + 1) * width]
         self.group = np.empty(v.size, np.int32)
         self.group[self.order] = np.arange(v.size) // self.width
         self.total = np.concatenate(([0.0], np.cumsum(share[self.order])))
         self.noise = np.bincount(self.group, share)
+        self.log_share = np.log(share / self.noise[self.group]).astype(np.float32)
         self.q = rng.normal(0, 0.1, (v.size, WIDTH)).astype(np.float32)
-        self.r = rng.normal(0, 0.1, (v.size, WIDTH)).astype(np.float32)
-        self.bias = np.log(share / self.noise[self.group]).astype(np.float32)
-        self.log_noise = self.bias + np.float32(math.log(NOISE))
+        self.rb = np.concatenate((rng.normal(0, 0.1, (v.size, WIDTH)).astype(np.float32), self.log_share[:, None]), 1)
         self.a, self.b = np.ones(WIDTH, np.float32), np.full(WIDTH, 0.5, np.float32)
-        self.s = np.zeros((len(self.noise), WIDTH), np.float32)
-        self.d = np.log(self.noise).astype(np.float32)
+        self.sd = np.zeros((len(self.noise), WIDTH + 1), np.float32)
+        self.sd[:, WIDTH] = np.log(self.noise)
 
     def dense(self) -> list[np.ndarray]:
-        return [self.a, self.b, self.s, self.d]
+        return [self.a, self.b, self.sd]
 
     def sparse(self) -> list[np.ndarray]:
-        return [self.q, self.r, self.bias[:, None]]
+        return [self.q, self.rb]
 
-    def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return self.q[u] * self.a + self.q[v] * self.b
-
-    def log_normaliser(self, u: np.ndarray, v: np.ndarray, group: int = 0) -> np.ndarray:
-        """log of the sum over the group's slots; while the slots fit into ``VOCAB`` there is one group."""
-        k = self.order[group * self.width : (group + 1) * self.width]
-        return _log_sum(self.context(u, v) @ self.r[k].T + self.bias[k])
+    def context(self, qu: np.ndarray, qv: np.ndarray) -> np.ndarray:
+        """Contexts of the vectors Q[u], Q[v], with a last column of ones, which meets the biases."""
+        c = np.ones((len(qu), WIDTH + 1), np.float32)
+        c[:, :WIDTH] = qu * self.a + qv * self.b
+        return c
 
     def log_prob(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Natural log of P(w | u, v); u is the token just before w, v the one before that."""
-        out = np.empty(len(w))
-        at = np.argsort(self.group[w], kind="stable")
-        cuts = np.searchsorted(self.group[w][at], np.arange(len(self.noise) + 1))
+        """Natural log of P(w | u, v); u is the token just before w, v the one before that.
+
+        The groups' normaliser is made once for each distinct context, a group's once for each distinct (group, context).
+        """
+        size = len(self.q)
+        pairs, context = np.unique(u.astype(np.int64) * size + v, return_inverse=True)
+        over_groups = np.empty(len(pairs), np.float32)
+        for lo in range(0, len(pairs), BLOCK):
+            part = pairs[lo : lo + BLOCK]
+            over_groups[lo : lo + BLOCK] = _log_sum(self.context(self.q[part // size], self.q[part % size]) @ self.sd.T)
+        asked, at = np.unique(self.group[w].astype(np.int64) * len(pairs) + context, return_inverse=True)
+        over_slots = np.empty(len(asked), np.float32)
+        cuts = np.searchsorted(asked, np.arange(len(self.noise) + 1) * len(pairs))
         for g in np.flatnonzero(np.diff(cuts)).tolist():
-            k = self.order[g * self.width : (g + 1) * self.width]
-            r, bias = self.r[k].T, self.bias[k]
-            for lo in range(cuts[g], cuts[g + 1], 4096):
-                i = at[lo : min(lo + 4096, cuts[g + 1])]
-                c = self.context(u[i], v[i])
-                out[i] = (c * self.r[w[i]]).sum(1) + self.bias[w[i]] - _log_sum(c @ r + bias)
-                if len(self.noise) > 1:
-                    out[i] += c @ self.s[g] + self.d[g] - _log_sum(c @ self.s.T + self.d)
-        return out
+            rb = self.rb[self.order[g * self.width : (g + 1) * self.width]].T
+            for lo in range(cuts[g], cuts[g + 1], BLOCK):
+                hi = min(lo + BLOCK, cuts[g + 1])
+                part = pairs[asked[lo:hi] - g * len(pairs)]
+                over_slots[lo:hi] = _log_sum(self.context(self.q[part // size], self.q[part % size]) @ rb)
+        out = np.empty(len(w))
+        for lo in range(0, len(w), 1 << 16):
+            k = slice(lo, lo + (1 << 16))
+            out[k] = np.einsum("nw,nw->n", self.context(self.q[u[k]], self.q[v[k]]), self.rb[w[k]] + self.sd[self.group[w[k]]])
+        return out - over_slots[at] - over_groups[context]
 
     def train(self, w: np.ndarray, u: np.ndarray, v: np.ndarray, seed: int) -> np.ndarray:
         """One pass of noise-contrastive estimation; returns how often each slot was met.
 
-        Every example draws ``DRAWS`` noise slots of its own group; every batch shares ``NOISE`` noise groups, each
-        weighted as one of ``NOISE`` noise draws of each example.
+        A batch is cut into tiles of at most ``TILE`` examples of one group.  A tile shares ``DRAWS`` noise slots of its group,
+        each standing for ``NOISE / DRAWS``; a batch shares ``NOISE`` noise groups.  So scores and gradients are matrix products.
         """
         rng = np.random.Generator(np.random.PCG64(seed))
-        size, groups = len(self.bias), len(self.noise)
+        size, groups = len(self.q), len(self.noise)
+        log_slots = self.log_share + np.float32(math.log(NOISE))
         log_groups = (np.log(self.noise) + math.log(NOISE)).astype(np.float32)
         group_total = np.cumsum(self.noise)
         dense, rows = self.dense(), self.sparse()
         power = [np.full_like(p, 1e-4) for p in dense]
         row_power = [np.full_like(p, 1e-4) for p in rows]
         met = np.bincount(w, minlength=size) + np.bincount(u, minlength=size) + np.bincount(v, minlength=size)
-        order = rng.permutation(len(w))
-
-        def step_rows(p: np.ndarray, s: np.ndarray, at: np.ndarray, g: np.ndarray, n: int) -> None:
-            k, index = np.unique(at, return_inverse=True)
-            g = np.stack([np.bincount(index, g[:, j], len(k)) for j in range(g.shape[1])], 1).astype(np.float32) / np.float32(n)
-            s[k] += g * g
-            p[k] += np.float32(RATE) * g / np.sqrt(s[k])
+        order, number = rng.permutation(len(w)), np.empty(size, np.int64)
+
+        def step(p: np.ndarray, s: np.ndarray, g: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
+            t = s[at] + g * g
+            s[at] = t
+            p[at] += np.float32(RATE) * g / np.sqrt(t)
+
+        def step_rows(j: int, at: np.ndarray, g: np.ndarray, n: int) -> None:
+            number[at] = np.arange(len(at))  # one of a slot's places stays
+            k = at[number[at] == np.arange(len(at))]
+            number[k] = np.arange(len(k))
+            index = number[at]
+            sums = np.empty((g.shape[1], len(k)), np.float32)
+            for x, out in zip(np.ascontiguousarray(g.T, float), sums):
+                out[:] = np.bincount(index, x, len(k))
+            step(rows[j], row_power[j], np.ascontiguousarray(sums.T) / np.float32(n), k)
 
         for lo in range(0, len(w), BATCH):
             i = order[lo : lo + BATCH]
+            i = i[np.argsort(self.group[w[i]], kind="stable")]
             n, wi, ui, vi = len(i), w[i], u[i], v[i]
             gi = self.group[wi]
-            begin = gi * self.width
-            end = np.minimum(begin + self.width, size)
-            draw = self.total[begin][:, None] + rng.random((n, DRAWS)) * (self.total[end] - self.total[begin])[:, None]
-            x = self.order[np.clip(np.searchsorted(self.total, draw.ravel(), "right").reshape(n, DRAWS) - 1, begin[:, None], end[:, None] - 1)]
-            qu, qv, rw, rx = self.q[ui], self.q[vi], self.r[wi], self.r[x]
-            c = qu * self.a + qv * self.b
-            d = 1 - 1 / (1 + np.exp(-((c * rw).sum(1) + self.bias[wi] - self.log_noise[wi])))
-            e = np.float32(-NOISE / DRAWS) / (1 + np.exp(-(np.einsum("nw,njw->nj", c, rx) + self.bias[x] - self.log_noise[x])))
-            gc = d[:, None] * rw + np.einsum("nj,njw->nw", e, rx)
-            steps = [None, None, None, None]
-            if groups > 1:
-                y = np.minimum(np.searchsorted(group_total, rng.random(NOISE) * group_total[-1]), groups - 1)
-                sg, sy = self.s[gi], self.s[y]
-                dg = 1 - 1 / (1 + np.exp(-((c * sg).sum(1) + self.d[gi] - log_groups[gi])))
-                eg = -1 / (1 + np.exp(-(c @ sy.T + self.d[y] - log_groups[y])))
-                gc = gc + dg[:, None] * sg + eg @ sy
-                gs = np.stack([np.bincount(gi, (dg * c[:, j]), groups) for j in range(WIDTH)], 1)
-                np.add.at(gs, y, eg.T @ c)
-                steps[2], steps[3] = gs, np.bincount(gi, dg, groups) + np.bincount(y, eg.sum(0), groups)
-            steps[0], steps[1] = (gc * qu).sum(0), (gc * qv).sum(0)
-            flat = x.ravel()
-            met += np.bincount(flat, minlength=size)
-            both = np.concatenate((d[:, None], e.reshape(-1, 1)))
-            target = np.concatenate((wi, flat))
-            step_rows(self.r, row_power[1], target, both * np.concatenate((c, np.repeat(c, DRAWS, 0))), n)
-            step_rows(rows[2], row_power[2], target, both, n)
-            step_rows(self.q, row_power[0], np.concatenate((ui, vi)), np.concatenate((gc * self.a, gc * self.b)), n)
-            for p, g, s in zip(dense, steps, power):
-                if g is not None:
-                    g = (g / n).astype(np.float32)
-                    s += g * g
-                    p += np.float32(RATE) * g / np.sqrt(s)
+            first = np.flatnonzero(np.diff(gi, prepend=-1))
+            runs = np.diff(first, append=n)
+            tiles = -(-runs // TILE)
+            place = np.arange(n) + np.repeat((np.cumsum(tiles) - tiles) * TILE - first, runs)
+            of_tile = np.repeat(gi[first], tiles)
+            begin, end = of_tile * self.width, np.minimum((of_tile + 1) * self.width, size)
+            draw = self.total[begin][:, None] + rng.random((len(of_tile), DRAWS)) * (self.total[end] - self.total[begin])[:, None]
+            x = self.order[np.clip(np.searchsorted(self.total, draw.ravel(), "right").reshape(draw.shape) - 1, begin[:, None], end[:, None] - 1)]
+            qu, qv, rw, sg, rx = self.q[ui], self.q[vi], self.rb[wi], self.sd[gi], self.rb[x]
+            c = self.context(qu, qv)
+            tiled = np.zeros((len(of_tile) * TILE, WIDTH + 1), np.float32)
+            tiled[place] = c
+            tiled = tiled.reshape(-1, TILE, WIDTH + 1)
+            # an empty place has no column of ones, so its row is all zero and adds nothing below
+            d = 1 / (1 + np.exp(np.einsum("nw,nw->n", c, rw) - log_slots[wi]))
+            e = np.float32(-NOISE / DRAWS) * tiled[:, :, WIDTH:] / (1 + np.exp(log_slots[x][:, None, :] - tiled @ rx.transpose(0, 2, 1)))
+            gc = d[:, None] * rw + (e @ rx).reshape(-1, WIDTH + 1)[place]
+            y = np.minimum(np.searchsorted(group_total, rng.random(NOISE) * group_total[-1]), groups - 1)
+            dg = 1 / (1 + np.exp(np.einsum("nw,nw->n", c, sg) - log_groups[gi]))
+            eg = -1 / (1 + np.exp(log_groups[y] - c @ self.sd[y].T))
+            gc += dg[:, None] * sg + eg @ self.sd[y]
+            gs = np.zeros_like(self.sd)
+            gs[gi[first]] = np.add.reduceat(dg[:, None] * c, first, axis=0)
+            np.add.at(gs, y, eg.T @ c)
+            gc = gc[:, :WIDTH]
+            steps = [np.einsum("nw,nw->w", gc, qu), np.einsum("nw,nw->w", gc, qv), gs]
+            met += np.bincount(x.ravel(), minlength=size)
+            step_rows(1, np.concatenate((wi, x.ravel())), np.concatenate((d[:, None] * c, (e.transpose(0, 2, 1) @ tiled).reshape(-1, WIDTH + 1))), n)
+            step_rows(0, np.concatenate((ui, vi)), np.concatenate((gc * self.a, gc * self.b)), n)
+            for p, s, g in zip(dense, power, steps):
+                step(p, s, (g / n).astype(np.float32))
         return met
 
 
