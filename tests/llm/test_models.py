@@ -158,6 +158,21 @@ def test_words_parted_at_signs_have_the_same_ids():
     assert packing._splitter(plain) is bytes.split
 
 
+def test_joined_words_get_the_ids_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    text = packing.default_tokenizer()
+    tokenizer, split, ends = Tokenizer.from_str(text), packing._splitter(text), packing._word_ends(text)
+    assert ends is not None and packing._word_ends(text.replace('"</w>"', "null", 1)) is None
+    signs = ["a", "b", "E", "İ", "ß", "é", "e\u0301", "\u212b", "ſ", "ʼ", "'s", "'", "ll", "ñ", "中", "ा", "क", "1", "²", "_", "-", ".", ",", "$", "#", "<|endoftext|>", "<|", "|>", "endoftext", "\u200d", "😀", "ǅ", "K", "ⅷ", "\u0345", "ª", "\U0001e900", "\U00031350"]
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        words = packing.WordIds(tokenizer, ends)
+        texts = [" ".join("".join(rng.choice(signs, rng.integers(1, 7))) for _ in range(rng.integers(0, 12))) for _ in range(5)]
+        for raw, got in zip(texts, words.encode([split(t.encode()) for t in texts])):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(raw, add_special_tokens=False).ids, raw
+
+
 def test_ngrams_are_of_code_points():
     import pyarrow as pa
 

@@ -193,21 +193,39 @@ class WordIds:
     word both hold at most some 120 MB, and a task has its own.
     """
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.young, self.old = tokenizer, {}, {}
+    def __init__(self, tokenizer, ends: np.ndarray | None = None):
+        """``ends``: by id, whether it ends a word, where the tokenizer marks that and takes a run of letters as one word."""
+        self.tokenizer, self.ends, self.young, self.old = tokenizer, ends, {}, {}
+
+    def _learn(self, words: list[bytes]):
+        """(word, its ids) of each word; words of letters are encoded in one text and cut behind the ids that end a word."""
+        texts = [w.decode() for w in words]
+        whole = [self.ends is not None and x.lower().isalpha() for x in texts]
+        letters = [x for x, y in zip(texts, whole) if y]
+        if letters:
+            (e,) = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(letters):
+                data = ids.tobytes()
+                for w, a, b in zip((w for w, y in zip(words, whole) if y), [0, *cuts], cuts):
+                    yield w, data[a:b]
+            else:  # what is a letter here is none to the tokenizer: each word for itself
+                whole = [False] * len(words)
+        alone = [i for i, y in enumerate(whole) if not y]
+        for i, e in zip(alone, self.tokenizer.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False)):
+            ids = e.ids
+            yield words[i], pack_ids(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         young, old, learn = self.young, self.old, []
-        for w in {x for t in texts for x in t if x not in young}:
+        for w in set().union(*texts).difference(young):
             if w in old:
                 young[w] = old[w]
             else:
                 learn.append(w)
-        if learn:
-            for w, e in zip(learn, self.tokenizer.encode_batch_fast([w.decode() for w in learn], add_special_tokens=False)):
-                ids = e.ids
-                young[w] = pack_ids(f"<{len(ids)}I", *ids)
+        young.update(self._learn(learn))
         out = [b"".join(map(young.__getitem__, t)) for t in texts]
         for w in learn:
             if len(w) > CACHED_WORD_BYTES:
@@ -222,17 +240,36 @@ def _splitter(tokenizer_json: str):
 
     Blanks always part words.  A tokenizer that lower-cases and takes runs of letters and runs of other signs apart gives the
     same ids for ``Word,`` as for ``word`` and ``,``: such words are lower-cased (A-Z) and parted there, so that fewer
-    different words have to be encoded.
+    different words have to be encoded.  No sign of an added token is among them.
     """
-    rules = json.loads(tokenizer_json)
-    steps = lambda x, key: [y["type"] for y in x.get(key, [x])] if x else []
-    first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
-    if "Lowercase" in steps(rules.get("normalizer") or {}, "normalizers") and first == _LETTERS_APART:
-        sign = re.compile(rb"(?<=[a-z])[.,;:!?]")
+    if _parts_letters(json.loads(tokenizer_json)):
+        sign = re.compile(rb"(?<=[a-z])[.,;:!?#$%&*]")
         return lambda raw: sign.sub(rb" \g<0>", raw.lower()).split()
     return bytes.split
 
 
+def _parts_letters(rules: dict) -> bool:
+    steps = lambda x, key: [y["type"] for y in x.get(key, [x])] if x else []
+    first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+    return "Lowercase" in steps(rules.get("normalizer") or {}, "normalizers") and first == _LETTERS_APART
+
+
+def _word_ends(tokenizer_json: str) -> np.ndarray | None:
+    """By id, whether it ends a word; None for a tokenizer that does not mark the ends or does not take letters apart.
+
+    A run of letters is one word to such a tokenizer, and only the last of its ids has the mark.
+    """
+    rules = json.loads(tokenizer_json)
+    mark = rules["model"].get("end_of_word_suffix")
+    if not mark or rules["model"].get("ignore_merges") or not _parts_letters(rules):
+        return None
+    vocab = rules["model"]["vocab"]
+    ends = np.zeros(1 + max([*vocab.values(), *(t["id"] for t in rules["added_tokens"])]), bool)
+    ends[[i for w, i in vocab.items() if w.endswith(mark)]] = True
+    single = sum(len(w) == len(mark) + 1 for w in vocab if w.endswith(mark))
+    return ends if single >= 256 else None  # every byte can end a word
+
+
 def token_pieces(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``): each text's tokens and the end id, cut at ``capacity``.
 
@@ -246,7 +283,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, split = WordIds(Tokenizer.from_str(held.value)), _splitter(held.value)  # the memory ends with the task
+        words, split = WordIds(Tokenizer.from_str(held.value), _word_ends(held.value)), _splitter(held.value)  # the memory ends with the task
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             kept, group, size = [], [], 0
