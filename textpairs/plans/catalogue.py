@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.functions import arrays as A
-from textpairs.operators import batching, clean, decode, evaluate, profile, rank, vectors, vocab
+from textpairs.operators import batching, clean, decode, evaluate, profile, rank, shards, vectors, vocab
 from textpairs.plans import flows
 from textpairs.session import materialize, read_table, scratch_path
 from textpairs.sources import files, tables
@@ -321,6 +321,13 @@ def q_padded(spark, sf):
     return _train_padded(spark, sf).select(*KEYS, "batch_id", "questions", "answers")
 
 
+def q_epoch_bucketed(spark, sf):
+    """WIN4 SRT4 AGG10 FUN6: all training rows stored bucketed by shard, then the padded batches of the second epoch."""
+    rows = flows.pairs_split(spark, sf).filter(F.col("split") == "train")
+    table = shards.write_shards(rows, KEYS, flows.docs_vocab(spark, sf), scratch_path(spark, "shards"), seed=SEED)
+    return shards.epoch_padded(table, KEYS, 1, seed=SEED).select(*KEYS, "batch_id", "pos_in_batch", "questions", "answers")
+
+
 def q_prepare_train(spark, sf):
     """PIP2 end to end (split, vocabulary, encoded cache, epoch-0 shuffle, batches, pad);
     the same rows as ``padded``."""

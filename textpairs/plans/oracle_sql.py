@@ -290,6 +290,12 @@ ORACLE: dict[str, str] = {
     "shuffle_batches": f"WITH {BATCHES} SELECT doc_id, pair_idx, batch_id, pos_in_batch FROM tb",
     "ordered_batches": f"WITH {BATCHES} SELECT doc_id, pair_idx, batch_id, pos_in_batch FROM vb",
     "padded": f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, batch_id, questions, answers FROM tp",
+    "epoch_bucketed": (
+        f"WITH {BATCHES}, sh AS (SELECT *, rk // 2048 AS shard FROM tr), "
+        "so AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws('|', '42', '1', doc_id, pair_idx)), doc_id, pair_idx) - 1 AS k FROM sh), "
+        "sb AS (SELECT *, CAST(shard * 64 + k // 32 AS BIGINT) AS batch_id, CAST(k % 32 AS INTEGER) AS pos_in_batch FROM so), "
+        f"{padded('sb', 'sp')} SELECT doc_id, pair_idx, batch_id, pos_in_batch, questions, answers FROM sp"
+    ),
     "prepare_train": f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, batch_id, questions, answers FROM tp",
     "src_mask": f"WITH {BATCHES}, {padded('tb', 'tp')} SELECT doc_id, pair_idx, [x <> 3 for x in questions] AS questions_mask FROM tp",
     "trg_mask": (
