@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textpairs.fixed import SEQUENCE_LENGTH
@@ -83,12 +83,34 @@ def null_report(df: DataFrame, cols=("question", "answer")) -> DataFrame:
 
 def require_all_strings(df: DataFrame, cols=("question", "answer")) -> None:
     """FLT5 strict form: TypeError when any text cell is null."""
-    row = null_report(df, cols).first()
-    bad = {c: row[f"null_{c}"] for c in cols if row[f"null_{c}"]}
+    _no_nulls(null_report(df, cols).first().asDict(), cols)
+
+
+def _no_nulls(report: dict, cols) -> None:
+    bad = {c: report[f"null_{c}"] for c in cols if report[f"null_{c}"]}
     if bad:
         raise TypeError(f"text columns must hold strings only; nulls found: {bad}")
 
 
+def observed(df: DataFrame, cols=("question", "answer")) -> tuple[DataFrame, Observation]:
+    """FLT2 / FLT5 beside a write that is made anyway: ``df`` and what its first action will have seen of it.
+
+    Spark adds the numbers up in the tasks of that action, so the checks need no job of their own.  A task that runs twice may be
+    counted twice: the numbers tell none from some, and are no exact counts.
+    """
+    seen = Observation()
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols]
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *nulls), seen
+
+
+def require_observed(seen: Observation, what: str = "input", cols=("question", "answer")) -> None:
+    """After the action: ValueError without a row (FLT2), TypeError with a null text (FLT5)."""
+    report = seen.get
+    if not report["n_rows"]:
+        raise ValueError(f"no rows in the {what} frame")
+    _no_nulls(report, cols)
+
+
 def within_budget_condition(question: str = "question", answer: str = "answer", question_limit: int | None = None, answer_limit: int | None = None):
     """FLT6 on the text: ``size(ids) = length + 2`` exactly (one id per code point plus <bos> and
     <eos>), so the budget needs no encoding.  A limit of None lets every length pass."""

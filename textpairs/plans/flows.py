@@ -168,23 +168,24 @@ def prepare(
     clean.require_columns(train_df, ["question", "answer", *keys])
     enc_cols = ("question", "answer")
     tk = test_keys or keys
-    if strict:
-        # FLT2 / FLT5: an empty training table or a non-string text cell is an error
-        clean.require_nonempty(train_df, "training")
-        clean.require_all_strings(train_df, enc_cols)
-        if test_df is not None:
-            clean.require_columns(test_df, ["question", "answer", *tk])
-            clean.require_nonempty(test_df, "test")
-            clean.require_all_strings(test_df, enc_cols)
+    if strict and test_df is not None:
+        clean.require_columns(test_df, ["question", "answer", *tk])
     limits = {"question_limit": question_limit, "answer_limit": answer_limit}
     limited = question_limit is not None or answer_limit is not None
 
-    def fit(df):
-        return clean.within_budget_text(df, **limits)
+    def stored(df, what, name):
+        """The rows within the limits, written once; FLT2 / FLT5: no row or a null text is an error, seen by that same write."""
+        if not strict:
+            return materialize(clean.within_budget_text(df, **limits), name)
+        df, seen = clean.observed(df, enc_cols)
+        kept = materialize(clean.within_budget_text(df, **limits), name)
+        clean.require_observed(seen, what, enc_cols)
+        return kept
 
     dropped = sum(df.filter(~clean.within_budget_condition(**limits)).count() for df in (train_df, test_df) if limited and df is not None)
     # written once: the split's count jobs and the ranks reuse it
-    kept = materialize(fit(train_df), "prepare-train")
+    kept = stored(train_df, "training", "prepare-train")
+    te = None if test_df is None else stored(test_df, "test", "prepare-test")
     split = rank.exact_split(kept, keys, seed=seed)
     loading = vocab_df is None and load_path and not save_path
     if loading:
@@ -229,7 +230,6 @@ def prepare(
         "test": None,
     }
     if test_df is not None:
-        te = fit(test_df)
         te_ids = encoded(te, "test", tk)
         ranked = rank.ordered_rank(te if te_ids is None else te_ids, tk)  # checkpointed inside
         out["test"] = batches(ranked, te_ids is not None)
