@@ -5,8 +5,8 @@ form is silently overridden) and paired inside its row, so the query is stateles
 no watermark, no state store.  Every micro-batch writes its pairs (encoded against
 a fixed vocabulary) and its odd tails to two Parquet tables, each into a directory named by
 the batch id that a re-run replaces; so a restarted query neither loses nor doubles a file.
-Files of any suffix are read, as in the batch reader.  One file must fit one row; very large
-files belong to the batch path (``sources.files.read_qa``).
+Files of any suffix are read, as in the batch reader.  Here one file must fit one row; larger ones
+come through ``streaming.pieces``, cut into pieces or by their listing.
 """
 
 from __future__ import annotations
@@ -45,6 +45,14 @@ def encode_stream(pairs: DataFrame, vocab: Vocabulary) -> DataFrame:
     return pairs.withColumn("question_ids", vocab.encode("question")).withColumn("answer_ids", vocab.encode("answer"))
 
 
+def await_available(stream: DataFrame, write, checkpoint: str, mode: str = "append") -> None:
+    """Runs ``write(batch, batch_id)`` over all that is there now; an error of the query is raised here."""
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def run_available(texts: DataFrame, vocab: Vocabulary, out_path: str, checkpoint: str, cap: int | None = None) -> None:
     """Process every file that is there now (``availableNow``) into ``<out>/pairs`` and ``<out>/unpaired``, then stop."""
 
@@ -54,10 +62,7 @@ def run_available(texts: DataFrame, vocab: Vocabulary, out_path: str, checkpoint
         for name, df in (("pairs", pairs), ("unpaired", tails)):
             df.write.mode("overwrite").parquet(f"{out_path}/{name}/batch={batch_id}")
 
-    q = texts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    await_available(texts, write, checkpoint)
 
 
 def read_stream_output(spark: SparkSession, out_path: str, name: str) -> DataFrame:
