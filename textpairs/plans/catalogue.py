@@ -194,6 +194,32 @@ def q_stream_unpaired(spark, sf):
     return flows.with_lang_source(tails).select("lang", "source", "chunk", "ln", "text")
 
 
+_STREAM_OUT = (*_FILE_OUT, "question_ids", "answer_ids")
+
+
+def _pieces_as_files(df):
+    """The file's folder is the one above ``module=<source>.txt``."""
+    return flows.with_lang_source(df.withColumn("folder", F.element_at(F.split("file", "/"), -2)))
+
+
+def q_stream_pieces(spark, sf):
+    """STR1 on the same files cut into pieces: the same pairs and ids."""
+    pairs, _tails = flows.stream_pieces(spark, flows.write_doc_pieces(spark, sf), flows.docs_vocab(spark, sf))
+    return _pieces_as_files(pairs).select(*_STREAM_OUT)
+
+
+def q_stream_pieces_unpaired(spark, sf):
+    """SRC6 on the same files cut into pieces."""
+    _pairs, tails = flows.stream_pieces(spark, flows.write_doc_pieces(spark, sf), flows.docs_vocab(spark, sf))
+    return _pieces_as_files(tails).select("lang", "source", "chunk", "ln", "text")
+
+
+def q_stream_listed(spark, sf):
+    """STR1 on whole files by their listing, through the path for files larger than a row."""
+    pairs = flows.stream_listed(spark, flows.write_doc_files(spark, sf), flows.docs_vocab(spark, sf), whole_file_bytes=-1)
+    return flows.with_lang_source(pairs).select(*_STREAM_OUT)
+
+
 def q_file_unpaired(spark, sf):
     """SRC6 in the batch reader, through the numbered-line path."""
     root = flows.write_doc_files(spark, sf)

@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textpairs.fixed import BATCH_SIZE
@@ -20,7 +20,7 @@ from textpairs.operators import batching, clean, evaluate, rank, vocab
 from textpairs.operators.pairing import pairs_in_rows, text_lines
 from textpairs.session import materialize, read_table, scratch_path
 from textpairs.sources import files, tables
-from textpairs.streaming import ingest
+from textpairs.streaming import ingest, pieces
 
 KEYS = ["doc_id", "pair_idx"]
 SEED = rank.DEFAULT_SEED
@@ -112,6 +112,39 @@ def write_doc_files(spark: SparkSession, sf: str) -> str:
     return root
 
 
+DOCS_PER_PIECE = 400
+
+
+def write_doc_pieces(spark: SparkSession, sf: str) -> str:
+    """The files of ``write_doc_files`` cut into numbered pieces, ``<root>/folder=<...>/module=<source>.txt/piece=<number>[-last]``;
+    returns ``<root>``.
+
+    A piece has the lines of one range of ``DOCS_PER_PIECE`` doc ids; ranges without a line get no number.
+    """
+    root = scratch_path(spark, "docpieces")
+    docs = read_table(spark, sf, "documents").filter(F.size(text_lines("text")) > 0)
+    docs = docs.select(
+        F.concat_ws("__", "lang", "source", F.expr(f"doc_id div {DOCS_PER_FILE}").cast("string")).alias("folder"),
+        F.concat("source", F.lit(".txt")).alias("module"),
+        F.expr(f"doc_id div {DOCS_PER_PIECE}").alias("range"),
+        "doc_id",
+        "text",
+    )
+    by = Window.partitionBy("folder", "module").orderBy("range")  # at most DOCS_PER_FILE / DOCS_PER_PIECE rows
+    ranges = docs.select("folder", "module", "range").distinct()
+    piece = F.concat((F.row_number().over(by) - 1).cast("string"), F.when(F.lead("range").over(by).isNull(), F.lit("-last")).otherwise(F.lit("")))
+    lines = docs.join(ranges.withColumn("piece", piece), ["folder", "module", "range"])
+    (
+        lines.select("folder", "module", "piece", "doc_id", F.posexplode(text_lines("text")).alias("ln", "value"))
+        .repartition("folder", "module", "piece")
+        .sortWithinPartitions("folder", "module", "piece", "doc_id", "ln")
+        .select("folder", "module", "piece", "value")
+        .write.partitionBy("folder", "module", "piece")
+        .text(root)
+    )
+    return root
+
+
 _FOLDER_RE = r"^folder=(.*)__(.*)__([0-9]+)$"
 
 
@@ -132,6 +165,22 @@ def stream_ingest(spark: SparkSession, root: str, voc: vocab.Vocabulary) -> tupl
     return tuple(ingest.read_stream_output(spark, out, name) for name in ("pairs", "unpaired"))
 
 
+def stream_pieces(spark: SparkSession, root: str, voc: vocab.Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """STR1 over the pieces of ``write_doc_pieces``; returns (pairs, odd tails)."""
+    out = scratch_path(spark, "pieces-out")
+    ck = scratch_path(spark, "pieces-ckpt")
+    pieces.run_pieces(pieces.stream_pieces(spark, root.rstrip("/") + "/*/*/*/*"), voc, out, ck)
+    return tuple(ingest.read_stream_output(spark, out, name) for name in ("pairs", "unpaired"))
+
+
+def stream_listed(spark: SparkSession, root: str, voc: vocab.Vocabulary, **options) -> DataFrame:
+    """STR1 over whole files by their listing; returns the pairs."""
+    out = scratch_path(spark, "listed-out")
+    ck = scratch_path(spark, "listed-ckpt")
+    pieces.run_listed(pieces.stream_listing(spark, root.rstrip("/") + "/*/*"), voc, out, ck, **options)
+    return ingest.read_stream_output(spark, out, "pairs")
+
+
 # ----------------------------------------------------------------------------- PIP2 / PIP3
 def prepare(
     train_df: DataFrame,

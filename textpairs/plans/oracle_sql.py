@@ -201,6 +201,7 @@ ORACLE: dict[str, str] = {
     "checked": f"WITH {PAIRS} SELECT true AS has_rows, count(*) AS n_rows FROM p",
     "file_unpaired": f"WITH {FILE_LINES} SELECT lang, source, chunk, CAST(fln AS BIGINT) AS ln, v AS text FROM fa WHERE fln % 2 = 0 AND a IS NULL",
     "stream_unpaired": f"WITH {FILE_LINES} SELECT lang, source, chunk, CAST(fln AS BIGINT) AS ln, v AS text FROM fa WHERE fln % 2 = 0 AND a IS NULL",
+    "stream_pieces_unpaired": f"WITH {FILE_LINES} SELECT lang, source, chunk, CAST(fln AS BIGINT) AS ln, v AS text FROM fa WHERE fln % 2 = 0 AND a IS NULL",
     "file_report": (
         f"WITH {FILE_LINES}, f AS (SELECT DISTINCT lang, source, chunk FROM fl) SELECT f.lang, f.source, f.chunk, CAST(1 AS BIGINT) AS files, "
         "count(fp.pair_idx) AS pairs FROM f LEFT JOIN fp ON f.lang = fp.lang AND f.source = fp.source AND f.chunk = fp.chunk "
@@ -213,7 +214,8 @@ ORACLE: dict[str, str] = {
     "split_rerun": f"WITH {PAIRS} SELECT doc_id, folder, module, pair_idx, question, answer FROM p",
     "file_source": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp",
     "file_source_lines": f"WITH {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer FROM fp",
-    "stream_ingest": (
+    **dict.fromkeys(
+        ("stream_ingest", "stream_pieces", "stream_listed"),
         f"WITH {PAIRS}, {VOCAB}, {FILE_LINES} SELECT lang, source, chunk, pair_idx, question, answer, {enc('question')} AS question_ids, "
         f"{enc('answer')} AS answer_ids FROM fp, vt"
     ),
