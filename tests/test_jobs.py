@@ -1,6 +1,11 @@
 """The cluster job steps, run in-process on the test session."""
 
+import pytest
+
+from textpairs.operators import vocab
 from textpairs.plans import jobs
+from textpairs.sources import files
+from textpairs.streaming import ingest
 
 
 def test_ingest_profile_prepare(spark, write_files, tmp_path):
@@ -31,3 +36,22 @@ def test_ingest_takes_whole_files_and_keeps_folder_names(spark, write_files, tmp
     assert {r[0]: r[1] for r in pairs.groupBy("folder").count().collect()} == {"007": 10050, "7": 1}
     rep = {(r["folder"], r["module"]): (r["files"], r["pairs"]) for r in spark.read.parquet(f"{out}/report").collect()}
     assert rep[("007", "m")] == (1, 10050) and rep[("7", None)] == (1, 1) and rep[("07", "none")] == (1, 0) and rep[(None, None)] == (3, 10051)
+
+
+def test_ingest_without_a_pair_fails(spark, write_files, tmp_path):
+    root = write_files({"f/m.txt": "only\n"})
+    with pytest.raises(ValueError, match="no rows in the ingested frame"):
+        jobs.main(["ingest", "--input", root, "--output", str(tmp_path / "out")])
+
+
+def test_stream_step_goes_on_where_it_stopped(spark, write_files, tmp_path):
+    voc, out = str(tmp_path / "voc"), str(tmp_path / "out")
+    write_files({"f/m.txt/0": "q\na\nq"})
+    files.write_vocab(vocab.build_vocab(spark.createDataFrame([("q", "a")], "question string, answer string")), voc)
+    args = ["stream", "--input", f"{tmp_path}/corpus/*/*/*", "--output", out, "--vocab", voc, "--checkpoint", str(tmp_path / "ck"), "--pieces"]
+    jobs.main(args)
+    assert ingest.read_stream_output(spark, out, "pairs").count() == 1
+    write_files({"f/m.txt/1-last": "q\na"})
+    jobs.main(args)
+    got = ingest.read_stream_output(spark, out, "pairs")
+    assert sorted((r["pair_idx"], r["question"], r["answer"]) for r in got.collect()) == [(0, "q", "a"), (1, "qq", "a")]

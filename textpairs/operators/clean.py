@@ -92,13 +92,13 @@ def _no_nulls(report: dict, cols) -> None:
         raise TypeError(f"text columns must hold strings only; nulls found: {bad}")
 
 
-def observed(df: DataFrame, cols=("question", "answer")) -> tuple[DataFrame, Observation]:
+def observed(df: DataFrame, cols=("question", "answer"), seen: Observation | None = None) -> tuple[DataFrame, Observation]:
     """FLT2 / FLT5 beside a write that is made anyway: ``df`` and what its first action will have seen of it.
 
     Spark adds the numbers up in the tasks of that action, so the checks need no job of their own.  A task that runs twice may be
     counted twice: the numbers tell none from some, and are no exact counts.
     """
-    seen = Observation()
+    seen = seen or Observation()
     nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols]
     return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *nulls), seen
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.functions import arrays as A
@@ -126,6 +126,16 @@ def q_checked(spark, sf):
     return p.select(F.lit(clean.require_nonempty(p)).alias("has_rows")).groupBy("has_rows").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def q_ingest_observed(spark, sf):
+    """FLT2 + FLT5 + SRC8: whether files gave rows and null texts, as the write of their pairs saw it; no job of its own."""
+    pairs, _unpaired, _listing = files.read_qa(spark, flows.write_doc_files(spark, sf))
+    seen = Observation()
+    files.write_split(pairs, scratch_path(spark, "observed"), "folder", watch=lambda df: clean.observed(df, seen=seen)[0])
+    clean.require_observed(seen, "ingested")
+    got = {k: v > 0 for k, v in seen.get.items()}
+    return spark.createDataFrame([(got["n_rows"], got["null_question"], got["null_answer"])], "has_rows boolean, null_question boolean, null_answer boolean")
+
+
 def q_split_folder(spark, sf):
     return _split_roundtrip(spark, sf, "folder")
 

@@ -5,6 +5,7 @@ own; the session comes from the environment (``spark-submit`` / cluster defaults
 scratch data goes to its ``spark.checkpoint.dir``.
 
 * ``ingest``  - module files under ``--input`` -> pairs table (+ unpaired lines, ingest report)
+* ``stream``  - new files, or new pieces of files, under the glob ``--input`` -> encoded pairs and odd tails, batch by batch
 * ``profile`` - pairs table -> length statistics, histograms, box statistics, value counts
 * ``prepare`` - pairs table -> vocabulary, train / val batches (padded ids), test batches
 """
@@ -14,12 +15,14 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from textpairs.operators import clean, profile
+from textpairs.operators.vocab import Vocabulary
 from textpairs.plans import flows
 from textpairs.session import drop_scratch, scratch_mark
 from textpairs.sources import files
+from textpairs.streaming import pieces
 
 
 log = logging.getLogger(__name__)
@@ -31,12 +34,23 @@ def _session() -> SparkSession:
 
 def ingest(spark: SparkSession, inp: str, out: str, folders=None, modules=None, cap: int | None = None, on_unpaired: str = "quarantine") -> None:
     pairs, unpaired, listing = files.read_qa(spark, inp, folders=folders, files=modules, samples_per_module=cap, on_unpaired=on_unpaired)
-    files.write_split(pairs, f"{out}/pairs", "folder")  # folder names stay text
+    seen = Observation()
+    files.write_split(pairs, f"{out}/pairs", "folder", watch=lambda df: clean.observed(df, seen=seen)[0])  # folder names stay text
+    clean.require_observed(seen, "ingested")  # FLT2 / FLT5, seen by the write itself
     unpaired.write.mode("overwrite").parquet(f"{out}/unpaired")
     report = files.ingest_report(files.read_split_table(spark, f"{out}/pairs"), files.listed_files(spark, listing))
     report.write.mode("overwrite").parquet(f"{out}/report")
 
 
+def stream(spark: SparkSession, inp: str, out: str, voc: str, checkpoint: str, in_pieces: bool = False, cap: int | None = None, max_files: int | None = None) -> None:
+    """One run over what is new since the last one; ``inp`` is a glob of files, or of the pieces of files."""
+    vocabulary = Vocabulary.from_df(files.read_vocab(spark, voc))
+    if in_pieces:
+        pieces.run_pieces(pieces.stream_pieces(spark, inp, max_files), vocabulary, out, checkpoint, cap=cap)
+    else:
+        pieces.run_listed(pieces.stream_listing(spark, inp, max_files), vocabulary, out, checkpoint, cap=cap)
+
+
 def profile_pairs(spark: SparkSession, inp: str, out: str, approx: bool = False) -> None:
     pairs = spark.read.parquet(inp)
     clean.require_columns(pairs, ["question", "answer", "folder", "module"])  # FLT1
@@ -71,6 +85,12 @@ def main(argv=None) -> None:
     a.add_argument("--files", nargs="*")
     a.add_argument("--samples-per-module", type=int, help="pairs to take of each file (default: all)")
     a.add_argument("--on-unpaired", default="quarantine")
+    d = sub.add_parser("stream")
+    for name in ("--input", "--output", "--vocab", "--checkpoint"):
+        d.add_argument(name, required=True)
+    d.add_argument("--pieces", action="store_true", help="the files come as numbered pieces, the last one marked -last")
+    d.add_argument("--samples-per-module", type=int)
+    d.add_argument("--max-files", type=int, help="files (pieces) of one micro-batch")
     b = sub.add_parser("profile")
     b.add_argument("--input", required=True)
     b.add_argument("--output", required=True)
@@ -88,6 +108,8 @@ def main(argv=None) -> None:
     mark = scratch_mark()
     if args.step == "ingest":
         ingest(spark, args.input, args.output, args.folders, args.files, args.samples_per_module, args.on_unpaired)
+    elif args.step == "stream":
+        stream(spark, args.input, args.output, args.vocab, args.checkpoint, args.pieces, args.samples_per_module, args.max_files)
     elif args.step == "profile":
         profile_pairs(spark, args.input, args.output, args.approx)
     else:

@@ -202,6 +202,10 @@ ORACLE: dict[str, str] = {
     "file_unpaired": f"WITH {FILE_LINES} SELECT lang, source, chunk, CAST(fln AS BIGINT) AS ln, v AS text FROM fa WHERE fln % 2 = 0 AND a IS NULL",
     "stream_unpaired": f"WITH {FILE_LINES} SELECT lang, source, chunk, CAST(fln AS BIGINT) AS ln, v AS text FROM fa WHERE fln % 2 = 0 AND a IS NULL",
     "stream_pieces_unpaired": f"WITH {FILE_LINES} SELECT lang, source, chunk, CAST(fln AS BIGINT) AS ln, v AS text FROM fa WHERE fln % 2 = 0 AND a IS NULL",
+    "ingest_observed": (
+        f"WITH {FILE_LINES} SELECT count(*) > 0 AS has_rows, count(*) FILTER (WHERE question IS NULL) > 0 AS null_question, "
+        "count(*) FILTER (WHERE answer IS NULL) > 0 AS null_answer FROM fp"
+    ),
     "file_report": (
         f"WITH {FILE_LINES}, f AS (SELECT DISTINCT lang, source, chunk FROM fl) SELECT f.lang, f.source, f.chunk, CAST(1 AS BIGINT) AS files, "
         "count(fp.pair_idx) AS pairs FROM f LEFT JOIN fp ON f.lang = fp.lang AND f.source = fp.source AND f.chunk = fp.chunk "

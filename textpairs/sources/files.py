@@ -478,11 +478,12 @@ def _key_part(key: str):
     return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("k_"), c))
 
 
-def write_split(df: DataFrame, path: str, key: str, mode: str = "overwrite", only_keys: bool = False) -> None:
+def write_split(df: DataFrame, path: str, key: str, mode: str = "overwrite", only_keys: bool = False, watch=None) -> None:
     """SNK5: persist the per-key frames of FLT3 / FLT4 as one table with a directory per key.
 
     ``only_keys`` replaces the directories of the keys that ``df`` has and leaves the others, so a step that is run again for
-    some keys neither loses nor doubles any; otherwise an overwrite replaces the table.
+    some keys neither loses nor doubles any; otherwise an overwrite replaces the table.  ``watch`` takes the rows as they
+    are written, behind the exchange, and gives them back (to observe them: an empty exchange drops what stands before it).
 
     The key stays a data column; rows are gathered by key and ``SPLIT_SALTS`` salts first, so a
     key has few files and a key that holds most rows is written by many tasks.
@@ -490,7 +491,8 @@ def write_split(df: DataFrame, path: str, key: str, mode: str = "overwrite", onl
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(SPLIT_SALTS))
     out = df.withColumn(_PART, _key_part(key))
     kind = "dynamic" if only_keys else "static"
-    out.repartition(F.col(_PART), salt).write.mode(mode).option("partitionOverwriteMode", kind).partitionBy(_PART).parquet(path)
+    out = out.repartition(F.col(_PART), salt)
+    (watch(out) if watch else out).write.mode(mode).option("partitionOverwriteMode", kind).partitionBy(_PART).parquet(path)
 
 
 def read_split_table(spark: SparkSession, path: str) -> DataFrame:
