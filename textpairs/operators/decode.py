@@ -11,8 +11,9 @@ takes ``max_len - 1`` steps, and each step appends the arg-max of the logits (th
 
 The next id is the one that followed most often in the first context that training has, the smallest of equally
 frequent ones; a context that training has in none of the three forms gives <eos>, so <eos> follows <eos> to the end.
-Memories reach the rows by a join on the question, so the model of millions of questions is never in one place; only
-the contexts of one and two ids are broadcast (at most the code space, and ``PAIR_CONTEXTS``).
+Rows with one question differ only in how far they are decoded: each question is decoded once, as far as its longest row,
+and its rows take their part.  So a memory reaches one place, by a join on a number of the question, and the model of millions of
+questions is never in one place; only the contexts of one and two ids are broadcast (at most the code space, and ``PAIR_CONTEXTS``).
 
 Defined cases: a null question has no memory (and joins nothing); a null answer counts nowhere; rows that repeat count
 each; a ``max_len`` of one gives <bos> alone, of zero or null nothing; an empty table gives no rows.
@@ -23,17 +24,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpairs.fixed import BOS, EOS
+from textpairs.operators.evaluate import bounded_slices
 from textpairs.operators.vocab import Vocabulary
+from textpairs.session import materialize
 
 #: contexts of two ids that the model keeps, the most frequent first: bounds what is broadcast
 PAIR_CONTEXTS = 1 << 20
-#: rows decoded side by side
+#: questions decoded side by side, and the ids and memory entries that they may have together
 ROWS = 1 << 12
+CELLS = 1 << 22
 
 
 def step_predictor(make_step: Callable[[], Callable[[list, np.ndarray], np.ndarray]]):
@@ -61,10 +66,15 @@ def step_predictor(make_step: Callable[[], Callable[[list, np.ndarray], np.ndarr
 
 
 # ----------------------------------------------------------------------------- the counted model
+#: an id is below this power of two (the code space and the specials)
+ID_BITS = 21
+
+
 def _most_frequent(transitions: DataFrame, context: list[str]) -> DataFrame:
-    """The next id of each context: the most frequent, the smallest of equals; ``n``: how often the context was seen."""
+    """The next id of each context: the most frequent, the smallest of equals (count and id as one number, so that its largest is hashed)."""
     each = transitions.groupBy(*context, "next").agg(F.count(F.lit(1)).alias("c"))
-    return each.groupBy(*context).agg(F.max_by("next", F.struct("c", -F.col("next"))).alias("next"), F.sum("c").alias("n"))
+    top = F.max(F.shiftleft(F.col("c"), ID_BITS) + F.lit((1 << ID_BITS) - 1) - F.col("next"))
+    return each.groupBy(*context).agg((F.lit((1 << ID_BITS) - 1) - top.bitwiseAND(F.lit((1 << ID_BITS) - 1))).cast("int").alias("next"))
 
 
 def transitions(train: DataFrame, voc: Vocabulary, keep=()) -> DataFrame:
@@ -103,14 +113,16 @@ def count_contexts(train: DataFrame, voc: Vocabulary) -> dict:
 
 
 def question_memories(train: DataFrame, questions: DataFrame, voc: Vocabulary) -> DataFrame:
-    """(question, memory) of the ``questions`` that training rows have; memory: [(step, prev, next)] in order.
+    """(no, memory) of the ``questions(question, no)`` that training rows have; memory: [(at, next)] in order of ``at``, which is the step
+    above ``ID_BITS`` bits of the last id.
 
     A memory has at most (longest answer x characters) entries, however many rows have the question: they are counted
-    before they are gathered.  Answers to other questions are not taken apart.
+    before they are gathered, under the question's number instead of its text.  Answers to other questions are not taken apart.
     """
-    asked = train.join(questions.select("question").distinct(), "question", "left_semi")
-    best = _most_frequent(transitions(asked, voc, ["question"]).drop("before"), ["question", "step", "prev"])
-    return best.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("step", "prev", "next"))).alias("memory"))
+    asked = train.join(questions.select("question", "no"), "question").select("no", "answer")
+    at = F.shiftleft(F.col("step").cast("long"), ID_BITS).bitwiseOR(F.col("prev").cast("long"))
+    best = _most_frequent(transitions(asked, voc, ["no"]).select("no", at.alias("at"), "next"), ["no", "at"])
+    return best.groupBy("no").agg(F.sort_array(F.collect_list(F.struct("at", "next"))).alias("memory"))
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,13 +133,14 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.
     return keys[at] == wanted, values[at]
 
 
-def decode_rows(contexts: dict, memories: list, max_lens: np.ndarray) -> list[np.ndarray]:
-    """Predictions of rows side by side: one look-up a step and context for all rows that go on."""
+def decode_rows(contexts: dict, sizes: np.ndarray, at: np.ndarray, follows: np.ndarray, max_lens: np.ndarray) -> list[np.ndarray]:
+    """Predictions of rows side by side: one look-up a step and context for all rows that go on.
+
+    ``sizes``: entries of each row's memory; ``at``, ``follows``: the memories' entries, one row after another.
+    """
     lens = np.asarray(max_lens, np.int64)
-    sizes = [0 if m is None else len(m) for m in memories]
-    flat = np.array([[e["step"], e["prev"], e["next"]] for m in memories if m is not None for e in m], np.int64).reshape(-1, 3)
     # memories are in order of (step, prev), so the joint keys rise
-    keys = np.repeat(np.arange(len(memories)), sizes) << 51 | flat[:, 0] << 21 | flat[:, 1]
+    keys = np.repeat(np.arange(len(sizes)), sizes) << 51 | at
     begin = np.cumsum(np.maximum(lens, 0)) - np.maximum(lens, 0)
     out = np.full(int(np.maximum(lens, 0).sum()), EOS, np.int32)
     out[begin[lens > 0]] = BOS
@@ -135,7 +148,7 @@ def decode_rows(contexts: dict, memories: list, max_lens: np.ndarray) -> list[np
     live = np.flatnonzero(lens > 1)
     step = 1
     while len(live):
-        known, nxt = _find(keys, flat[:, 2].astype(np.int32), live << 51 | step << 21 | prev[live])
+        known, nxt = _find(keys, follows, live << 51 | step << ID_BITS | prev[live])
         two, by_two = _find(contexts["two"], contexts["two_next"], (before[live] + 1) << 21 | prev[live])
         one, by_one = _find(contexts["one"], contexts["one_next"], prev[live])
         got = np.where(known, nxt, np.where(two, by_two, np.where(one, by_one, EOS)))
@@ -156,18 +169,26 @@ class CountedModel:
     def decode(self, rows: DataFrame, keys: list[str], max_len_col: str = "max_len", out_col: str = "pred_ids") -> DataFrame:
         """``keys`` and ``max_len`` ids for each of ``rows(keys, question, max_len)``."""
         held = rows.sparkSession.sparkContext.broadcast(self.contexts)
-        with_memory = rows.select(*keys, "question", F.coalesce(F.col(max_len_col).cast("long"), F.lit(0)).alias("__len")).join(
-            question_memories(self.train, rows, self.voc), "question", "left"
-        )
-        fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-        schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + f", `{out_col}` array<int>"
+        rows = rows.select(*keys, "question", F.greatest(F.coalesce(F.col(max_len_col).cast("long"), F.lit(0)), F.lit(0)).cast("int").alias("__len"))
+        # written once, so that a question keeps its number
+        asked = rows.groupBy("question").agg(F.max("__len").alias("len")).withColumn("no", F.monotonically_increasing_id())
+        asked = materialize(asked, "asked")
+        with_memory = asked.select("no", "len").join(question_memories(self.train, asked, self.voc), "no", "left")
 
         def run(batches):
-            for pdf in batches:
-                for lo in range(0, len(pdf), ROWS):
-                    part = pdf.iloc[lo : lo + ROWS]
-                    out = part[list(keys)].copy()
-                    out[out_col] = pd.Series(decode_rows(held.value, list(part["memory"]), part["__len"].to_numpy()), index=out.index, dtype=object)
-                    yield out
-
-        return with_memory.select(*keys, "__len", "memory").mapInPandas(run, schema)
+            for batch in batches:
+                lens = batch.column("len").to_numpy().astype(np.int64)
+                sizes = pc.fill_null(pc.list_value_length(batch.column("memory")), 0).to_numpy().astype(np.int64)
+                for lo, hi in bounded_slices(lens + sizes, CELLS, ROWS):
+                    memory = batch.column("memory").slice(lo, hi - lo).flatten()
+                    found = decode_rows(held.value, sizes[lo:hi], memory.field("at").to_numpy(), memory.field("next").to_numpy(), lens[lo:hi])
+                    # <eos> once: the rows add theirs
+                    ends = [np.flatnonzero(p == EOS) for p in found]
+                    found = [p[: e[0] + 1] if len(e) else p for p, e in zip(found, ends)]
+                    yield pa.RecordBatch.from_arrays([batch.column("no").slice(lo, hi - lo), pa.array(found, pa.list_(pa.int32()))], names=["no", "ids"])
+
+        found = with_memory.select("no", "len", "memory").mapInArrow(run, "no long, ids array<int>")
+        answers = asked.select(F.col("question").alias("__q"), "no").join(found, "no").select("__q", F.col("ids").alias("__ids"))
+        both = rows.join(answers, F.col("question").eqNullSafe(F.col("__q")))
+        more = F.array_repeat(F.lit(EOS), F.greatest(F.col("__len") - F.size("__ids"), F.lit(0)))
+        return both.select(*keys, F.slice(F.concat("__ids", more), F.lit(1), F.col("__len")).alias(out_col))

@@ -1,21 +1,38 @@
 """Scoring of predictions (FUN10, AGG11, AGG12, SRT6-SRT8, JOI3, UDF1).
 
-``batch_predict`` is the one place where a caller's model runs: ``mapInPandas`` over
-Arrow batches, the predictor set up once per task.  Everything around it (joins on
+``batch_predict`` is the one place where a caller's model runs: ``mapInArrow``, few enough ids
+at a time, the predictor set up once per task.  Everything around it (joins on
 the row key, matching, averaging) is built-in Spark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpairs.functions.arrays import PAD, cross_entropy_at, exact_match
 
 
+#: ids that a model reads and writes at once, unless one row alone has more
+CELLS = 1 << 21
+
+
+def bounded_slices(sizes: np.ndarray, limit: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows (from, to) whose sizes sum to at most ``limit``, at most ``rows`` of them; a larger row stands alone."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < len(sizes):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right"))
+        hi = max(lo + 1, hi if rows is None else min(hi, lo + rows))
+        yield lo, hi
+        lo = hi
+
+
 def match_predictions(batches: DataFrame, predictions: DataFrame, keys: list[str], target: str = "answers", pred: str = "pred_ids") -> DataFrame:
     """JOI3 + FUN10: join predictions to their rows on the key, add ``match``."""
     return batches.join(predictions.select(*keys, pred), keys, "inner").withColumn("match", exact_match(target, pred))
@@ -78,8 +95,8 @@ def batch_predict(
 ) -> DataFrame:
     """UDF1: one prediction per row, ``predict(list_of_id_arrays, max_lens) -> list_of_id_lists``.
 
-    ``make_predictor`` is called once per task (load weights there), then fed Arrow
-    batches; ragged id arrays are passed as numpy arrays.
+    ``make_predictor`` is called once per task (load weights there), then fed rows that have few enough ids
+    together; ragged id arrays are passed as numpy arrays.
     """
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + f", `{out_col}` array<int>"
@@ -87,14 +104,18 @@ def batch_predict(
 
     def run(batches):
         predict = make_predictor()
-        for pdf in batches:
-            max_lens = pdf[max_len_col].to_numpy() if max_len_col else np.zeros(len(pdf), dtype=np.int64)
-            preds = predict(list(pdf[ids_col]), max_lens)
-            out = pdf[list(keys)].copy()
-            out[out_col] = [np.asarray(p, dtype=np.int32) for p in preds]
-            yield out
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if max_len_col:
+                sizes = sizes + np.maximum(pc.fill_null(batch.column(max_len_col), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+            for lo, hi in bounded_slices(sizes, CELLS):
+                part = batch.slice(lo, hi - lo)
+                max_lens = part.column(max_len_col).to_pandas().to_numpy() if max_len_col else np.zeros(hi - lo, dtype=np.int64)
+                preds = predict(list(part.column(ids_col).to_pandas()), max_lens)
+                found = pa.array([np.asarray(p, dtype=np.int32) for p in preds], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], found], names=[*keys, out_col])
 
-    return df.select(*cols).mapInPandas(run, schema)
+    return df.select(*cols).mapInArrow(run, schema)
 
 
 def echo_predictor():
@@ -126,6 +147,7 @@ __all__ = [
     "argmax_long",
     "batch_examples",
     "batch_predict",
+    "bounded_slices",
     "echo_predictor",
     "first_batches",
     "masked_cross_entropy",
