@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from textpairs.functions.text import decode_uri_path, drop_last4, parent_name
 from textpairs.operators.clean import distinct_keys
 from textpairs.operators.pairing import _check_cap, pairs_from_lines, pairs_in_rows, pairs_in_splits, split_lines, unpaired_in_rows
-from textpairs.session import materialize
+from textpairs.session import few_listing_tasks, materialize
 
 log = logging.getLogger(__name__)
 
@@ -127,7 +127,8 @@ def file_table(spark: SparkSession, root: str) -> DataFrame:
     Only paths and sizes are read (no content); Spark lists many folders in parallel tasks.  Names that start with ``_`` or
     ``.`` are not among them, as Spark's readers pass over these too, and neither are empty files, which hold no pair.
     """
-    found = spark.read.format("binaryFile").load(root.rstrip("/") + "/*/*").select("path", "length")
+    with few_listing_tasks(spark):
+        found = spark.read.format("binaryFile").load(root.rstrip("/") + "/*/*").select("path", "length")
     uri = F.col("path")
     return found.select("path", parent_name(uri).alias("folder"), F.element_at(F.split(uri, "/"), -1).alias("name"), "length")
 
@@ -153,7 +154,7 @@ def select_files(table: DataFrame, folders=None, names=None) -> DataFrame:
 
 def read_selected(spark: SparkSession, selected: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """PIP1 over chosen rows of ``file_table``: ``(pairs, unpaired)``, with the options of ``read_qa``; no file: an error."""
-    sizes = {r["path"]: r["length"] for r in selected.select("path", "length").toLocalIterator()}  # Spark's own file index holds these paths too
+    sizes = {r["path"]: r["length"] for r in selected.select("path", "length").coalesce(spark.sparkContext.defaultParallelism).toLocalIterator()}  # Spark's own file index holds these paths too
     if not sizes:
         raise ValueError("no chosen file to read")
     return _read_files(spark, sorted(sizes), sizes, **options)
@@ -167,7 +168,9 @@ OFFSETS_BROADCAST_BYTES = 128 << 20
 def _raw_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """SRC7 / SET1: all chosen files are one ``read.text`` over their paths - a union all of the per-file line sets; row
     order is defined by ``(folder, module, pair_idx)`` keys."""
-    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    with few_listing_tasks(spark):
+        raw = spark.read.text(paths)
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def pairs_of_lines(spark: SparkSession, paths: list[str], cap: int | None = None, on_unpaired: str = "quarantine") -> tuple[DataFrame, DataFrame]:
@@ -225,7 +228,8 @@ FILE_KEYS = ["file", "folder", "module"]
 
 def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, folder, module, text): one row per file (``wholetext``, passed as an argument)."""
-    raw = spark.read.text(paths, wholetext=True)
+    with few_listing_tasks(spark):
+        raw = spark.read.text(paths, wholetext=True)
     path = decode_uri_path(F.col("_metadata.file_path"))
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
@@ -497,11 +501,13 @@ def write_split(df: DataFrame, path: str, key: str, mode: str = "overwrite", onl
 
 def read_split_table(spark: SparkSession, path: str) -> DataFrame:
     """All keys of a split in one scan."""
-    return spark.read.parquet(path).drop(_PART)
+    with few_listing_tasks(spark):
+        return spark.read.parquet(path).drop(_PART)
 
 
 def read_split(spark: SparkSession, path: str, key: str) -> dict:
     """SNK5 read side: ``{value: pruned scan of that partition}``; keys ascending, null first."""
-    df = spark.read.parquet(path)
+    with few_listing_tasks(spark):
+        df = spark.read.parquet(path)
     parts = {k: "null" if k is None else f"k_{k}" for k in distinct_keys(df, key)}
     return {k: df.filter((F.col(_PART) == part) & F.col(key).eqNullSafe(F.lit(k))).drop(_PART) for k, part in parts.items()}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from textpairs.functions.text import decode_uri_path, drop_last4, parent_name
 from textpairs.operators.pairing import pairs_in_rows, unpaired_in_rows
 from textpairs.operators.vocab import Vocabulary
+from textpairs.session import few_listing_tasks
 from textpairs.sources.files import FILE_KEYS, without_mark
 
 
@@ -25,7 +26,8 @@ def stream_files(spark: SparkSession, root_glob: str, max_files_per_trigger: int
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    raw = reader.text(root_glob, wholetext=True)
+    with few_listing_tasks(spark):
+        raw = reader.text(root_glob, wholetext=True)
     path = decode_uri_path(F.col("_metadata.file_path"))
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
@@ -47,8 +49,9 @@ def encode_stream(pairs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 def await_available(stream: DataFrame, write, checkpoint: str, mode: str = "append") -> None:
     """Runs ``write(batch, batch_id)`` over all that is there now; an error of the query is raised here."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with few_listing_tasks(stream.sparkSession):
+        q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 

@@ -30,6 +30,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from textpairs.functions.text import decode_uri_path, strip
 from textpairs.operators.vocab import Vocabulary
+from textpairs.session import few_listing_tasks
 from textpairs.sources.files import FILE_KEYS, named, read_selected, without_mark
 from textpairs.streaming.ingest import await_available, encode_stream
 
@@ -66,7 +67,9 @@ def stream_pieces(spark: SparkSession, root_glob: str, max_files_per_trigger: in
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return _piece_rows(reader.text(root_glob, wholetext=True))
+    with few_listing_tasks(spark):
+        raw = reader.text(root_glob, wholetext=True)
+    return _piece_rows(raw)
 
 
 def summaries(pieces: DataFrame) -> DataFrame:
@@ -166,7 +169,9 @@ def _pairs_inside(spark: SparkSession, found: DataFrame) -> DataFrame:
     paths = [r.path for r in found.select(decode_uri_path(F.col("path")).alias("path")).distinct().toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], "file string, pair_idx long, question string, answer string")
-    text = _piece_rows(spark.read.text(paths, wholetext=True)).select("path", _parts("text").alias("parts"))
+    with few_listing_tasks(spark):
+        raw = spark.read.text(paths, wholetext=True)
+    text = _piece_rows(raw).select("path", _parts("text").alias("parts"))
     lines = text.join(found.select("file", "path", "start", "pairs", "pair_idx"), "path")
     lines = lines.select("file", "pair_idx", F.slice("parts", F.col("start") + 1, F.col("pairs") * 2).alias("lines"))
     zipped = F.zip_with("lines", F.slice("lines", 2, F.size("lines")), lambda q, a: F.struct(q.alias("q"), a.alias("a")))
@@ -208,7 +213,9 @@ def stream_listing(spark: SparkSession, root_glob: str, max_files_per_trigger: i
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(root_glob).select("path", "length")
+    with few_listing_tasks(spark):
+        raw = reader.load(root_glob)
+    return raw.select("path", "length")
 
 
 def run_listed(listing: DataFrame, vocab: Vocabulary, out_path: str, checkpoint: str, cap: int | None = None, **options) -> None:
