@@ -472,7 +472,6 @@ def read_dataset(spark: SparkSession, root: str, kind: str, module: str | None,
     return spark.read.option("basePath", leaf).parquet(leaf)
 
 
-SPLIT_SALTS = 16
 _PART = "key_part"
 
 
@@ -489,13 +488,12 @@ def write_split(df: DataFrame, path: str, key: str, mode: str = "overwrite", onl
     some keys neither loses nor doubles any; otherwise an overwrite replaces the table.  ``watch`` takes the rows as they
     are written, behind the exchange, and gives them back (to observe them: an empty exchange drops what stands before it).
 
-    The key stays a data column; rows are gathered by key and ``SPLIT_SALTS`` salts first, so a
-    key has few files and a key that holds most rows is written by many tasks.
+    The key stays a data column; rows are gathered by key and rebalanced by size first, so a small key has one file, however
+    many keys there are, and a key that holds most rows is written by many tasks.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SPLIT_SALTS))
     out = df.withColumn(_PART, _key_part(key))
     kind = "dynamic" if only_keys else "static"
-    out = out.repartition(F.col(_PART), salt)
+    out = out.hint("rebalance", _PART)
     (watch(out) if watch else out).write.mode(mode).option("partitionOverwriteMode", kind).partitionBy(_PART).parquet(path)
 
 
