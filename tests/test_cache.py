@@ -1,5 +1,8 @@
 """Cached encoded rows (SRC10, SNK2, PIP2): no row depends on what the cache holds."""
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textpairs.operators import vocab
@@ -74,3 +77,41 @@ def test_fingerprints_and_digest(spark):
     assert d == files.table_digest(df.orderBy(F.desc("answer")).repartition(5), ["question", "answer"]) and d[0] == 8
     assert d != files.table_digest(df.union(df.limit(1)), ["question", "answer"])
     assert files.table_digest(df.filter("false"), ["question", "answer"]) == (0, 0)
+
+
+def test_each_side_of_the_reuse_is_exchanged_once(spark):
+    """Ids cross one exchange on their way to the rows and are not gathered into sets."""
+    voc = vocab.Vocabulary(("<unk>", "<eos>", "<bos>", "<pad>", "a", "b"))
+    now = spark.createDataFrame([(1, "a", "b")], SCHEMA)
+    cached = vocab.encode_columns(now, voc).withColumn(files.ROW_FP, files.row_fingerprint(("question", "answer"))).select("k", "question_ids", "answer_ids", files.ROW_FP)
+    both = files.reuse_encoded(now, cached, ["k"], voc).drop("cached_state")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_texts_are_ranked_and_a_part_joins_its_part_of_the_cache(spark, tmp_path):
+    df = spark.createDataFrame(_rows(60) + [(None, "n", "n"), (None, "n", "n"), (7, "other", None)], SCHEMA)
+    path = str(tmp_path / "run")
+    out = flows.prepare(df, None, keys=["k"], strict=False, save_path=path)
+    plan = out["val"]._jdf.queryExecution().executedPlan().toString()
+    ranked = plan[plan.index("Window [row_number()") :]
+    assert "question_ids" not in ranked[: ranked.index("SortAggregate")]  # only texts are exchanged for the ranks
+    assert ranked[ranked.index("SortAggregate") :].count("struct(__h")  # the cache is filtered by the split
+    voc = out["vocabulary"]
+    want = {(r.k, r.question): (r.question_ids, r.answer_ids) for r in vocab.encode_columns(df, voc).collect()}
+    got = out["train"].unionByName(out["val"]).collect()
+    assert len(got) == 63 and all((r.question_ids, r.answer_ids) == want[r.k, r.question] for r in got)
+    assert {r.state: r.rows for r in out["cache"].collect()} == {"reused": 63}
+
+
+def test_characters_are_counted_by_slices(spark, monkeypatch):
+    texts = ["", None, "aé\U0001f600a", "b" * 9, "\x00́", "é"]
+    df = spark.createDataFrame([(t, "b" if t is None else None) for t in texts], "question string, answer string")
+    want = Counter("".join(t or "" for t in texts) + "b")
+    assert {r.token: r.freq for r in vocab.char_freq(df.coalesce(1)).collect()} == want
+    assert "Generate" not in vocab.char_freq(df)._jdf.queryExecution().executedPlan().toString()  # no row a character
+    monkeypatch.setattr(vocab, "COUNT_BYTES", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", *texts]).slice(1)], names=["question"])
+    (got,) = vocab._count_chars([batch, batch.slice(0, 0)])
+    want["b"] -= 1
+    assert dict(zip(got["token"].to_pylist(), got["freq"].to_pylist())) == want

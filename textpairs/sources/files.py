@@ -405,16 +405,15 @@ def reuse_encoded(df: DataFrame, cached: DataFrame, keys: list[str], voc, cols=(
     their keys those with the row's texts count, and equal ones once.
     """
     ids = [f"{c}_ids" for c in cols]
-    mine = df.withColumn("__fp", row_fingerprint(cols))
-    # one cached row for each key: gathered with its fingerprints, so that a repeated key cannot repeat a row
-    kept = cached.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.collect_set(F.struct(ROW_FP, *ids)).alias("__kept"))
-    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    both = mine.join(kept, on, "left")
-    hit = F.get(F.filter("__kept", lambda x: x[ROW_FP] == F.col("__fp")), F.lit(0))
-    state = F.when(F.col("__hit").isNotNull(), "reused").when(F.col("__kept").isNotNull(), "changed").otherwise("new")
-    both = both.withColumn("__hit", hit)
+    # structs of keys are equal where nulls stand in the same places; hashed alike on both sides, so each side is exchanged once
+    mine = df.withColumns({"__key": F.struct(*keys), "__fp": row_fingerprint(cols)})
+    all_kept = cached.select(F.struct(*keys).alias("__key"), F.col(ROW_FP).alias("__fp"), F.struct(*ids).alias("__hit"))
+    kept = all_kept.repartition("__key", "__fp").dropDuplicates(["__key", "__fp"])
+    known = cached.select(F.struct(*keys).alias("__key")).distinct().withColumn("__known", F.lit(True))
+    both = mine.join(kept, ["__key", "__fp"], "left").join(known, "__key", "left")
+    state = F.when(F.col("__hit").isNotNull(), "reused").when(F.col("__known"), "changed").otherwise("new")
     out = {f"{c}_ids": F.when(F.col("__hit").isNotNull(), F.col("__hit")[f"{c}_ids"]).otherwise(voc.encode(c)) for c in cols}
-    return both.withColumns({**out, "cached_state": state}).drop("__fp", "__kept", "__hit", *[f"__k_{k}" for k in keys])
+    return both.withColumns({**out, "cached_state": state}).drop("__key", "__fp", "__hit", "__known")
 
 
 def cache_report(reused: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
