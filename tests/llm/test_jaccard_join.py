@@ -1,9 +1,11 @@
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tests.llm.fixtures import collect, edge_docs, edge_rows, empty_docs, lower, words_of, write_tables
+from textpairs import session
 from textpairs.llm import jaccard_join as jj
 from textpairs.llm.components import connected
 
@@ -137,3 +139,16 @@ def test_query(spark, tmp_path):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert collect(jj.op3_jaccard_join(spark, sf)) == brute(docs)
     assert collect(jj.op3_jaccard_join(spark, write_tables(spark, tmp_path, empty_docs(spark)))) == []
+
+
+def test_tables_behind_the_links_are_deleted(spark, monkeypatch):
+    """Of what the search writes only the named documents and their components stay on disk."""
+    written = []
+    real = session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: written.append(real(s, name)) or written[-1])
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 3, 30))) for i in range(12)], "doc_id long, text string")
+    got = jj.jaccard_components(docs).select("id", "component_id")
+    there = lambda p: os.path.exists(p.removeprefix("file:"))
+    left = sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in written if there(p))
+    assert len(written) > 6 and left == ["op3-least", "op3-named"]
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(12)]

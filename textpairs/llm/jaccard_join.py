@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from textpairs.llm import exchange, words
 from textpairs.llm.components import connected
-from textpairs.session import materialize
+from textpairs.session import materialize, materialize_alone
 
 SHINGLE = 5
 HOT = 1 << 16
@@ -445,12 +445,14 @@ def members_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hot = often.filter(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "h").limit(HOT).collect()  # at most HOT rows
     order = sc.broadcast(vars(Order(np.array([r.h for r in reversed(hot)], np.int64).view(np.uint64))))
 
-    chunks = materialize(d.select("text").mapInArrow(_prefixes(order), "chunk long, sids binary, ns binary, ps binary, prefix binary"), "op3-chunks")
-    got = exchange.answers(chunks.mapInArrow(_asks(buckets), exchange.ASK), _shared)
-    live = chunks.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(_live, "sid long, n long, tokens array<long>, home long")
-    # a set that several chunks have: one of their rows, chosen alike each time
-    live = live.groupBy("sid").agg(F.min(F.struct("home", "n", "tokens")).alias("x")).select("sid", "x.*")
-    live = materialize(live, "op3-live")
+    def live_sets() -> DataFrame:
+        chunks = materialize(d.select("text").mapInArrow(_prefixes(order), "chunk long, sids binary, ns binary, ps binary, prefix binary"), "op3-chunks")
+        got = exchange.answers(chunks.mapInArrow(_asks(buckets), exchange.ASK), _shared)
+        live = chunks.groupBy("chunk").cogroup(got.groupBy("chunk")).applyInArrow(_live, "sid long, n long, tokens array<long>, home long")
+        # a set that several chunks have: one of their rows, chosen alike each time
+        return live.groupBy("sid").agg(F.min(F.struct("home", "n", "tokens")).alias("x")).select("sid", "x.*")
+
+    live = materialize_alone(docs.sparkSession, live_sets, "op3-live")  # from here on no prefix is read
 
     shared = live.select("sid", "n", "home", F.explode("tokens").alias("token"))
     homes = shared.groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("home", "at")
@@ -486,11 +488,17 @@ def members_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, tkey, n_shingles, root, component_id``: the smallest id that links reach (its own for an empty set)."""
-    members, links = members_and_links(docs, id_col, text_col)
-    roots = connected(links)
-    named = members.join(roots, members["sid"] == roots["node"], "left").select("id", "tkey", "n", F.coalesce("root", "sid").alias("root"))
-    named = materialize(named, "op3-named")
+    """``id, tkey, n_shingles, root, component_id``: the smallest id that links reach (its own for an empty set).
+
+    What the links were made from is deleted once every document has its root.
+    """
+
+    def names() -> DataFrame:
+        members, links = members_and_links(docs, id_col, text_col)
+        roots = connected(links)
+        return members.join(roots, members["sid"] == roots["node"], "left").select("id", "tkey", "n", F.coalesce("root", "sid").alias("root"))
+
+    named = materialize_alone(docs.sparkSession, names, "op3-named")
     least = materialize(named.filter("n > 0").groupBy("root").agg(F.min("id").alias("least")), "op3-least")
     out = named.join(least, "root", "left")
     return out.select("id", "tkey", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
