@@ -337,6 +337,36 @@ def test_lm_against_a_plain_version(monkeypatch):
     assert np.allclose(m.log_prob(w, u, x), [plain_log_prob(m, *t) for t in zip(w, u, x)], atol=1e-4)
 
 
+def test_lm_puts_whole_rows():
+    rng = np.random.default_rng(2)
+    for width in (16, 17):
+        p, new, at = rng.normal(size=(50, width)).astype(np.float32), rng.normal(size=(9, width)).astype(np.float32), rng.permutation(50)[:9]
+        want = p.copy()
+        want[at] = new
+        lm_scoring._put_rows(p, at, new)
+        assert np.array_equal(p, want)
+
+
+class WholeRows(np.ndarray):
+    """A table whose rows are not to be read by index arrays, which copy them a cell at a time."""
+
+    def __getitem__(self, key):
+        assert not (self.ndim == 2 and isinstance(key, np.ndarray)), "rows read by an index array"
+        return super().__getitem__(key)
+
+
+def test_lm_reads_whole_rows():
+    rng = np.random.default_rng(5)
+    v = lm_scoring.Vocabulary(np.arange(5, 305, dtype=np.uint64), rng.integers(1, 60, 300), 30, 7)
+    m, plain = lm_scoring.LogBilinear(v), lm_scoring.LogBilinear(v)
+    m.q, m.rb = m.q.view(WholeRows), m.rb.view(WholeRows)
+    w, u, x = (rng.integers(0, v.size, 9000).astype(np.int32) for _ in range(3))
+    assert np.array_equal(m.train(w, u, x, 5), plain.train(w, u, x, 5))
+    assert np.array_equal(m.q, plain.q) and np.array_equal(m.rb, plain.rb)
+    m.rb = np.asarray(m.rb)
+    assert np.array_equal(m.log_prob(w, u, x), plain.log_prob(w, u, x))
+
+
 def test_lm_beats_the_unigram_base_on_held_out_texts(spark):
     r = lm_scoring.op9_lm_score(spark, SF).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first().asDict()
     assert r["sum(score)"] > r["sum(base_score)"]

@@ -181,7 +181,8 @@ class LogBilinear:
     def context(self, qu: np.ndarray, qv: np.ndarray) -> np.ndarray:
         """Contexts of the vectors Q[u], Q[v], with a last column of ones, which meets the biases."""
         c = np.ones((len(qu), WIDTH + 1), np.float32)
-        c[:, :WIDTH] = qu * self.a + qv * self.b
+        np.multiply(qu, self.a, out=c[:, :WIDTH])
+        c[:, :WIDTH] += qv * self.b
         return c
 
     def log_prob(self, w: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -189,12 +190,13 @@ class LogBilinear:
 
         The groups' normaliser is made once for each distinct context, a group's once for each distinct (group, context).
         """
-        size = len(self.q)
-        pairs, context = np.unique(u.astype(np.int64) * size + v, return_inverse=True)
+        shift = (len(self.q) - 1).bit_length()
+        pairs, context = np.unique(u.astype(np.int64) << shift | v, return_inverse=True)
+        contexts = lambda part: self.context(self.q.take(part >> shift, axis=0), self.q.take(part & ((1 << shift) - 1), axis=0))
         over_groups = np.empty(len(pairs), np.float32)
         for lo in range(0, len(pairs), BLOCK):
             part = pairs[lo : lo + BLOCK]
-            over_groups[lo : lo + BLOCK] = _log_sum(self.context(self.q[part // size], self.q[part % size]) @ self.sd.T)
+            over_groups[lo : lo + BLOCK] = _log_sum(contexts(part) @ self.sd.T)
         asked, at = np.unique(self.group[w].astype(np.int64) * len(pairs) + context, return_inverse=True)
         over_slots = np.empty(len(asked), np.float32)
         cuts = np.searchsorted(asked, np.arange(len(self.noise) + 1) * len(pairs))
@@ -203,11 +205,13 @@ class LogBilinear:
             for lo in range(cuts[g], cuts[g + 1], BLOCK):
                 hi = min(lo + BLOCK, cuts[g + 1])
                 part = pairs[asked[lo:hi] - g * len(pairs)]
-                over_slots[lo:hi] = _log_sum(self.context(self.q[part // size], self.q[part % size]) @ rb)
+                over_slots[lo:hi] = _log_sum(contexts(part) @ rb)
         out = np.empty(len(w))
         for lo in range(0, len(w), 1 << 16):
             k = slice(lo, lo + (1 << 16))
-            out[k] = np.einsum("nw,nw->n", self.context(self.q[u[k]], self.q[v[k]]), self.rb[w[k]] + self.sd[self.group[w[k]]])
+            target = self.rb.take(w[k], axis=0)
+            target += self.sd.take(self.group.take(w[k]), axis=0)
+            out[k] = np.einsum("nw,nw->n", self.context(self.q.take(u[k], axis=0), self.q.take(v[k], axis=0)), target)
         return out - over_slots[at] - over_groups[context]
 
     def train(self, w: np.ndarray, u: np.ndarray, v: np.ndarray, seed: int) -> np.ndarray:
@@ -226,11 +230,15 @@ class LogBilinear:
         row_power = [np.full_like(p, 1e-4) for p in rows]
         met = np.bincount(w, minlength=size) + np.bincount(u, minlength=size) + np.bincount(v, minlength=size)
         order, number = rng.permutation(len(w)), np.empty(size, np.int64)
+        narrow = np.uint16 if groups <= 1 << 16 else np.int32  # numpy sorts 16 bits by radix
 
-        def step(p: np.ndarray, s: np.ndarray, g: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
-            t = s[at] + g * g
-            s[at] = t
-            p[at] += np.float32(RATE) * g / np.sqrt(t)
+        def step(p: np.ndarray, s: np.ndarray, g: np.ndarray) -> np.ndarray:
+            """The new p; s is changed in place."""
+            s += g * g
+            g = np.float32(RATE) * g
+            g /= np.sqrt(s)
+            g += p
+            return g
 
         def step_rows(j: int, at: np.ndarray, g: np.ndarray, n: int) -> None:
             number[at] = np.arange(len(at))  # one of a slot's places stays
@@ -240,33 +248,45 @@ class LogBilinear:
             sums = np.empty((g.shape[1], len(k)), np.float32)
             for x, out in zip(np.ascontiguousarray(g.T, float), sums):
                 out[:] = np.bincount(index, x, len(k))
-            step(rows[j], row_power[j], np.ascontiguousarray(sums.T) / np.float32(n), k)
+            s = row_power[j].take(k, axis=0)
+            _put_rows(rows[j], k, step(rows[j].take(k, axis=0), s, np.ascontiguousarray(sums.T) / np.float32(n)))
+            _put_rows(row_power[j], k, s)
 
         for lo in range(0, len(w), BATCH):
             i = order[lo : lo + BATCH]
-            i = i[np.argsort(self.group[w[i]], kind="stable")]
-            n, wi, ui, vi = len(i), w[i], u[i], v[i]
-            gi = self.group[wi]
-            first = np.flatnonzero(np.diff(gi, prepend=-1))
+            gi = self.group.take(w.take(i)).astype(narrow)
+            sort = np.argsort(gi, kind="stable")
+            i, gi = i[sort], gi[sort]
+            n, wi, ui, vi = len(i), w.take(i), u.take(i), v.take(i)
+            first = np.append(0, np.flatnonzero(gi[1:] != gi[:-1]) + 1)
             runs = np.diff(first, append=n)
             tiles = -(-runs // TILE)
             place = np.arange(n) + np.repeat((np.cumsum(tiles) - tiles) * TILE - first, runs)
-            of_tile = np.repeat(gi[first], tiles)
+            of_tile = np.repeat(gi[first].astype(np.int32), tiles)
             begin, end = of_tile * self.width, np.minimum((of_tile + 1) * self.width, size)
             draw = self.total[begin][:, None] + rng.random((len(of_tile), DRAWS)) * (self.total[end] - self.total[begin])[:, None]
             x = self.order[np.clip(np.searchsorted(self.total, draw.ravel(), "right").reshape(draw.shape) - 1, begin[:, None], end[:, None] - 1)]
-            qu, qv, rw, sg, rx = self.q[ui], self.q[vi], self.rb[wi], self.sd[gi], self.rb[x]
+            qu, qv, rw, sg, rx = (p.take(at, axis=0) for p, at in ((self.q, ui), (self.q, vi), (self.rb, wi), (self.sd, gi), (self.rb, x)))
             c = self.context(qu, qv)
             tiled = np.zeros((len(of_tile) * TILE, WIDTH + 1), np.float32)
-            tiled[place] = c
+            _put_rows(tiled, place, c)
             tiled = tiled.reshape(-1, TILE, WIDTH + 1)
             # an empty place has no column of ones, so its row is all zero and adds nothing below
             d = 1 / (1 + np.exp(np.einsum("nw,nw->n", c, rw) - log_slots[wi]))
-            e = np.float32(-NOISE / DRAWS) * tiled[:, :, WIDTH:] / (1 + np.exp(log_slots[x][:, None, :] - tiled @ rx.transpose(0, 2, 1)))
-            gc = d[:, None] * rw + (e @ rx).reshape(-1, WIDTH + 1)[place]
+            e = tiled @ rx.transpose(0, 2, 1)
+            np.subtract(log_slots.take(x)[:, None, :], e, out=e)
+            np.exp(e, out=e)
+            e += 1
+            np.divide(np.float32(-NOISE / DRAWS) * tiled[:, :, WIDTH:], e, out=e)
+            gc = d[:, None] * rw
+            gc += (e @ rx).reshape(-1, WIDTH + 1).take(place, axis=0)
             y = np.minimum(np.searchsorted(group_total, rng.random(NOISE) * group_total[-1]), groups - 1)
             dg = 1 / (1 + np.exp(np.einsum("nw,nw->n", c, sg) - log_groups[gi]))
-            eg = -1 / (1 + np.exp(log_groups[y] - c @ self.sd[y].T))
+            eg = c @ self.sd[y].T
+            np.subtract(log_groups[y], eg, out=eg)
+            np.exp(eg, out=eg)
+            eg += 1
+            np.divide(-1, eg, out=eg)
             gc += dg[:, None] * sg + eg @ self.sd[y]
             gs = np.zeros_like(self.sd)
             gs[gi[first]] = np.add.reduceat(dg[:, None] * c, first, axis=0)
@@ -277,10 +297,16 @@ class LogBilinear:
             step_rows(1, np.concatenate((wi, x.ravel())), np.concatenate((d[:, None] * c, (e.transpose(0, 2, 1) @ tiled).reshape(-1, WIDTH + 1))), n)
             step_rows(0, np.concatenate((ui, vi)), np.concatenate((gc * self.a, gc * self.b)), n)
             for p, s, g in zip(dense, power, steps):
-                step(p, s, (g / n).astype(np.float32))
+                p[:] = step(p, s, (g / n).astype(np.float32))
         return met
 
 
+def _put_rows(p: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
+    """``p[at] = new`` for rows of one type, each copied as a whole."""
+    row = np.dtype((np.void, p.itemsize * p.shape[1]))
+    p.view(row)[at, 0] = new.view(row)[:, 0]
+
+
 def _log_sum(s: np.ndarray) -> np.ndarray:
     top = s.max(axis=1, keepdims=True)
     s -= top
