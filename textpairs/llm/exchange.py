@@ -69,26 +69,39 @@ def joined(table: pa.Table, column: str = "answer") -> bytes:
 
 
 #: numbers that keys are put into to tell texts that need a join from those that do not
-GROUPS = 1 << 18
+GROUPS = 1 << 24
+#: groups that one broadcast row has as the bits of a number
+GROUP_BITS = 64
 
 
-def split_by_key(docs: DataFrame, keys: DataFrame, doc_key: str, key: str) -> tuple[DataFrame, DataFrame]:
+def split_by_key(docs: DataFrame, keys: DataFrame, doc_key: str | list[str], key: str | list[str], salt: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` whose key may be among ``keys``, rows whose key surely is not), without a shuffle of ``docs``.
 
-    What is broadcast are at most ``GROUPS`` numbers, whatever the size of ``keys``.
+    A key is one column or several, of the same types on both sides; two nulls are alike.  What is broadcast are at most
+    ``GROUPS / GROUP_BITS`` rows, whatever the size of ``keys``.  Another ``salt`` makes other groups.
     """
-    group = lambda c: F.pmod(F.xxhash64(c), F.lit(GROUPS))
-    groups = F.broadcast(keys.select(group(key).alias("__g")).distinct())
-    on = group(doc_key) == F.col("__g")
-    return docs.join(groups, on, "left_semi"), docs.join(groups, on, "left_anti")
+    group = lambda c: F.pmod(F.xxhash64(F.lit(salt), *([c] if isinstance(c, str) else c)), F.lit(GROUPS))
+    word, bit = F.floor(F.col("__g") / GROUP_BITS), F.expr(f"cast(__g % {GROUP_BITS} as int)")
+    groups = keys.select(group(key).alias("__g")).groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits"))
+    marked = docs.withColumn("__g", group(doc_key)).join(F.broadcast(groups), word == F.col("__word"), "left")
+    there = F.coalesce(F.getbit("__bits", bit), F.lit(0)) == 1
+    return tuple(marked.filter(x).drop("__g", "__word", "__bits") for x in (there, ~there))
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that ``gone(id, tkey)`` does not name; tkey is the text's xxhash64."""
-    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("tkey").alias("__key")).distinct(), "gone")
-    maybe, rest = split_by_key(docs.withColumn("__tkey", F.xxhash64(text_col)), gone, "__tkey", "__key")
-    kept = maybe.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key")), "left_anti")
-    return kept.unionByName(rest).drop("__tkey")
+    """The rows of ``docs`` that ``gone(id, tkey)`` does not name; tkey is the text's xxhash64.
+
+    Texts of rows that go are not shuffled: ``maybe`` is first looked up without them, for the rows that only share a group.
+    """
+    gone = materialize(gone.select(F.col("id").cast("long").alias("__id"), F.col("tkey").alias("__key")).distinct(), "gone")
+    docs = docs.withColumn("__tid", F.col(id_col).cast("long")).withColumn("__tkey", F.xxhash64(text_col))
+    maybe, rest = split_by_key(docs, gone, ["__tid", "__tkey"], ["__id", "__key"])
+    on = F.col("__tid").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key"))
+    stay = maybe.select("__tid", "__tkey").distinct().join(gone, on, "left_anti")
+    stay = materialize(stay.select(F.col("__tid").alias("__id"), F.col("__tkey").alias("__key")), "stay")
+    maybe, _ = split_by_key(maybe, stay, ["__tid", "__tkey"], ["__id", "__key"], salt=1)
+    kept = maybe.join(stay, on, "left_semi")
+    return kept.unionByName(rest).drop("__tid", "__tkey")
 
 
 #: texts are long, so fewer rows go to a Python worker at once than Spark's 10,000

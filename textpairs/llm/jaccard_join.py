@@ -479,7 +479,7 @@ def members_and_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # the sets themselves, from one document of each; other texts are not shuffled
     one = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct("id", "tkey")).alias("x"))
     one = materialize(one.join(placed, "sid").select(F.col("x.id").alias("rid"), F.col("x.tkey").alias("rkey"), "places"), "op3-places")
-    maybe, _ = exchange.split_by_key(d, one, "tkey", "rkey")
+    maybe, _ = exchange.split_by_key(d, one, ["id", "tkey"], ["rid", "rkey"])
     texts = maybe.join(one, maybe["id"].eqNullSafe(F.col("rid")) & (maybe["tkey"] == F.col("rkey"))).select("text", "places")
     blocks = texts.mapInArrow(_whole_sets, "home long, block long, sid long, resident boolean, visitor boolean, shingles binary")
     parts = max(1, -(-total // BUCKET_SHINGLES)) * 8
@@ -515,10 +515,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = exchange.without(docs, named.filter(~stays), id_col, text_col)
     # rows that repeat in every way but are to stay once
     again = materialize(named.filter(stays & (F.col("rows") > 1)).select(F.col("id").alias("__id"), F.col("tkey").alias("__key")), "op3-again")
-    maybe, rest = exchange.split_by_key(kept.withColumn("__tkey", F.xxhash64(text_col)), again, "__tkey", "__key")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key"))
+    kept = kept.withColumn("__tid", F.col(id_col).cast("long")).withColumn("__tkey", F.xxhash64(text_col))
+    maybe, rest = exchange.split_by_key(kept, again, ["__tid", "__tkey"], ["__id", "__key"])
+    on = F.col("__tid").eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key"))
     once = maybe.join(again, on, "left_semi").dropDuplicates([id_col, "__tkey"])
-    return once.unionByName(maybe.join(again, on, "left_anti")).unionByName(rest).drop("__tkey")
+    return once.unionByName(maybe.join(again, on, "left_anti")).unionByName(rest).drop("__tid", "__tkey")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
