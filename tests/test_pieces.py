@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from textpairs.operators import vocab
+from textpairs.plans import flows
 from textpairs.sources import files
 from textpairs.streaming import ingest, pieces
 
@@ -126,3 +128,55 @@ def test_listed_files_of_any_size(spark, write_files, tmp_path, whole_file_bytes
         assert _rows(ingest.read_stream_output(spark, out, "pairs"), COLS) == _rows(whole, COLS)
         odd = ["folder", "module", "ln", "text"]
         assert _rows(ingest.read_stream_output(spark, out, "unpaired"), odd) == _rows(tails, odd)
+
+
+def _docs(spark, tmp_path, rows):
+    sf = tmp_path / "sf"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(sf / "documents.parquet"))
+    return str(sf)
+
+
+def test_number_of_pieces_follows_the_text_not_the_documents(spark, tmp_path, monkeypatch):
+    """Documents of one file: one piece for each full ``PIECE_BYTES`` at most and one more, and the same pairs as from whole files."""
+    rows = [(i, f"q{i}\nanswer {i}\n", "en", "web") for i in range(0, 4000, 7)] + [(4001, "x\n" * 9, "en", "web")]
+    rows += [(21, "twice\n", "en", "web"), (21, "twice\n", "en", "web"), (5, None, "en", "web"), (6, "", "en", "web"), (8, "a\nb", None, "web"), (None, "a\nb", "en", "web"), (9, "a\nb", "en", None)]
+    sf = _docs(spark, tmp_path, rows)
+    files_of = lambda: [r.p for r in spark.read.text(flows.write_doc_pieces(spark, sf) + "/*/*/*/*").select(F.col("_metadata.file_path").alias("p")).distinct().collect()]
+    assert len(files_of()) == 3  # ranges of 400 ids gave 12
+    size = sum(len(t) for _, t, lang, _s in rows if t and lang)
+    monkeypatch.setattr(flows, "PIECE_BYTES", 500)
+    cut = files_of()
+    assert 10 < len(cut) <= size // 500 + 3
+    root = flows.write_doc_pieces(spark, sf)
+    monkeypatch.setattr(pieces, "BATCH_PIECES", 4)  # many micro-batches
+    got, tails = flows.stream_pieces(spark, root, VOC)
+    whole = tables_pairs(rows)
+    assert sorted((r.file.split("/")[-2], r.pair_idx, r.question, r.answer) for r in got.collect()) == whole
+    assert [(r.ln, r.text) for r in tails.collect()] == [(8, "x")]
+
+
+def tables_pairs(rows):
+    """Pairs of the files as a plain loop: texts by folder in order of their ids, lines of one id side by side."""
+    lines = {}
+    for i, t, lang, source in rows:
+        if t and i is not None and source is not None:
+            for n, x in enumerate(t.splitlines()):
+                lines.setdefault("folder=" + "__".join(x for x in (lang, source, str(i // 4000)) if x), []).append((i, n, x))
+    out = []
+    for folder, found in lines.items():
+        found = [x for _, _, x in sorted(found)]
+        out += [(folder, i // 2, found[i], found[i + 1]) for i in range(0, len(found) - 1, 2)]
+    return sorted(out)
+
+
+def test_the_second_read_of_pieces_is_not_shuffled(spark, write_files):
+    root = write_files({"f/m.txt/0-last": "q\na\nq1\na1\n"})
+    path = spark.read.text(root + "/*/*/*").select(F.col("_metadata.file_path")).first()[0]
+    found = spark.createDataFrame([("f", path, 0, 2, 0)], "file string, path string, start int, pairs int, pair_idx long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = pieces._pairs_inside(spark, found)
+        assert sorted((r.pair_idx, r.question, r.answer) for r in got.collect()) == [(0, "q", "a"), (1, "q1", "a1")]
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -39,6 +39,9 @@ PIECE_PATH = r"^(.*)/(?:piece=)?([0-9]+)(-last)?(?:\.[^/]*|/[^/]*)?$"
 #: a ``\r`` that ends a piece may be half of a line end: it stays with the open line
 LINE_ENDS = r"\r\n|\n|\r(?!\z)"
 
+#: pieces of one micro-batch whose paths and places the driver holds and sends to every executor
+BATCH_PIECES = 20_000
+
 STEPS = "path string, start int, pairs int, pair_idx long, q string, a string"
 STATE = "next long, lines long, asked string, open string, early string, done boolean"
 
@@ -172,7 +175,7 @@ def _pairs_inside(spark: SparkSession, found: DataFrame) -> DataFrame:
     with few_listing_tasks(spark):
         raw = spark.read.text(paths, wholetext=True)
     text = _piece_rows(raw).select("path", _parts("text").alias("parts"))
-    lines = text.join(found.select("file", "path", "start", "pairs", "pair_idx"), "path")
+    lines = text.join(F.broadcast(found.select("file", "path", "start", "pairs", "pair_idx")), "path")  # a row a piece of the batch: no exchange carries the text
     lines = lines.select("file", "pair_idx", F.slice("parts", F.col("start") + 1, F.col("pairs") * 2).alias("lines"))
     zipped = F.zip_with("lines", F.slice("lines", 2, F.size("lines")), lambda q, a: F.struct(q.alias("q"), a.alias("a")))
     each = lines.select("file", "pair_idx", F.posexplode(zipped).alias("ln", "qa")).filter(F.col("ln") % 2 == 0)
