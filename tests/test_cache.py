@@ -115,3 +115,34 @@ def test_characters_are_counted_by_slices(spark, monkeypatch):
     (got,) = vocab._count_chars([batch, batch.slice(0, 0)])
     want["b"] -= 1
     assert dict(zip(got["token"].to_pylist(), got["freq"].to_pylist())) == want
+
+
+def test_ids_are_exchanged_as_bytes(spark):
+    for width, top in ((1, 255), (2, 65_535), (4, 1_114_115)):
+        rows = [([0, top, 3],), ([],), (None,), ([1],), (list(range(200)),)]
+        df = spark.createDataFrame(rows, "ids array<int>").coalesce(1)
+        packed = df.select("ids", vocab.pack_ids(F.col("ids"), width).alias("p")).filter("ids is null or size(ids) <> 1")
+        got = packed.select("ids", "p", vocab.unpack_ids(F.col("p"), width).alias("back")).collect()
+        assert [(r.ids, r.back) for r in got] == [(x, x) for (x,) in rows if x != [1]]
+        assert [r.p and len(r.p) for r in got] == [3 * width, b"", None, 200 * width]
+    assert [vocab.id_bytes(n) for n in (4, 256, 257, 65_536, 65_537)] == [1, 1, 2, 2, 4]
+    try:
+        spark.createDataFrame([([256],)], "ids array<int>").select(vocab.pack_ids(F.col("ids"), 1)).collect()
+    except Exception as e:
+        assert "found 256" in str(e)
+    else:
+        raise AssertionError("an id was cut")
+
+
+def test_batches_from_the_cache_are_made_behind_the_exchange(spark, tmp_path):
+    df = spark.createDataFrame(_rows(60), SCHEMA)
+    path = str(tmp_path / "run")
+    out = flows.prepare(df, None, keys=["k"], strict=False, save_path=path, written=True)
+    assert not any("prepare-train" in f for f in out["split"].inputFiles())
+    plan = out["train"].select("k", "batch_id", "questions", "answers")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Window [max")]
+    assert above.count("unpack") == 2 and "unpack" not in plan[len(above) :]
+    want = flows.prepare(df, None, keys=["k"], strict=False, vocab_df=out["vocab"])
+    assert out["train"].columns == want["train"].columns and out["train"].dtypes == want["train"].dtypes
+    cells = lambda d: sorted(map(tuple, d.collect()))
+    assert cells(out["train"]) == cells(want["train"])

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from textpairs.functions.text import decode_uri_path, drop_last4, parent_name
 from textpairs.operators.clean import distinct_keys
 from textpairs.operators.pairing import _check_cap, pairs_from_lines, pairs_in_rows, pairs_in_splits, split_lines, unpaired_in_rows
+from textpairs.operators.vocab import id_bytes, pack_ids, unpack_ids
 from textpairs.session import few_listing_tasks, materialize
 
 log = logging.getLogger(__name__)
@@ -397,14 +398,15 @@ def read_encoded(spark: SparkSession, path: str, fingerprint: str | None = None)
     return df.drop(VOCAB_FP)
 
 
-def reuse_encoded(df: DataFrame, cached: DataFrame, keys: list[str], voc, cols=("question", "answer")) -> DataFrame:
-    """All rows of ``df`` with ``<col>_ids``: from ``cached`` where its row has the same texts, encoded anew where it
-    has not (``cached_state``: ``reused``, ``changed`` or ``new``).
+def reuse_packed(df: DataFrame, cached: DataFrame, keys: list[str], voc, cols=("question", "answer")) -> DataFrame:
+    """All rows of ``df`` with ``<col>_packed`` (``vocab.pack_ids``): from ``cached`` where its row has the same texts, encoded anew
+    where it has not (``cached_state``: ``reused``, ``changed`` or ``new``).
 
     ``cached(keys, <col>_ids, row_fp)``; the join keeps every row of ``df``, null keys included.  Of cached rows that share
     their keys those with the row's texts count, and equal ones once.
     """
-    ids = [f"{c}_ids" for c in cols]
+    width = id_bytes(voc.size)
+    ids = [pack_ids(F.col(f"{c}_ids"), width).alias(c) for c in cols]  # exchanged, sorted and joined as bytes
     # structs of keys are equal where nulls stand in the same places; hashed alike on both sides, so each side is exchanged once
     mine = df.withColumns({"__key": F.struct(*keys), "__fp": row_fingerprint(cols)})
     all_kept = cached.select(F.struct(*keys).alias("__key"), F.col(ROW_FP).alias("__fp"), F.struct(*ids).alias("__hit"))
@@ -412,10 +414,19 @@ def reuse_encoded(df: DataFrame, cached: DataFrame, keys: list[str], voc, cols=(
     known = cached.select(F.struct(*keys).alias("__key")).distinct().withColumn("__known", F.lit(True))
     both = mine.join(kept, ["__key", "__fp"], "left").join(known, "__key", "left")
     state = F.when(F.col("__hit").isNotNull(), "reused").when(F.col("__known"), "changed").otherwise("new")
-    out = {f"{c}_ids": F.when(F.col("__hit").isNotNull(), F.col("__hit")[f"{c}_ids"]).otherwise(voc.encode(c)) for c in cols}
+    there = F.col("__hit").isNotNull()
+    # only rows that the cache lacks are encoded: a Python function sees all rows
+    out = {f"{c}_packed": F.when(there, F.col("__hit")[c]).otherwise(pack_ids(F.when(~there, voc.encode(c)), width)) for c in cols}
     return both.withColumns({**out, "cached_state": state}).drop("__key", "__fp", "__hit", "__known")
 
 
+def reuse_encoded(df: DataFrame, cached: DataFrame, keys: list[str], voc, cols=("question", "answer")) -> DataFrame:
+    """``reuse_packed`` with the ids as arrays, ``<col>_ids``."""
+    got = reuse_packed(df, cached, keys, voc, cols)
+    ids = [unpack_ids(F.col(f"{c}_packed"), id_bytes(voc.size)).alias(f"{c}_ids") for c in cols]
+    return got.select(*df.columns, *ids, "cached_state")
+
+
 def cache_report(reused: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
     """(state, rows): how many rows of a table were reused, changed or new, and how many cached rows it has ``gone``."""
     states = reused.groupBy(F.col("cached_state").alias("state")).agg(F.count(F.lit(1)).alias("rows"))
