@@ -139,7 +139,7 @@ def _docs(spark, tmp_path, rows):
 def test_number_of_pieces_follows_the_text_not_the_documents(spark, tmp_path, monkeypatch):
     """Documents of one file: one piece for each full ``PIECE_BYTES`` at most and one more, and the same pairs as from whole files."""
     rows = [(i, f"q{i}\nanswer {i}\n", "en", "web") for i in range(0, 4000, 7)] + [(4001, "x\n" * 9, "en", "web")]
-    rows += [(21, "twice\n", "en", "web"), (21, "twice\n", "en", "web"), (5, None, "en", "web"), (6, "", "en", "web"), (8, "a\nb", None, "web"), (None, "a\nb", "en", "web"), (9, "a\nb", "en", None)]
+    rows += [(22, "twice\n", "en", "web"), (22, "twice\n", "en", "web"), (5, None, "en", "web"), (6, "", "en", "web"), (8, "a\nb", None, "web"), (None, "a\nb", "en", "web"), (9, "a\nb", "en", None)]
     sf = _docs(spark, tmp_path, rows)
     files_of = lambda: [r.p for r in spark.read.text(flows.write_doc_pieces(spark, sf) + "/*/*/*/*").select(F.col("_metadata.file_path").alias("p")).distinct().collect()]
     assert len(files_of()) == 3  # ranges of 400 ids gave 12
